@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .substring_dedup import op4_substring_dedup
 
 QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_exact_dedup": op5_exact_dedup,
 }
 
