@@ -92,8 +92,8 @@ def _send(bucket_bits: int, window: int):
                     own, at = np.unique(doc[part], return_index=True)
                 blobs["bucket"].append(int(bucket[by_bucket[a]]))
                 blobs["hashes"].append(h[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low].tobytes())
-                blobs["docs"].append(own.astype("<i8").tobytes())
-                blobs["counts"].append(np.diff(np.r_[at, len(part)]).astype("<u4").tobytes())
+                blobs["docs"].append(pack_ints(np.diff(own, prepend=0)))
+                blobs["counts"].append(pack_ints(np.diff(np.r_[at, len(part)])))
                 blobs["starts"].append(pack_starts(start[part], at))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(blobs["bucket"], pa.int32()), *(pa.array(blobs[c], pa.binary()) for c in ("hashes", "docs", "counts", "starts")), pa.nulls(len(blobs["bucket"]), pa.int64()), pa.nulls(len(blobs["bucket"]), pa.list_(pa.int32()))],
@@ -131,17 +131,24 @@ NAMES = ["bucket", "hashes", "docs", "counts", "starts", "doc_id", "repeated"]
 SENT = "bucket int, hashes binary, docs binary, counts binary, starts binary, doc_id long, repeated array<int>"
 
 
+def pack_ints(values: np.ndarray) -> bytes:
+    """Integers by byte planes, lowest first: the planes of small numbers are all but zero, and the shuffle compresses them."""
+    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack_ints(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def pack_starts(starts: np.ndarray, at: np.ndarray) -> bytes:
-    """Starts as gaps within each document: one byte each, or 255 and four bytes."""
-    gaps = np.diff(starts, prepend=0)
+    """Starts as gaps within each document."""
+    gaps = np.diff(starts.astype(np.int64), prepend=0)
     gaps[at] = starts[at]
-    small = gaps < 255
-    return np.where(small, gaps, 255).astype(np.uint8).tobytes() + gaps[~small].astype("<u4").tobytes()
+    return pack_ints(gaps)
 
 
-def unpack_starts(blob: bytes, n: int, counts: np.ndarray) -> np.ndarray:
-    gaps = np.frombuffer(blob, np.uint8, n).astype(np.int64)
-    gaps[gaps == 255] = np.frombuffer(blob, "<u4", -1, n)
+def unpack_starts(blob: bytes, counts: np.ndarray) -> np.ndarray:
+    gaps = unpack_ints(blob)
     total = np.cumsum(gaps)
     at = np.cumsum(counts) - counts
     return total - np.repeat(total[at] - gaps[at], counts)
@@ -168,10 +175,10 @@ def _count(low: int):
             n = len(blob) // low
             wide = np.zeros((n, 8), np.uint8)
             wide[:, :low] = np.frombuffer(blob, np.uint8).reshape(n, low)
-            counts = np.frombuffer(counts, "<u4").astype(np.int64)
+            counts = unpack_ints(counts)
             keys.append(wide.view("<u8").ravel())
-            docs.append(np.repeat(np.frombuffer(ids, "<i8"), counts))
-            starts.append(unpack_starts(gaps, n, counts))
+            docs.append(np.repeat(np.cumsum(unpack_ints(ids)), counts))
+            starts.append(unpack_starts(gaps, counts))
         h, doc, start = np.concatenate(keys), np.concatenate(docs), np.concatenate(starts)
         order = np.argsort(h, kind="stable")
         edges = np.flatnonzero(np.r_[True, h[order[1:]] != h[order[:-1]]])
@@ -193,8 +200,8 @@ def merge_intervals(starts: np.ndarray, window: int = WINDOW) -> list[tuple[int,
 
 
 def bucket_bits_for(n_bytes: int) -> int:
-    """Whole bytes of the hash that name the bucket, so that a bucket holds about some million windows at most."""
-    return 8 if n_bytes < 16 << 30 else 16
+    """Leading bits of the hash that name the bucket: from 256 buckets on, one for each 8 MB of text or so."""
+    return min(max(8, (n_bytes >> 23).bit_length()), 20)
 
 
 def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
