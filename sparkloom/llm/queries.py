@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op2_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .packing import op1_best_fit_packing
 from .quality import op10_quality_classifier
@@ -9,6 +10,7 @@ from .substring_dedup import op4_substring_dedup
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_decontamination": op2_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_quality_classifier": op10_quality_classifier,
