@@ -7,15 +7,18 @@ from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .packing import op1_best_fit_packing
 from .quality import op10_quality_classifier
 from .substring_dedup import op4_substring_dedup
+from .url_filter import OP8_SQL, op8_url_filter
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_decontamination": op2_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_url_filter": op8_url_filter,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL = {
     "op5_exact_dedup": OP5_SQL,
+    "op8_url_filter": OP8_SQL,
 }
