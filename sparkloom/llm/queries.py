@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op2_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .near_dedup import op6_near_dedup
 from .packing import op1_best_fit_packing
 from .quality import op10_quality_classifier
 from .substring_dedup import op4_substring_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_near_dedup": op6_near_dedup,
     "op8_url_filter": op8_url_filter,
     "op10_quality_classifier": op10_quality_classifier,
 }
