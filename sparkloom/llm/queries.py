@@ -8,6 +8,7 @@ from .near_dedup import op6_near_dedup
 from .packing import op1_best_fit_packing
 from .quality import op10_quality_classifier
 from .substring_dedup import op4_substring_dedup
+from .token_counts import op9_token_counts
 from .url_filter import OP8_SQL, op8_url_filter
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_near_dedup": op6_near_dedup,
     "op8_url_filter": op8_url_filter,
+    "op9_token_counts": op9_token_counts,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
