@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op2_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .lm_scoring import op3_lm_scoring
 from .near_dedup import op6_near_dedup
 from .packing import op1_best_fit_packing
 from .quality import op10_quality_classifier
@@ -14,6 +15,7 @@ from .url_filter import OP8_SQL, op8_url_filter
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_decontamination": op2_decontamination,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_near_dedup": op6_near_dedup,
