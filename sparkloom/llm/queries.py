@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op2_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .license_scan import op7_license_scan
 from .lm_scoring import op3_lm_scoring
 from .near_dedup import op6_near_dedup
 from .packing import op1_best_fit_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_near_dedup": op6_near_dedup,
+    "op7_license_scan": op7_license_scan,
     "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,
     "op10_quality_classifier": op10_quality_classifier,
