@@ -147,8 +147,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows repeated in doc_id and text one stays."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_keep_id")), "left_semi").dropDuplicates(["doc_id"])
+    kept = exact_groups(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).select(F.col("doc_id").alias("_keep_id"), "_n")
+    kept = cut(kept)
+    rows = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_keep_id")))
+    once, repeated = (rows.where(c).select(*(docs[x] for x in docs.columns)) for c in ("_n = 1", "_n > 1"))
+    # Only if an id repeats do the rows have to meet again.
+    return once if kept.where("_n > 1").isEmpty() else once.unionByName(repeated.dropDuplicates(["doc_id"]))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
