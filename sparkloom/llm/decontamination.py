@@ -11,6 +11,7 @@ retrieved item is verified by the overlap of its question and of its answer with
 from __future__ import annotations
 
 import bisect
+import hashlib
 import math
 import re
 from collections import Counter
@@ -219,16 +220,11 @@ def find_in_text(text: str | None, index: Index, gate: Gate) -> list[tuple[int,
 
 
 FOUND = "doc_id long, item_id long, passage_start int, score double, question_overlap double, answer_overlap double"
+HASHED = FOUND + ", text_sha256 string"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and test item that it holds: doc_id, item_id, passage_start, score, question_overlap, answer_overlap.
-
-    Words are runs of letters, digits and underscores, lower-cased. Of several passages that hold an item the one with the
-    highest score counts, then the earliest. Null or empty texts hold nothing; items without words or without id are never
-    found; a repeated item row is reported once, a repeated document row each time. The index of at most INDEX_ITEMS items
-    is broadcast; a larger benchmark makes several indexes. ``docs`` is read for doc_id and text only.
-    """
+def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of find_leaks, each with the SHA-256 of its document's text."""
     spark = docs.sparkSession
     items = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").distinct().toLocalIterator()]
     rows = docs.select("doc_id", "text")
@@ -242,21 +238,35 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 out: list[tuple] = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    if text:
-                        out.extend((doc_id, *hit) for hit in find_in_text(text, index, gate))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
-                columns = list(zip(*out)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in FOUND.split(", ")])
-
-        part = map_arrow(rows, run, FOUND)
+                    hits = find_in_text(text, index, gate) if text else []
+                    if hits:
+                        digest = hashlib.sha256(text.encode()).hexdigest()
+                        out.extend((doc_id, *hit, digest) for hit in hits)
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string())
+                columns = list(zip(*out)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in HASHED.split(", ")])
+
+        part = map_arrow(rows, run, HASHED)
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document and test item that it holds: doc_id, item_id, passage_start, score, question_overlap, answer_overlap.
+
+    Words are runs of letters, digits and underscores, lower-cased. Of several passages that hold an item the one with the
+    highest score counts, then the earliest. Null or empty texts hold nothing; items without words or without id are never
+    found; a repeated item row is reported once, a repeated document row each time. The index of at most INDEX_ITEMS items
+    is broadcast; a larger benchmark makes several indexes. ``docs`` is read for doc_id and text only.
+    """
+    return _leaks(docs, benchmark).drop("text_sha256")
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, with their columns; rows without id stay only if none of them leaks."""
-    leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leak_id")).distinct()
-    return docs.join(leaks.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_leak_id")), "left_anti")
+    """The rows of ``docs`` that hold no test item, with their columns; each row is decided by its own text, whatever its id."""
+    leaks = _leaks(docs, benchmark).select(F.col("doc_id").alias("_leak_id"), F.col("text_sha256").alias("_leak_sha")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_leak_id")) & (F.sha2(docs["text"], 256) == F.col("_leak_sha"))
+    return docs.join(leaks.hint("shuffle_hash"), same, "left_anti")
 
 
 def brute_force(docs: list[tuple[int, str | None]], rows: list[tuple[int, str | None]]) -> set[tuple[int, int]]:

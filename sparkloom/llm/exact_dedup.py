@@ -146,13 +146,20 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows repeated in doc_id and text one stays."""
-    kept = exact_groups(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).select(F.col("doc_id").alias("_keep_id"), "_n")
-    kept = cut(kept)
-    rows = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_keep_id")))
-    once, repeated = (rows.where(c).select(*(docs[x] for x in docs.columns)) for c in ("_n = 1", "_n > 1"))
-    # Only if an id repeats do the rows have to meet again.
-    return once if kept.where("_n > 1").isEmpty() else once.unionByName(repeated.dropDuplicates(["doc_id"]))
+    """The rows of ``docs`` that stay, with all their columns; of rows repeated in doc_id and text one stays.
+
+    Rows are decided by doc_id and normalised text together, so neither null nor repeated ids stand for each other's texts.
+    """
+    kept = exact_groups(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("_n"))
+    kept = cut(kept.select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"), "_n"))
+    sha = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
+    rows = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_keep_id")) & (sha == F.col("_keep_sha")))
+    once = rows.where("_n = 1").select(*(docs[x] for x in docs.columns))
+    # Only if an id repeats with its text do the rows have to meet again.
+    if kept.where("_n > 1").isEmpty():
+        return once
+    repeated = rows.where("_n > 1").dropDuplicates(["_keep_id", "_keep_sha"])
+    return once.unionByName(repeated.select(*(docs[x] for x in docs.columns)))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

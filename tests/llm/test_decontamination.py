@@ -55,3 +55,10 @@ def test_empty_tables(spark, docs, empty):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert D.find_leaks(empty, bench).collect() == []
     assert D.find_leaks(docs, bench.limit(0)).collect() == []
+
+
+def test_drop_decides_null_and_repeated_ids_by_their_texts(spark):
+    rows = [(None, TEXTS[1][1]), (None, TEXTS[0][1]), (None, None), (9, TEXTS[2][1]), (9, TEXTS[5][1])]
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    kept = D.drop_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {rows[1], rows[2], rows[4]}

@@ -45,3 +45,9 @@ def test_filters_merge_without_loss():
     keys, counts = E.merge_filters(blobs)
     expected, n = np.unique(prints & np.uint64((1 << (64 - E.SLICE_BITS)) - 1), return_counts=True)
     assert np.array_equal(keys, expected) and np.array_equal(counts, n)
+
+
+def test_drop_decides_null_and_repeated_ids_by_their_texts(spark):
+    rows = [(None, "a"), (None, "b"), (3, "A"), (4, "c"), (4, "d"), (4, "c"), (5, "D"), (None, "e"), (None, "e")]
+    kept = E.drop_exact(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r.doc_id or 0), r.text) for r in kept.collect()) == [(0, "b"), (0, "e"), (3, "A"), (4, "c"), (5, "D")]
