@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in DataFrame operations alone.
 
-A text becomes its words, joined by one space. Each rule has a keyword, a regex over the words, a label and a priority; the
-regex is tried only on texts with its keyword. Detections are intervals of words. One is suppressed if another interval
+A text becomes its words, joined by one space. Each rule has a keyword, a regex over the words, a label and a priority; each
+match, with the spaces around it, contains the keyword, so the regex is tried only on texts that have it. Detections are intervals of words. One is suppressed if another interval
 contains it and has a higher priority, or the same and more words. Texts without any gate word cost one pass.
 """
 
@@ -16,8 +16,6 @@ from .common import ascii_lower, table
 
 #: Labels and phrases whose places are counted in any case.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
-#: A text without any of these has no detection.
-GATE = ("licen", "copyright", "cc by", "cc0", "creative commons", "creativecommons", "gpl", "apache", "mozilla", "bsd", "public domain", "spdx", "permission is hereby granted", "redistribution and use", "rights reserved", "as is without", "wtfpl")
 BASE_PRIORITY = 60
 
 
@@ -44,7 +42,7 @@ def _rules() -> list[Rule]:
         "gfdl": (r"(?:gnu )?free documentation licen[cs]e", ("1 1", "1 2", "1 3")),
     }
     for short, (name, versions) in gnu.items():
-        word = "documentation" if short == "gfdl" else "general public"
+        word = "free documentation licen" if short == "gfdl" else "general public licen"
         add(short, 40, word, name)
         add(short, 30, short, short)
         for v in versions:
@@ -72,26 +70,26 @@ def _rules() -> list[Rule]:
     add("cc0-1.0", 75, "creativecommons", r"creativecommons org publicdomain zero 1 0")
     add("cc0-1.0", 70, "creative commons", r"creative commons (?:zero|public domain dedication)")
     # Versioned licenses: name, short name, versions.
-    for label, name, short, keyword, versions in (
-        ("apache", r"apache (?:software )?licen[cs]e", "apache", "apache", ("1 0", "1 1", "2 0")),
-        ("mpl", r"mozilla public licen[cs]e", "mpl", "licen", ("1 0", "1 1", "2 0")),
-        ("epl", r"eclipse public licen[cs]e", "epl", "licen", ("1 0", "2 0")),
-        ("eupl", r"european union public licen[cs]e", "eupl", "licen", ("1 0", "1 1", "1 2")),
-        ("cddl", r"common development and distribution licen[cs]e", "cddl", "licen", ("1 0", "1 1")),
-        ("ofl", r"(?:sil )?open font licen[cs]e", "ofl", "licen", ("1 0", "1 1")),
-        ("afl", r"academic free licen[cs]e", "afl", "licen", ("2 0", "2 1", "3 0")),
-        ("artistic", r"artistic licen[cs]e", "artistic", "licen", ("1 0", "2 0")),
-        ("osl", r"open software licen[cs]e", "osl", "licen", ("1 0", "2 0", "3 0")),
-        ("bsl", r"boost software licen[cs]e", "bsl", "licen", ("1 0",)),
-        ("odbl", r"open database licen[cs]e", "odbl", "licen", ("1 0",)),
-        ("cecill", r"cecill free software licen[cs]e", "cecill", "licen", ("1 0", "2 0", "2 1")),
+    for label, name, short, versions in (
+        ("apache", r"apache (?:software )?licen[cs]e", "apache", ("1 0", "1 1", "2 0")),
+        ("mpl", r"mozilla public licen[cs]e", "mpl", ("1 0", "1 1", "2 0")),
+        ("epl", r"eclipse public licen[cs]e", "epl", ("1 0", "2 0")),
+        ("eupl", r"european union public licen[cs]e", "eupl", ("1 0", "1 1", "1 2")),
+        ("cddl", r"common development and distribution licen[cs]e", "cddl", ("1 0", "1 1")),
+        ("ofl", r"(?:sil )?open font licen[cs]e", "ofl", ("1 0", "1 1")),
+        ("afl", r"academic free licen[cs]e", "afl", ("2 0", "2 1", "3 0")),
+        ("artistic", r"artistic licen[cs]e", "artistic", ("1 0", "2 0")),
+        ("osl", r"open software licen[cs]e", "osl", ("1 0", "2 0", "3 0")),
+        ("bsl", r"boost software licen[cs]e", "bsl", ("1 0",)),
+        ("odbl", r"open database licen[cs]e", "odbl", ("1 0",)),
+        ("cecill", r"cecill free software licen[cs]e", "cecill", ("1 0", "2 0", "2 1")),
     ):
-        add(label, 45, keyword, name)
+        add(label, 45, "licen", name)
         for v in versions:
             version, first = v.replace(" ", "."), v.split()[0]
             tail = rf"{v}" if v.split()[1] != "0" else rf"{first}(?: 0)?"
-            add(f"{label}-{version}", 70, keyword, rf"{name} (?:version |v ?)?{tail}")
-            add(f"{label}-{version}", 65, keyword, rf"{short} (?:version |v ?)?{tail}(?: licen[cs]e)?")
+            add(f"{label}-{version}", 70, "licen", rf"{name} (?:version |v ?)?{tail}")
+            add(f"{label}-{version}", 65, f" {short} ", rf"{short} (?:version |v ?)?{tail}(?: licen[cs]e)?")
             add(f"{label}-{version}", 90, "spdx", rf"spdx licen[cs]e identifier {short} {v}")
     # The BSD family by its number of clauses.
     numbers = {"0": "zero", "1": "one", "2": "two", "3": "three", "4": "four"}
@@ -103,12 +101,12 @@ def _rules() -> list[Rule]:
         ("bsd", 40, "bsd", r"(?:new |modified |simplified |revised )?bsd (?:style )?licen[cs]ed?"),
         ("bsd-2-clause", 55, "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted"),
         ("mit", 50, "licen", r"(?:the )?mit licen[cs]ed?"),
-        ("mit", 55, "licen", r"(?:released|licen[cs]ed|distributed|available|provided) under (?:the )?(?:terms of (?:the )?)?mit(?: licen[cs]e)?"),
+        ("mit", 55, " mit ", r"(?:released|licen[cs]ed|distributed|available|provided) under (?:the )?(?:terms of (?:the )?)?mit(?: licen[cs]e)?"),
         ("mit", 80, "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy"),
         ("mit", 90, "spdx", r"spdx licen[cs]e identifier mit"),
         ("mit", 45, "licen", r"(?:x11|expat) licen[cs]e"),
         ("isc", 55, "licen", r"(?:the )?isc licen[cs]e"),
-        ("isc", 60, "copyright", r"permission to use copy modify and or distribute this software for any purpose"),
+        ("isc", 60, "permission to use", r"permission to use copy modify and or distribute this software for any purpose"),
         ("isc", 90, "spdx", r"spdx licen[cs]e identifier isc"),
         ("zlib", 55, "licen", r"zlib (?:libpng )?licen[cs]e"),
         ("unlicense", 60, "licen", r"(?:the )?unlicen[cs]e"),
@@ -123,8 +121,9 @@ def _rules() -> list[Rule]:
         ("public-domain", 50, "public domain", r"(?:in|into|to) the public domain"),
         ("public-domain", 55, "public domain", r"dedicated to the public domain"),
         ("proprietary", 35, "rights reserved", r"all rights reserved"),
-        ("proprietary", 45, "licen", r"proprietary (?:and confidential|licen[cs]e)"),
-        ("proprietary", 45, "licen", r"(?:end user licen[cs]e agreement|eula)"),
+        ("proprietary", 45, "proprietary", r"proprietary (?:and confidential|licen[cs]e)"),
+        ("proprietary", 45, "licen", r"end user licen[cs]e agreement"),
+        ("proprietary", 45, " eula ", r"eula"),
         ("no-warranty", 20, "as is without", r"as is without warranty of any kind"),
         ("see-license", 15, "licen", r"see (?:the )?licen[cs]e(?: file)?(?: for (?:more )?(?:details|information))?"),
         ("license-reference", 10, "licen", r"licen[cs]ed under the"),
@@ -134,6 +133,9 @@ def _rules() -> list[Rule]:
 
 
 RULES = tuple(_rules())
+_KEYWORDS = {r.keyword for r in RULES} | {f" {phrase} " for _, phrase in BASE}
+#: A text without any of these has no detection: the keywords and base phrases, but for those that contain another one.
+GATE = tuple(sorted(k for k in _KEYWORDS if not any(other in k for other in _KEYWORDS - {k})))
 
 
 def words_of(text: Column) -> Column:

@@ -68,3 +68,43 @@ def test_plan_is_native_without_shuffle(spark, docs):
 
 def test_empty_table(empty):
     assert L.scan(empty).collect() == []
+
+
+def examples(regex):
+    """Texts that a rule's regex matches: every branch of its groups once, with and without what is optional."""
+    import itertools
+    from re import _parser
+
+    def expand(parsed):
+        parts = []
+        for op, value in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                parts.append([chr(value)])
+            elif name == "IN":
+                parts.append([chr(v) for _, v in value])
+            elif name == "BRANCH":
+                parts.append([x for branch in value[1] for x in expand(branch)])
+            elif name == "SUBPATTERN":
+                parts.append(expand(value[3]))
+            elif name == "MAX_REPEAT":
+                parts.append(([""] if value[0] == 0 else []) + expand(value[2]))
+            else:
+                assert name == "ASSERT", name
+        return ["".join(x) for x in itertools.product(*parts)]
+
+    return expand(_parser.parse(regex))
+
+
+def test_every_match_has_its_keyword_and_a_gate_word():
+    for r in L.RULES:
+        for text in examples(r.regex):
+            assert re.search(r.regex, f" {text} ") and r.keyword in f" {text} " and any(g in f" {text} " for g in L.GATE), (r, text)
+
+
+def test_short_names_are_found_without_other_words(spark):
+    texts = {"GFDL 1.3": "gfdl-1.3", "MPL 2.0": "mpl-2.0", "EPL 2.0": "epl-2.0", "EUPL 1.2": "eupl-1.2", "CDDL 1.0": "cddl-1.0", "OFL 1.1": "ofl-1.1", "OSL 3.0": "osl-3.0"}
+    texts |= {"BSL 1.0": "bsl-1.0", "ODbL 1.0": "odbl-1.0", "CeCILL 2.1": "cecill-2.1", "EULA": "proprietary", "released under MIT": "mit", "proprietary and confidential": "proprietary"}
+    texts["permission to use copy modify and or distribute this software for any purpose"] = "isc"
+    docs = spark.createDataFrame([(i, f"see {t}, please") for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [r.labels for r in L.scan(docs).sort("doc_id").collect()] == list(texts.values())
