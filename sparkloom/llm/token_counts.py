@@ -17,7 +17,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import cut, ensure_checkpoint_dir, map_arrow, table
-from .tokens import default_ranks, encoding
+from .tokens import default_ranks, token_ids
 
 KEYS = ("source", "lang", "version")
 CHANGES = "op string, source string, lang string, version string, old_tokens long, new_tokens long"
@@ -29,7 +29,7 @@ def count_tokens(text: str | None, version: str) -> int:
     """Tokens of a text under a tokenizer version; a null text counts as empty."""
     if not text:
         return 0
-    return len(WORD.findall(text)) if version == "words_v1" else len(encoding(default_ranks()).encode_ordinary(text))
+    return len(WORD.findall(text)) if version == "words_v1" else len(token_ids(text, default_ranks()))
 
 
 #: Tokenizer versions that count_tokens knows.
