@@ -8,11 +8,12 @@ subsequence of their labelled runs within a band around the diagonal, against al
 further off the diagonal than the runs that 0.8 leaves unmatched, so the band loses nothing.
 
 Texts with equal words are one class from the start. Every class is first aligned with the hubs of its buckets, the members
-that a bucket's most frequent sketch values are of. Two members x and y of a hub h that aren't in one component then are
-paired only where they could be linked. If x has less than 0.8 in common with h, and y is no shorter than h, a link of x and
-y needs a run that both have and h hasn't; so they are looked up by those runs. Members far from the hub are paired with all
-others of the bucket, or, in a large one, with those that share a second band, as all but a thousandth of the pairs at 0.8
-do. Only pairs whose sketches agree enough are aligned.
+that a bucket's most frequent sketch values are of; that links most of what can be linked with one pair a member. What is
+left of a bucket with several components is joined exactly: its largest component and the free members, those in others,
+go in blocks, and every pair of a free member with another block or its own meets in one group of rows. There common runs are
+counted by an inverted list, which bounds the similarity from above, and pairs that could reach 0.8 and aren't connected yet
+are aligned. A group gives a spanning set of links, so rows grow with members and not with pairs. In buckets with more free
+members than a block, rounds of further hubs come before, as long as they link. Which member is a hub changes the work only.
 """
 
 from __future__ import annotations
@@ -35,16 +36,12 @@ SIMILAR_FROM = 0.8
 #: Order MinHash sketches of a text; pairs of them are the bands.
 HASHES = 32
 BANDS = HASHES // 2
-#: Sketches that must agree for two members of a bucket to be aligned: at 0.8 some twenty do, and fewer than this number
-#: in one of five thousand pairs.
-AGREE_FROM = 11
-#: Share of common runs below which a member counts as far from its hub.
-FAR_BELOW = 0.4
-#: In place of a run: members that are shorter than their hub, or could be linked to such a one.
-SHORT = -1
-COMPARED = "hub long, rep long, ok boolean, far boolean, short boolean, others array<long>"
-#: Members from which a bucket is split by second bands.
+#: Members in a block of a bucket.
 LARGE_BUCKET = 2000
+#: Occurrences of runs that are counted at a time for one text.
+HELD_HITS = 1 << 21
+#: Share of the free members in large buckets that a further round of hubs must link for another one to follow.
+ROUND_LINKS = 0.1
 WORD = re.compile(r"[^\W_]+")
 #: Hash values that are held at a time for one text.
 HELD_VALUES = 1 << 20
@@ -146,64 +143,69 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _pairs_of(rep: np.ndarray, label: np.ndarray, free: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-    """Of one bucket, each member with the ones before it in other components whose sketches agree enough, if either is free."""
-    for i in range(1, len(rep)):
-        others = np.flatnonzero((label[:i] != label[i]) & (free[:i] | free[i]))
-        hit = others[np.count_nonzero(sketch[others] == sketch[i], axis=1) >= AGREE_FROM]
-        if len(hit):
-            yield rep[hit], rep[i]
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cache = WordHashes()
+    for batch in batches:
+        runs = [labelled_runs(t, cache).tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(runs, pa.binary())], names=["rep", "runs"])
+
+
+def links_of(rep: np.ndarray, label: np.ndarray, side: np.ndarray, within: bool, runs: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect what similarity connects: of side 1 with side 0, and if ``within`` with side 1 as well."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+    _, token = np.unique(np.concatenate(runs), return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    owner = np.repeat(np.arange(len(runs)), sizes)[order]
+    first = np.cumsum(np.r_[0, np.bincount(token)])
+    start = np.cumsum(np.r_[0, sizes])
+    out = []
+    for x in np.flatnonzero(side == 1):
+        mine = token[start[x] : start[x + 1]]
+        n = first[mine + 1] - first[mine]
+        common = np.zeros(len(runs), np.int64)
+        # In steps, so that a long text with frequent runs doesn't hold all of their occurrences at once.
+        steps = np.cumsum(n) // HELD_HITS
+        edges = np.flatnonzero(np.r_[True, steps[1:] != steps[:-1], True])
+        for begin, end in zip(edges[:-1], edges[1:]):
+            m = n[begin:end]
+            at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[mine[begin:end]], m)
+            common += np.bincount(owner[at], minlength=len(runs))
+        could = (common >= SIMILAR_FROM * (sizes[x] + sizes - common) - 1e-9) & (label != label[x])
+        could &= (side == 0) | (within & (np.arange(len(runs)) < x))
+        for y in np.flatnonzero(could):
+            p, q = root(int(label[x])), root(int(label[y]))
+            if p != q and similarity(runs[x], runs[y]) >= SIMILAR_FROM:
+                parent[max(p, q)] = min(p, q)
+                out.append((min(int(rep[x]), int(rep[y])), max(int(rep[x]), int(rep[y]))))
+    return out
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the buckets' members; the rows of a bucket follow each other, and the last bucket of a batch may go on."""
-    rest: list[np.ndarray] | None = None
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the groups of two blocks; the rows of a group follow each other, and the last group of a batch may go on."""
+    last, held = None, []
 
-    def pairs(columns: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for begin, end in zip(edges[:-1], edges[1:]):
-            for hit, i in _pairs_of(*(c[begin:end] for c in columns[1:])):
-                a.append(np.minimum(hit, i))
-                b.append(np.maximum(hit, i))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+    def links() -> pa.RecordBatch:
+        rep, label, side, within, runs = zip(*held)
+        found = links_of(np.array(rep), np.array(label), np.array(side), within[0], [np.frombuffer(r, np.uint64) for r in runs])
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u4").reshape(-1, HASHES)
-        columns = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "rep", "label", "free")), sketch]
-        if rest is not None:
-            columns = [np.concatenate(x) for x in zip(rest, columns)]
-        edges = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])
-        yield pairs(columns, edges)
-        rest = [c[edges[-1] :] for c in columns]
-    if rest is not None:
-        yield pairs(rest, np.array([0, len(rest[0])]))
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs of a hub and a member: whether they are linked, and what the member's links to others need."""
-    cache, last, h = WordHashes(), None, None
-    for batch in batches:
-        ok, far, short, others = [], [], [], []
-        for hub, x, y in zip(batch.column("hub").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-            if hub != last:
-                last, h = hub, labelled_runs(x, cache)
-            runs = labelled_runs(y, cache)
-            own = np.setdiff1d(runs, h, assume_unique=True)
-            common = len(runs) - len(own)
-            share = common / max(len(runs) + len(h) - common, 1)
-            ok.append(similarity(h, runs) >= SIMILAR_FROM)
-            far.append(share < FAR_BELOW or (share >= SIMILAR_FROM and not ok[-1]))
-            short.append(len(runs) < len(h))
-            tokens = own.view(np.int64) if not far[-1] else own[:0].view(np.int64)
-            if not far[-1] and (short[-1] or not ok[-1] and common >= SIMILAR_FROM * len(runs)):
-                tokens = np.append(tokens, np.int64(SHORT))
-            others.append(tokens)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("hub"), batch.column("rep"), pa.array(ok), pa.array(far), pa.array(short), pa.array(others, pa.list_(pa.int64()))],
-            names=["hub", "rep", "ok", "far", "short", "others"],
-        )
+        columns = [batch.column(c).to_pylist() for c in ("band", "i", "j", "rep", "label", "side", "within", "runs")]
+        for band, i, j, *row in zip(*columns):
+            if held and last != (band, i, j):
+                yield links()
+                held = []
+            last = (band, i, j)
+            held.append(row)
+    if held:
+        yield links()
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,24 +235,66 @@ def with_hubs(members: DataFrame) -> DataFrame:
     one it agrees with most, and a bucket takes the hub that most of its members prefer, so that buckets which the copied
     text itself isn't in are compared with it too. Modes and hubs come from aggregates with partial sums.
     """
-    values = F.transform(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda i: F.hex(F.substring("sketch", 4 * i + 1, F.lit(4))))
+    values = F.transform(
+        F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda i: F.conv(F.hex(F.substring("sketch", 4 * i + 1, F.lit(4))), 16, 10).cast("long")
+    )
     split = cut(members.select("band", "rep", "n", values.alias("v")))
 
     def agreement(x: str, y: str):
         return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda total, one: total + one)
 
-    modes = split.groupBy("band").agg(F.array(*(F.mode(F.col("v")[i], True) for i in range(HASHES))).alias("modes"))
+    # Counts of values, so that no task holds all values of a bucket; the count goes above the value's 32 bits.
+    counts = split.select("band", F.posexplode("v").alias("i", "x")).groupBy("band", "i", "x").agg(F.count(F.lit(1)).alias("k"))
+    tops = counts.groupBy("band", "i").agg(F.max(F.shiftleft("k", 32) + F.col("x")).alias("top"))
+    modes = tops.groupBy("band").agg(F.array_sort(F.collect_list(F.struct("i", F.col("top").bitwiseAND((1 << 32) - 1).alias("x")))).alias("m"))
+    modes = modes.select("band", F.col("m.x").alias("modes"))
     own = split.join(modes, "band").groupBy("band").agg(F.max_by(F.struct("rep", "v"), F.struct(agreement("v", "modes"), -F.col("rep"))).alias("own"))
     seen = split.join(own, "band").select("band", "rep", "n", F.col("own.rep").alias("own"), agreement("v", "own.v").alias("agree"))
     best = seen.groupBy("rep").agg(F.max_by("own", F.struct("agree", -F.col("own"))).alias("best"))
     seen = cut(seen.join(best, "rep").select("band", "rep", "n", "best"))
-    return seen.join(seen.groupBy("band").agg(F.mode("best", True).alias("hub")), "band").select("band", "rep", "hub", "n")
+    hubs = seen.groupBy("band", "best").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.max_by("best", F.struct("k", -F.col("best"))).alias("hub"))
+    return seen.join(hubs, "band").select("band", "rep", "hub", "n")
 
 
-def undecided(members: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components and a member that is free to be paired."""
-    several = members.groupBy("band").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max("free").alias("_free"))
-    return members.join(several.where("_lo <> _hi AND _free").select("band"), "band", "left_semi")
+def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(band, rep) of the buckets with several components: band, rep, label, main, n_main, n_free.
+
+    ``main`` tells the members of the bucket's largest component; the others are free.
+    """
+    labels = connected_components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("label"))
+    marked = cut(members.select("band", "rep").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
+    sizes = marked.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
+    several = sizes.groupBy("band").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    several = several.select("band", F.col("top.label").alias("top"), F.col("top.k").alias("n_main"), (F.col("n") - F.col("top.k")).alias("n_free"))
+    return cut(marked.join(several, "band").select("band", "rep", "label", (F.col("label") == F.col("top")).alias("main"), "n_main", "n_free"))
+
+
+def hub_links(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links of members (band, rep, hub) with their hubs."""
+    pairs = members.where("rep <> hub").select("hub", "rep").distinct()
+    return map_arrow(with_texts(pairs, rows), _verify, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Rows of ``labelled`` for each group of two blocks that they are in: band, i, j, rep, label, side, within.
+
+    Group (i, j) has block i of the main component as side 0 and block j of the free members as side 1; ``within`` is set for
+    i = 0 only, so that the pairs within j are compared once. Group (-1 - i, j) has the free blocks i < j.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / LARGE_BUCKET).cast("int")
+    group = lambda i, j, side, within: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"), within.alias("within"))
+    a, f, own, no = F.col("_a"), F.col("_f"), F.col("_own"), F.lit(False)
+    span = lambda lo, hi: F.filter(F.sequence(lo, F.greatest(lo, hi)), lambda x: x <= hi)
+    of_main = F.transform(span(F.lit(0), f - 1), lambda j: group(own, j, 0, own == 0))
+    of_free = F.concat(
+        F.transform(span(F.lit(0), a - 1), lambda i: group(i, own, 1, i == 0)),
+        F.transform(span(F.lit(0), own - 1), lambda i: group(-1 - i, own, 1, no)),
+        F.transform(span(own + 1, f - 1), lambda j: group(-1 - own, j, 0, no)),
+    )
+    placed = members.select("*", blocks("n_main").alias("_a"), blocks("n_free").alias("_f"))
+    placed = placed.withColumn("_own", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), a).otherwise(f)).cast("int"))
+    placed = placed.select("band", "rep", "label", F.explode(F.when(F.col("main"), of_main).otherwise(of_free)).alias("g"))
+    return placed.select("band", "g.i", "g.j", "rep", "label", "g.side", "g.within")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -269,25 +313,26 @@ def near_classes(docs: DataFrame) -> DataFrame:
     bands = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", 8 * i + 1, 8)) for i in range(BANDS)))
     members = reps.select("rep", F.explode(bands).alias("band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(with_hubs(members.join(shared, "band").join(reps.select("rep", "sketch"), "rep"))).where("rep <> hub")
-    compared = cut(map_arrow(with_texts(members.select("hub", "rep").distinct(), rows), _compare, COMPARED))
-    links = cut(compared.where("ok").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct())
-    labels = cut(connected_components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("label")))
-    marked = compared.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    # Near a hub: two members are linked only if they share a run that the hub hasn't, or one is shorter than the hub.
-    tokens = marked.where("NOT far").select("hub", "rep", "label", "short", F.explode("others").alias("token")).select(
-        F.xxhash64("hub", "token").alias("band"), "rep", "label", F.when(F.col("token") == SHORT, F.col("short")).otherwise(F.lit(True)).alias("free")
-    )
-    # Far from it: with all members of the bucket, or in a large one with those that share a second band.
-    wide = undecided(members.join(marked.select("hub", "rep", "label", F.col("far").alias("free")), ["hub", "rep"]).select("band", "rep", "label", "free", "n"))
-    second = F.transform(bands, lambda o: F.when(o != F.col("band"), F.xxhash64(F.col("band"), o)))
-    large = wide.where(F.col("n") >= LARGE_BUCKET).join(reps.select("rep", "sketch"), "rep")
-    split = large.select(F.explode(second).alias("band"), "rep", "label", "free").where("band IS NOT NULL")
-    buckets = wide.where(F.col("n") < LARGE_BUCKET).drop("n").unionByName(undecided(split)).unionByName(undecided(tokens))
-    dealt = buckets.join(reps.select("rep", "sketch"), "rep").repartition("band").sortWithinPartitions("band")
-    more = map_arrow(dealt, _pairs, "a long, b long").distinct().select(F.col("a").alias("hub"), F.col("b").alias("rep"))
-    more = cut(more.join(compared.select("hub", "rep"), ["hub", "rep"], "left_anti"))
-    links = cut(links.unionByName(map_arrow(with_texts(more, rows), _verify, "a long, b long")))
+    sketches = reps.select("rep", "sketch")
+    members = cut(with_hubs(members.join(shared, "band").join(sketches, "rep")))
+    links = cut(hub_links(members, rows))
+    # The hubs have met all of their buckets.
+    members = members.where("rep <> hub").select("band", "rep")
+    open_rows = labelled(members, links)
+    last = None
+    while True:
+        large = open_rows.where(~F.col("main") & (F.col("n_free") > LARGE_BUCKET))
+        left = large.count()
+        if not left or (last is not None and left > (1 - ROUND_LINKS) * last):
+            break
+        again = with_hubs(large.select("band", "rep", F.col("n_free").alias("n")).join(sketches, "rep"))
+        links, last = cut(links.unionByName(hub_links(again, rows)).distinct()), left
+        open_rows = labelled(members, links)
+    wanted = open_rows.select(F.col("rep").alias("_rep")).distinct()
+    texts = rows.join(wanted.hint("shuffle_hash"), rows["doc_id"] == wanted["_rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    runs = cut(map_arrow(texts, _runs, "rep long, runs binary").distinct())
+    dealt = in_blocks(open_rows).join(runs, "rep").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep")
+    links = cut(links.unionByName(map_arrow(dealt, _links, "a long, b long")).distinct())
     labels = connected_components(links, "a", "b").select(F.col("node").alias("_rep"), F.col("component").alias("_class"))
     degree = links.select(F.col("a").alias("x")).unionByName(links.select(F.col("b").alias("x"))).groupBy("x").agg(F.count(F.lit(1)).alias("n_links"))
     classes = reps.join(labels, reps.rep == labels["_rep"], "left").join(degree, reps.rep == degree.x, "left")

@@ -67,3 +67,26 @@ def test_similarity_is_the_common_subsequence():
                 d[i + 1, j + 1] = d[i, j] + 1 if a[i] == b[j] else max(d[i, j + 1], d[i + 1, j])
         exact = d[50, 50] / (100 - d[50, 50])
         assert (N.similarity(a, b) >= 0.8) == (exact >= 0.8)
+
+
+def test_groups_give_links_by_member_not_by_pair():
+    cache = N.WordHashes()
+    runs = [N.labelled_runs(edited(prose(200, 80), 150, k), cache) for k in range(60)] + [N.labelled_runs(prose(200, 81), cache)]
+    rep = np.arange(61)
+    assert len(N.links_of(rep, rep, np.ones(61, int), True, runs)) == 59
+    assert len(N.links_of(rep, rep, (rep < 40).astype(int), False, runs)) == 59
+    assert N.links_of(rep, rep // 60, np.ones(61, int), True, runs) == []
+
+
+def test_blocks_let_every_pair_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(N, "LARGE_BUCKET", 4)
+    free = [(5, r, r, False, 9, 11) for r in range(11)]
+    main = [(5, r, 99, True, 9, 11) for r in range(11, 20)]
+    rows = N.in_blocks(spark.createDataFrame(free + main, "band long, rep long, label long, main boolean, n_main long, n_free long")).collect()
+    met = []
+    for i, j in {(r.i, r.j) for r in rows}:
+        group = [r for r in rows if (r.i, r.j) == (i, j)]
+        assert len(group) == len({r.rep for r in group}) and len({r.within for r in group}) == 1
+        for x in group:
+            met += [tuple(sorted((x.rep, y.rep))) for y in group if x.side == 1 and (y.side == 0 or x.within and y.rep < x.rep)]
+    assert sorted(met) == sorted((a, b) for a in range(11) for b in range(a + 1, 20))
