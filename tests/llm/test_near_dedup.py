@@ -69,6 +69,19 @@ def test_similarity_is_the_common_subsequence():
         assert (N.similarity(a, b) >= 0.8) == (exact >= 0.8)
 
 
+def test_pairs_whose_sketches_agree_little_are_aligned(spark):
+    words = prose(60, 4237).split()
+    other = ["edit" if i in (12, 59) else w for i, w in enumerate(words)]
+    # Near copies of a third text that are in the only band of the two; the hub is one of them.
+    rows = [(q, " ".join([*words[30:39], *(f"z0x{n}" for n in range(4)), *words[48:53], *(f"z0x{n}" for n in range(4, 10)), f"end{q}"])) for q in range(6)]
+    rows += [(20, " ".join(words)), (21, " ".join(other))]
+    cache = N.WordHashes()
+    a, b = (N.order_sketches(N.labelled_runs(t, cache)) for _, t in rows[-2:])
+    assert np.count_nonzero(a == b) == 10 and np.count_nonzero((a == b)[::2] & (a == b)[1::2]) == 1
+    got = {r.doc_id: r.class_id for r in N.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == N.brute_force(rows) and got[21] == 20
+
+
 def test_groups_give_links_by_member_not_by_pair():
     cache = N.WordHashes()
     runs = [N.labelled_runs(edited(prose(200, 80), 150, k), cache) for k in range(60)] + [N.labelled_runs(prose(200, 81), cache)]
