@@ -56,24 +56,29 @@ def head_of(spark: SparkSession, path: str, n: int = HEAD_BYTES) -> bytes:
         stream.close()
 
 
-def detect_encoding(head: bytes) -> str:
-    """UTF-8 if the bytes are valid in it, but for a character cut off at the end; else ISO-8859-1."""
-    try:
-        head.decode("utf-8")
-    except UnicodeDecodeError as e:
-        if e.start < len(head) - 3:
-            return "ISO-8859-1"
-    return "UTF-8"
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 if all of the bytes are valid in it, else ISO-8859-1; line breaks are the same bytes in both."""
+    return "UTF-8" if spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
+
+
+def first_line_of(spark: SparkSession, path: str) -> bytes:
+    """The head of a file, with as much more as its first line needs."""
+    n = HEAD_BYTES
+    while True:
+        head = head_of(spark, path, n)
+        if b"\n" in head or len(head) < n:
+            return head
+        n *= 8
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, multiline: bool = False) -> DataFrame:
     """All columns as text, NA values as null. Short rows are filled with nulls, overlong ones left out.
 
-    Only the file's head is looked at for what isn't given. ``multiline`` allows line breaks within quotes; without it large
+    The encoding is decided on all bytes, the delimiter and the names on the head. ``multiline`` allows line breaks within quotes; without it large
     files are split among tasks.
     """
-    head = head_of(spark, path)
-    encoding = encoding or detect_encoding(head)
+    head = first_line_of(spark, path)
+    encoding = encoding or detect_encoding(spark, path)
     text = head.decode(encoding, errors="replace").lstrip("﻿")
     delimiter = delimiter or sniff_delimiter(text)
     header = next(csv.reader([text.split("\n", 1)[0].rstrip("\r")], delimiter=delimiter), [])
@@ -106,11 +111,21 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*leaves(df.schema, ()))
 
 
+def is_json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether there are several lines and the first one, or more than half of them, are objects on their own.
+
+    Of the lines of one object or array that is laid out over several, the first isn't, nor are two that follow each other.
+    """
+    line = F.trim(F.regexp_replace("value", r"^\uFEFF|[\r\t]", " "))
+    own = F.coalesce(line.startswith("{") & line.endswith("}") & F.json_object_keys(line).isNotNull(), F.lit(False))
+    lines = spark.read.text(path).where(line != "").select(own.alias("own"))
+    n, whole = lines.agg(F.count(F.lit(1)), F.count_if("own")).first()
+    return n > 1 and whole > 0 and (2 * whole > n or lines.first().own)
+
+
 def read_json(spark: SparkSession, path: str, flat: bool = True) -> DataFrame:
     """JSON lines (malformed lines left out), an array of objects, one object, or an object that wraps an array of records."""
-    head = head_of(spark, path).decode("utf-8", errors="replace").strip()
-    lines = [x for x in head.split("\n") if x.strip()]
-    by_line = len(lines) > 1 and lines[0].strip().startswith("{") and lines[0].strip().endswith("}") and not head.startswith("[")
+    by_line = not head_of(spark, path).decode("utf-8", errors="replace").lstrip("\ufeff \t\r\n").startswith("[") and is_json_lines(spark, path)
     df = spark.read.option("multiLine", not by_line).option("mode", "DROPMALFORMED").json(path)
     if not by_line:
         for key in WRAPPERS:

@@ -82,3 +82,19 @@ def test_writers(spark, tmp_path):
     sinks.write_json(df, str(tmp_path / "j"))
     assert readers.read_csv(spark, str(tmp_path / "c")).collect() == [("1", "a,b")]
     assert spark.read.json(str(tmp_path / "j")).collect() == [(1, "a,b")]
+
+
+def test_long_first_records_and_late_characters(spark, tmp_path):
+    path = tmp_path / "long.json"
+    path.write_text("\n".join(json.dumps({"a": i, "text": "x" * (70_000 if i == 0 else 3)}) for i in range(5)))
+    assert sorted(r.a for r in readers.read_json(spark, str(path)).collect()) == list(range(5))
+    path.write_text("{broken\n" + "\n".join(json.dumps({"a": i}) for i in range(5)))
+    assert sorted(r.a for r in readers.read_json(spark, str(path)).where("a IS NOT NULL").collect()) == list(range(5))
+    path.write_text('{"records": [\n{"a": 1},\n{"a": 2}\n]}')
+    assert sorted(r.a for r in readers.read_json(spark, str(path)).collect()) == [1, 2]
+    path = tmp_path / "late.csv"
+    path.write_bytes(("a;b\n" + "plain;text\n" * 8_000 + "café;ü\n").encode("latin-1"))
+    df = readers.read_csv(spark, str(path))
+    assert df.count() == 8_001 and tuple(df.where("a <> 'plain'").first()) == ("café", "ü")
+    path.write_text(";".join(f"column_{i}" for i in range(9_000)) + "\n" + ";".join("1" * 9_000) + "\n")
+    assert len(readers.read_csv(spark, str(path)).columns) == 9_000
