@@ -13,6 +13,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_arrow, table
+from .common import cut, map_arrow, on_workers, table
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -37,7 +38,8 @@ SHINGLE = 3
 BLOCK_ITEMS = 8
 #: Words from which a passage advances, at least; a passage has twice as many.
 STRIDE = 32
-#: Items of one index. A larger benchmark is split into several, each with a pass of its own over the passages.
+#: Items of one index, about. A larger benchmark is split by a hash of the item into several, each with a pass of its own
+#: over the passages.
 INDEX_ITEMS = 20_000
 
 
@@ -61,6 +63,16 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
 
 
+@dataclass
+class Statistics:
+    """Of a benchmark: its items with words, their words, those of the longest, and the items that have each term."""
+
+    items: int
+    words: int
+    longest: int
+    df: dict[str, int]
+
+
 @dataclass
 class Index:
     """Postings of normalised BM25 weights, in order of the items, with block maxima."""
@@ -75,25 +87,27 @@ class Index:
     stride: int = STRIDE
 
     @staticmethod
-    def build(rows: list[tuple[int, str | None]]) -> Index:
-        """Items without words cannot be found in a text and are left out."""
+    def build(rows: list[tuple[int, str | None]], whole: Statistics | None = None) -> Index:
+        """Items without words cannot be found in a text and are left out. ``whole`` has the statistics of all items, if
+        ``rows`` are some of them."""
         rows = sorted((r for r in rows if r[0] is not None and words_of(r[1])), key=lambda r: (r[0], r[1]))
         counts = [Counter(words_of(t)) for _, t in rows]
         parts = [split_item(t) for _, t in rows]
         index = Index([i for i, _ in rows], [shingles(q) for q, _ in parts], [shingles(a) for _, a in parts])
-        df = Counter(t for c in counts for t in c)
         lengths = [sum(c.values()) for c in counts]
-        mean = sum(lengths) / max(len(lengths), 1)
-        index.stride = max(STRIDE, max(lengths, default=0))
-        idf = {t: math.log(1 + (len(rows) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+        whole = whole or Statistics(len(rows), sum(lengths), max(lengths, default=0), Counter(t for c in counts for t in c))
+        df = {t: whole.df[t] for c in counts for t in c}
+        mean = whole.words / max(whole.items, 1)
+        index.stride = max(STRIDE, whole.longest)
+        idf = {t: math.log(1 + (whole.items - n + 0.5) / (n + 0.5)) for t, n in df.items()}
         index.terms = {t: k for k, t in enumerate(sorted(df))}
         index.docs, index.weights = [[] for _ in df], [[] for _ in df]
         for d, c in enumerate(counts):
             w = {t: idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[d] / mean)) for t, n in c.items()}
-            whole = sum(w.values())
+            own = sum(w.values())
             for t in w:
                 index.docs[index.terms[t]].append(d)
-                index.weights[index.terms[t]].append(w[t] / whole)
+                index.weights[index.terms[t]].append(w[t] / own)
         index.block_max = [{} for _ in df]
         for t, (docs, weights) in enumerate(zip(index.docs, index.weights)):
             for d, w in zip(docs, weights):
@@ -223,17 +237,51 @@ FOUND = "doc_id long, item_id long, passage_start int, score double, question_ov
 HASHED = FOUND + ", text_sha256 string"
 
 
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [words_of(t) for t in batch.column("text").to_pylist()]
+        terms = pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(len, words), pa.int64()), terms], names=["item_id", "text", "n_words", "terms"])
+
+
+def indexes(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """(part, index) with the pickled index of each part of the items, and the number of parts.
+
+    Document frequencies, item count, mean length and longest item are those of the whole benchmark, so a score doesn't
+    depend on the part that an item is in. The indexes are built in tasks; only three numbers come to the driver.
+    """
+    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL").distinct()
+    items = cut(map_arrow(items, _item_terms, "item_id long, text string, n_words long, terms array<string>").where("n_words > 0"))
+    n, words, longest = items.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.max("n_words"), F.lit(0))).first()
+    parts = max(1, -(-n // INDEX_ITEMS))
+    placed = items.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int").alias("part"), "item_id", "text", "terms")
+    terms = placed.select("part", F.explode("terms").alias("term"))
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    known = terms.distinct().join(df, "term").select("part", F.lit(None).cast("long").alias("item_id"), F.col("term").alias("text"), "df")
+    rows = placed.select("part", "item_id", "text", F.lit(None).cast("long").alias("df")).unionByName(known)
+
+    def build(key: tuple, table: pa.Table) -> pa.Table:
+        ids, texts, counts = (table.column(c).to_pylist() for c in ("item_id", "text", "df"))
+        whole = Statistics(n, words, longest, {t: k for i, t, k in zip(ids, texts, counts) if i is None})
+        index = Index.build([(i, t) for i, t in zip(ids, texts) if i is not None], whole)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "index": pa.array([pickle.dumps(index)], pa.binary())})
+
+    return cut(rows.groupBy("part").applyInArrow(build, "part int, index binary")), parts
+
+
 def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of find_leaks, each with the SHA-256 of its document's text."""
     spark = docs.sparkSession
-    items = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").distinct().toLocalIterator()]
+    on_workers(spark)
+    built, parts = indexes(benchmark)
     rows = docs.select("doc_id", "text")
     found = None
-    for begin in range(0, max(len(items), 1), INDEX_ITEMS):
-        shared = spark.sparkContext.broadcast(Index.build(items[begin : begin + INDEX_ITEMS]))
+    for part_no in range(parts):
+        row = built.where(F.col("part") == part_no).first()
+        shared = spark.sparkContext.broadcast(bytes(row["index"]) if row else pickle.dumps(Index.build([])))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+            index = pickle.loads(shared.value)
             gate = Gate(index)
             for batch in batches:
                 out: list[tuple] = []
@@ -256,8 +304,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Words are runs of letters, digits and underscores, lower-cased. Of several passages that hold an item the one with the
     highest score counts, then the earliest. Null or empty texts hold nothing; items without words or without id are never
-    found; a repeated item row is reported once, a repeated document row each time. The index of at most INDEX_ITEMS items
-    is broadcast; a larger benchmark makes several indexes. ``docs`` is read for doc_id and text only.
+    found; a repeated item row is reported once, a repeated document row each time. One index of about INDEX_ITEMS items
+    goes through the driver and is broadcast at a time; a larger benchmark makes several, all with the statistics of the
+    whole. ``docs`` is read for doc_id and text only.
     """
     return _leaks(docs, benchmark).drop("text_sha256")
 

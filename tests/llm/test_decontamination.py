@@ -62,3 +62,14 @@ def test_drop_decides_null_and_repeated_ids_by_their_texts(spark):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     kept = D.drop_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench)
     assert {(r.doc_id, r.text) for r in kept.collect()} == {rows[1], rows[2], rows[4]}
+
+
+def test_parts_of_a_benchmark_give_what_the_whole_gives(spark, monkeypatch):
+    items = ITEMS + [(10 + k, prose(25, 300 + k) + f" only{k % 5}") for k in range(30)]
+    texts = TEXTS + [(200 + k, " ".join(prose(25, 300 + k).split()[: 13 + k % 12]) + f" only{k % 5} " + prose(60, 400 + k)) for k in range(30)]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, D.find_leaks(docs, bench).collect()))
+    assert {r[:2] for r in whole} == D.brute_force(texts, items)
+    monkeypatch.setattr(D, "INDEX_ITEMS", 12)
+    parts = sorted(map(tuple, D.find_leaks(docs, bench).collect()))
+    assert [r[:3] for r in parts] == [r[:3] for r in whole] and all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(parts, whole))
