@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+
+import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column
 
@@ -39,3 +42,28 @@ def parse_datetime(c: Column) -> Column:
         return F.coalesce(*(F.when(s.rlike(pattern), F.try_to_timestamp(s, F.lit(layout))) for pattern, layout in LAYOUTS))
 
     return bind(F.regexp_replace(c, ISO_TAIL, "$1"), read)
+
+
+#: Two dates that differ in every part: what a parser takes from either is missing in the text.
+_FILLERS = (datetime.datetime(2000, 1, 1), datetime.datetime(2004, 2, 2))
+
+
+def parse_date_text(text: str) -> datetime.datetime | None:
+    """A date in any layout that dateutil reads, if the text names year, month and day; offsets are dropped, as in ISO times."""
+    import dateutil.parser
+
+    try:
+        one, two = (dateutil.parser.parse(text, default=d).replace(tzinfo=None) for d in _FILLERS)
+    except (ValueError, OverflowError):
+        return None
+    return one if one == two else None
+
+
+def parse_any(c: Column) -> Column:
+    """A timestamp by parse_date_text, in Arrow batches; only for texts that have a digit and five letters or more."""
+
+    @F.pandas_udf("timestamp")
+    def read(s: pd.Series) -> pd.Series:
+        return pd.to_datetime(s.map(parse_date_text, na_action="ignore"), errors="coerce")
+
+    return read(F.when(c.rlike("[0-9]") & (F.length(c) >= 5), c))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column
 
 from .casts import bind, known, strip
-from .dates import parse_datetime
+from .dates import parse_any, parse_datetime
 
 # Word lists and patterns.
 TRUE_WORDS = ("true", "1", "yes", "y", "t", "active", "pass", "enable", "enabled")
@@ -20,7 +21,10 @@ DURATION_PART = r"([0-9]+)\s*(hours?|hrs|hr|h|minutes?|mins|min|m|seconds?|secs|
 def clean_phone(c: Column, prefix: str = "92") -> Column:
     """A Pakistani mobile number with the prefix 92, +92, 03 (0 and the ten digits), ``formatted``, or any other text."""
     digits = F.regexp_replace(known(c), r"[^0-9]", "")
-    bare = F.ltrim(digits, F.lit("0"))
+    return bind(F.when(digits != "", F.ltrim(digits, F.lit("0"))), lambda bare: _phone(bare, prefix.strip()))
+
+
+def _phone(bare: Column, prefix: str) -> Column:
     at = F.instr(bare, "3")
     tail = F.substring(bare, F.greatest(at, F.lit(1)), F.length(bare))
     body = (
@@ -28,12 +32,10 @@ def clean_phone(c: Column, prefix: str = "92") -> Column:
         .when((F.length(bare) >= 10) & at.between(1, 3) & (F.length(tail) == 10), tail)
         .otherwise(bare)
     )
-    if prefix.strip() == "formatted":
-        spaced = F.concat(F.lit("+92 "), F.substring(body, 1, 3), F.lit(" "), F.substring(body, 4, 7))
-        out = F.when(F.length(body) == 10, spaced).otherwise(F.concat(F.lit("+92 "), body))
-    else:
-        out = F.concat(F.lit("0" if prefix.strip() == "03" else prefix.strip()), body)
-    return F.when(digits != "", out)
+    if prefix == "formatted":
+        spaced = lambda b: F.concat(F.lit("+92 "), F.substring(b, 1, 3), F.lit(" "), F.substring(b, 4, 7))
+        return bind(body, lambda b: F.when(F.length(b) == 10, spaced(b)).otherwise(F.concat(F.lit("+92 "), b)))
+    return F.concat(F.lit("0" if prefix == "03" else prefix), body)
 
 
 def clean_intl_phone(c: Column) -> Column:
@@ -42,6 +44,29 @@ def clean_intl_phone(c: Column) -> Column:
     return F.when(F.length(kept) >= 7, kept)
 
 
+def e164_phone(c: Column, region: str = "PK") -> Column:
+    """International numbers as +digits where they are valid, else as clean_intl_phone gives them; needs phonenumbers."""
+    try:
+        import phonenumbers  # noqa: F401
+    except ImportError as e:
+        raise RuntimeError("numbers in E.164 need the package phonenumbers") from e
+
+    @F.pandas_udf("string")
+    def valid(s: pd.Series) -> pd.Series:
+        import phonenumbers as P
+
+        def one(x):
+            try:
+                parsed = P.parse(x, region)
+            except P.NumberParseException:
+                return None
+            return P.format_number(parsed, P.PhoneNumberFormat.E164) if P.is_valid_number(parsed) else None
+
+        return s.map(one, na_action="ignore")
+
+    return F.coalesce(valid(known(c)), clean_intl_phone(c))
+
+
 def clean_cnic(c: Column) -> Column:
     s = strip(c)
     digits = F.regexp_replace(s, r"[^0-9]", "")
@@ -59,8 +84,10 @@ def to_datetime(c: Column) -> Column:
     )
 
 
-def clean_datetime(c: Column, layout: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-    return F.date_format(to_datetime(c), layout)
+def clean_datetime(c: Column, layout: str = "yyyy-MM-dd HH:mm:ss", any_layout: bool = False) -> Column:
+    """The date in one layout. With ``any_layout`` texts in none of the known layouts go to a parser in Arrow batches."""
+    found = to_datetime(c)
+    return F.date_format(F.coalesce(found, parse_any(known(c))) if any_layout else found, layout)
 
 
 def _clock(h: Column, m: Column, s: Column, layout: str) -> Column:

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
+
+from ..sources.scratch import cut, discard
 
 LENGTH_RATIO = 0.70
 CONTAINED = 0.85
+#: Letters of the grams that find texts of few edits, and of those that find texts within others.
+EDIT_GRAM = 2
+PART_GRAM = 3
+_EDGE = "\u0001"
 
 
 def drop_exact(df: DataFrame, order: str | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -23,50 +29,145 @@ def drop_exact(df: DataFrame, order: str | None = None, columns: list[str] | Non
     return kept.select(*(F.col(f"`{c}`") if c in keys else F.col("_first").getField(c).alias(c) for c in df.columns))
 
 
+def plain(c: Column) -> Column:
+    return F.lower(F.trim(c))
+
+
 def text_score(a: Column, b: Column) -> Column:
     """1 for equal texts, at least CONTAINED if one contains the other, else the Levenshtein similarity."""
-    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
+    x, y = plain(a), plain(b)
     short, long = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y), F.lit(1))
     contained = F.contains(x, y) | F.contains(y, x)
     return F.when(x == y, 1.0).when(contained, F.greatest(F.lit(CONTAINED), short / long)).otherwise(1.0 - F.levenshtein(x, y) / long)
 
 
+def joined_keys(df: DataFrame, keys: list[str]) -> Column:
+    return F.concat_ws(" | ", *(F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in keys))
+
+
+def _lengths_fit(x: str = "x", y: str = "y") -> Column:
+    return F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y)) >= LENGTH_RATIO
+
+
+def _edit_candidates(texts: DataFrame, threshold: float) -> DataFrame:
+    """k, t, u (t < u) of texts that few enough edits may lie between.
+
+    Of texts at most d edits apart, all but EDIT_GRAM * d of the longer one's grams (with their edges, each numbered by its
+    occurrence) are shared. In any one order of all grams, the first EDIT_GRAM * d + 1 grams of either text then have one in
+    common. The order is by frequency, so that rare grams meet.
+    """
+    grams = F.transform(F.sequence(F.lit(1), F.length("p") + 1), lambda i: F.substring(F.concat(F.lit(_EDGE), F.col("p"), F.lit(_EDGE)), i, F.lit(EDIT_GRAM)))
+    counted = texts.select("k", "t", "p", F.explode(grams).alias("g")).groupBy("k", "t", "p", "g").agg(F.count(F.lit(1)).alias("n"))
+    each = cut(counted.select("k", "t", F.length("p").alias("size"), "g", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("o")))
+    ranks = each.groupBy("g", "o").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("k", "t").orderBy("df", "g", "o"))
+    edits = F.floor(F.col("size") * ((1 - threshold) / threshold) + 1e-9)
+    first = cut(each.join(ranks, ["g", "o"]).withColumn("place", place).where(F.col("place") <= EDIT_GRAM * edits + 1).select("k", "g", "o", "t", "size"))
+    other = first.select("k", "g", "o", F.col("t").alias("u"), F.col("size").alias("size2"))
+    near = (F.col("t") < F.col("u")) & (F.least("size", "size2") >= threshold * F.greatest("size", "size2") - 1e-9)
+    return first.join(other, ["k", "g", "o"]).where(near).select("k", "t", "u")
+
+
+def _part_candidates(texts: DataFrame) -> DataFrame:
+    """k, t, u (t < u) of texts of which one may hold the other: the rarest gram of the shorter is one of the longer's."""
+
+    def grams(n: int) -> Column:
+        starts = F.when(F.length("p") >= n, F.sequence(F.lit(1), F.greatest(F.length("p") - n + 1, F.lit(1)))).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.array_distinct(F.transform(starts, lambda i: F.substring("p", i, F.lit(n))))
+
+    # Texts shorter than a gram are looked up by their own length, in texts that are not too long for them.
+    short = texts.where(F.length("p") < PART_GRAM).agg(F.max(F.length("x"))).first()[0] or 0
+    few = F.concat(*(grams(n) for n in range(1, PART_GRAM)))
+    own = F.concat(grams(PART_GRAM), F.when(F.length("x") <= short / LENGTH_RATIO, few).otherwise(F.expr("cast(array() as array<string>)")))
+    posted = cut(texts.select("k", F.col("t").alias("u"), F.col("x").alias("y"), F.explode(own).alias("g")))
+    df = posted.groupBy("k", "g").agg(F.count(F.lit(1)).alias("df"))
+    mine = F.when(F.length("p") >= PART_GRAM, grams(PART_GRAM)).otherwise(F.array("p"))
+    rarest = texts.select("k", "t", "x", F.explode(mine).alias("g")).join(df, ["k", "g"]).groupBy("k", "t", "x").agg(F.min_by("g", F.struct("df", "g")).alias("g"))
+    found = rarest.join(posted, ["k", "g"]).where((F.col("t") != F.col("u")) & _lengths_fit())
+    return found.select("k", F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u"))
+
+
+def similar_texts(texts: DataFrame, threshold: float) -> DataFrame:
+    """k, t, u and score of different texts x of (k, t, x), t being the key of a text in block k."""
+    texts = texts.withColumn("p", plain(F.col("x")))
+    if threshold < 0.5:
+        # Grams prove nothing for so many edits: all texts of fitting lengths are compared.
+        sized = texts.withColumn("bucket", F.floor(F.log(F.length("x").cast("double")) / F.log(F.lit(1 / LENGTH_RATIO))))
+        other = sized.select("k", F.col("t").alias("u"), F.explode(F.array(*(F.col("bucket") + i for i in (-1, 0, 1)))).alias("bucket"))
+        pairs = sized.select("k", "t", "bucket").join(other, ["k", "bucket"]).where("t < u").select("k", "t", "u")
+    else:
+        pairs = _edit_candidates(texts, threshold)
+        if threshold <= CONTAINED:
+            pairs = pairs.unionByName(_part_candidates(texts))
+    pairs = pairs.distinct()
+    both = pairs.join(texts.select("k", "t", "x", "p"), ["k", "t"]).join(texts.select("k", F.col("t").alias("u"), F.col("x").alias("y"), F.col("p").alias("q")), ["k", "u"])
+    long = F.greatest(F.length("p"), F.length("q"), F.lit(1))
+    edits = F.expr(f"levenshtein(p, q, cast(floor({1 - threshold} * greatest(length(p), length(q), 1) + 1e-9) as int))")
+    contained = F.contains("p", F.col("q")) | F.contains("q", F.col("p"))
+    part = F.greatest(F.lit(CONTAINED), F.least(F.length("p"), F.length("q")) / long)
+    score = F.when(F.col("p") == F.col("q"), 1.0).when(contained, part).otherwise(F.when(edits >= 0, 1.0 - edits / long))
+    scored = both.where(_lengths_fit()).select("k", "t", "u", score.alias("score"))
+    return scored.where(F.col("score") >= threshold)
+
+
+def _texts(df: DataFrame, keys: list[str], order: str, block: Column | None) -> tuple[DataFrame, DataFrame]:
+    """Rows (a, x, k) whose joined keys aren't blank, and the distinct texts (k, t, x), t being the first row's ``order``."""
+    rows = df.select(F.col(f"`{order}`").alias("a"), joined_keys(df, keys).alias("x"), (block if block is not None else F.lit("")).alias("k"))
+    rows = rows.where((F.trim("x") != "") & F.col("k").isNotNull())
+    return rows, rows.groupBy("k", "x").agg(F.min("a").alias("t"))
+
+
 def similar_pairs(df: DataFrame, keys: list[str], order: str, threshold: float = 0.85, block: Column | None = None) -> DataFrame:
-    """a < b (by ``order``) and score of the rows whose joined keys are similar.
+    """a < b (by ``order``) and score of the rows whose joined keys are similar, within blocks (a null block has no pairs).
 
-    Rows are compared within blocks; without ``block`` the length of the key bounds the partners: only lengths of a ratio of
-    LENGTH_RATIO or more can be similar, and each row is joined to the buckets of lengths that its partners can have.
+    Only different texts are compared, and of those the ones that grams can't rule out. Rows are paired by their texts last.
     """
-    joined = F.concat_ws(" | ", *(F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in keys))
-    rows = df.select(F.col(f"`{order}`").alias("a"), joined.alias("x"), (block if block is not None else F.lit("")).alias("k"))
-    rows = rows.where(F.trim("x") != "").withColumn("bucket", F.floor(F.log(F.length("x").cast("double")) / F.log(F.lit(1 / LENGTH_RATIO))))
-    other = rows.select(F.col("a").alias("b"), F.col("x").alias("y"), F.col("k").alias("k2"), F.explode(F.array(*(F.col("bucket") + i for i in (-1, 0, 1)))).alias("bucket2"))
-    lengths = F.least(F.length("x"), F.length("y")) / F.greatest(F.length("x"), F.length("y"))
-    on = (rows.bucket == other.bucket2) & (rows.k == other.k2) & (F.col("a") < F.col("b")) & (lengths >= LENGTH_RATIO)
-    pairs = rows.join(other, on).withColumn("score", text_score(F.col("x"), F.col("y")))
-    return pairs.where(F.col("score") >= threshold).select("a", "b", "score")
+    rows, texts = _texts(df, keys, order, block)
+    texts = cut(texts)
+    alike = similar_texts(texts, threshold)
+    alike = alike.unionByName(alike.select("k", F.col("u").alias("t"), F.col("t").alias("u"), "score")).unionByName(texts.select("k", "t", F.col("t").alias("u"), F.lit(1.0).alias("score")))
+    placed = rows.join(texts, ["k", "x"]).select("k", "t", "a")
+    pairs = placed.join(alike, ["k", "t"]).join(placed.select("k", F.col("t").alias("u"), F.col("a").alias("b")), ["k", "u"])
+    return pairs.where("a < b").select("a", "b", "score")
 
 
 def greedy_drops(pairs: DataFrame) -> DataFrame:
     """The rows that go when each row, in order, removes the later ones it is similar to unless it is removed itself.
 
     In each round a row without an undecided smaller partner is kept, and its partners go; rounds follow until all are
-    decided. Each round's state is written to the checkpoint folder.
+    decided. Each round's state is written to the shared folder.
     """
-    left = pairs.select("a", "b").distinct()
+    left = cut(pairs.select("a", "b").distinct())
     gone = pairs.select("b").limit(0)
-    while True:
-        left = left.checkpoint()
-        if left.isEmpty():
-            return gone
+    while not left.isEmpty():
         later = left.select(F.col("b").alias("a")).distinct()
         kept = left.select("a").distinct().join(later, "a", "left_anti")
-        lost = left.join(kept, "a", "left_semi").select("b").distinct().checkpoint()
+        lost = cut(left.join(kept, "a", "left_semi").select("b").distinct())
         gone = gone.unionByName(lost)
         decided = lost.withColumnRenamed("b", "a")
-        left = left.join(kept, "a", "left_anti").join(decided, "a", "left_anti").join(lost, "b", "left_anti")
+        before, left = left, cut(left.join(kept, "a", "left_anti").join(decided, "a", "left_anti").join(lost, "b", "left_anti"))
+        discard(before)
+    return gone
 
 
 def drop_similar(df: DataFrame, keys: list[str], order: str, threshold: float = 0.85, block: Column | None = None) -> DataFrame:
-    gone = greedy_drops(similar_pairs(df, keys, order, threshold, block)).withColumnRenamed("b", "_gone")
-    return df.join(gone, F.col(f"`{order}`") == gone["_gone"], "left_anti")
+    """Without the rows that an earlier one that stays is similar to; rows of blank keys or a null block stay.
+
+    Rows of equal texts share their fate but for the first, so the decision is made on different texts.
+    """
+    rows, texts = _texts(df, keys, order, block)
+    texts = cut(texts)
+    pairs = similar_texts(texts, threshold).select(F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b"))
+    gone = greedy_drops(pairs).withColumnRenamed("b", "a")
+    kept = texts.select(F.col("t").alias("a")).join(gone, "a", "left_anti")
+    lost = rows.select("a").join(kept, "a", "left_anti").select(F.col("a").alias("_gone"))
+    return df.join(lost, F.col(f"`{order}`") == F.col("_gone"), "left_anti")
+
+
+def dedup_report(df: DataFrame, order: str, keys: list[str] | None = None, threshold: float = 0.85) -> DataFrame:
+    """One row: initial_rows, exact_duplicates_removed, fuzzy_duplicates_removed and final_rows of drop_exact and drop_similar."""
+    exact = drop_exact(df, order)
+    counts = [df.count(), exact.count()]
+    counts.append(drop_similar(exact, keys, order, threshold).count() if keys else counts[1])
+    row = (counts[0], counts[0] - counts[1], counts[1] - counts[2], counts[2])
+    return df.sparkSession.createDataFrame([row], "initial_rows long, exact_duplicates_removed long, fuzzy_duplicates_removed long, final_rows long")

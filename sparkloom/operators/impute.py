@@ -5,9 +5,11 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
-from ..functions.casts import number
+from ..functions.casts import free_name
 from ..plans.cleaning import imputation_for
 from ..schemas import WHOLE_TYPES, ColumnPlan, Impute, TablePlan
+from ..sources.scratch import cut, discard
+from .ranks import modes, numbers_of, quantiles, ranked
 
 
 def null_share(columns: list[str]) -> Column:
@@ -32,50 +34,52 @@ def strategy(p: ColumnPlan) -> Impute:
 def fill_along(df: DataFrame, columns: list[str], order: str, partition: list[str] | None = None, backward: bool = False) -> DataFrame:
     """Fills nulls from the last known value before a row, then from the first one after it (or the other way round).
 
-    With ``partition`` each of its groups is filled on its own. Without, the rows are split into ranges of ``order``; the
-    windows run within the ranges, and what a range needs from others, one row for each, is worked out from their edges.
+    Rows without ``order`` come first; rows of equal order follow each other in any order. With ``partition`` each of its
+    groups is filled on its own. Without, the rows are split into ranges of ``order``, as many as the session shuffles to;
+    the windows run within the ranges, and what a range needs from others, one row for each, is worked out from their edges.
     """
-    keys = list(partition or [])
-    if not keys:
-        df = df.withColumn("_range", _range_of(df, order))
-        keys = ["_range"]
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    if not partition:
+        part = free_name(df, "_range")
+        df = cut(df.repartitionByRange(F.col(f"`{order}`").asc_nulls_first()).withColumn(part, F.spark_partition_id()))
+    keys = [f"`{k}`" for k in partition] if partition else [part]
+    by = Window.partitionBy(*keys).orderBy(F.col(f"`{order}`").asc_nulls_first())
+    before, after = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
     near = {c: (F.last(f"`{c}`", True).over(before), F.first(f"`{c}`", True).over(after)) for c in columns}
     if partition:
         filled = {c: F.coalesce(*(pair[::-1] if backward else pair)) for c, pair in near.items()}
         return df.select(*(filled[c].alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns))
-    edges = df.groupBy("_range").agg(
-        *(a for i, c in enumerate(columns) for a in (
-            F.max_by(f"`{c}`", F.when(F.col(f"`{c}`").isNotNull(), F.col(order))).alias(f"_l{i}"),
-            F.min_by(f"`{c}`", F.when(F.col(f"`{c}`").isNotNull(), F.col(order))).alias(f"_f{i}"),
-        ))
-    )
-    back = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    forth = Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+
+    def place(c: str) -> Column:
+        # Rows without order come before all others.
+        return F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.col(f"`{order}`").isNotNull().alias("known"), F.col(f"`{order}`").alias("at")))
+
+    edges = df.groupBy(part).agg(
+        *(a for i, c in enumerate(columns) for a in (F.max_by(f"`{c}`", place(c)).alias(f"_l{i}"), F.min_by(f"`{c}`", place(c)).alias(f"_f{i}")))
+    ).withColumnRenamed(part, "_part")
+    back = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    forth = Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
     carried = edges.select(
-        "_range",
-        *(x for i in range(len(columns)) for x in (F.last(f"_l{i}", True).over(back).alias(f"_b{i}"), F.first(f"_f{i}", True).over(forth).alias(f"_a{i}"))),
+        F.col("_part"),
+        F.struct(*(F.last(f"_l{i}", True).over(back).alias(f"b{i}") for i in range(len(columns)))).alias("_back"),
+        F.struct(*(F.first(f"_f{i}", True).over(forth).alias(f"a{i}") for i in range(len(columns)))).alias("_forth"),
+    )
+    rows = df.select(
+        F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"),
+        F.struct(*(near[c][0].alias(f"p{i}") for i, c in enumerate(columns))).alias("_before"),
+        F.struct(*(near[c][1].alias(f"n{i}") for i, c in enumerate(columns))).alias("_after"),
     )
-    joined = df.select("*", *(x for i, c in enumerate(columns) for x in (near[c][0].alias(f"_p{i}"), near[c][1].alias(f"_n{i}")))).join(F.broadcast(carried), "_range")
+    joined = rows.join(F.broadcast(carried), F.col("_row")[part] == F.col("_part"))  # a row for each range
     filled = {}
     for i, c in enumerate(columns):
-        prev, nxt = F.coalesce(F.col(f"_p{i}"), F.col(f"_b{i}")), F.coalesce(F.col(f"_n{i}"), F.col(f"_a{i}"))
+        prev, nxt = F.coalesce(F.col("_before")[f"p{i}"], F.col("_back")[f"b{i}"]), F.coalesce(F.col("_after")[f"n{i}"], F.col("_forth")[f"a{i}"])
         filled[c] = F.coalesce(nxt, prev) if backward else F.coalesce(prev, nxt)
-    return joined.select(*(filled[c].alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns if c != "_range"))
-
-
-def _range_of(df: DataFrame, order: str, ranges: int = 200) -> Column:
-    """The number of the range, of about equal counts, that a row's order falls in; at most ``ranges`` of them."""
-    cuts = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    return sum(((F.col(order) > F.lit(x)).cast("int") for x in cuts), F.lit(0)) if cuts else F.lit(0)
+    return joined.select(*((filled[c] if c in columns else F.col("_row")[c]).alias(c) for c in df.columns if c != part))
 
 
 def impute(df: DataFrame, plan: TablePlan, order: str | None = None) -> DataFrame:
     """Fills each column by its strategy (columns without a plan are AUTO of an unknown type, so constant).
 
-    Values for mean, median and mode come from one aggregate. Rows dropped for one column are gone for the later ones, so
+    Rows dropped for one column are gone for the later ones, so
     the columns before and after a dropping one are handled in turn. Forward and backward filling needs ``order``.
     """
     plans = {c: plan.columns.get(c, ColumnPlan()) for c in df.columns if c != order}
@@ -89,22 +93,25 @@ def impute(df: DataFrame, plan: TablePlan, order: str | None = None) -> DataFram
     return _fill(df, run, order)
 
 
+def _measured(df: DataFrame, plans: dict[str, ColumnPlan], how: dict[str, Impute]) -> dict[str, object]:
+    """The mean, median or mode of each column that needs one; columns without numbers have none."""
+    of = lambda kind: [c for c in plans if how[c] == kind]
+    values: dict[str, object] = {c: "Unknown" if v is None else v for c, v in modes(df, of(Impute.MODE)).items()}
+    if means := of(Impute.MEAN):
+        row = numbers_of(df, means).groupBy("col_name").agg(F.avg("x").alias("x")).collect()
+        values |= {r["col_name"]: round(r["x"], 2) for r in row if r["x"] is not None}
+    if medians := of(Impute.MEDIAN):
+        table = ranked(numbers_of(df, medians))
+        for r in quantiles(table, [0.5]).collect():  # a row a column
+            whole = plans[r["col_name"]].type in WHOLE_TYPES
+            values[r["col_name"]] = int(round(r["q"][0])) if whole else round(r["q"][0], 2)
+        discard(table)
+    return values
+
+
 def _fill(df: DataFrame, plans: dict[str, ColumnPlan], order: str | None) -> DataFrame:
     how = {c: strategy(p) for c, p in plans.items()}
-    statistic = {
-        Impute.MEAN: lambda c: F.avg(number(F.col(f"`{c}`"))),
-        Impute.MEDIAN: lambda c: F.percentile(number(F.col(f"`{c}`")), 0.5),
-        Impute.MODE: lambda c: F.mode(f"`{c}`", True),
-    }
-    measured = [c for c in plans if how[c] in statistic]
-    row = df.agg(*(statistic[how[c]](c).alias(str(i)) for i, c in enumerate(measured))).first() if measured else None
-    values: dict[str, object] = {}
-    for i, c in enumerate(measured):
-        v = row[str(i)]
-        if how[c] == Impute.MODE:
-            values[c] = "Unknown" if v is None else v
-        elif v is not None:
-            values[c] = int(round(v)) if how[c] == Impute.MEDIAN and plans[c].type in WHOLE_TYPES else round(v, 2)
+    values: dict[str, object] = _measured(df, plans, how)
     for c in plans:
         if how[c] == Impute.CONSTANT:
             values[c] = "Unknown" if plans[c].constant is None else plans[c].constant
@@ -122,3 +129,23 @@ def _fill(df: DataFrame, plans: dict[str, ColumnPlan], order: str | None) -> Dat
                 raise ValueError("forward and backward filling needs the name of a column that orders the rows")
             out = fill_along(out, columns, order, backward=backward)
     return out
+
+
+def impute_report(df: DataFrame, plan: TablePlan, order: str | None = None) -> DataFrame:
+    """col_name, strategy, nulls_before, nulls_handled and imputed_value (a text) of each column, before rows are dropped."""
+    columns = [c for c in df.columns if c != order]
+    plans = {c: plan.columns.get(c, ColumnPlan()) for c in columns}
+    how = {c: strategy(p) for c, p in plans.items()}
+    values = _measured(df, plans, how)
+    values |= {c: "Unknown" if plans[c].constant is None else plans[c].constant for c in columns if how[c] == Impute.CONSTANT}
+    row = df.agg(F.count(F.lit(1)).alias("n"), *(F.count(f"`{c}`").alias(str(i)) for i, c in enumerate(columns))).first()
+    dtypes, out = dict(df.dtypes), []
+    for i, c in enumerate(columns):
+        nulls = row["n"] - row[str(i)]
+        if c in values:
+            fits = df.sparkSession.range(1).select(F.lit(values[c]).try_cast(dtypes[c]).isNotNull()).first()[0]
+        else:
+            fits = how[c] in (Impute.FORWARD_FILL, Impute.BACKWARD_FILL) and row[str(i)] > 0
+        done = nulls if fits or how[c] == Impute.DROP_ROW else 0
+        out.append((c, how[c].value if nulls else Impute.NONE.value, nulls, done, str(values[c]) if c in values and nulls else None))
+    return df.sparkSession.createDataFrame(out, "col_name string, strategy string, nulls_before long, nulls_handled long, imputed_value string")

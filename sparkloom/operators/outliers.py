@@ -1,4 +1,4 @@
-"""Treatment of outliers, with the bounds of all columns from one aggregate."""
+"""Treatment of outliers; quartiles are exact, from ranks that no task holds all values for."""
 
 from __future__ import annotations
 
@@ -7,29 +7,21 @@ from pyspark.sql import DataFrame
 
 from ..functions.casts import number
 from ..schemas import ColumnPlan, Outlier
+from ..sources.scratch import discard
+from .ranks import numbers_of, quantiles, ranked
 
 MIN_VALUES = 10
 
 
-def _aggregates(i: int, c: str) -> list:
-    x = number(F.col(f"`{c}`"))
-    return [
-        F.count(x).alias(f"n{i}"),
-        F.percentile(x, [0.25, 0.75]).alias(f"q{i}"),
-        F.avg(x).alias(f"m{i}"),
-        F.stddev_samp(x).alias(f"s{i}"),
-    ]
-
-
-def _bounds(row, i: int, p: ColumnPlan) -> tuple[float, float] | None:
-    if row[f"n{i}"] < MIN_VALUES:
+def _bounds(row, p: ColumnPlan) -> tuple[float, float] | None:
+    if row is None or row["n"] < MIN_VALUES:
         return None
     if p.outlier == Outlier.CLIP_ZSCORE:
-        if not row[f"s{i}"]:
+        if not row["s"]:
             return None
         z = p.threshold if p.threshold >= 1.0 else 3.0
-        return row[f"m{i}"] - z * row[f"s{i}"], row[f"m{i}"] + z * row[f"s{i}"]
-    low, high = row[f"q{i}"]
+        return row["m"] - z * row["s"], row["m"] + z * row["s"]
+    low, high = row["q"]
     if high - low <= 0:
         return None
     k = p.threshold if p.threshold > 0 else 1.5
@@ -37,12 +29,23 @@ def _bounds(row, i: int, p: ColumnPlan) -> tuple[float, float] | None:
 
 
 def outlier_bounds(df: DataFrame, plans: dict[str, ColumnPlan]) -> dict[str, tuple[float, float]]:
-    """Bounds by column; columns of fewer than MIN_VALUES numbers or without spread have none. One row reaches the driver."""
+    """Bounds by column; columns of fewer than MIN_VALUES numbers or without spread have none. A row a column reaches the driver.
+
+    Only columns clipped by quartiles are ranked.
+    """
     columns = [c for c in df.columns if c in plans and plans[c].outlier != Outlier.NONE]
-    if not columns:
-        return {}
-    row = df.agg(*(a for i, c in enumerate(columns) for a in _aggregates(i, c))).first()
-    found = {c: _bounds(row, i, plans[c]) for i, c in enumerate(columns)}
+    spread = [c for c in columns if plans[c].outlier == Outlier.CLIP_ZSCORE]
+    ranks = [c for c in columns if c not in spread]
+    rows: dict = {}
+    if spread:
+        stats = numbers_of(df, spread).groupBy("col_name").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
+        rows |= {r["col_name"]: r for r in stats.collect()}
+    if ranks:
+        table = ranked(numbers_of(df, ranks))
+        counts = table.where("x IS NOT NULL").groupBy("col_name").agg(F.sum("n").alias("n"))
+        rows |= {r["col_name"]: r for r in counts.join(quantiles(table, [0.25, 0.75]), "col_name").collect()}
+        discard(table)
+    found = {c: _bounds(rows.get(c), plans[c]) for c in columns}
     return {c: b for c, b in found.items() if b}
 
 

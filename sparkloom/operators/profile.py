@@ -1,7 +1,7 @@
 """Profiles of all columns from one table of value frequencies.
 
 The columns are unpivoted and counted once, with partial counts before the shuffle. Nulls, distinct values, frequent values
-and kinds then come from distinct values weighted by their counts, and so do exact percentiles.
+and kinds then come from distinct values weighted by their counts; percentiles are exact, from ranges of ranks.
 """
 
 from __future__ import annotations
@@ -15,8 +15,7 @@ from ..functions.predicates import kind
 from ..plans.fuse import Evidence, decide
 from ..plans.names import match_name
 from ..schemas import SemanticType as T
-
-MIN_VALUES = 10
+from .ranks import numbers_of, quantiles, ranked
 
 
 def value_frequencies(df: DataFrame) -> DataFrame:
@@ -53,39 +52,46 @@ def recovered_number(c: Column) -> Column:
     return number(F.regexp_replace(c, r"[$,PKRs\s]", ""))
 
 
-def numeric_stats(freq: DataFrame, text_columns: list[str]) -> DataFrame:
-    """Minimum, maximum, mean, median, standard deviation and outliers beyond 1.5 interquartile ranges.
+def numeric_stats(values: DataFrame, text_columns: list[str]) -> DataFrame:
+    """Minimum, maximum, mean, median, standard deviation and outliers beyond 1.5 interquartile ranges of (col_name, x, n).
 
-    Text columns count as numeric if over half of their values give a number.
+    Text columns count as numeric if over half of their values give a number; ``x`` is null for the others.
     """
     is_text = F.col("col_name").isin(text_columns) if text_columns else F.lit(False)
-    value = F.when(is_text, recovered_number(F.col("value"))).otherwise(number(F.col("value")))
-    numbers = freq.where("value IS NOT NULL").withColumn("x", value)
-    n, x = F.col("count"), F.col("x")
+    table = ranked(values)
+    n, x = F.col("n"), F.col("x")
     weight = F.when(x.isNotNull(), n)
-    quarters = F.percentile("x", [0.25, 0.5, 0.75], n)
-    stats = numbers.groupBy("col_name").agg(
-        F.sum(weight).alias("n"),
-        F.sum("count").alias("known"),
-        F.min("x").alias("min_value"),
-        F.max("x").alias("max_value"),
-        (F.sum(x * n) / F.sum(weight)).alias("mean"),
-        quarters.alias("q"),
+    stats = table.groupBy("col_name").agg(
+        F.sum(weight).alias("numbers"), F.sum("n").alias("known"), F.min("x").alias("min_value"), F.max("x").alias("max_value"), (F.sum(x * n) / F.sum(weight)).alias("mean")
     )
-    stats = stats.where((F.col("n") > 0) & (~is_text | (F.col("n") > 0.5 * F.col("known"))))
-    joined = numbers.where("x IS NOT NULL").join(F.broadcast(stats), "col_name")  # one row a column
+    stats = stats.where((F.col("numbers") > 0) & (~is_text | (F.col("numbers") > 0.5 * F.col("known")))).join(F.broadcast(quantiles(table, [0.25, 0.5, 0.75])), "col_name")
+    stats = F.broadcast(stats)  # one row a column
     low = F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0])
     high = F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])
     outside = ((x < low) | (x > high)) & (F.col("q")[2] > F.col("q")[0])
-    more = joined.groupBy("col_name").agg(
+    more = table.where("x IS NOT NULL").join(stats, "col_name").groupBy("col_name", "numbers", "min_value", "max_value", "mean", "q").agg(
         F.sum(n * (x - F.col("mean")) * (x - F.col("mean"))).alias("squares"), F.coalesce(F.sum(F.when(outside, n)), F.lit(0)).alias("outlier_count")
     )
-    spread = F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1))).otherwise(0.0)
-    return stats.join(more, "col_name").select(
+    spread = F.when(F.col("numbers") > 1, F.sqrt(F.col("squares") / (F.col("numbers") - 1))).otherwise(0.0)
+    return more.select(
         "col_name", "min_value", "max_value", F.round("mean", 2).alias("mean_value"), F.round(F.col("q")[1], 2).alias("median_value"), F.round(spread, 2).alias("std_dev"), "outlier_count"
     )
 
 
+def numeric_values(df: DataFrame, freq: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """(col_name, x, n) of the numeric columns as they are and of text columns by recovered_number, and the names of the latter."""
+    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    found = numbers_of(df, numeric).where("x IS NOT NULL") if numeric else None
+    if texts:
+        freq = value_frequencies(df.select(*(f"`{c}`" for c in texts))) if freq is None else freq
+        of_text = freq.where(F.col("value").isNotNull() & F.col("col_name").isin(texts)).select("col_name", recovered_number(F.col("value")).alias("x"), F.col("count").alias("n"))
+        found = of_text if found is None else found.unionByName(of_text)
+    if found is None:
+        found = df.sparkSession.createDataFrame([], "col_name string, x double, n long")
+    return found, texts
+
+
 PROFILE = (
     "col_name string, original_dtype string, detected_type string, confidence_score double, detected_format string, total_count long, "
     "null_count long, null_percentage double, unique_count long, sample_values array<string>, top_values array<struct<value:string,count:long>>, "
@@ -94,14 +100,16 @@ PROFILE = (
 )
 
 
-def profile(df: DataFrame, name_mode: str = "levenshtein") -> DataFrame:
-    """One row per column (PROFILE). Only statistics, a few rows a column, reach the driver, which fuses the evidence."""
+def profile(df: DataFrame, name_mode: str = "levenshtein", synonyms: dict[T, tuple[str, ...]] | None = None) -> DataFrame:
+    """One row per column (PROFILE). Only statistics, a few rows a column, reach the driver, which fuses the evidence.
+
+    ``synonyms`` is an ontology of column names for match_name, in place of the built-in one.
+    """
     spark = df.sparkSession
     freq = value_frequencies(df).persist()
     try:
-        texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
         counts = {r["col_name"]: r for r in counts_by_column(freq).collect()}
-        stats = {r["col_name"]: r for r in numeric_stats(freq, texts).collect()}
+        stats = {r["col_name"]: r for r in numeric_stats(*numeric_values(df, freq)).collect()}
         top: dict[str, list] = {}
         for r in sorted(top_values(freq).collect(), key=lambda r: r["rank"]):
             top.setdefault(r["col_name"], []).append((r["value"], r["count"]))
@@ -118,7 +126,7 @@ def profile(df: DataFrame, name_mode: str = "levenshtein") -> DataFrame:
         total, nulls, distinct = (c["total_count"], c["null_count"], c["unique_count"]) if c else (0, 0, 0)
         if T.DURATION in share:
             share[T.TIME] = share[T.DURATION]
-        named, score = match_name(f.name, mode=name_mode)[0]
+        named, score = match_name(f.name, synonyms, name_mode)[0]
         is_text = isinstance(f.dataType, StringType) and total > nulls
         low, high = (s["min_value"], s["max_value"]) if s else (None, None)
         found, confidence, layout = decide(Evidence(share, named, score, is_text, distinct, total, low, high, lengths.get(f.name) or 0.0))
@@ -144,6 +152,3 @@ def dataset_summary(df: DataFrame) -> DataFrame:
         "col_count", F.lit(len(df.columns)).cast("long")
     )
 
-
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]

@@ -19,20 +19,20 @@ def rule(t: T, c: Column) -> tuple[str, Column]:
     s = c.cast("string")
     if t == T.PHONE_PAKISTAN:
         ok = (s.startswith("923") & (F.length(s) == 12)) | (s.startswith("+923") & (F.length(s) == 13)) | (s.startswith("03") & (F.length(s) == 11))
-        return "PK Phone Format (923XXXXXXXXX / +923XXXXXXXXX)", ok
+        return "Pakistani mobile number", ok
     if t == T.EMAIL:
-        return "RFC 5322 Email Format", is_email(s)
+        return "E-mail address", is_email(s)
     if t == T.CNIC_PAKISTAN:
-        return "Pakistani CNIC (XXXXX-XXXXXXX-X)", s.rlike("(?s)^.{5}-.{7}-.$")
+        return "CNIC in three groups", s.rlike("(?s)^.{5}-.{7}-.$")
     if t in DATE_TYPES:
-        return "Valid ISO/Target Datetime", is_datetime(s)
+        return "Date or time that parses", is_datetime(s)
     if t in CLOCK_TYPES:
-        return "Duration Format (H:MM:SS / HH:MM:SS)", strip(s).rlike("^[0-9]+:[0-9]{2}(?::[0-9]{2})?$")
+        return "Clock digits with colons", strip(s).rlike("^[0-9]+:[0-9]{2}(?::[0-9]{2})?$")
     if t == T.AGE:
-        return "Age Range (0 - 120)", F.coalesce(number(s).between(0, 120), F.lit(False))
+        return "Age from 0 to 120", F.coalesce(number(s).between(0, 120), F.lit(False))
     if t in (T.NUMERIC_FLOAT, T.CURRENCY_AMOUNT):
-        return "Numeric Float Casting", number(s).isNotNull()
-    return "General Type Check", F.lit(True)
+        return "Number", number(s).isNotNull()
+    return "Any value", F.lit(True)
 
 
 def validate(df: DataFrame, types: dict[str, T]) -> DataFrame:
@@ -64,5 +64,5 @@ def passed(report: DataFrame) -> bool:
 
 def anomalies(report: DataFrame) -> DataFrame:
     """A message for each column with values that break its rule."""
-    said = F.concat(F.lit("Column '"), "col_name", F.lit("' has "), F.col("invalid_count").cast("string"), F.lit(" records failing "), "validation_type")
+    said = F.concat("col_name", F.lit(": "), F.col("invalid_count").cast("string"), F.lit(" values are against the rule: "), "validation_type")
     return report.where("invalid_count > 0 AND validation_type <> 'all_null'").select(said.alias("anomaly"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.casts import number
@@ -17,6 +19,7 @@ from .plans.cleaning import default_plan, normalize_table
 from .schemas import WHOLE_TYPES, TablePlan
 from .schemas import SemanticType as T
 from .sources.readers import extract, with_row_id
+from .sources.scratch import cut
 from .sources.sinks import Index
 
 ROW_ID = "_row_id"
@@ -51,6 +54,7 @@ class Result:
     rows_in: int = 0
     rows_out: int = 0
     indexed: int = 0
+    failed: int = 0
     validation_passed: bool = False
     types: dict[str, T] = field(default_factory=dict)
     profile: DataFrame | None = None
@@ -62,25 +66,25 @@ class Result:
 def run(spark: SparkSession, path: str, index: str | None = None, plan: TablePlan | None = None, hint: str | None = None, **options) -> Result:
     """Reads, profiles, plans (unless a plan is given), cleans, validates and, with ``index``, writes the documents.
 
-    A failure is told in the result, with the stage that it came from.
+    The cleaned rows are a table in the shared folder. A failure of the source, of Spark or of a value is told in the result,
+    with the stage that it came from.
     """
     began, stage = time.time(), "extract"
     try:
-        raw = extract(spark, path, hint, **options)
-        rows = with_row_id(raw, ROW_ID).persist()
+        rows = with_row_id(extract(spark, path, hint, **options), ROW_ID)
         rows_in = rows.count()
         stage = "profile"
         profiled = profile(rows.drop(ROW_ID))
         types = detected_types(profiled)
         stage = "clean"
         plan = plan or default_plan(types)
-        cleaned = clean(rows, plan).persist()
+        cleaned = cut(clean(rows, plan))
         rows_out = cleaned.count()
         stage = "validate"
         report = validate(cleaned.drop(ROW_ID), {c: p.type for c, p in plan.columns.items()})
         stage = "load"
-        indexed = Index(spark, index).load(cleaned, types, ROW_ID) if index else 0
-        rows.unpersist()
-        return Result(True, "done", time.time() - began, rows_in, rows_out, indexed, passed(report), types, profiled, cleaned, report)
-    except Exception as e:
+        done = Index(spark, index).load(cleaned, types, ROW_ID) if index else None
+        written = (done.indexed, done.failed, passed(report), types, profiled, cleaned, report, done.message) if done else (0, 0, passed(report), types, profiled, cleaned, report, "")
+        return Result(True, "done", time.time() - began, rows_in, rows_out, *written)
+    except (PySparkException, Py4JError, ValueError, RuntimeError, OSError) as e:
         return Result(False, stage, time.time() - began, message=str(e))

@@ -55,24 +55,35 @@ def normalize_table(df: DataFrame, plan: TablePlan) -> DataFrame:
     return df.select(*(normalized(F.col(f"`{c}`"), plan.columns[c]).alias(c) if c in plan.columns else F.col(f"`{c}`") for c in df.columns))
 
 
+# The index fields of the types; all others are text with a keyword beside it.
+_DATE = {"type": "date", "format": "strict_date_optional_time||yyyy-MM-dd HH:mm:ss||yyyy-MM-dd||epoch_millis"}
+_KEYWORD_TEXT = {"type": "text", "fields": {"keyword": {"type": "keyword", "ignore_above": 256}}}
+INDEX_FIELDS: dict[T, dict] = {
+    T.DATETIME: _DATE,
+    T.DATE: _DATE,
+    T.NUMERIC_INTEGER: {"type": "long"},
+    T.AGE: {"type": "long"},
+    T.IDENTIFIER_ID: {"type": "long"},
+    T.YEAR: {"type": "long"},
+    T.NUMERIC_FLOAT: {"type": "double"},
+    T.CURRENCY_AMOUNT: {"type": "double"},
+    T.PERCENTAGE: {"type": "double"},
+    T.BOOLEAN: {"type": "boolean"},
+    T.IP_ADDRESS: {"type": "ip"},
+    T.TEXT_LONG: {"type": "text", "analyzer": "standard"},
+    T.CATEGORICAL: {"type": "keyword"},
+    T.GENDER: {"type": "keyword"},
+    T.CITY: {"type": "keyword"},
+    T.COUNTRY: {"type": "keyword"},
+    T.POSTAL_CODE: {"type": "keyword"},
+    T.DURATION: {"type": "keyword"},
+    T.TIME: {"type": "keyword"},
+}
+
+
 def index_type(t: T) -> dict:
     """The index field of a type."""
-    keyword_text = {"type": "text", "fields": {"keyword": {"type": "keyword", "ignore_above": 256}}}
-    if t in DATE_TYPES:
-        return {"type": "date", "format": "strict_date_optional_time||yyyy-MM-dd HH:mm:ss||yyyy-MM-dd||epoch_millis"}
-    if t in (T.NUMERIC_INTEGER, T.AGE, T.IDENTIFIER_ID, T.YEAR):
-        return {"type": "long"}
-    if t in (T.NUMERIC_FLOAT, T.CURRENCY_AMOUNT, T.PERCENTAGE):
-        return {"type": "double"}
-    if t == T.BOOLEAN:
-        return {"type": "boolean"}
-    if t == T.IP_ADDRESS:
-        return {"type": "ip"}
-    if t == T.TEXT_LONG:
-        return {"type": "text", "analyzer": "standard"}
-    if t in (T.CATEGORICAL, T.GENDER, T.CITY, T.COUNTRY, T.POSTAL_CODE, T.DURATION, T.TIME):
-        return {"type": "keyword"}
-    return keyword_text
+    return INDEX_FIELDS.get(t, _KEYWORD_TEXT)
 
 
 def index_mapping(types: dict[str, T]) -> dict:

@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .functions import normalize as N
 from .functions import predicates as P
 from .operators import dedup, impute, outliers, profile, search, validate
-from .plans.cleaning import index_mapping, normalize_table
+from .pipeline import clean
+from .plans.cleaning import default_plan, index_mapping, normalize_table
 from .plans.names import ONTOLOGY, match_name
 from .schemas import ColumnPlan, Impute, Outlier, TablePlan
 from .schemas import SemanticType as T
 from .sources import readers, sinks
+from .sources.scratch import shared_path
+from .streaming.clean_stream import clean_stream, drop_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -240,26 +243,77 @@ count(*) FILTER (WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1))
     )
 )
 def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    freq = profile.value_frequencies(table(spark, sf_dir, "lineitem").select(*_LINE_COLUMNS))
-    return profile.numeric_stats(freq, [])
+    return profile.numeric_stats(*profile.numeric_values(table(spark, sf_dir, "lineitem").select(*_LINE_COLUMNS)))
 
 
-@query()
+@query(
+    f"""WITH s AS (SELECT TRY_CAST(regexp_replace(raw, '[$,PKRs\\s]', '', 'g') AS double) AS x FROM (SELECT {MONEY} AS raw FROM orders WHERE o_orderkey % 5 IN (0, 1, 3)) WHERE raw IS NOT NULL),
+q AS (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM s)
+SELECT 'money' AS col_name, min(x) AS min_value, max(x) AS max_value, round(avg(x), 2) AS mean_value, round(quantile_cont(x, 0.5), 2) AS median_value, round(stddev_samp(x), 2) AS std_dev,
+  count(*) FILTER (WHERE x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS outlier_count FROM s, q"""
+)
+def profile_text_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in a text column, most of whose values hold one."""
+    raw = table(spark, sf_dir, "orders").where("o_orderkey % 5 IN (0, 1, 3)").select(F.expr(MONEY).alias("money"))
+    return profile.numeric_stats(*profile.numeric_values(raw))
+
+
+@query(
+    f"""SELECT o_orderkey, CASE WHEN regexp_matches(v, '^[-+]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$') THEN CAST(v AS double) END AS amount
+FROM (SELECT o_orderkey, regexp_replace({MONEY}, '[$,PKRs\\s]', '', 'g') AS v FROM orders)"""
+)
+def recovered_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", profile.recovered_number(F.expr(MONEY)).alias("amount"))
+
+
+_DIRTY = {
+    "cust_id": "'CUST-' || c_custkey",
+    "mob_number": PHONE,
+    "nic_number": CNIC,
+    "user_email": "'c' || c_custkey || '@mail.example'",
+    "patient_age": "CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE CAST(18 + c_custkey % 60 AS string) END",
+    "salary_pkr": "'PKR ' || CAST(round(c_acctbal) AS bigint)",
+    "segment": "c_mktsegment",
+}
+_SYNONYMS = ", ".join(f"({i}, '{t.value}', '{w}')" for i, (t, words) in enumerate(ONTOLOGY.items()) for w in words)
+
+
+def _name_scores(names: str) -> str:
+    """SQL: name, type and score of the best type of each of the names (name, c)."""
+    return f"""o AS (SELECT * FROM (VALUES {_SYNONYMS}) v(k, t, w)), n AS ({names}),
+m AS (SELECT name, k, t, max(CASE WHEN c = w THEN 1.0 WHEN contains(c, w) OR contains(w, c) THEN greatest(0.85, least(length(c), length(w)) / greatest(length(c), length(w)))
+  ELSE 1.0 - levenshtein(c, w) / greatest(length(c), length(w)) END) AS score FROM n, o GROUP BY name, k, t),
+b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, k) AS i FROM m WHERE score > 0.4),
+named AS (SELECT name, t AS type, score::double AS score FROM b WHERE i = 1 UNION ALL SELECT name, 'unknown', 0.0 FROM n WHERE name NOT IN (SELECT name FROM b))"""
+
+
+#: The counts, the kinds' shares and the rules that fit these columns, in order; all columns are text.
+_PROFILED = f"""WITH {_name_scores(" UNION ALL ".join(f"SELECT '{c}' AS name, '{c}' AS c" for c in _DIRTY))},
+l AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, {x} AS v FROM customer" for c, x in _DIRTY.items())}),
+k AS (SELECT c, {_KIND} AS kind FROM (SELECT c, trim(v) AS v FROM l WHERE trim(v) <> '' AND lower(v) NOT IN ('nan', 'null'))),
+r AS (SELECT c, kind, count(*) / (sum(count(*)) OVER (PARTITION BY c)) AS ratio FROM k GROUP BY c, kind),
+s AS (SELECT c, count(*) AS total_count, count(*) - count(v) AS null_count, count(DISTINCT v) AS unique_count, min(TRY_CAST(v AS double)) AS low, max(TRY_CAST(v AS double)) AS high FROM l GROUP BY c),
+e AS (SELECT s.*, type, score, {", ".join(f"coalesce((SELECT ratio FROM r WHERE r.c = s.c AND kind = '{t}'), 0) AS {a}" for t, a in (("phone_pakistan", "pk"), ("cnic_pakistan", "cn"), ("email", "em"), ("currency_amount", "cu"), ("age", "ag")))}
+  FROM s JOIN named ON named.name = s.c),
+d AS (SELECT *, CASE WHEN pk > 0.40 OR (pk > 0.20 AND type = 'phone_pakistan') THEN 'phone_pakistan' WHEN cn > 0.50 OR (cn > 0.25 AND type = 'cnic_pakistan') THEN 'cnic_pakistan'
+  WHEN em > 0.60 OR (em > 0.30 AND type = 'email') THEN 'email' WHEN type = 'age' AND ((score > 0.70 AND ag > 0.60) OR (low >= 0 AND high <= 115)) THEN 'age'
+  WHEN cu > 0.30 OR (type = 'currency_amount' AND score > 0.65) THEN 'currency_amount' WHEN unique_count <= 25 OR (total_count > 50 AND unique_count / total_count < 0.08) THEN 'categorical'
+  WHEN score > 0.75 THEN type ELSE 'text_generic' END AS found FROM e),
+f AS (SELECT c AS col_name, found AS detected_type, round(CASE found WHEN 'phone_pakistan' THEN least(1, pk * 0.5 + (CASE WHEN type LIKE 'phone%' THEN score ELSE 0.4 END) * 0.5 + 0.2)
+  WHEN 'cnic_pakistan' THEN least(1, cn * 0.6 + score * 0.4 + 0.15) WHEN 'email' THEN least(1, em * 0.7 + score * 0.3 + 0.1) WHEN 'age' THEN 0.95
+  WHEN 'currency_amount' THEN least(1, cu * 0.5 + score * 0.5 + 0.2) WHEN 'categorical' THEN 0.85 WHEN 'text_generic' THEN 0.6 ELSE score END, 3)::double AS confidence_score, total_count, null_count, unique_count,
+  round(CASE found WHEN 'phone_pakistan' THEN pk WHEN 'cnic_pakistan' THEN cn WHEN 'email' THEN em WHEN 'age' THEN ag WHEN 'currency_amount' THEN cu ELSE 0 END, 3)::double AS regex_match_rate,
+  round(score, 3) AS col_name_similarity FROM d) """
+
+
+@query(_PROFILED + "SELECT * FROM f")
 def profile_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full profile of a dirty customer table, by fused evidence."""
     return profile.profile(_dirty_customers(spark, sf_dir)).select("col_name", "detected_type", "confidence_score", "total_count", "null_count", "unique_count", "regex_match_rate", "col_name_similarity")
 
 
 def _dirty_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("CUST-"), "c_custkey").alias("cust_id"),
-        F.expr(PHONE).alias("mob_number"),
-        F.expr(CNIC).alias("nic_number"),
-        F.concat(F.lit("c"), "c_custkey", F.lit("@mail.example")).alias("user_email"),
-        F.expr("CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE CAST(18 + c_custkey % 60 AS string) END").alias("patient_age"),
-        F.concat(F.lit("PKR "), F.round("c_acctbal").cast("bigint")).alias("salary_pkr"),
-        F.col("c_mktsegment").alias("segment"),
-    )
+    return table(spark, sf_dir, "customer").select(*(F.expr(x).alias(c) for c, x in _DIRTY.items()))
 
 
 @query("SELECT count(*) AS row_count, count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_quantity, l_returnflag, l_linestatus FROM lineitem)) AS duplicate_rows, 3::bigint AS col_count FROM lineitem")
@@ -269,7 +323,7 @@ def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT * FROM (VALUES ('age', 1::bigint), ('categorical', 1), ('cnic_pakistan', 1), ('currency_amount', 1), ('email', 1), ('identifier_id', 1), ('phone_pakistan', 1)) t(detected_type, count)")
+@query(_PROFILED + "SELECT detected_type, count(*) AS count FROM f GROUP BY detected_type")
 def type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile(_dirty_customers(spark, sf_dir)).groupBy("detected_type").count()
 
@@ -410,26 +464,38 @@ def dedup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.drop_exact(rows.unionByName(rows))
 
 
-_PAIRS = """WITH r AS (SELECT p_partkey AS k, trim(lower(p_name)) AS x, length(p_name) AS n, p_brand AS g FROM part),
+_SCORES = """r AS (SELECT p_partkey AS k, trim(lower(p_name)) AS x, length(p_name) AS n, p_brand AS g FROM part),
 p AS (SELECT l.k AS a, r.k AS b, l.x, r.x AS y FROM r AS l JOIN r ON l.g = r.g AND l.k < r.k AND least(l.n, r.n) / greatest(l.n, r.n) >= 0.7),
 s AS (SELECT a, b, CASE WHEN x = y THEN 1.0 WHEN contains(x, y) OR contains(y, x) THEN greatest(0.85, least(length(x), length(y)) / greatest(length(x), length(y)))
-  ELSE 1.0 - levenshtein(x, y) / greatest(length(x), length(y)) END AS score FROM p) SELECT a, b, round(score::double, 6) AS score FROM s WHERE score >= 0.8"""
+  ELSE 1.0 - levenshtein(x, y) / greatest(length(x), length(y)) END AS score FROM p)"""
 
 
-@query(_PAIRS)
+@query(f"WITH {_SCORES} SELECT a, b, round(score::double, 6) AS score FROM s WHERE score >= 0.8")
 def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.similar_pairs(table(spark, sf_dir, "part"), ["p_name"], "p_partkey", 0.8, F.col("p_brand")).select("a", "b", F.round("score", 6).alias("score"))
 
 
-@query()
+# In rounds: a row stays if all smaller ones that it is similar to are gone, and goes if one of them stays. 50 rounds are more
+# than the rows' chains are long.
+@query(
+    f"""WITH RECURSIVE {_SCORES}, g AS (SELECT b, list(a) AS smaller FROM s WHERE score >= 0.8 GROUP BY b),
+o AS (SELECT k, coalesce(smaller, []) AS smaller FROM r LEFT JOIN g ON g.b = r.k),
+w AS (SELECT 0 AS i, []::bigint[] AS kept, []::bigint[] AS gone UNION ALL SELECT * FROM (
+  SELECT i + 1, coalesce(list(k) FILTER (list_has_all(gone, smaller)), []), coalesce(list(k) FILTER (list_has_any(kept, smaller)), []) FROM w, o GROUP BY i) t(i, kept, gone) WHERE i <= 50)
+SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT unnest(kept) FROM w WHERE i = (SELECT max(i) FROM w))"""
+)
 def fuzzy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy removal is iterative; its test compares it with the sequential loop."""
-    from .sources.scratch import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
     return dedup.drop_similar(table(spark, sf_dir, "part"), ["p_name"], "p_partkey", 0.8, F.col("p_brand")).select("p_partkey", "p_name")
 
 
+@query(
+    """WITH d AS (SELECT p_name, p_size FROM part), x AS (SELECT DISTINCT * FROM d)
+SELECT (SELECT count(*) FROM d) AS initial_rows, (SELECT count(*) FROM d) - (SELECT count(*) FROM x) AS exact_duplicates_removed, 0::bigint AS fuzzy_duplicates_removed, (SELECT count(*) FROM x) AS final_rows"""
+)
+def dedup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.dedup_report(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
+
+
 @query(
     f"""WITH s AS (SELECT {PHONE} AS phone, {CNIC} AS cnic, c_acctbal, CASE WHEN c_custkey % 5 = 0 THEN c_custkey ELSE c_custkey % 90 END AS age FROM customer)
 SELECT 'phone' AS col_name, 'phone_pakistan' AS semantic_type, count(*) FILTER (WHERE starts_with(phone, '923') AND length(phone) = 12 OR starts_with(phone, '+923') AND length(phone) = 13 OR starts_with(phone, '03') AND length(phone) = 11) AS valid_count,
@@ -472,45 +538,43 @@ def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT 'nation' AS _index, n_name AS name FROM nation WHERE contains(lower(n_name), 'an') OR contains(n_nationkey::string, 'an') UNION ALL
-SELECT 'region', r_name FROM region WHERE contains(lower(r_name), 'an')"""
+    """SELECT 'nation' AS _index, n_name AS name FROM nation WHERE contains(lower(n_name), '1') OR contains(n_nationkey::string, '1') UNION ALL
+SELECT 'region', r_name FROM region WHERE contains(lower(r_name), '1') OR contains(r_regionkey::string, '1')"""
 )
 def search_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {"nation": table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), "n_nationkey"), "region": table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), "r_regionkey")}
-    return search.search_many(tables, {"match": {"name": "an"}}).select("_index", F.get_json_object("_source", "$.name").alias("name"))
+    return search.search_many(tables, {"match": {"name": "1"}}).select("_index", F.get_json_object("_source", "$.name").alias("name"))
 
 
 _NAMES = ("mob_number", "cust_id", "patient age", "d_o_b", "shipping_address", "humidity_pct", "zzz", "duration", "o_orderdate", "l_tax")
 
 
-@query(
-    "WITH o AS (SELECT * FROM (VALUES "
-    + ", ".join(f"({i}, '{t.value}', '{w}')" for i, (t, words) in enumerate(ONTOLOGY.items()) for w in words)
-    + ") v(k, t, w)), n AS (SELECT * FROM (VALUES "
-    + ", ".join(f"('{n}', '{n.replace(' ', '_')}')" for n in _NAMES)
-    + """) v(name, c)), s AS (SELECT name, k, t, max(CASE WHEN c = w THEN 1.0 WHEN contains(c, w) OR contains(w, c) THEN greatest(0.85, least(length(c), length(w)) / greatest(length(c), length(w)))
-ELSE 1.0 - levenshtein(c, w) / greatest(length(c), length(w)) END) AS score FROM n, o GROUP BY name, k, t),
-r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, k) AS i FROM s WHERE score > 0.4)
-SELECT name, t AS type, round(score::double, 6) AS score FROM r WHERE i = 1 UNION ALL SELECT name, 'unknown', 0.0 FROM n WHERE name NOT IN (SELECT name FROM r)"""
-)
+@query("WITH " + _name_scores(" UNION ALL ".join(f"SELECT '{n}' AS name, '{n.replace(' ', '_')}' AS c" for n in _NAMES)) + " SELECT name, type, round(score, 6) AS score FROM named")
 def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = [(n, *match_name(n)[0]) for n in _NAMES]
     return spark.createDataFrame([(n, t.value, round(float(s), 6)) for n, t, s in best], "name string, type string, score double")
 
 
-@query("SELECT 'ev' AS _index, event_id::string AS _id, json_extract_string(props, '$.k') AS k FROM events WHERE event_id % 11 <> 0")
+@query(
+    """WITH e AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events), n AS (SELECT *, sum(CASE WHEN event_id % 11 = 1 THEN 1 ELSE 2 END) OVER (ORDER BY event_id) - CASE WHEN event_id % 11 = 1 THEN 1 ELSE 2 END AS line FROM e)
+SELECT CASE event_id % 11 WHEN 2 THEN 'generic_dataset' ELSE 'ev' END AS _index, CASE event_id % 11 WHEN 3 THEN (line // 2 + 1)::bigint::string ELSE event_id::string END AS _id,
+  CASE event_id % 11 WHEN 4 THEN 'nested' ELSE json_extract_string(props, '$.k') END AS k FROM n WHERE event_id % 11 NOT IN (0, 1)"""
+)
 def bulk_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with blanks between them, junk, actions without source, without index or id, and sources that look like actions."""
     events = table(spark, sf_dir, "events").select("event_id", "props")
-    bad = F.col("event_id") % 11 == 0
-    lines = events.select(
-        F.explode(
-            F.array(
-                F.struct((2 * F.col("event_id")).alias("line_no"), F.when(bad, F.lit("not an action")).otherwise(F.concat(F.lit('{"index": {"_index": "ev", "_id": "'), "event_id", F.lit('"}}'))).alias("line")),
-                F.struct((2 * F.col("event_id") + 1).alias("line_no"), F.col("props").alias("line")),
-            )
-        ).alias("x")
-    ).select("x.*")
-    return sinks.parse_bulk(lines).select("_index", "_id", F.get_json_object("_source", "$.k").alias("k"))
+    shape, quoted = F.col("event_id") % 11, F.concat(F.lit('"'), "event_id", F.lit('"'))
+    action = (
+        F.when(shape == 0, "not an action")
+        .when(shape == 1, "")
+        .when(shape == 2, F.concat(F.lit('{"create": {"_id": '), quoted, F.lit("}}")))
+        .when(shape == 3, F.lit('{"index": {"_index": "EV"}}'))
+        .otherwise(F.concat(F.lit('{"index": {"_index": "Ev", "_id": '), quoted, F.lit("}}")))
+    )
+    source = F.when(shape == 4, F.lit('{"index": {"k": "nested"}, "k": "nested"}')).when(shape == 1, "no object").otherwise(F.col("props"))
+    at = lambda i: 4 * F.col("event_id") + i
+    lines = F.array(*(F.struct(at(i).alias("line_no"), x.alias("line")) for i, x in enumerate((action, F.lit("   "), source, F.lit("")))))
+    return sinks.parse_bulk(events.select(F.explode(lines).alias("x")).select("x.*")).select("_index", "_id", F.get_json_object("_source", "$.k").alias("k"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::bigint AS \"p.k\", json_extract_string(props, '$.k')::bigint + 1 AS \"p.deep.n\" FROM events")
@@ -534,11 +598,12 @@ def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT * FROM (VALUES ('a', 'text'), ('b', 'date'), ('c', 'long'), ('d', 'double'), ('e', 'boolean'), ('f', 'ip'), ('g', 'keyword'), ('h', 'text'), ('i', 'text')) t(field, type)"
+    _PROFILED
+    + """SELECT col_name AS field, CASE detected_type WHEN 'age' THEN 'long' WHEN 'identifier_id' THEN 'long' WHEN 'currency_amount' THEN 'double' WHEN 'categorical' THEN 'keyword' ELSE 'text' END AS type FROM f"""
 )
 def mapping_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    types = {"a": T.EMAIL, "b": T.DATE, "c": T.AGE, "d": T.PERCENTAGE, "e": T.BOOLEAN, "f": T.IP_ADDRESS, "g": T.DURATION, "h": T.TEXT_LONG, "i": T.UNKNOWN}
-    fields = index_mapping(types)["mappings"]["properties"]
+    """The index fields of the columns whose types the profile found."""
+    fields = index_mapping(profile.detected_types(profile.profile(_dirty_customers(spark, sf_dir))))["mappings"]["properties"]
     return spark.createDataFrame([(c, f["type"]) for c, f in fields.items()], "field string, type string")
 
 
@@ -550,3 +615,163 @@ SELECT c_custkey::string AS id, CASE WHEN bare <> '' THEN '92' || CASE WHEN leng
 def normalize_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.expr(PHONE).alias("phone"))
     return normalize_table(raw, TablePlan({"id": ColumnPlan(T.IDENTIFIER_ID), "phone": ColumnPlan(T.PHONE_PAKISTAN)}))
+
+
+# Queries that run whole parts of the library.
+_VISITS = "SELECT c_custkey, {PHONE} AS phone, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 41 = 0 THEN 900 ELSE 20 + c_custkey % 37 END AS age, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_mktsegment END AS city FROM customer".replace("{PHONE}", PHONE)
+_VISIT_TYPES = {"phone": T.PHONE_PAKISTAN, "age": T.AGE, "city": T.CITY}
+
+
+def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = {"phone": PHONE, "age": "CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 41 = 0 THEN 900 ELSE 20 + c_custkey % 37 END", "city": "CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_mktsegment END"}
+    return table(spark, sf_dir, "customer").select("c_custkey", *(F.expr(x).alias(c) for c, x in columns.items()))
+
+
+_PHONE_SQL = f"""CASE WHEN bare <> '' THEN '92' || CASE WHEN length(bare) = 12 AND starts_with(bare, '923') THEN substr(bare, 3)
+  WHEN length(bare) >= 10 AND strpos(bare, '3') BETWEEN 1 AND 3 AND length(bare) - strpos(bare, '3') + 1 = 10 THEN substr(bare, strpos(bare, '3')) ELSE bare END END"""
+_CLEANED = f"""WITH v AS ({_VISITS}), p AS (SELECT *, ltrim(regexp_replace({_KNOWN.format("phone")}, '[^0-9]', '', 'g'), '0') AS bare FROM v),
+q AS (SELECT quantile_cont(age, 0.25) AS a, quantile_cont(age, 0.75) AS b FROM v),
+c AS (SELECT c_custkey, coalesce({_PHONE_SQL}, 'Unknown') AS phone, CASE WHEN age IS NOT NULL THEN least(greatest(age, a - 1.5 * (b - a)), b + 1.5 * (b - a)) END AS age, city FROM p, q),
+m AS (SELECT round_even(quantile_cont(age, 0.5), 0) AS age, (SELECT city FROM c WHERE city IS NOT NULL GROUP BY city ORDER BY count(*) DESC, city LIMIT 1) AS city FROM c),
+f AS (SELECT c_custkey, phone, CAST(trunc(coalesce(c.age, m.age)) AS bigint) AS age, coalesce(c.age, m.age) AS exact_age, coalesce(c.city, m.city) AS city FROM c, m) """
+
+
+@query(_CLEANED + "SELECT min(c_custkey) AS c_custkey, phone, age, city FROM f GROUP BY phone, exact_age, age, city")
+def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default plan of given types, run whole: normalized, clipped, filled, without repeated rows, in final types."""
+    return clean(_visits(spark, sf_dir), default_plan(_VISIT_TYPES), "c_custkey")
+
+
+@query(
+    f"""WITH v AS ({_VISITS}), n AS (SELECT count(*) - count(phone) AS phone, count(*) - count(age) AS age, count(*) - count(city) AS city FROM v)
+SELECT 'phone' AS col_name, 'constant' AS strategy, phone AS nulls_before, phone AS nulls_handled, 'Unknown' AS imputed_value FROM n UNION ALL
+SELECT 'age', 'median', age, age, (SELECT round_even(quantile_cont(age, 0.5), 0)::bigint::string FROM v) FROM n UNION ALL
+SELECT 'city', 'mode', city, city, (SELECT city FROM v WHERE city IS NOT NULL GROUP BY city ORDER BY count(*) DESC, city LIMIT 1) FROM n"""
+)
+def impute_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impute.impute_report(_visits(spark, sf_dir), default_plan(_VISIT_TYPES), "c_custkey")
+
+
+@query(f"SELECT o_orderkey, {SPIKED} AS price FROM orders")
+def outlier_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.treat_outliers(_spiked(spark, sf_dir), {"price": ColumnPlan(outlier=Outlier.NONE)})
+
+
+@query("SELECT count(*) AS n, 0::bigint AS first, count(*) - 1 AS last, count(*) AS different FROM events WHERE event_id % 3 > 0")
+def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row numbers over several partitions have no gaps."""
+    rows = readers.with_row_id(table(spark, sf_dir, "events").repartition(7, "user_id").where("event_id % 3 > 0"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.min("_row_id").alias("first"), F.max("_row_id").alias("last"), F.count_distinct("_row_id").alias("different"))
+
+
+_MAIL = "CASE c_custkey % 3 WHEN 0 THEN 'a' || c_custkey || '@mail.example' WHEN 1 THEN 'no address' ELSE NULL END"
+_DAY = "CASE c_custkey % 4 WHEN 0 THEN '2024-01-15 10:00:00' WHEN 1 THEN '15 Jan 2024' WHEN 2 THEN 'sometime' ELSE NULL END"
+_SPELL = "CASE c_custkey % 3 WHEN 0 THEN '1:05:09' WHEN 1 THEN '12:30' ELSE 'an hour' END"
+_WEIGHT = "CASE c_custkey % 4 WHEN 0 THEN '1.5' WHEN 1 THEN '-2e3' WHEN 2 THEN 'heavy' ELSE NULL END"
+_FORMATS = {"mail": (_MAIL, T.EMAIL, "@"), "day": (_DAY, T.DATE, "[0-9]"), "spell": (_SPELL, T.DURATION, ":"), "weight": (_WEIGHT, T.NUMERIC_FLOAT, "[0-9]"), "note": ("c_name", T.TEXT_GENERIC, ".")}
+
+
+def _formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "customer").select(*(F.expr(x).alias(c) for c, (x, _, _) in _FORMATS.items()))
+    return validate.validate(raw, {c: t for c, (_, t, _) in _FORMATS.items()})
+
+
+_FORMATS_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS col_name, '{t.value}' AS semantic_type, count(*) FILTER (WHERE regexp_matches(x, '{ok}')) AS valid_count, count(*) FILTER (WHERE NOT regexp_matches(x, '{ok}')) AS invalid_count, count(*) - count(x) AS null_count FROM (SELECT {x} AS x FROM customer)"
+    for c, (x, t, ok) in _FORMATS.items()
+)
+
+
+@query(_FORMATS_SQL)
+def validate_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _formats(spark, sf_dir).select("col_name", "semantic_type", "valid_count", "invalid_count", "null_count")
+
+
+@query(f"WITH f AS ({_FORMATS_SQL}) SELECT sum(valid_count) / sum(valid_count + invalid_count) >= 0.8 AS passed, count(*) FILTER (WHERE invalid_count > 0) AS anomalies FROM f")
+def validate_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = _formats(spark, sf_dir)
+    return spark.createDataFrame([(validate.passed(report), validate.anomalies(report).count())], "passed boolean, anomalies long")
+
+
+_MORE = """CASE event_id % 16 WHEN 0 THEN '13:45' WHEN 1 THEN '2:30:15' WHEN 2 THEN '5 hours' WHEN 3 THEN 'fe80:0:0:0:0:0:0:' || CAST(event_id % 9 AS string) WHEN 4 THEN 'www.x.example/' || CAST(event_id AS string)
+ WHEN 5 THEN 'ftp://x.example/f' WHEN 6 THEN '12/25/2023' WHEN 7 THEN 'Jan 5, 2024' WHEN 8 THEN '1700000000' WHEN 9 THEN '0.5' WHEN 10 THEN '-3.25' WHEN 11 THEN '-' || CAST(event_id AS string) WHEN 12 THEN '+92 300 1234567'
+ WHEN 13 THEN '12.5 %' WHEN 14 THEN 'Plot 12, Sector ' || CAST(event_id AS string) ELSE '€ ' || CAST(event_id AS string) || '.75' END"""
+_MORE_KIND = """CASE WHEN regexp_matches(replace(v, ' ', ''), '^\\+923[0-9]{9}$') THEN 'phone_pakistan' WHEN regexp_matches(v, '^[0-9]{1,3}:[0-9]{2}(:[0-9]{2})?$') OR regexp_matches(v, '^[0-9]+ hours$') THEN 'duration'
+ WHEN regexp_matches(v, '^([0-9]{10}|[0-9]+/[0-9]+/[0-9]{4}|[A-Z][a-z]{2} [0-9]+, [0-9]{4})$') THEN 'datetime' WHEN regexp_matches(v, '€') THEN 'currency_amount' WHEN regexp_matches(v, '%$') THEN 'percentage'
+ WHEN regexp_matches(v, '^([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$') THEN 'ip_address' WHEN regexp_matches(v, '^(www\\.|ftp://)') THEN 'url' WHEN regexp_matches(v, '(?i)\\bsector\\b') THEN 'address'
+ WHEN regexp_matches(v, '^-[0-9]+$') THEN 'numeric_integer' ELSE 'numeric_float' END"""
+
+
+@query(f"SELECT event_id, CASE WHEN v = '-0' THEN 'age' ELSE {_MORE_KIND} END AS kind FROM (SELECT event_id, {_MORE} AS v FROM events)")
+def classify_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", P.kind(F.expr(_MORE)).alias("kind"))
+
+
+@query(
+    """WITH s AS (SELECT o_orderkey, o_orderdate AS d, o_orderkey % 5 AS k FROM orders)
+SELECT o_orderkey, CASE WHEN k = 3 AND day(d) <= 12 THEN strftime(make_date(year(d), day(d), month(d)), '%Y-%m-%d') ELSE strftime(d, '%Y-%m-%d') END || CASE WHEN k = 4 THEN ' 07:05:00' ELSE ' 00:00:00' END AS ts FROM s"""
+)
+def normalize_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of months, and days before months, which are read so only if they can't be months."""
+    raw = F.lit(None).cast("string")
+    for k, layout in enumerate(("d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d-M-yyyy", "yyyy-M-d '7:05'")):
+        raw = F.when(F.col("o_orderkey") % 5 == k, F.date_format("o_orderdate", layout)).otherwise(raw)
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.clean_datetime(raw).alias("ts"))
+
+
+@query("SELECT c_custkey::string AS c_custkey, c_name, c_mktsegment || '; \"x\"' AS c_mktsegment FROM customer")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "csv")
+    sinks.write_csv(table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.concat("c_mktsegment", F.lit('; "x"')).alias("c_mktsegment")), path)
+    return readers.extract(spark, path, "csv")
+
+
+@query("SELECT event_id, user_id AS \"who.user\", event_type AS \"who.kind.name\" FROM events")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "json")
+    who = F.struct(F.col("user_id").alias("user"), F.struct(F.col("event_type").alias("name")).alias("kind"))
+    sinks.write_json(table(spark, sf_dir, "events").select("event_id", who.alias("who")), path)
+    return readers.extract(spark, path, "json")
+
+
+@query("SELECT 'csv' AS format, ';' AS delimiter, 'ISO-8859-1' AS encoding, 3::bigint AS row_count, 2::bigint AS col_count FROM region WHERE r_regionkey = 0")
+def source_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of a source that was in memory; its lines come from a table."""
+    names = [r["r_name"] for r in table(spark, sf_dir, "region").orderBy("r_regionkey").limit(3).collect()]
+    path = readers.stored(spark, "\n".join(["name;größe", *(f"{n};ü" for n in names)]).encode("latin-1"), "regions.csv")
+    _, meta = readers.extract_with_meta(spark, path)
+    return spark.createDataFrame([tuple(meta[k] for k in ("format", "delimiter", "encoding", "row_count", "col_count"))], "format string, delimiter string, encoding string, row_count long, col_count long")
+
+
+def _streamed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that a stream over the events gives, written to the shared folder until the source is read."""
+    schema = table(spark, sf_dir, "events").schema
+    out = transform(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet"))
+    path = shared_path(spark, "stream")
+    started = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    started.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+@query("SELECT event_id, upper(event_type) AS event_type, least(greatest(value, 2.0), 40.0) AS value FROM events")
+def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = TablePlan({"event_type": ColumnPlan(T.CATEGORICAL, casing="upper"), "value": ColumnPlan(T.NUMERIC_FLOAT, outlier=Outlier.CLIP_IQR)})
+    return _streamed(spark, sf_dir, lambda rows: clean_stream(rows.select("event_id", "event_type", "value"), plan, {"value": (2.0, 40.0)}))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, lambda rows: drop_repeats(rows.select("ts", "user_id", "event_type"), ["user_id", "event_type"], "ts", "400 days").select("user_id", "event_type"))
+
+
+@query("SELECT r_regionkey, r_name FROM region WHERE r_regionkey >= 2 UNION ALL SELECT r_regionkey, 'new ' || r_name FROM region WHERE r_regionkey < 2")
+def index_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that is loaded, then loaded again with new documents of some ids."""
+    rows = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("_row_id"), "r_regionkey", "r_name")
+    index = sinks.Index(spark, f"Regions {shared_path(spark, 'index')[-32:]}")
+    index.load(rows, {"r_name": T.CATEGORICAL}, "_row_id")
+    index.load(rows.where("r_regionkey < 2").withColumn("r_name", F.concat(F.lit("new "), "r_name")), {"r_name": T.CATEGORICAL}, "_row_id", overwrite=False)
+    out = spark.table(index.name).select(F.from_json("_source", "r_regionkey int, r_name string").alias("s")).select("s.*")
+    found = spark.createDataFrame(out.collect(), out.schema)  # the regions; the index goes
+    index.delete()
+    return found

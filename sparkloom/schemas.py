@@ -42,6 +42,7 @@ class SemanticType(str, Enum):
 
 
 class Impute(str, Enum):
+    # The names of the strategies.
     AUTO = "auto"
     MEAN = "mean"
     MEDIAN = "median"
@@ -54,6 +55,7 @@ class Impute(str, Enum):
 
 
 class Outlier(str, Enum):
+    # The names of the treatments.
     NONE = "none"
     CLIP_IQR = "clip_iqr"
     CLIP_ZSCORE = "clip_zscore"

@@ -6,10 +6,11 @@ import csv
 import os
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from ..functions.casts import na_to_null
+from ..functions.casts import free_name, na_to_null
+from .scratch import cut, shared_path
 
 # Formats by extension, delimiters and the keys that wrap an array of records.
 EXTENSIONS = {"csv": "csv", "tsv": "csv", "txt": "csv", "xlsx": "excel", "xls": "excel", "xlsm": "excel", "json": "json", "jsonl": "json", "parquet": "parquet", "pq": "parquet"}
@@ -71,17 +72,26 @@ def first_line_of(spark: SparkSession, path: str) -> bytes:
         n *= 8
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, multiline: bool = False) -> DataFrame:
+def csv_layout(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> tuple[str, str, str]:
+    """Delimiter, encoding and the first line of a CSV file; the encoding is decided on all bytes, the delimiter on the head."""
+    head = first_line_of(spark, path)
+    encoding = encoding or detect_encoding(spark, path)
+    text = head.decode(encoding, errors="replace").lstrip("\ufeff")
+    return delimiter or sniff_delimiter(text), encoding, text.split("\n", 1)[0].rstrip("\r")
+
+
+def first_rows(df: DataFrame, nrows: int | None) -> DataFrame:
+    """As many rows at most, for previews; all without a number."""
+    return df if nrows is None else df.limit(nrows)
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, multiline: bool = False, nrows: int | None = None) -> DataFrame:
     """All columns as text, NA values as null. Short rows are filled with nulls, overlong ones left out.
 
-    The encoding is decided on all bytes, the delimiter and the names on the head. ``multiline`` allows line breaks within quotes; without it large
-    files are split among tasks.
+    ``multiline`` allows line breaks within quotes; without it large files are split among tasks.
     """
-    head = first_line_of(spark, path)
-    encoding = encoding or detect_encoding(spark, path)
-    text = head.decode(encoding, errors="replace").lstrip("﻿")
-    delimiter = delimiter or sniff_delimiter(text)
-    header = next(csv.reader([text.split("\n", 1)[0].rstrip("\r")], delimiter=delimiter), [])
+    delimiter, encoding, first = csv_layout(spark, path, delimiter, encoding)
+    header = next(csv.reader([first], delimiter=delimiter), [])
     names = [h.strip() or f"_c{i}" for i, h in enumerate(header)]
     seen: dict[str, int] = {}
     for i, h in enumerate(names):
@@ -92,7 +102,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
         spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", delimiter).option("encoding", encoding)
         .option("quote", '"').option("escape", '"').option("multiLine", multiline).option("mode", "PERMISSIVE").csv(path)
     )
-    return rows.where(F.col(OVERFLOW).isNull()).select(*(na_to_null(F.col(f"`{c}`")).alias(c) for c in names))
+    return first_rows(rows.where(F.col(OVERFLOW).isNull()).select(*(na_to_null(F.col(f"`{c}`")).alias(c) for c in names)), nrows)
 
 
 def flatten(df: DataFrame) -> DataFrame:
@@ -123,48 +133,95 @@ def is_json_lines(spark: SparkSession, path: str) -> bool:
     return n > 1 and whole > 0 and (2 * whole > n or lines.first().own)
 
 
-def read_json(spark: SparkSession, path: str, flat: bool = True) -> DataFrame:
+def json_layout(spark: SparkSession, path: str) -> str:
+    array = head_of(spark, path).decode("utf-8", errors="replace").lstrip("\ufeff \t\r\n").startswith("[")
+    return "jsonl" if not array and is_json_lines(spark, path) else "json"
+
+
+def read_json(spark: SparkSession, path: str, flat: bool = True, nrows: int | None = None) -> DataFrame:
     """JSON lines (malformed lines left out), an array of objects, one object, or an object that wraps an array of records."""
-    by_line = not head_of(spark, path).decode("utf-8", errors="replace").lstrip("\ufeff \t\r\n").startswith("[") and is_json_lines(spark, path)
+    by_line = json_layout(spark, path) == "jsonl"
     df = spark.read.option("multiLine", not by_line).option("mode", "DROPMALFORMED").json(path)
     if not by_line:
         for key in WRAPPERS:
             if key in df.columns and isinstance(df.schema[key].dataType, ArrayType) and isinstance(df.schema[key].dataType.elementType, StructType):
                 df = df.select(F.inline(f"`{key}`"))
                 break
-    return flatten(df) if flat else df
+    return first_rows(flatten(df) if flat else df, nrows)
+
+
+def read_parquet(spark: SparkSession, path: str, nrows: int | None = None) -> DataFrame:
+    return first_rows(spark.read.parquet(path), nrows)
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def sheets_of(path: str) -> list[str]:
+    """The names of a workbook's sheets; needs openpyxl."""
+    import openpyxl
 
+    return openpyxl.load_workbook(path, read_only=True).sheetnames
 
-def read_excel(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
+
+def read_excel(spark: SparkSession, path: str, sheet: int | str = 0, nrows: int | None = None) -> DataFrame:
     """One sheet of a workbook, which fits the driver by its format's limits; needs openpyxl."""
     try:
         import openpyxl  # noqa: F401
         import pandas as pd
     except ImportError as e:
         raise RuntimeError("reading Excel needs the package openpyxl") from e
-    return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet))
+    return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet, nrows=nrows))
+
+
+def format_of(spark: SparkSession, path: str, hint: str | None = None) -> str:
+    """The hint, else what the name and the first bytes say."""
+    by_name = EXTENSIONS.get(os.path.splitext(path)[1].lstrip(".").lower())
+    kind = (hint or detect_format(path, None if by_name else head_of(spark, path, 500))).lower()
+    return EXTENSIONS.get(kind, kind if kind in ("csv", "excel") else "csv")
 
 
 def extract(spark: SparkSession, path: str, hint: str | None = None, **options) -> DataFrame:
     """Reads by the hint, else by the name and the first bytes; column names are stripped."""
-    kind = hint or detect_format(path, None if EXTENSIONS.get(os.path.splitext(path)[1].lstrip(".").lower()) else head_of(spark, path, 500))
-    read = {"csv": read_csv, "json": read_json, "parquet": read_parquet, "excel": read_excel}.get(kind, read_csv)
+    read = {"csv": read_csv, "json": read_json, "parquet": read_parquet, "excel": read_excel}[format_of(spark, path, hint)]
     df = read(spark, path, **options)
     return df.toDF(*(c.strip() for c in df.columns))
 
 
+def extract_with_meta(spark: SparkSession, path: str, hint: str | None = None, **options) -> tuple[DataFrame, dict]:
+    """The rows and what is known of their source: format, row_count and col_count, for CSV delimiter and encoding, for JSON
+    whether it was flattened, for Excel the sheets. The rows are counted by a pass of their own."""
+    kind = format_of(spark, path, hint)
+    meta: dict = {"format": kind}
+    if kind == "csv":
+        meta["delimiter"], meta["encoding"], _ = csv_layout(spark, path, options.get("delimiter"), options.get("encoding"))
+        options |= {"delimiter": meta["delimiter"], "encoding": meta["encoding"]}
+    elif kind == "json":
+        meta |= {"format": json_layout(spark, path), "flattened": options.get("flat", True)}
+    elif kind == "excel":
+        meta |= {"sheet_names": sheets_of(path), "selected_sheet": str(options.get("sheet", 0))}
+    df = extract(spark, path, kind, **options)
+    return df, meta | {"row_count": df.count(), "col_count": len(df.columns)}
+
+
+def stored(spark: SparkSession, content: bytes | str, name: str = "input") -> str:
+    """The path of a file in the shared folder with the content of a source that is in memory, for any reader."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(f"{shared_path(spark, 'source')}/{os.path.basename(name)}")
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    try:
+        stream.write(content.encode() if isinstance(content, str) else bytes(content))
+    finally:
+        stream.close()
+    return path.toString()
+
+
 def with_row_id(df: DataFrame, name: str = "_row_id") -> DataFrame:
-    """Dense row numbers from 0 in the order of partitions: counts by partition first, then numbers within."""
-    tagged = df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).persist()
-    counts = {r["_part"]: r["count"] for r in tagged.groupBy("_part").count().collect()}  # a row for each partition
-    starts, total = {}, 0
-    for part in sorted(counts):
-        starts[part] = total
-        total += counts[part]
-    begin = F.create_map(*(F.lit(x) for pair in starts.items() for x in pair))[F.col("_part")] if starts else F.lit(0)
-    # The low 33 bits of the identifier count the rows of its partition.
-    return tagged.withColumn(name, (begin + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_part", "_at")
+    """Dense row numbers from 0 in the order of partitions: counts by partition first, then numbers within.
+
+    The rows are written to the shared folder once, so that a partition keeps its number whatever is computed again.
+    """
+    part, at = free_name(df, "_part"), free_name(df, "_at")
+    tagged = cut(df.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()))
+    counts = tagged.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select(F.col(part).alias("_p"), (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias("_start"))
+    # A row for each partition. The low 33 bits of the identifier count the rows of its partition.
+    joined = tagged.join(F.broadcast(starts), F.col(part) == F.col("_p"))
+    return joined.select(*(tagged[f"`{c}`"] for c in df.columns), (F.col("_start") + F.col(at).bitwiseAND((1 << 33) - 1)).cast("long").alias(name))

@@ -1,10 +1,16 @@
-"""The shared folder that iterative operators write their state to."""
+"""Tables in the shared folder that operators of several passes write their state to."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+import weakref
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Where each table that cut() gave back lies, and all of them in the order of their writing.
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_WRITTEN: list[str] = []
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -16,5 +22,52 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="sparkloom-checkpoint-")
+        named = tempfile.mkdtemp(prefix="spark-sparkloom-")
     sc.setCheckpointDir(named)
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes the rows as a table in the shared folder and reads them from there.
+
+    A lost executor then costs no recomputation of what came before, and the rows are computed once (a checkpoint of the
+    RDD computes them twice). discard() deletes the table when nothing reads it any more.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "cut")
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    _WRITTEN.append(path)
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote; others are left alone."""
+    for df in tables:
+        path = _PATHS.pop(df, None)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            remove(df.sparkSession, path)
+
+
+def mark() -> int:
+    """A point in time for discard_since()."""
+    return len(_WRITTEN)
+
+
+def discard_since(spark: SparkSession, at: int) -> None:
+    """Deletes all tables that cut() wrote after mark() gave ``at``; for callers whose results are stored elsewhere."""
+    while len(_WRITTEN) > at:
+        remove(spark, _WRITTEN.pop())

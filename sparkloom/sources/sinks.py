@@ -4,21 +4,40 @@ from __future__ import annotations
 
 import json
 import re
+import time
+import uuid
+from dataclasses import dataclass
 
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.casts import free_name
+from ..operators.impute import fill_along
 from ..plans.cleaning import index_mapping
 from ..schemas import SemanticType as T
+from .readers import with_row_id
+from .scratch import cut
+
+#: Between an index's name and the version of the table that holds it.
+_VERSION = "__v_"
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines."""
-    df.write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, array: bool = False) -> None:
+    """JSON lines; with ``array`` the part files, one after another, are one array, with a record a line."""
+    if not array:
+        df.write.mode("overwrite").json(path)
+        return
+    at = free_name(df, "_at")
+    rows = with_row_id(df, at)
+    record = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"})
+    n = rows.count()
+    line = F.concat(F.when(F.col(at) == 0, "[").otherwise(""), record, F.when(F.col(at) == n - 1, "]").otherwise(","))
+    lines = rows.select(at, line.alias("value")) if n else df.sparkSession.createDataFrame([(0, "[]")], f"{at} long, value string")
+    lines.repartitionByRange(at).sortWithinPartitions(at).select("value").write.mode("overwrite").text(path)
 
 
 def write_excel(df: DataFrame, path: str, max_rows: int = 1_048_575) -> None:
@@ -44,21 +63,52 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("_id"), "_id", "left_anti").select(*new.columns).unionByName(new)
 
 
-def parse_bulk(lines: DataFrame, order: str = "line_no", line: str = "line") -> DataFrame:
-    """_index, _id and _source of a bulk text: an action line (index or create) and the next line, its source.
+def parse_bulk(lines: DataFrame, order: str = "line_no", line: str = "line", index: str = "generic_dataset") -> DataFrame:
+    """_index, _id and _source of a bulk text: an action line (index or create) and the next line that isn't blank, its source.
 
-    Lines that are no action, and actions without a source that is an object, are left out. A line's partner is found by
-    joining each line number to the next one, so the text needn't go through one task.
+    A source may look like an action itself: of lines in a row that do, every other one is an action. Where one has no
+    ``_index`` the document goes to ``index``, all in lower case; where it has no ``_id`` it gets the number of its pair of
+    lines. Lines that are neither, and actions whose next line is no JSON, are left out. Lines are numbered and joined to
+    the next one, so the text needn't go through one task.
     """
-    action = F.from_json(line, "index struct<_index:string,_id:string>, create struct<_index:string,_id:string>")
-    blank = lines.where(F.trim(line) != "")
-    parsed = blank.select(F.col(order).alias("n"), F.coalesce(action["index"], action["create"]).alias("a")).where("a IS NOT NULL")
-    sources = lines.select((F.col(order) - 1).alias("n"), F.col(line).alias("_source")).where(F.col("_source").rlike(r"^\s*\{"))
-    return parsed.join(sources, "n").select(F.col("a._index").alias("_index"), F.col("a._id").alias("_id"), "_source")
+    text = lines.select(F.col(order).alias("at"), F.trim(F.regexp_replace(line, r"^[\s]+|[\s]+$", " ")).alias("line")).where("line <> ''")
+    rows = with_row_id(text.repartitionByRange("at").sortWithinPartitions("at"), "n").select("n", "line")
+    kind = F.json_object_keys("line")[0]
+    meta = F.expr("get_json_object(line, concat('$.', json_object_keys(line)[0]))")
+    action = F.when(kind.isin("index", "create") & F.json_object_keys(meta).isNotNull(), meta)
+    rows = rows.select("n", "line", F.try_parse_json("line").isNotNull().alias("json"), action.alias("meta"))
+    rows = rows.withColumn("other", F.when(F.col("meta").isNull(), F.col("n")))
+    # The last line before that is no action; fill_along takes a later one where there is none.
+    rows = cut(fill_along(rows, ["other"], "n"))
+    since = F.when(F.col("other") <= F.col("n"), F.col("n") - F.col("other")).otherwise(F.col("n") + 1)
+    actions = rows.where(F.col("meta").isNotNull() & (since % 2 == 1)).select((F.col("n") + 1).alias("n"), "meta")
+    sources = rows.where("json").select("n", F.col("line").alias("_source"))
+    name = F.lower(F.coalesce(F.get_json_object("meta", "$._index"), F.lit(index)))
+    number = (F.floor((F.col("n") - 1) / 2) + 1).cast("string")
+    return actions.join(sources, "n").select(name.alias("_index"), F.coalesce(F.get_json_object("meta", "$._id"), number).alias("_id"), "_source")
+
+
+@dataclass
+class LoadResult:
+    """What became of a load: documents written and not, seconds, the mapping and a message."""
+
+    indexed: int
+    failed: int
+    seconds: float
+    mapping: dict
+    message: str
+
+
+def sql_text(value: str) -> str:
+    """A string literal of SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 class Index:
-    """An index in the session's catalog: a table of documents, with the mapping as a property."""
+    """An index in the session's catalog: a view of the table that holds its documents, with the mapping as a property.
+
+    A load writes a new table and then puts the view over it, in one statement, so readers see the old index or the new one.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -71,30 +121,38 @@ class Index:
         rows = self.spark.sql(f"SHOW TBLPROPERTIES {self.name}").collect()
         return json.loads(next((r["value"] for r in rows if r["key"] == "mapping"), "{}"))
 
+    def _tables(self) -> list[str]:
+        return [t.name for t in self.spark.catalog.listTables() if t.name.startswith(f"{self.name}{_VERSION}")]
+
     def delete(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.spark.sql(f"DROP VIEW IF EXISTS {self.name}")
+        for table in self._tables():
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
     def count(self) -> int:
         return self.spark.table(self.name).count()
 
-    def load(self, df: DataFrame, types: dict[str, T], row_id: str, overwrite: bool = True) -> int:
-        """Writes the documents; without ``overwrite`` those of known ids are replaced and the others stay. Returns their number."""
+    def load(self, df: DataFrame, types: dict[str, T], row_id: str, overwrite: bool = True) -> LoadResult:
+        """Writes the documents; without ``overwrite`` those of known ids are replaced and the others stay."""
+        began, old = time.time(), self._tables()
         new = documents(df, self.name, row_id)
+        offered = new.count()
         if self.exists() and not overwrite:
-            merged = f"{self.name}__next"
-            upsert(self.spark.table(self.name), new).write.mode("overwrite").saveAsTable(merged)
-            self.delete()
-            self.spark.sql(f"ALTER TABLE {merged} RENAME TO {self.name}")
-        else:
-            new.write.mode("overwrite").saveAsTable(self.name)
-        said = json.dumps(index_mapping(types)).replace("'", "\\'")
-        self.spark.sql(f"ALTER TABLE {self.name} SET TBLPROPERTIES ('mapping' = '{said}')")
-        return self.count()
+            new = upsert(self.spark.table(self.name), new)
+        table = f"{self.name}{_VERSION}{uuid.uuid4().hex}"
+        new.write.saveAsTable(table)
+        mapping = index_mapping(types)
+        self.spark.sql(f"CREATE OR REPLACE VIEW {self.name} TBLPROPERTIES ('mapping' = {sql_text(json.dumps(mapping))}) AS SELECT * FROM {table}")
+        for name in old:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        written = self.spark.table(self.name).join(documents(df, self.name, row_id).select("_id"), "_id", "left_semi").count()
+        seconds = round(time.time() - began, 3)
+        return LoadResult(written, offered - written, seconds, mapping, f"{written} of {offered} documents are in {self.name} after {seconds:.2f} s")
 
 
 def indices(spark: SparkSession) -> DataFrame:
     """Names and numbers of documents of all indexes of the session's catalog."""
-    names = [t.name for t in spark.catalog.listTables() if not t.isTemporary]
+    names = [t.name for t in spark.catalog.listTables() if t.tableType == "VIEW" and not t.isTemporary]
     out = spark.createDataFrame([], "index string, docs long")
     for name in names:
         if {"_index", "_id", "_source"} <= set(spark.table(name).columns):

@@ -34,4 +34,6 @@ def clean_stream(stream: DataFrame, plan: TablePlan, bounds: dict[str, tuple[flo
 
 def drop_repeats(stream: DataFrame, keys: list[str], event_time: str, delay: str = "10 minutes") -> DataFrame:
     """One row of each key within the delay; the state of older keys is dropped."""
+    if dict(stream.dtypes)[event_time] == "timestamp_ntz":
+        stream = stream.withColumn(event_time, F.col(f"`{event_time}`").cast("timestamp"))
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)

@@ -84,3 +84,26 @@ def test_numbers(spark):
     assert values(spark, casts.number, ["1d", "inf", "NaN", " 1.5 ", ".5", "1e3", "x", None]) == [None, None, None, 1.5, 0.5, 1000.0, None, None]
     doubles = spark.createDataFrame([(1e7,), (1234567890.5,), (0.0005,), (2.0,), (None,)], "x double")
     assert [r.y for r in doubles.select(casts.text(F.col("x"), "double").alias("y")).collect()] == ["10000000.0", "1234567890.5", "0.0005", "2.0", None]
+
+
+def test_dates_in_any_layout(spark):
+    from sparkloom.functions.dates import parse_date_text
+    from sparkloom.functions.normalize import clean_datetime
+
+    texts = ["Tuesday, 5 March 2024 14:30", "2024.03.05", "5th of March 2024", "March 2024", "14:30", "no date 1", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.d for r in df.select("i", clean_datetime(F.col("t"), any_layout=True).alias("d")).orderBy("i").collect()]
+    assert got == ["2024-03-05 14:30:00", "2024-03-05 00:00:00", "2024-03-05 00:00:00", None, None, None, None]
+    assert parse_date_text("March 2024") is None
+
+
+def test_e164_needs_its_package(spark):
+    import pytest
+
+    from sparkloom.functions.normalize import e164_phone
+
+    try:
+        import phonenumbers  # noqa: F401
+    except ImportError:
+        with pytest.raises(RuntimeError):
+            e164_phone(F.lit("1"))

@@ -3,7 +3,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import dedup, impute, outliers, profile, search, validate
+from sparkloom.operators import dedup, impute, outliers, profile, ranks, search, validate
 from sparkloom.plans.names import name_score
 from sparkloom.schemas import ColumnPlan, Impute, Outlier, TablePlan
 from sparkloom.schemas import SemanticType as T
@@ -80,6 +80,59 @@ def test_filling_is_the_same_for_any_partitioning(spark):
         expected = got
 
 
+def test_filling_keeps_rows_without_order(spark):
+    rows = [(None, None), (None, "z"), (2, None), (1, "a"), (3, None)]
+    df = spark.createDataFrame(rows, "i int, x string").repartition(3)
+    got = impute.fill_along(df, ["x"], "i").collect()
+    assert len(got) == 5 and {r.i: r.x for r in got if r.i} == {1: "a", 2: "a", 3: "a"} and all(r.x == "z" for r in got if r.i is None)
+    got = impute.fill_along(spark.createDataFrame([(None, "z"), (1, None)], "i int, x string").repartition(2), ["x"], "i").collect()
+    assert {r.i: r.x for r in got} == {None: "z", 1: "z"}
+
+
+def test_quantiles_and_modes_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    columns = {"a": rng.normal(size=997).round(2), "b": rng.integers(0, 5, 997).astype(float), "c": np.full(997, 3.0)}
+    rows = [tuple(None if i % 11 == k else float(v[i]) for k, v in enumerate(columns.values())) for i in range(997)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(5)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    got = {r.col_name: r.q for r in ranks.quantiles(ranks.ranked(ranks.numbers_of(df, ["a", "b", "c"])), shares).collect()}
+    for k, c in enumerate(columns):
+        assert np.allclose(got[c], np.quantile([r[k] for r in rows if r[k] is not None], shares))
+    words = spark.createDataFrame([("x", 1), ("y", 1), ("y", 2), ("x", 2), (None, 2)], "w string, n int")
+    assert ranks.modes(words, ["w", "n"]) == {"w": "x", "n": "2"} and ranks.modes(words, []) == {}
+    assert ranks.quantiles(ranks.ranked(ranks.numbers_of(df.limit(0), ["a"])), [0.5]).collect() == []
+
+
+def similar_by_loop(texts, threshold):
+    out = {}
+    for i, x in texts:
+        for j, y in texts:
+            if i < j and x.strip() and y.strip() and min(len(x), len(y)) / max(len(x), len(y)) >= 0.7 and name_score(x, y) >= threshold:
+                out[i, j] = round(name_score(x, y), 9)
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.45, 0.6, 0.8, 0.85, 0.92])
+def test_pairs_match_comparing_all(spark, threshold):
+    import random
+
+    rng = random.Random(int(threshold * 100))
+    base = ["anna khan", "bilal ahmed", "ab", "a", "zzzzzzzz", "the quick brown fox jumps", " padded name ", "Ünïcode ñame"]
+    names = [*base, "", "   ", None]
+    for _ in range(120):
+        x = list(rng.choice(base))
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randint(0, len(x))
+            x[at : at + rng.randint(0, 1)] = rng.choice(["", "z", "a", " ", "kh"])
+        names.append("".join(x))
+    df = spark.createDataFrame(list(enumerate(names)), "i int, x string")
+    got = {(r.a, r.b): round(r.score, 9) for r in dedup.similar_pairs(df, ["x"], "i", threshold).collect()}
+    # The library trims spaces, the loop all white space; the texts have no other.
+    assert got == similar_by_loop([(i, x or "") for i, x in enumerate(names)], threshold)
+
+
 def test_null_filters(spark):
     df = spark.createDataFrame([(1, None, None), (2, "a", None), (None, None, None)], "a int, b string, c string")
     assert impute.drop_null_columns(df).columns == ["a", "b"]
@@ -143,3 +196,11 @@ def test_profile_of_dirty_rows(spark):
     assert (age.min_value, age.max_value, age.median_value, age.unique_count, age.null_count) == (28.0, 145.0, 31.0, 3, 0)
     assert got["qqqq"].null_percentage == 1.0 and got["mob_number"].confidence_score >= 0.8
     assert profile.dataset_summary(df.union(df)).first().asDict() == {"row_count": 6, "duplicate_rows": 3, "col_count": 9}
+
+
+def test_reports(spark):
+    df = spark.createDataFrame([(0, "anna khan", 1), (1, "anna khann", 1), (2, "anna khan", 1), (3, None, None)], "i int, x string, n int")
+    assert dedup.dedup_report(df, "i", ["x"]).first().asDict() == {"initial_rows": 4, "exact_duplicates_removed": 1, "fuzzy_duplicates_removed": 1, "final_rows": 2}
+    plan = TablePlan({"x": ColumnPlan(T.CITY), "n": ColumnPlan(impute=Impute.CONSTANT, constant="none")})
+    got = {r.col_name: tuple(r)[1:] for r in impute.impute_report(df, plan, "i").collect()}
+    assert got == {"x": ("mode", 1, 1, "anna khan"), "n": ("constant", 1, 0, "none")}

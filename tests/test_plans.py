@@ -1,6 +1,6 @@
 from sparkloom.plans.cleaning import default_plan, index_mapping
 from sparkloom.plans.fuse import Evidence, decide
-from sparkloom.plans.names import levenshtein, match_name, name_score, token_ratio
+from sparkloom.plans.names import levenshtein, match_name, name_score, ontology_from, token_ratio
 from sparkloom.schemas import Impute, Outlier
 from sparkloom.schemas import SemanticType as T
 
@@ -8,7 +8,7 @@ from sparkloom.schemas import SemanticType as T
 def test_names():
     for name, kind, least in (
         ("mob_number", T.PHONE_PAKISTAN, 0.6), ("shanakhti_card", T.CNIC_PAKISTAN, 0.9), ("d_o_b", T.DATE, 0.9), ("duration", T.DURATION, 0.9),
-        ("Patient Age", T.AGE, 0.9), ("user-email", T.EMAIL, 0.9), ("shipping_city", T.CITY, 0.9),
+        ("Patient Age", T.AGE, 0.9), ("user-email", T.EMAIL, 0.85), ("shipping_city", T.CITY, 0.85),
     ):
         found, score = match_name(name)[0]
         assert (found, score >= least) == (kind, True), name
@@ -17,6 +17,12 @@ def test_names():
     assert match_name("نام")[0] == (T.PHONE_PAKISTAN, 0.85)
 
 
+def test_an_ontology_is_a_table(spark):
+    table = spark.createDataFrame([("city", "qasba"), ("city", "gaon"), ("age", "baras")], "type string, synonym string")
+    words = ontology_from(table)
+    assert words == {T.CITY: ("gaon", "qasba"), T.AGE: ("baras",)} and match_name("home_gaon", words)[0] == (T.CITY, 0.85)
+
+
 def test_scores():
     assert levenshtein("kitten", "sitting") == 3
     assert name_score("ip", "shipping") == 0.85

@@ -56,10 +56,34 @@ def test_row_ids_are_dense(spark):
     assert sorted(r._row_id for r in df.collect()) == list(range(34))
 
 
-def test_bulk_and_upsert(spark):
-    lines = ['{"index": {"_index": "i", "_id": "1"}}', '{"a": 1}', '{"delete": {"_id": "1"}}', "junk", "", '{"create": {"_index": "i"}}', '{"a": 2}', '{"index": {}}', "no object"]
-    df = spark.createDataFrame(list(enumerate(lines)), "line_no long, line string")
-    assert sorted((r._id or "", r._source) for r in sinks.parse_bulk(df).collect()) == [("", '{"a": 2}'), ("1", '{"a": 1}')]
+def bulk_of(lines):
+    """What a sequential reader makes of the lines."""
+    lines, out, i = [x.strip() for x in lines if x.strip()], [], 0
+    while i < len(lines):
+        try:
+            action = json.loads(lines[i])
+            kind = list(action)[0]
+            meta = action[kind]
+            target, doc = meta.get("_index", "generic_dataset").lower(), str(meta.get("_id", i // 2 + 1))
+            if kind in ("index", "create") and i + 1 < len(lines):
+                out.append((target, doc, json.loads(lines[i + 1])))
+                i += 1
+        except (ValueError, AttributeError, IndexError, TypeError):
+            pass
+        i += 1
+    return sorted(out, key=str)
+
+
+def test_bulk_is_the_sequential_reader(spark):
+    act = lambda k, **more: json.dumps({k: more})
+    lines = [act("index", _index="I", _id="1"), "", '{"a": 1}', act("delete", _id="1"), "junk", " ", act("create", _index="i"), '{"a": 2}', act("index"), "no object"]
+    lines += [act("index", _id="x"), act("index", _id="y"), act("create", _id="z"), act("index", _id="w"), act("create"), '{"b": [1]}', act("update", _id="1"), '{"c": 1}', act("index", _id="last")]
+    for shift in range(3):
+        df = spark.createDataFrame(list(enumerate(lines[shift:])), "line_no long, line string").repartition(5)
+        assert sorted(((r._index, r._id, json.loads(r._source)) for r in sinks.parse_bulk(df).collect()), key=str) == bulk_of(lines[shift:])
+
+
+def test_upsert(spark):
     old, new = (spark.createDataFrame(x, "_id string, _source string") for x in ([("1", "a"), ("2", "b")], [("2", "c"), ("3", "d")]))
     assert sorted(map(tuple, sinks.upsert(old, new).collect())) == [("1", "a"), ("2", "c"), ("3", "d")]
 
@@ -67,10 +91,12 @@ def test_bulk_and_upsert(spark):
 def test_index_tables(spark):
     index = sinks.Index(spark, "Test Index")
     index.delete()
+    assert not index.exists()
     df = spark.createDataFrame([(0, "a", None), (1, "b", 5)], "_row_id long, name string, n int")
-    assert not index.exists() and index.load(df, {"name": T.CITY, "n": T.AGE}, "_row_id") == 2
+    done = index.load(df, {"name": T.CITY, "n": T.AGE}, "_row_id")
+    assert (done.indexed, done.failed) == (2, 0) and "2 of 2" in done.message and done.mapping == index.mapping()
     assert index.mapping()["mappings"]["properties"]["n"] == {"type": "long"}
-    assert index.load(df.where("n = 5").withColumn("name", df.n.cast("string")), {"name": T.CITY}, "_row_id", overwrite=False) == 2
+    assert index.load(df.where("n = 5").withColumn("name", df.n.cast("string")), {"name": T.CITY}, "_row_id", overwrite=False).indexed == 1
     assert {(r._id, json.loads(r._source)["name"]) for r in spark.table(index.name).collect()} == {("1", "a"), ("2", "5")}
     assert sinks.indices(spark).where(f"index = '{index.name}'").first().docs == 2
     index.delete()
@@ -98,3 +124,22 @@ def test_long_first_records_and_late_characters(spark, tmp_path):
     assert df.count() == 8_001 and tuple(df.where("a <> 'plain'").first()) == ("café", "ü")
     path.write_text(";".join(f"column_{i}" for i in range(9_000)) + "\n" + ";".join("1" * 9_000) + "\n")
     assert len(readers.read_csv(spark, str(path)).columns) == 9_000
+
+
+def test_meta_rows_and_memory(spark, tmp_path):
+    path = readers.stored(spark, b"a;b\n1;2\n3;4\n5;6\n", "x.csv")
+    df, meta = readers.extract_with_meta(spark, path)
+    assert meta == {"format": "csv", "delimiter": ";", "encoding": "UTF-8", "row_count": 3, "col_count": 2}
+    assert readers.extract(spark, path, nrows=2).count() == 2 and readers.extract(spark, path, "tsv", delimiter=";").columns == ["a", "b"]
+    _, meta = readers.extract_with_meta(spark, readers.stored(spark, '{"a": {"b": 1}}\n{"a": {"b": 2}}\n', "y.json"), flat=False)
+    assert meta == {"format": "jsonl", "flattened": False, "row_count": 2, "col_count": 1}
+    spark.range(9).write.parquet(str(tmp_path / "z.parquet"))
+    assert readers.extract(spark, str(tmp_path / "z.parquet"), nrows=4).count() == 4
+
+
+def test_json_array(spark, tmp_path):
+    df = spark.range(50).selectExpr("id", "IF(id % 2 = 0, NULL, 'x') AS t").repartition(4)
+    for rows in (df, df.limit(0)):
+        sinks.write_json(rows, str(tmp_path / "a"), array=True)
+        text = "".join(p.read_text() for p in sorted((tmp_path / "a").glob("part-*")))
+        assert sorted(json.loads(text), key=str) == sorted((r.asDict() for r in rows.collect()), key=str)
