@@ -1,10 +1,8 @@
-"""Helpers shared by the text operators: reading tables, cutting lineage and Arrow stages."""
+"""Helpers shared by the text operators: reading tables, Arrow stages, and those of the library for tables in the shared folder."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -12,6 +10,13 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from ..functions.casts import free_name
+from ..sources.scratch import cut, discard, discard_since, ensure_checkpoint_dir, mark, remove, shared_path
+
+__all__ = [
+    "ascii_lower", "cut", "discard", "discard_since", "ensure_checkpoint_dir", "free_name", "map_arrow", "mark", "on_workers", "remove", "shared_path", "table", "texts_of",
+]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,32 +38,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; only a local session gets one of its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="sparkloom-checkpoint-")
-    sc.setCheckpointDir(named)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows as a table in the shared checkpoint folder and reads them from there.
-
-    A lost executor then costs no recomputation of what came before, and the rows are computed once (a checkpoint of the
-    RDD computes them twice).
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     on_workers(df.sparkSession)
     return df.mapInArrow(fn, schema)
@@ -69,6 +48,3 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
     for value in batch.column(column).cast(pa.large_binary()):
         yield value.as_py() or b""
 
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import cut, map_arrow, on_workers, table
+from .common import cut, free_name, map_arrow, on_workers, table
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -34,13 +34,16 @@ RETRIEVE_FROM = 0.5
 QUESTION_FROM = 0.5
 ANSWER_FROM = 0.5
 SHINGLE = 3
+#: Digits that scores are compared to, so that the order in which weights are added doesn't choose a passage.
+DIGITS = 9
 #: Items in a block of the index.
 BLOCK_ITEMS = 8
 #: Words from which a passage advances, at least; a passage has twice as many.
 STRIDE = 32
-#: Items of one index, about. A larger benchmark is split by a hash of the item into several, each with a pass of its own
-#: over the passages.
+#: Items, and words of items, of one index, about; they bound what is broadcast. A larger benchmark is split by a hash of the
+#: item into several, each with a pass of its own over the passages.
 INDEX_ITEMS = 20_000
+INDEX_WORDS = 2_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -229,7 +232,7 @@ def find_in_text(text: str | None, index: Index, gate: Gate) -> list[tuple[int,
                 there = sum(s in own if len(s) == SHINGLE else all(w in whole for w in s) for s in side)
                 overlaps.append(there / len(side) if side else 1.0)
             if overlaps[0] >= QUESTION_FROM and overlaps[1] >= ANSWER_FROM:
-                best[d] = max(best.get(d, (-1.0,)), (score, -begin, *overlaps))
+                best[d] = max(best.get(d, (-1.0,)), (round(score, DIGITS), -begin, *overlaps))
     return [(index.items[d], -b, s, q, a) for d, (s, b, q, a) in sorted(best.items())]
 
 
@@ -253,7 +256,7 @@ def indexes(benchmark: DataFrame) -> tuple[DataFrame, int]:
     items = benchmark.select("item_id", "text").where("item_id IS NOT NULL").distinct()
     items = cut(map_arrow(items, _item_terms, "item_id long, text string, n_words long, terms array<string>").where("n_words > 0"))
     n, words, longest = items.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.max("n_words"), F.lit(0))).first()
-    parts = max(1, -(-n // INDEX_ITEMS))
+    parts = max(1, -(-n // INDEX_ITEMS), -(-words // INDEX_WORDS))
     placed = items.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int").alias("part"), "item_id", "text", "terms")
     terms = placed.select("part", F.explode("terms").alias("term"))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -304,17 +307,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Words are runs of letters, digits and underscores, lower-cased. Of several passages that hold an item the one with the
     highest score counts, then the earliest. Null or empty texts hold nothing; items without words or without id are never
-    found; a repeated item row is reported once, a repeated document row each time. One index of about INDEX_ITEMS items
-    goes through the driver and is broadcast at a time; a larger benchmark makes several, all with the statistics of the
-    whole. ``docs`` is read for doc_id and text only.
+    found; a repeated item row is reported once, a repeated document row each time. Of items that score alike all are
+    found. Long texts are searched whole, passage by passage. Empty tables give an empty result. One index of about
+    INDEX_ITEMS items and INDEX_WORDS words goes through the driver and is broadcast at a time; a larger benchmark makes
+    several, all with the statistics of the whole. ``docs`` is read for doc_id and text only.
     """
     return _leaks(docs, benchmark).drop("text_sha256")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, with their columns; each row is decided by its own text, whatever its id."""
-    leaks = _leaks(docs, benchmark).select(F.col("doc_id").alias("_leak_id"), F.col("text_sha256").alias("_leak_sha")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_leak_id")) & (F.sha2(docs["text"], 256) == F.col("_leak_sha"))
+    """The rows of ``docs`` that hold no test item, with their columns of any name; each is decided by its own text, whatever its id.
+
+    Rows of null or empty text stay. An empty benchmark drops nothing.
+    """
+    key, digest = free_name(docs, "_leak_id"), free_name(docs, "_leak_sha")
+    leaks = _leaks(docs, benchmark).select(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest)).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col(key)) & (F.sha2(docs["text"], 256) == F.col(digest))
     return docs.join(leaks.hint("shuffle_hash"), same, "left_anti")
 
 
@@ -340,4 +348,46 @@ def brute_force(docs: list[tuple[int, str | None]], rows: list[tuple[int, str |
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("score", F.round("score", 6))
+
+
+def _sql_split(mark: str, rest: str) -> str:
+    """SQL: question and answer of a text t by its last mark, if the question has words enough and the answer any."""
+    parts = [f"regexp_extract(t, '(?s)^(.*){mark}(.*)$', {i})" for i in (1, 2)]
+    words = [f"regexp_extract_all(lower({p}), '{_SQL_WORD}')" for p in parts]
+    return f"CASE WHEN regexp_matches(t, '{mark}') AND len({words[0]}) >= {SHINGLE} AND len({words[1]}) >= 1 THEN [{words[0]}, {words[1]}] ELSE {rest} END"
+
+
+_SQL_WORD = r"[\p{L}\p{N}_]+"
+_SQL_HALVES = "[w[1:((len(w) + 1) // 2)], w[((len(w) + 1) // 2 + 1):len(w)]]"
+
+
+def _sql_shingles(words: str) -> str:
+    return f"list_distinct(list_transform(range(1, greatest(1, len({words}) - {SHINGLE - 1}) + 1), lambda i: array_to_string({words}[i:(i + {SHINGLE - 1})], ' ')))"
+
+
+def _sql_overlap(side: str) -> str:
+    """SQL: the share of a side's shingles that the passage p has; of a side too short for one, whether it has all its words."""
+    short = f"CASE WHEN list_has_all(p, {side}) THEN 1.0 ELSE 0.0 END"
+    return f"CASE WHEN len({side}) = 0 THEN 1.0 WHEN len({side}) < {SHINGLE} THEN {short} ELSE len(list_intersect({_sql_shingles(side)}, {_sql_shingles('p')})) / len({_sql_shingles(side)}) END::double"
+
+
+#: The same by scoring every passage against every item that shares a word with it.
+OP2_SQL = f"""
+WITH i AS (SELECT row_number() OVER () AS n, item_id, w, {_sql_split("[?]", _sql_split("[\\n]", _sql_split("[.] ", _SQL_HALVES)))} AS sides
+  FROM (SELECT item_id, regexp_extract_all(lower(text), '{_SQL_WORD}') AS w, regexp_replace(trim(text, E' \\n\\t\\r'), '[.? \\n]+$', '') AS t FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)) WHERE len(w) > 0),
+s AS (SELECT count(*) AS items, avg(len(w)) AS mean, greatest({STRIDE}, max(len(w))) AS stride FROM i),
+c AS (SELECT n, unnest(w) AS term, len(w) AS size FROM i), f AS (SELECT n, term, size, count(*) AS tf FROM c GROUP BY n, term, size),
+df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+x AS (SELECT n, term, ln(1 + (items - df + 0.5) / (df + 0.5)) * tf * ({K1} + 1) / (tf + {K1} * (1 - {B} + {B} * size / mean)) AS x FROM f JOIN df USING (term), s),
+v AS (SELECT n, term, x / sum(x) OVER (PARTITION BY n) AS v FROM x),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '{_SQL_WORD}') AS w FROM documents WHERE text <> ''),
+l AS (SELECT doc_id, w, stride, greatest(0, ceil((len(w) - stride) / stride) - 1)::bigint AS last FROM d, s WHERE len(w) > 0),
+b AS (SELECT doc_id, w, stride, last, unnest(range(0, last + 1)) AS k FROM l),
+p AS (SELECT doc_id, k * stride AS start, w[(k * stride + 1):(CASE WHEN k = last THEN len(w) ELSE (k + 2) * stride END)] AS p FROM b),
+q AS (SELECT doc_id, start, unnest(list_distinct(p)) AS term FROM p),
+h AS (SELECT doc_id, start, n, round(sum(v), {DIGITS}) AS score FROM q JOIN v USING (term) GROUP BY doc_id, start, n HAVING sum(v) >= {RETRIEVE_FROM} - 1e-9),
+o AS (SELECT doc_id, item_id, n, start, score, {_sql_overlap("sides[1]")} AS question_overlap, {_sql_overlap("sides[2]")} AS answer_overlap FROM h JOIN p USING (doc_id, start) JOIN i USING (n)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY score DESC, start) AS place FROM o WHERE question_overlap >= {QUESTION_FROM} AND answer_overlap >= {ANSWER_FROM})
+SELECT doc_id, item_id, start::int AS passage_start, round(score, 6) AS score, question_overlap, answer_overlap FROM r WHERE place = 1
+"""

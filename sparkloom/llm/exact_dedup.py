@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ascii_lower, cut, map_arrow, table, texts_of
+from .common import ascii_lower, cut, free_name, map_arrow, table, texts_of
 
 #: Leading bits of a fingerprint that choose the slice which one merge task handles.
 SLICE_BITS = 10
@@ -118,7 +118,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty, and all empty texts are equal. Of
     equal texts the largest doc_id stays (null ids count as smaller than all others). Rows repeated with the same doc_id
-    are counted one by one and marked alike. ``route`` is ``verify`` where the filters counted the fingerprint more than
+    are counted one by one and marked alike. Long texts are hashed and compared whole. ``route`` is ``verify`` where the filters counted the fingerprint more than
     once and the bytes were compared, else ``unique``. Further columns of ``docs`` are not read. An empty input gives an
     empty result.
     """
@@ -149,17 +149,19 @@ def drop_exact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows repeated in doc_id and text one stays.
 
     Rows are decided by doc_id and normalised text together, so neither null nor repeated ids stand for each other's texts.
+    Columns of any name pass through. An empty table gives an empty result.
     """
-    kept = exact_groups(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("_n"))
-    kept = cut(kept.select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"), "_n"))
+    key, digest, n = (free_name(docs, x) for x in ("_keep_id", "_keep_sha", "_n"))
+    kept = exact_groups(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias(n))
+    kept = cut(kept.select(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest), n))
     sha = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
-    rows = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_keep_id")) & (sha == F.col("_keep_sha")))
-    once = rows.where("_n = 1").select(*(docs[x] for x in docs.columns))
+    rows = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col(key)) & (sha == F.col(digest)))
+    once = rows.where(F.col(n) == 1).select(*(docs[f"`{x}`"] for x in docs.columns))
     # Only if an id repeats with its text do the rows have to meet again.
-    if kept.where("_n > 1").isEmpty():
+    if kept.where(F.col(n) > 1).isEmpty():
         return once
-    repeated = rows.where("_n > 1").dropDuplicates(["_keep_id", "_keep_sha"])
-    return once.unionByName(repeated.select(*(docs[x] for x in docs.columns)))
+    repeated = rows.where(F.col(n) > 1).dropDuplicates([key, digest])
+    return once.unionByName(repeated.select(*(docs[f"`{x}`"] for x in docs.columns)))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

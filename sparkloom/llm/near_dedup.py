@@ -28,7 +28,7 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import cut, map_arrow, table
+from .common import cut, discard, free_name, map_arrow, table
 from .url_filter import connected_components
 
 WORDS = 5
@@ -350,8 +350,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its class, with their columns; rows without id stay."""
-    gone = near_classes(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs.doc_id == gone["_gone_id"], "left_anti")
+    key = free_name(docs, "_gone_id")
+    gone = near_classes(docs).where("doc_id <> class_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col(key), "left_anti")
 
 
 def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, int]:

@@ -137,39 +137,38 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to items (doc_id, piece, length of 1 to capacity, and further columns).
 
     Items of a sequence lie without gaps from 0 and take at most ``capacity``. Every row is placed, repeated rows one by
-    one; which of several items of equal length goes where follows doc_id and piece (nulls first). Empty input, empty
-    result. The items are written to the checkpoint folder once.
+    one; which of several items of equal length goes where follows doc_id and piece (nulls first). Further columns
+    pass through, but for such named sequence_id or offset, which are replaced. Empty input, empty result. The items are
+    written to the shared folder once.
     """
     spark = items.sparkSession
     items = cut(items)
+    kept = [c for c in items.columns if c.lower() not in ("sequence_id", "offset")]
     # At most ``capacity`` rows, whatever the input.
     histogram = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = spark.createDataFrame(
         place_rows(plan_groups(histogram, capacity)) or [(0, 0, 0, 0, 0)],
-        "_length long, _first long, _n long, _sequence long, _offset long",
+        "size long, first long, n long, sequence long, offset long",
     )
     # Items of one length are numbered in salted parts, each from the count of the parts before it.
     salts = max(64, max(histogram.values(), default=0) // ROWS_PER_SALT)
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = items.select(
+        F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col("length").cast("long").alias("size"), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).alias("salt")
+    )
     before = (
-        salted.groupBy("length", "_salt")
-        .agg(F.count(F.lit(1)).alias("_count"))
-        .select("length", "_salt", (F.sum("_count").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_count")).alias("_before"))
+        salted.groupBy("size", "salt")
+        .agg(F.count(F.lit(1)).alias("count"))
+        .select("size", "salt", (F.sum("count").over(Window.partitionBy("size").orderBy("salt")) - F.col("count")).alias("before"))
     )
-    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
-    numbered = salted.withColumn("_own", F.row_number().over(within)).join(before, ["length", "_salt"])
-    numbered = numbered.withColumn("_number", F.col("_before") + F.col("_own") - 1)
+    within = Window.partitionBy("size", "salt").orderBy("row.doc_id", "row.piece")
+    numbered = salted.withColumn("own", F.row_number().over(within)).join(before, ["size", "salt"])
+    numbered = numbered.select("row", "size", (F.col("before") + F.col("own") - 1).alias("number"))
     # Each length's places, in the order of their first numbers. The plan has a bounded number of rows (see place_rows).
-    by_length = places.groupBy("_length").agg(F.sort_array(F.collect_list(F.struct("_first", "_n", "_sequence", "_offset"))).alias("_places"))
-    placed = numbered.join(F.broadcast(by_length), numbered.length == by_length["_length"])
-    at = F.filter("_places", lambda p: (p["_first"] <= F.col("_number")) & (F.col("_number") < p["_first"] + p["_n"]))[0]
-    return (
-        placed.withColumn("_at", at)
-        .select(
-            *(F.col(c) for c in items.columns),
-            (F.col("_at._sequence") + F.col("_number") - F.col("_at._first")).alias("sequence_id"),
-            F.col("_at._offset").alias("offset"),
-        )
+    by_length = places.groupBy("size").agg(F.sort_array(F.collect_list(F.struct("first", "n", "sequence", "offset"))).alias("places"))
+    placed = numbered.join(F.broadcast(by_length), "size")
+    at = F.filter("places", lambda p: (p["first"] <= F.col("number")) & (F.col("number") < p["first"] + p["n"]))[0]
+    return placed.withColumn("at", at).select(
+        *(F.col("row")[c].alias(c) for c in kept), (F.col("at.sequence") + F.col("number") - F.col("at.first")).alias("sequence_id"), F.col("at.offset").alias("offset")
     )
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import map_arrow, table, texts_of
+from .common import free_name, map_arrow, table, texts_of
 
 BUCKETS = 1 << 13
 #: Dimensions of the latent space.
@@ -31,7 +31,7 @@ NEIGHBOURS = 15
 SHARPNESS = 4
 #: A document is kept from this score on.
 KEEP_FROM = 0.3
-#: Name of the added column, chosen not to clash.
+#: Name of the added column, unless the input has one of that name.
 SCORE = "_quality_score"
 #: Documents whose cosines are computed at a time.
 BLOCK = 512
@@ -159,7 +159,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = LABELLE
         part = known.where(F.col("quality") == quality).orderBy(order, "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = chosen.withColumnRenamed("doc_id", "_id")  # at most 2 * per_class rows
-    return docs.join(F.broadcast(chosen), docs.doc_id == chosen["_id"]).select("doc_id", "text", "quality").orderBy("doc_id").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == chosen["_id"])
+    # Of documents that share an id the text that comes first counts, so that the bound holds.
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality")).orderBy("doc_id").collect()
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED_PER_CLASS) -> Model:
@@ -168,38 +170,41 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED_PER_CLAS
     return fit([(r["text"] or "").encode() for r in rows], [r["quality"] for r in rows], df, total)
 
 
-def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds SCORE to every row of ``docs``, whose other columns pass through; a text without words scores 0."""
+def with_scores(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """Adds the score as a column that ``docs`` doesn't have; its columns pass through, and a text without words scores 0."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by BUCKETS * RANK and the sample
-    names = docs.columns
+    at, n = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordBuckets()
         for batch in batches:
             for begin in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(begin, BLOCK)
-                scores = shared.value.vote(shared.value.project([term_counts(t, cache) for t in texts_of(part)]))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(scores, pa.float64())], names=[*names, SCORE])
+                texts = pa.RecordBatch.from_arrays([part.column(at)], names=["text"])
+                scores = shared.value.vote(shared.value.project([term_counts(t, cache) for t in texts_of(texts)]))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), pa.array(scores, pa.float64())], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(SCORE, DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (1 from KEEP_FROM on).
 
-    Null and empty texts score 0. Only ``doc_id`` and ``text`` are read, and of ``labels`` the quality of rows that are not
-    held out (a null id counts as held out). Of several labels for a document the larger counts. Without labels all score 0.
+    Null and empty texts score 0; long texts are read whole. Only ``doc_id`` and ``text`` are read, and of ``labels`` the
+    quality of rows that are not held out (a null id counts as held out). Of several labels for a document the larger counts,
+    of labelled rows that share an id the text that comes first. Of labelled texts that are equally near any may vote.
+    Without labels all score 0. An empty table gives an empty result.
     """
     rows = docs.select("doc_id", "text")
-    scored = with_scores(rows, train(rows, labels)).drop("text")
+    scored = with_scores(rows, train(rows, labels), SCORE).drop("text")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= KEEP_FROM).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score KEEP_FROM or more, with their columns."""
-    model = train(docs, labels)
-    return with_scores(docs, model).where(F.col(SCORE) >= KEEP_FROM).select(*docs.columns)
+    """The rows of ``docs`` that score KEEP_FROM or more, with their columns of any name."""
+    name = free_name(docs, SCORE)
+    return with_scores(docs, train(docs, labels), name).where(F.col(name) >= KEEP_FROM).select(*(f"`{c}`" for c in docs.columns))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

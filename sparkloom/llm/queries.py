@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from .decontamination import op2_decontamination
+from .decontamination import OP2_SQL, op2_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
-from .license_scan import op7_license_scan
+from .license_scan import OP7_SQL, op7_license_scan
 from .lm_scoring import op3_lm_scoring
 from .near_dedup import op6_near_dedup
 from .packing import op1_best_fit_packing
 from .quality import op10_quality_classifier
-from .substring_dedup import op4_substring_dedup
+from .substring_dedup import OP4_SQL, op4_substring_dedup
 from .token_counts import op9_token_counts
 from .url_filter import OP8_SQL, op8_url_filter
 
@@ -27,6 +27,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_decontamination": OP2_SQL,
+    "op4_substring_dedup": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op7_license_scan": OP7_SQL,
     "op8_url_filter": OP8_SQL,
 }

@@ -250,13 +250,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A window counts as repeated if its words also start in a document with a smaller doc_id, judged on the input; repeats
     within one document alone stay. A null or empty text, or one with fewer words than a window, has nothing to remove. A
     document without id takes no part: nothing of it is removed and it makes nothing else a repeat. Rows repeated with the
-    same doc_id share their removals. Further columns of ``docs`` are not read.
+    same doc_id share their removals. Of documents that hold a window the one with the smallest id keeps it, so ties don't
+    arise. Long texts are read whole. An empty table gives an empty result. Further columns of ``docs`` are not read.
     """
     found = repeated_starts(docs, window).groupBy("doc_id").agg(F.collect_list("repeated").alias("repeated"))
     found = found.select(F.col("doc_id").alias("_id"), "repeated")
-    # The lists of starts are the small side: they are hashed, and the texts stream past without a sort.
     rows = docs.select("doc_id", "text")
-    joined = rows.join(found.hint("shuffle_hash"), rows.doc_id == found["_id"], "left").select("doc_id", "text", "repeated")
+    joined = rows.join(found, rows.doc_id == found["_id"], "left").select("doc_id", "text", "repeated")
     return map_arrow(
         joined, _remove(window), "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<begin:int,end:int>>"
     )
@@ -267,6 +267,19 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+#: The same by comparing the windows' words themselves.
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i, len(w) AS n FROM d),
+k AS (SELECT doc_id, x, i, CASE WHEN i <= n - 12 THEN string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) END AS k FROM t),
+f AS (SELECT k, min(doc_id) AS first FROM k WHERE k IS NOT NULL GROUP BY k),
+r AS (SELECT k.doc_id, x, i, coalesce(first < k.doc_id, false) AS again FROM k LEFT JOIN f USING (k)),
+c AS (SELECT doc_id, x, i, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM r),
+g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def brute_force(docs: list[tuple[int, str | None]], window: int = WINDOW) -> dict[int, tuple[int, int, str]]:
     """The same by comparing the words themselves; for tests."""
     words = {d: (t or "").encode().split() for d, t in docs}

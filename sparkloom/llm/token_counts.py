@@ -8,15 +8,17 @@ committed batches; they are additive, so batches can be compacted into one at an
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyspark.sql.functions as F
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import cut, ensure_checkpoint_dir, map_arrow, table
+from .common import cut, discard, map_arrow, shared_path, table
 from .tokens import default_ranks, token_ids
 
 KEYS = ("source", "lang", "version")
@@ -75,31 +77,81 @@ def delta(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Committed batches as a table partitioned by batch id, in a folder that the cluster shares."""
+    """Committed batches in a folder that the cluster shares.
+
+    Each write has a folder of its own; a manifest names the folder in force of each batch id. A commit writes the sums,
+    then the next manifest, which comes into being whole, so readers see the batch as it was or as it is, and a crash before
+    that leaves what was. Of two commits at a time the slower one starts its manifest again from the other's.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._fs = self._at("manifests").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._hadoop.Path(f"{self.path}/{name}")
+
+    def manifest(self) -> tuple[int, dict[str, str]]:
+        """The number of the manifest in force and its folders by batch id, a line a batch."""
+        folder = self._at("manifests")
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        last = max((int(n) for n in names if n.isdigit()), default=0)
+        if not last:
+            return 0, {}
+        stream = self._fs.open(self._at(f"manifests/{last:012d}"))
+        try:
+            return last, json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def _publish(self, number: int, folders: dict[str, str]) -> bool:
+        """Whether the manifest of this number is ours now; no other is written over."""
+        draft, final = self._at(f"manifests/draft-{uuid.uuid4().hex}"), self._at(f"manifests/{number:012d}")
+        stream = self._fs.create(draft)
+        stream.write(json.dumps(folders).encode())
+        stream.close()
+        none = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 0)
+        try:
+            self._hadoop.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, final, none)
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            self._fs.delete(draft, False)
+            return False
 
     def commit(self, batch_id: str, sums: DataFrame) -> None:
-        """Writes a batch's delta in place of those committed under this id before; a rerun leaves the same table."""
-        if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch_id):
-            raise ValueError("a batch id has letters, digits, dots, dashes and underscores only")
-        sums.select(*KEYS, "documents", "tokens").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        """Puts a batch's delta in place of the one committed under this id before; a rerun leaves the same totals."""
+        folder = f"sums/{uuid.uuid4().hex}"
+        sums.select(F.lit(batch_id).alias("batch_id"), *KEYS, "documents", "tokens").coalesce(1).write.parquet(f"{self.path}/{folder}")
+        while True:
+            number, folders = self.manifest()
+            if self._publish(number + 1, folders | {batch_id: folder}):
+                return
 
     def batches(self) -> DataFrame:
         """batch_id and its sums; empty before the first commit."""
-        try:
-            return self.spark.read.schema(f"{SUMS}, batch_id string").parquet(self.path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], f"{SUMS}, batch_id string")
-            raise
+        _, folders = self.manifest()
+        schema = f"batch_id string, {SUMS}"
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in folders.values()))
 
     def totals(self) -> DataFrame:
         """Documents and tokens by source, language and version; keys whose documents and tokens are all gone are left out."""
         sums = self.batches().groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         return sums.where("documents <> 0 OR tokens <> 0")
 
+    def vacuum(self) -> None:
+        """Deletes the writes and manifests that are no longer in force; for times without readers or commits."""
+        number, folders = self.manifest()
+        keep = {f.split("/")[1] for f in folders.values()} | {f"{number:012d}"}
+        for name in ("sums", "manifests"):
+            for f in self._fs.listStatus(self._at(name)) if self._fs.exists(self._at(name)) else ():
+                if f.getPath().getName() not in keep:
+                    self._fs.delete(f.getPath(), True)
+
 
 def redacted(text):
     """A text without e-mail addresses and with single spaces, for revisions."""
@@ -109,7 +161,8 @@ def redacted(text):
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted, those labelled toxic deleted and those labelled of low quality revised (redacted).
 
-    The first batch is sent twice. The result is the totals.
+    The first batch is sent twice. The result is the totals. A null text counts as empty, a long one whole; rows that repeat
+    are inserted, deleted and revised each; documents without id keep what was inserted; an empty table gives no rows.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     labels = table(spark, sf_dir, "labels").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
@@ -123,17 +176,21 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("old_text"),
         F.when(F.coalesce(F.col("toxic"), F.lit(0)) == 0, redacted(F.coalesce("text", F.lit("")))).alias("new_text"),
     )
-    return totals_of(spark, {"0": counted(inserts), "1": counted(later), "0-again": None})
-
-
-def totals_of(spark: SparkSession, feed: dict[str, DataFrame | None]) -> DataFrame:
-    """Commits the batches in order (an id with ``-again`` resends that batch) and returns the totals."""
-    ensure_checkpoint_dir(spark)
-    rollup = Rollup(spark, f"{spark.sparkContext.getCheckpointDir()}/token-counts-{uuid.uuid4().hex}")
-    sent = {}
-    for batch_id, changes in feed.items():
-        name = batch_id.removesuffix("-again")
-        if changes is not None:
-            sent[name] = cut(delta(changes))
-        rollup.commit(name, sent[name])
+    first = counted(inserts)
+    return totals_of(spark, [("0", first), ("1", counted(later)), ("0", first)])
+
+
+def totals_of(spark: SparkSession, feed: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Commits the batches (id, changes) in order, in a rollup of their own, and returns the totals.
+
+    A batch that is sent again is summed once. Null sources, languages and versions are keys like others; no changes give no
+    totals.
+    """
+    rollup = Rollup(spark, shared_path(spark, "token-counts"))
+    sums: dict[int, DataFrame] = {}
+    for batch_id, changes in feed:
+        if id(changes) not in sums:
+            sums[id(changes)] = cut(delta(changes))
+        rollup.commit(batch_id, sums[id(changes)])
+    discard(*sums.values())
     return rollup.totals()

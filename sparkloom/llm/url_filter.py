@@ -1,9 +1,10 @@
 """URL rules whose block decisions reach a page's aliases.
 
-Explicit rules name a host and a path prefix; the longest that fits decides. Pages that stand for the same resource are
-aliases: a redirect joins a url to the one it leads to, a canonical link joins a page to the one it names. Connected
-components over these edges, computed by randomised contraction in DataFrame operations alone, pass a block on to every
-page of the component without a rule of its own, unless a page there is explicitly allowed.
+Explicit rules name a host and a path prefix; the longest that fits decides. Urls that stand for the same resource are
+aliases: every url leads to its normalised form, as servers redirect it, a redirect joins a url to the one it leads to, and
+a canonical link or a refresh joins a page to the ones it names. Connected components over these edges, computed by
+randomised contraction in DataFrame operations alone, pass a block on to every page of the component without a rule of its
+own, unless a url there is explicitly allowed.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import ascii_lower, cut, table
+from .common import ascii_lower, cut, discard, table
 
 #: (verdict, host, path)
 RULES = (
@@ -23,6 +24,11 @@ RULES = (
 )
 #: Query parameters that do not choose the resource.
 TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)"
+#: Tags that name another url, the attribute that tells them from others of their kind, and where the url stands in them.
+LINKS = (
+    ("anonical", r"(?is)<link\b[^>]*>", r"(?is)\brel\s*=\s*[\"']?canonical", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"),
+    ("efresh", r"(?is)<meta\b[^>]*>", r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"),
+)
 
 
 def host_of(url: Column) -> Column:
@@ -45,56 +51,72 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def canonical_url(url: Column) -> Column:
-    """Where servers commonly redirect a url: one scheme, no fragment, tracking parameters, index file, .html or last slash."""
+    """Where servers commonly redirect a url: no scheme, fragment, tracking parameters, index file, .html or last slash."""
     path = F.regexp_replace(path_of(url), r"(?:/index)?\.html?$|/+$", "")
     query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
     kept = F.filter(F.split(query, "&"), lambda q: (q != "") & ~q.rlike("^" + TRACKING + "(?:=|$)"))
     return F.concat(host_of(url), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(kept), "&"))).otherwise(F.lit("")))
 
 
-def link_of(html: Column, kind: str) -> Column:
-    """The absolute url that a page's canonical link or its refresh names; empty if it has none."""
-    if kind == "canonical":
-        tag = F.regexp_extract(html, r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical)[^>]*>", 0)
-        return F.regexp_extract(tag, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+://[^\"'\s>]*)", 1)
-    tag = F.regexp_extract(html, r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh)[^>]*>", 0)
-    return F.regexp_extract(tag, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>;]+://[^\"'\s>;]*)", 1)
-
-
-def alias_edges(pages: DataFrame) -> DataFrame:
-    """src, dst: each page's node to the node of its canonical form, and that to what its links name. Nodes are hashed urls."""
-    html = F.coalesce("html", F.lit(""))
-    # Most pages have neither tag; a plain search for the words spares them the patterns.
-    low = html.contains("anonical") | html.contains("ANONICAL")
-    refresh = html.contains("efresh") | html.contains("EFRESH")
-    targets = F.array(
-        canonical_url(F.col("url")),
-        F.when(low, canonical_url(link_of(html, "canonical"))),
-        F.when(refresh, canonical_url(link_of(html, "refresh"))),
-    )
-    own = canonical_url(F.col("url"))
-    named = F.filter(targets, lambda t: t.isNotNull() & (t != ""))
+def resolved(link: Column, url: Column) -> Column:
+    """The absolute url that a link on the page ``url`` names; null for other schemes and for a place on the page itself."""
+    host = F.concat(F.lit("http://"), host_of(url))
+    folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
     return (
-        pages.where("url IS NOT NULL")
-        .select(own.alias("_own"), F.explode(named).alias("_to"))
-        .where("_own <> _to AND _own <> ''")
-        .select(node(F.col("_own")).alias("src"), node(F.col("_to")).alias("dst"))
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.startswith("//"), F.concat(F.lit("http:"), link))
+        .when(link.startswith("/"), F.concat(host, link))
+        .when(link.startswith("?"), F.concat(host, path_of(url), link))
+        .when(~link.rlike(r"^(?:#|[A-Za-z][A-Za-z0-9+.-]*:)"), F.concat(host, F.when(folder == "", "/").otherwise(folder), link))
     )
 
 
+def links_of(html: Column, url: Column) -> Column:
+    """The absolute urls that the canonical links and refreshes of a page name, however many."""
+
+    def named(word: str, tag: str, kind: str, href: str) -> Column:
+        tags = F.filter(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: t.rlike(kind))
+        urls = F.filter(F.transform(tags, lambda t: resolved(F.regexp_extract(t, href, 1), url)), lambda x: x.isNotNull() & (x != ""))
+        # Most pages have neither tag; a plain search for the word spares them the patterns.
+        return F.when(html.contains(word) | html.contains(word.upper()), urls).otherwise(F.expr("cast(array() as array<string>)"))
+
+    return F.concat(*(named(*link) for link in LINKS))
+
+
 def node(c: Column) -> Column:
     """128 bits of a url's hash, as text."""
     return F.md5(c.cast("binary"))
 
 
+def joined_urls(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+    """url and target: each page's url with null and with every url that it names, and the redirects (src, dst)."""
+    has = F.contains("url", F.lit("://"))
+    rows = pages.where(has).select("url", F.explode(F.concat(F.array(F.lit(None).cast("string")), links_of(F.coalesce("html", F.lit("")), F.col("url")))).alias("target"))
+    if redirects is not None:
+        ends = redirects.select(F.col("src").alias("url"), F.col("dst").alias("target"))
+        rows = rows.unionByName(ends.where(has).withColumn("target", F.when(F.contains("target", F.lit("://")), F.col("target"))))
+    return rows
+
+
+def alias_edges(urls: DataFrame) -> DataFrame:
+    """src, dst of (url, target): every url to its normalised form, and to that of its target. Nodes are hashed urls."""
+    own, to = F.col("url"), F.col("target")
+    plain = F.struct(node(own).alias("src"), node(canonical_url(own)).alias("dst"))
+    named = F.struct(node(canonical_url(own)).alias("src"), node(canonical_url(to)).alias("dst"))
+    edges = F.array(plain, F.when(to.isNotNull() & (canonical_url(to) != canonical_url(own)), named))
+    return urls.select(F.inline(F.filter(edges, lambda e: e.isNotNull())))
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node, component (the smallest node in it) of every node that an edge names.
 
     In each round every node takes the smallest of its neighbours and itself; the edges between the chosen nodes make the
     next, smaller graph. Even rounds compare the names, which ends stars at once; odd ones compare hashed names, salted by
-    the round, so that the rounds grow with the logarithm of the nodes only, whatever the graph's diameter. Nothing but one truth value a round reaches the driver. Null ends are left out.
+    the round, so that the rounds grow with the logarithm of the nodes only, whatever the graph's diameter. Nothing but one
+    truth value a round reaches the driver. Null ends are left out. The tables of earlier rounds are deleted.
     """
     left = cut(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL").distinct())
+    first = left
     labels = left.select(F.col("u").alias("node")).union(left.select("v")).distinct().withColumn("label", F.col("node"))
     k = 0
     while not left.where("u <> v").isEmpty():
@@ -106,47 +128,54 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             .agg(F.min(order("v")).alias("near"))
             .select(F.col("u").alias("from"), F.least(F.col("near"), order("u"))["to"].alias("to"))
         )
+        before = labels
         labels = cut(
             labels.join(chosen, labels.label == chosen["from"], "left").select("node", F.coalesce("to", "label").alias("label"))
         )
         step = left.where("u <> v").join(chosen.select(F.col("from").alias("u"), F.col("to").alias("u2")), "u")
         step = step.join(chosen.select(F.col("from").alias("v"), F.col("to").alias("v2")), "v")
-        left = cut(step.select(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v")).where("u <> v").distinct())
+        last, left = left, cut(step.select(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v")).where("u <> v").distinct())
+        discard(before, chosen, last)
         k += 1
+    if left is not first:
+        discard(left)
     smallest = labels.groupBy("label").agg(F.min("node").alias("component"))
     return labels.join(smallest, "label").select("node", "component")
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, component, reason.
 
     The reason is ``rule`` where a rule decides, ``alias`` where a component's explicit decision does (allow before
-    block), else ``default`` (allow). Pages of equal canonical url share a component; so do those that links join. Null
-    urls, and such without ://, have empty host and path, no aliases and the verdict allow. Null page_ids and repeated rows
-    pass through. Further columns are not read.
+    block), else ``default`` (allow). Explicit decisions are those on the urls of pages, on urls that they name and on both
+    ends of ``redirects`` (src, dst). Null urls, and such without ://, have empty host and path, no aliases and the verdict
+    allow. Links relative to the page are resolved; a page may name several urls. Urls and html of any length are read whole.
+    Null page_ids and repeated rows pass through; an empty table gives an empty result. Further columns are not read.
     """
-    own = canonical_url(F.col("url"))
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = pages.select(
-        "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.when(own != "", node(own)).alias("_node")
+        "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.when(F.contains("url", F.lit("://")), node(F.col("url"))).alias("_node")
     ).select("*", text.alias("rule"), verdict.alias("_own"))
-    components = connected_components(alias_edges(pages)).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-    placed = rows.join(components, rows["_node"] == components["_n"], "left").withColumn("component", F.coalesce("_c", "_node"))
-    placed = cut(placed.select("page_id", "host", "path", "rule", "_own", "component"))
-    # Partial sums keep a component of many aliases from meeting in one task.
+    urls = cut(joined_urls(pages.select("url", "html"), redirects))
+    components = cut(connected_components(alias_edges(urls)).select(F.col("node").alias("_n"), F.col("component").alias("_c")))
+    # Decisions on all urls, those only named included; one row a decided component, by partial sums, so that a component of
+    # many aliases doesn't meet in one task.
+    each = urls.select(F.explode(F.array("url", "target")).alias("url")).where("url IS NOT NULL")
+    decided = each.select(node(canonical_url(F.col("url"))).alias("_d"), rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)[1].alias("_v")).where("_v IS NOT NULL").distinct()
     explicit = (
-        placed.where("_own IS NOT NULL AND component IS NOT NULL")
-        .groupBy("component")
-        .agg(F.max(F.col("_own") == "allow").alias("_allowed"))
-        .select(F.col("component").alias("_c"), F.when(F.col("_allowed"), "allow").otherwise("block").alias("_shared"))
+        decided.join(components, decided["_d"] == components["_n"])
+        .groupBy("_c")
+        .agg(F.max(F.col("_v") == "allow").alias("_allowed"))
+        .select(F.col("_c").alias("_e"), F.when(F.col("_allowed"), "allow").otherwise("block").alias("_shared"))
     )
-    return placed.join(explicit, placed.component == explicit["_c"], "left").select(
+    placed = rows.join(components, rows["_node"] == components["_n"], "left")
+    return placed.join(explicit, placed["_c"] == explicit["_e"], "left").select(
         "page_id",
         "host",
         "path",
         "rule",
         F.coalesce("_own", "_shared", F.lit("allow")).alias("verdict"),
-        "component",
+        F.col("_c").alias("component"),
         F.when(F.col("_own").isNotNull(), "rule").when(F.col("_shared").isNotNull(), "alias").otherwise("default").alias("reason"),
     )
 
@@ -155,25 +184,57 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-_HOST = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_PATH = "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
-_QUERY = "regexp_extract(coalesce(url, ''), '^[^?#]*\\?([^#]*)', 1)"
-#: Edges from links in the pages' HTML are left out here: the tables' pages have none.
+def _sql_host(u: str) -> str:
+    return f"translate(regexp_extract(coalesce({u}, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _sql_path(u: str) -> str:
+    return f"regexp_extract(coalesce({u}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+
+
+def _sql_canonical(u: str) -> str:
+    query = f"regexp_extract(coalesce({u}, ''), '(?s)^[^?#]*\\?([^#]*)', 1)"
+    kept = f"list_sort(list_filter(string_split({query}, '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')))"
+    return f"{_sql_host(u)} || regexp_replace({_sql_path(u)}, '(/index)?\\.html?$|/+$', '') || coalesce('?' || nullif(list_aggregate({kept}, 'string_agg', '&'), ''), '')"
+
+
+def _sql_resolved(x: str) -> str:
+    scheme = "^[A-Za-z][A-Za-z0-9+.-]*:"
+    folder = f"regexp_replace({_sql_path('url')}, '[^/]*$', '')"
+    return (
+        f"CASE WHEN regexp_matches({x}, '{scheme}//') THEN {x} WHEN starts_with({x}, '//') THEN 'http:' || {x} WHEN starts_with({x}, '/') THEN 'http://' || {_sql_host('url')} || {x} "
+        f"WHEN starts_with({x}, '?') THEN 'http://' || {_sql_host('url')} || {_sql_path('url')} || {x} "
+        f"WHEN NOT regexp_matches({x}, '{scheme}|^#') THEN 'http://' || {_sql_host('url')} || coalesce(nullif({folder}, ''), '/') || {x} END"
+    )
+
+
+def _sql_links(tag: str, kind: str, href: str) -> str:
+    quote = lambda s: s.replace("'", "''").replace('\\"', '"')
+    tags = f"list_filter(regexp_extract_all(coalesce(html, ''), '{quote(tag)}'), lambda t: regexp_matches(t, '{quote(kind)}'))"
+    return f"SELECT url, {_sql_resolved('x')} AS target FROM (SELECT url, unnest(list_transform({tags}, lambda t: regexp_extract(t, '{quote(href)}', 1))) AS x FROM pages WHERE contains(url, '://')) WHERE x <> ''"
+
+
+def _sql_rule(host: str, path: str) -> str:
+    ordered = sorted(RULES, key=lambda r: (-len(r[1]) - len(r[2]), r[1], r[2]))
+    return "CASE " + " ".join(f"WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}') THEN '{h}{p}'" for _, h, p in ordered) + " END"
+
+
+def _sql_verdict(rule: str) -> str:
+    return f"CASE {rule} " + " ".join(f"WHEN '{h}{p}' THEN '{v}'" for v, h, p in RULES) + " END"
+
+
+#: The same with components by a recursive query over the edges in both directions.
 OP8_SQL = f"""
-WITH p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path, {_QUERY} AS q FROM pages),
-c AS (
-  SELECT *, host || regexp_replace(path, '(/index)?\\.html?$|/+$', '') || coalesce('?' || nullif(list_aggregate(list_sort(list_filter(
-    string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), 'string_agg', '&'), ''), '') AS own,
-    CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
-      WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
-      WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
-      WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
-      WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule
-  FROM p
-),
-v AS (SELECT *, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS mine FROM c)
-SELECT page_id, host, path, rule,
-  coalesce(mine, CASE WHEN own = '' THEN NULL WHEN bool_or(mine = 'allow') OVER (PARTITION BY own) THEN 'allow'
-    WHEN bool_or(mine = 'block') OVER (PARTITION BY own) THEN 'block' END, 'allow') AS verdict
-FROM v
+WITH RECURSIVE named AS ({" UNION ALL ".join(_sql_links(tag, kind, href) for _, tag, kind, href in LINKS)}),
+u AS (SELECT url, NULL::VARCHAR AS target FROM pages WHERE contains(url, '://') UNION SELECT url, target FROM named WHERE target IS NOT NULL),
+one AS (SELECT DISTINCT 'u ' || url AS a, {_sql_canonical("url")} AS b FROM u UNION SELECT {_sql_canonical("url")}, {_sql_canonical("target")} FROM u WHERE target IS NOT NULL),
+e AS (SELECT a, b FROM one UNION SELECT b, a FROM one),
+reach(n, l) AS (SELECT a, a FROM e UNION SELECT e.b, reach.l FROM reach JOIN e ON e.a = reach.n),
+c AS (SELECT n, min(l) AS l FROM reach GROUP BY n),
+every AS (SELECT url FROM u UNION SELECT target FROM u WHERE target IS NOT NULL),
+d AS (SELECT {_sql_canonical("url")} AS n, {_sql_verdict(_sql_rule(_sql_host("url"), _sql_path("url")))} AS v FROM every),
+x AS (SELECT l, max(CASE v WHEN 'allow' THEN 1 ELSE 0 END) AS allowed FROM d JOIN c USING (n) WHERE v IS NOT NULL GROUP BY l),
+p AS (SELECT *, {_sql_rule("host", "path")} AS rule FROM (SELECT page_id, url, {_sql_host("url")} AS host, {_sql_path("url")} AS path FROM pages))
+SELECT page_id, host, path, rule, coalesce({_sql_verdict("rule")}, CASE allowed WHEN 1 THEN 'allow' WHEN 0 THEN 'block' END, 'allow') AS verdict
+FROM p LEFT JOIN c ON c.n = 'u ' || p.url LEFT JOIN x ON x.l = c.l
 """

@@ -73,3 +73,68 @@ def test_parts_of_a_benchmark_give_what_the_whole_gives(spark, monkeypatch):
     monkeypatch.setattr(D, "INDEX_ITEMS", 12)
     parts = sorted(map(tuple, D.find_leaks(docs, bench).collect()))
     assert [r[:3] for r in parts] == [r[:3] for r in whole] and all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(parts, whole))
+
+
+def test_columns_of_any_name_pass(spark):
+    docs = spark.createDataFrame([(d, t, 1, "x", 2.0, 3) for d, t in TEXTS], "doc_id long, text string, _leak_id int, _leak_sha string, score double, text_sha256 int")
+    kept = D.drop_leaks(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6]
+
+
+def test_long_texts_and_ties(spark):
+    item = prose(30, 52)
+    long = " ".join([prose(40_000, 81), item, prose(40_000, 82), item, prose(500, 83)])
+    bench = spark.createDataFrame([(1, item), (2, item), (3, item + " end")], "item_id long, text string")
+    got = D.find_leaks(spark.createDataFrame([(1, long)], "doc_id long, text string"), bench).collect()
+    assert [r.item_id for r in sorted(got)] == [1, 2, 3] and len({r.passage_start for r in got}) == 1
+    # Of equal places the first one counts.
+    assert got[0].passage_start <= 40_000
+
+
+def test_words_bound_an_index_too(spark, monkeypatch):
+    monkeypatch.setattr(D, "INDEX_WORDS", 40)
+    built, parts = D.indexes(spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert parts > 2 and built.count() <= parts
+
+
+def brute_by_words(docs, items):
+    """(doc_id, item_id) without any of the index's code: weights, passages and overlaps from their definitions."""
+    import math
+    import re
+
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    items = sorted({(i, t) for i, t in items if i is not None and words(t)})
+    bags = [words(t) for _, t in items]
+    df = {w: sum(w in b for b in bags) for b in bags for w in b}
+    mean, stride = sum(map(len, bags)) / len(bags), max(32, max(map(len, bags)))
+    weigh = lambda w, b: math.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * b.count(w) * 2.2 / (b.count(w) + 1.2 * (0.25 + 0.75 * len(b) / mean))
+    runs = lambda ws: {tuple(ws[i : i + 3]) for i in range(len(ws) - 2)}
+
+    def sides(t):
+        t = t.strip().rstrip(".? \n")
+        for mark in "?", "\n", ". ":
+            at = t.rfind(mark)
+            if at >= 0 and len(words(t[:at])) >= 3 and words(t[at:]):
+                return words(t[:at]), words(t[at:])
+        ws = words(t)
+        return ws[: (len(ws) + 1) // 2], ws[(len(ws) + 1) // 2 :]
+
+    found = set()
+    for d, t in docs:
+        ws = words(t)
+        last = max(0, math.ceil((len(ws) - stride) / stride) - 1)
+        for k in range(last + 1):
+            p = ws[k * stride : len(ws) if k == last else (k + 2) * stride]
+            for (i, text), b in zip(items, bags):
+                score = sum(weigh(w, b) for w in set(b) & set(p)) / sum(weigh(w, b) for w in set(b))
+                share = lambda s: 1.0 if not s else (float(set(s) <= set(p)) if len(s) < 3 else len(runs(s) & runs(p)) / len(runs(s)))  # noqa: E731, B023
+                if score >= 0.5 - 1e-9 and all(share(s) >= 0.5 for s in sides(text)):
+                    found.add((d, i))
+    return found
+
+
+def test_matches_the_definitions(spark):
+    texts = TEXTS + [(100 + k, prose(60 + 7 * k, k % 9 + 51) + " " + prose(30, 52 + k % 3)) for k in range(25)]
+    items = ITEMS + [(20 + k, prose(12 + k, 51 + k % 4) + "? " + prose(2, 90 + k)) for k in range(8)]
+    got = D.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == brute_by_words(texts, items)

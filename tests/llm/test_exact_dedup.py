@@ -51,3 +51,11 @@ def test_drop_decides_null_and_repeated_ids_by_their_texts(spark):
     rows = [(None, "a"), (None, "b"), (3, "A"), (4, "c"), (4, "d"), (4, "c"), (5, "D"), (None, "e"), (None, "e")]
     kept = E.drop_exact(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(((r.doc_id or 0), r.text) for r in kept.collect()) == [(0, "b"), (0, "e"), (3, "A"), (4, "c"), (5, "D")]
+
+
+def test_columns_of_any_name_pass(spark):
+    names = ["doc_id", "text", "_n", "_keep_id", "_KEEP_SHA", "__n", "group_size", "a.b"]
+    rows = [(1, "a", 5, 6, 7, 8, 9, 10), (2, "A", 5, 6, 7, 8, 9, 10), (2, "A", 5, 6, 7, 8, 9, 11)]
+    docs = spark.createDataFrame(rows, names)
+    kept = E.drop_exact(docs)
+    assert kept.columns == names and [tuple(r)[:7] for r in kept.collect()] == [rows[1][:7]]

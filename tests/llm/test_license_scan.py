@@ -1,5 +1,7 @@
+import random
 import re
 
+from pyspark.sql import functions as F
 from sparkloom.llm import license_scan as L
 
 TEXTS = [
@@ -29,12 +31,12 @@ def base_of(text):
 
 
 def detect(text):
-    """The rules by Python's own engine."""
+    """The rules by Python's own engine, without keywords."""
     words = words_of(text)
     joined = " " + " ".join(words) + " " if words else ""
     found = set()
     for r in L.RULES:
-        if r.keyword in joined and any(g in joined for g in L.GATE):
+        if words:
             for m in re.finditer(r.regex, joined):
                 begin = joined[: m.start()].count(" ") - 1
                 found.add((begin, begin + m.group().count(" ") + 1, r.label, r.priority))
@@ -56,7 +58,7 @@ def test_matches_python(spark):
 
 
 def test_rules_are_many_and_valid():
-    assert len(L.RULES) > 250
+    assert len(L.RULES) > 400 and len(L.SIGNATURES) > 150
     for r in L.RULES:
         assert re.compile(r.regex) and not re.search(r.regex, "")
 
@@ -96,10 +98,32 @@ def examples(regex):
     return expand(_parser.parse(regex))
 
 
-def test_every_match_has_its_keyword_and_a_gate_word():
+def test_every_match_has_a_keyword():
     for r in L.RULES:
+        assert r.keywords and set(r.keywords) <= set(L.GATE)
         for text in examples(r.regex):
-            assert re.search(r.regex, f" {text} ") and r.keyword in f" {text} " and any(g in f" {text} " for g in L.GATE), (r, text)
+            assert re.search(r.regex, f" {text} ") and set(r.keywords) & set(text.split()), (r, text)
+
+
+def test_every_rule_fires(spark):
+    docs = spark.createDataFrame([(i, f"{max(examples(r.regex), key=len)}; x") for i, r in enumerate(L.RULES)], "doc_id long, text string")
+    words = docs.select("doc_id", L.words_of(docs.text).alias("w"))
+    present = F.array_intersect(F.split("w", " "), F.array(*map(F.lit, L.GATE)))
+    found = {r.doc_id: {(d.label, d.priority) for d in r.d} for r in words.select("doc_id", L.detections(words.w, present).alias("d")).collect()}
+    assert all((r.label, r.priority) in found[i] for i, r in enumerate(L.RULES))
+
+
+def test_suppression_matches_comparing_all(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        found = [(b := rng.randint(0, 30), b + rng.randint(1, 6), rng.choice("xyz"), rng.choice([10, 20, 30])) for _ in range(rng.randint(0, 40))]
+        rows.append((i, found))
+    df = spark.createDataFrame(rows, f"i int, d {L._INTERVALS}")
+    got = {r.i: sorted(map(tuple, r.u)) for r in df.select("i", L.unsuppressed(df.d).alias("u")).collect()}
+    for i, found in rows:
+        free = [d for d in found if not any(e[0] <= d[0] and e[1] >= d[1] and (e[3] > d[3] or e[3] == d[3] and e[1] - e[0] > d[1] - d[0]) for e in found)]
+        assert got[i] == sorted(free)
 
 
 def test_short_names_are_found_without_other_words(spark):

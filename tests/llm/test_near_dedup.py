@@ -103,3 +103,70 @@ def test_blocks_let_every_pair_meet_once(spark, monkeypatch):
         for x in group:
             met += [tuple(sorted((x.rep, y.rep))) for y in group if x.side == 1 and (y.side == 0 or x.within and y.rep < x.rep)]
     assert sorted(met) == sorted((a, b) for a in range(11) for b in range(a + 1, 20))
+
+
+def by_definition(rows):
+    """Classes by words alone: labelled five-word runs, their longest common subsequence in a table, all pairs."""
+    import re
+    from collections import Counter
+
+    def runs(text):
+        words = re.findall(r"[^\W_]+", (text or "").lower())
+        k, seen, out = min(5, len(words)), Counter(), []
+        for i in range(len(words) - k + 1 if words else 0):
+            run = tuple(words[i : i + k])
+            out.append((run, seen[run]))
+            seen[run] += 1
+        return out
+
+    def common(a, b):
+        row = np.zeros(len(b) + 1, int)
+        for x in a:
+            match = np.array([x == y for y in b])
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(match, row[:-1] + 1, 0)))
+        return row[-1]
+
+    texts = [(d, runs(t)) for d, t in sorted(rows)]
+    classes = {d: d for d, _ in texts}
+    for i, (d, x) in enumerate(texts):
+        for e, y in texts[:i]:
+            if x and y and 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)):
+                n = common(x, y)
+                if n >= 0.8 * (len(x) + len(y) - n) and classes[d] != classes[e]:
+                    low, high = sorted((classes[d], classes[e]))
+                    classes = {k: low if c == high else c for k, c in classes.items()}
+    return classes
+
+
+def test_matches_the_definition(spark):
+    rows = [(d, " ".join((t or "").split()[:120])) for d, t in family() if d < 110] + [(200, "a b c d"), (201, "A b, c d!"), (202, "a b c"), (203, None)]
+    assert {r.doc_id: r.class_id for r in N.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == by_definition(rows)
+
+
+def test_recall_on_a_table(spark):
+    """Links that aligning all pairs finds and the bands don't."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    got = {r.doc_id: r.class_id for r in N.op6_near_dedup(spark, "/root/testdata/sf0.01").collect()}
+    expected = N.brute_force(rows)
+    linked = [d for d, c in expected.items() if d != c]
+    recall = sum(got[d] == expected[d] for d in linked) / len(linked)
+    print(f"recall {recall:.4f} of {len(linked)}")
+    assert recall >= 0.99 and all(got[d] == d for d, c in expected.items() if got[d] == d)
+
+
+def test_a_large_cluster_with_a_shared_line(spark):
+    line = prose(45, 91)
+    rows = [(i, edited(prose(150, 92), 140, i % 140)) for i in range(150)]
+    rows += [(1000 + i, f"{line} {prose(60, 2000 + i)}") for i in range(120)]
+    rows += [(2000 + i, f"{prose(200, 93)} {prose(12 + i % 7, 3000 + i // 7)}") for i in range(70)]
+    got = {r.doc_id: r.class_id for r in N.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == N.brute_force(rows)
+
+
+def test_long_texts_ties_and_columns_of_any_name(spark):
+    long = prose(60_000, 94)
+    rows = [(5, long, 1), (3, edited(long, 20_000), 2), (4, "same words here", 3), (2, "Same words, here", 4), (2, "Same words, here", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone_id int")
+    assert {r.doc_id: r.class_id for r in N.near_classes(docs).collect()} == {5: 3, 3: 3, 4: 2, 2: 2}
+    kept = N.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r["_gone_id"]) for r in kept.collect()) == [(2, 4), (2, 5), (3, 2)]

@@ -82,3 +82,64 @@ def test_many_equal_lengths_and_empty_table(spark, empty, monkeypatch):
     assert len(got) == 3000
     assert check_places(got, P.CAPACITY) <= 670
     assert P.pack_documents(empty).collect() == []
+
+
+def fewest(items, capacity):
+    """The smallest number of sequences, by trying all ways."""
+    best = len(items)
+
+    def place(left, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if not left:
+            best = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] + left[0] <= capacity and bins[i] not in bins[:i]:
+                place(left[1:], [*bins[:i], bins[i] + left[0], *bins[i + 1 :]])
+        place(left[1:], [*bins, left[0]])
+
+    place(sorted(items, reverse=True), [])
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=10))
+def test_plans_are_close_to_the_smallest(items):
+    used = sum(n for _, n in P.plan_groups(Counter(items), 30))
+    assert fewest(items, 30) <= used <= max(fewest(items, 30) * 11 / 9 + 1, used if len(items) == 1 else 0)
+
+
+def test_columns_of_any_name_pass(spark):
+    names = ["doc_id", "piece", "length", "sequence_id", "offset", "salt", "row", "size", "number", "_salt", "a.b"]
+    rows = [(i, 0, 300 + i, "s", "o", i, i, i, i, i, i) for i in range(20)]
+    got = P.pack(spark.createDataFrame(rows, names)).collect()
+    assert set(got[0].asDict()) == set(names) and sorted(r.salt for r in got) == list(range(20))
+    check_places(got, P.CAPACITY)
+
+
+def test_query_matches_sequential_packing(spark, tiny):
+    """Every document whole, ids by the tokenizers library, and as few sequences as a plain first-fit by length, or fewer."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = P.op1_best_fit_packing(spark, tiny).collect()
+    pieces, expected = [], set()
+    for r in spark.read.parquet(f"{tiny}/documents.parquet").collect():
+        ids = np.array(tokenizer.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4")
+        first = len(ids) % 2048 or min(len(ids), 2048)
+        cuts = [0, *range(first, len(ids), 2048), len(ids)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            pieces.append(b - a)
+            expected.add((r.doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == expected and len(got) == len(expected)
+    bins: list[int] = []
+    for n in sorted(pieces, reverse=True):
+        at = next((i for i, used in enumerate(bins) if used + n <= 2048), None)
+        if at is None:
+            bins.append(n)
+        else:
+            bins[at] += n
+    assert math.ceil(sum(pieces) / 2048) <= check_places(got, 2048) <= len(bins)

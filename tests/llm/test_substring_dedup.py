@@ -1,7 +1,10 @@
+import hashlib
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from samples import prose
 from sparkloom.llm import substring_dedup as S
 
 
@@ -60,3 +63,12 @@ def test_flushes_in_parts(monkeypatch, docs, rows):
             found.setdefault(int(d), set()).update(int(s) for s in starts)
     removed = {d: sum(b - a for a, b in S.merge_intervals(np.array(sorted(s)))) for d, s in found.items()}
     assert removed == {d: n for d, (_, n, _) in S.brute_force(rows).items() if n}
+
+
+def test_a_hot_window_and_long_texts(spark):
+    """A passage that many documents share, and texts of many windows."""
+    passage = prose(20, 70)
+    rows = [(i, f"{prose(15, 700 + i)} {passage} {prose(15, 900 + i)}") for i in range(300)] + [(1000, prose(30_000, 71)), (1001, prose(30_000, 71) + " end")]
+    got = S.remove_repeats(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, repeated int").repartition(6)).collect()
+    expected = S.brute_force(rows)
+    assert all((r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) == expected[r.doc_id] for r in got)

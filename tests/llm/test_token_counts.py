@@ -36,8 +36,27 @@ def test_signed_sums_and_idempotent_commits(spark, rollup):
     # A batch that was wrong is sent anew under its id.
     rollup.commit("batch-2", C.delta(spark.createDataFrame([], C.CHANGES)))
     assert totals(rollup) == expected
-    with pytest.raises(ValueError):
-        rollup.commit("../x", C.delta(changes))
+    rollup.vacuum()
+    assert totals(rollup) == expected and rollup.manifest()[0] == 4
+
+
+def test_commits_are_whole(spark, rollup):
+    one, two = (C.delta(spark.createDataFrame([("insert", "a", "en", "v", None, n)], C.CHANGES)) for n in (5, 7))
+    rollup.commit("1", one)
+    # A commit that ends between its sums and its manifest changes nothing.
+    two.selectExpr("'2' AS batch_id", *C.KEYS, "documents", "tokens").write.parquet(f"{rollup.path}/sums/stray")
+    before = rollup.batches()
+    assert totals(rollup) == {("a", "en", "v"): (1, 5)}
+    # Another one gets its manifest in first.
+    other, publish = C.Rollup(spark, rollup.path), rollup._publish
+    late = iter([lambda *a: (other.commit("3", two), publish(*a))[1], publish])
+    rollup._publish = lambda *a: next(late)(*a)
+    rollup.commit("../2 ü", two)
+    assert totals(rollup) == totals(other) == {("a", "en", "v"): (3, 19)} and before.count() == 1
+    assert not other._publish(1, {}) and other.manifest()[0] == 3
+    rollup._publish = publish
+    rollup.vacuum()
+    assert totals(rollup) == {("a", "en", "v"): (3, 19)}
 
 
 def test_counts_texts(spark, docs):
@@ -69,3 +88,17 @@ def test_query_matches_brute_force(spark, tiny):
             n[1] += C.count_tokens(text, version)
     got = {(r.source, r.lang, r.version): [r.documents, r.tokens] for r in C.op9_token_counts(spark, tiny).collect()}
     assert got == {k: v for k, v in expected.items() if any(v)}
+
+
+def test_empty_tables(spark, empty):
+    changes = empty.selectExpr("'insert' AS op", "source", "'en' AS lang", "text AS old_text", "text AS new_text")
+    assert C.totals_of(spark, [("0", C.counted(changes))]).collect() == []
+    assert C.totals_of(spark, []).collect() == []
+
+
+def test_a_batch_sent_again_counts_once(spark, docs):
+    changes = C.counted(docs.selectExpr("'insert' AS op", "source", "'en' AS lang", "CAST(NULL AS string) AS old_text", "text AS new_text"))
+    once = sorted(map(str, C.totals_of(spark, [("0", changes)]).collect()))
+    assert once == sorted(map(str, C.totals_of(spark, [("0", changes), ("0", changes)]).collect()))
+    twice = C.totals_of(spark, [("0", changes), ("1", changes)]).collect()
+    assert {(r.source, r.version): r.documents for r in twice} == {k: 2 * n for k, n in {(r.source, r.version): r.documents for r in C.totals_of(spark, [("0", changes)]).collect()}.items()}

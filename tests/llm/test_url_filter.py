@@ -48,8 +48,8 @@ def test_verdicts(spark):
     assert got[4] == ("", "", None, "allow", "default") == got[5]
     assert got[6][2:] == ("www.example.com/en/", "allow", "rule")
     assert got[7][2:] == ("example.com/en/", "block", "rule")
-    # Of its component, one page is blocked and none is on the allow list: the named canonical page isn't in the table.
-    assert got[8][3:] == ("block", "alias")
+    # The canonical page that it names is allowed, though it isn't in the table, and that comes before the block of page 7.
+    assert got[8][3:] == ("allow", "alias")
     assert got[9] == ("example.com", "", None, "allow", "default")
     assert got[10][2:4] == ("com/", "allow")
     assert got[11][2:4] == (None, "allow")
@@ -66,3 +66,85 @@ def test_explicit_allow_comes_first(spark):
 
 def test_empty_table(spark):
     assert U.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_links_are_resolved_and_all_taken(spark):
+    html = '<LINK REL="canonical" HREF="/a/b"><link rel=canonical href="c.html"><link rel="stylesheet" href="/no"><link href=\'//o.org/x\' rel=\'canonical\'>'
+    html += '<link rel="canonical" href="?q=1"><link rel="canonical" href="#top"><link rel="canonical" href="mailto:a@b"><meta http-equiv=refresh content="0;url=d/e">'
+    page = spark.createDataFrame([("https://h.org/f/g?x=1", html), ("http://h.org", '<link rel="canonical" href="z">')], "url string, html string")
+    got = [r.l for r in page.select(U.links_of(page.html, page.url).alias("l")).collect()]
+    assert got[0] == ["http://h.org/a/b", "http://h.org/f/c.html", "http://o.org/x", "http://h.org/f/g?q=1", "http://h.org/f/d/e"] and got[1] == ["http://h.org/z"]
+
+
+def by_union_find(pages, redirects):
+    """Verdicts by a plain loop over all urls; links are given beside the pages."""
+    import re
+
+    def host(u):
+        return re.match(r"(?s).*?://([^/?#]*)", u).group(1).lower() if "://" in u else ""
+
+    def path(u):
+        return re.match(r"(?s).*?://[^/?#]*([^?#]*)", u).group(1) if "://" in u else ""
+
+    def plain(u):
+        query = re.match(r"(?s)[^?#]*\?([^#]*)", u)
+        kept = sorted(q for q in (query.group(1) if query else "").split("&") if q and not re.match(U.TRACKING + "(=|$)", q))
+        return host(u) + re.sub(r"(?:/index)?\.html?$|/+$", "", path(u)) + ("?" + "&".join(kept) if kept else "")
+
+    def rule(u):
+        fits = [(len(h) + len(p), v) for v, h, p in U.RULES if (host(u) == h or host(u).endswith("." + h)) and path(u).startswith(p)]
+        return max(fits)[1] if fits else None
+
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    urls = set()
+    for url, targets in [*((u, t) for _, u, t in pages if u and "://" in u), *((a, [b]) for a, b in redirects)]:
+        urls |= {url, *targets}
+        for x, y in [("u " + url, plain(url)), *((plain(url), plain(t)) for t in targets)]:
+            parent[root(x)] = root(y)
+    decided = {}
+    for u in urls:
+        if rule(u):
+            c = root(plain(u))
+            decided[c] = max(decided.get(c, "block"), rule(u), key=lambda v: v == "allow")
+    return [(i, (rule(u) if u else None) or (decided.get(root("u " + u)) if u and "://" in u else None) or "allow") for i, u, _ in pages]
+
+
+def test_chains_cycles_and_a_hub_match_union_find(spark):
+    rng = random.Random(8)
+    hosts = ["a.net", "b.org", "www.example.com", "example.com", "c.org", "d.com"]
+    url = lambda: f"http://{rng.choice(hosts)}/{rng.choice(['en', 'es', 'fr', 'x'])}/{rng.randint(0, 25)}{rng.choice(['', '.html', '/', '/index.html', '?ref=1', '?b=2&a=1'])}"
+    pages = [(i, url(), [url() for _ in range(rng.choice([0, 0, 0, 1, 2]))]) for i in range(150)]
+    pages += [(1000 + i, f"http://chain.org/{i}", [f"http://chain.org/{i + 1}"]) for i in range(60)]
+    pages += [(2000 + i, f"http://hub.org/x?n={i}", ["http://hub.org/main"]) for i in range(10_000)]
+    pages += [(3000, "http://loop.org/a", ["http://loop.org/b"]), (3001, "http://loop.org/b", ["http://loop.org/a"]), (4000, None, []), (4001, "no scheme", [])]
+    redirects = [("http://chain.org/60", "http://bad.net/es/1"), ("http://hub.org/main/", "http://bad.net/fr/9"), ("http://loop.org/b", "http://ok.com/"), ("http://loop.org/a", "http://bad.net/es/7")]
+    tags = lambda targets: "".join(f'<link rel="canonical" href="{t}">' for t in targets)
+    df = spark.createDataFrame([(i, u, tags(t)) for i, u, t in pages], "page_id long, url string, html string").repartition(4)
+    got = sorted((r.page_id, r.verdict) for r in U.judge(df, redirects=spark.createDataFrame(redirects, "src string, dst string")).collect())
+    expected = sorted(by_union_find(pages, redirects))
+    assert got == expected
+    verdicts = dict(got)
+    assert verdicts[1000] == "block" and verdicts[2500] == "block" and verdicts[3000] == "allow" and verdicts[4001] == "allow"
+
+
+def test_long_urls_and_html(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/es/" + "x" * 100_000, "<p>" * 200_000 + '<link rel="canonical" href="http://o.org/1">'), (2, "http://o.org/1", "")], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in U.judge(pages).collect()} == {1: "block", 2: "block"}
+
+
+def test_the_sql_follows_links_too(spark):
+    import duckdb
+
+    rows = [(i, u, h) for i, (_, u, h) in enumerate(PAGES)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    found = sorted(con.execute(U.OP8_SQL).fetchall(), key=lambda r: r[0])
+    got = U.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "host", "path", "rule", "verdict")
+    assert [tuple(r) for r in got.orderBy("page_id").collect()] == found
