@@ -122,8 +122,8 @@ def test_long_first_records_and_late_characters(spark, tmp_path):
     path.write_bytes(("a;b\n" + "plain;text\n" * 8_000 + "café;ü\n").encode("latin-1"))
     df = readers.read_csv(spark, str(path))
     assert df.count() == 8_001 and tuple(df.where("a <> 'plain'").first()) == ("café", "ü")
-    path.write_text(";".join(f"column_{i}" for i in range(9_000)) + "\n" + ";".join("1" * 9_000) + "\n")
-    assert len(readers.read_csv(spark, str(path)).columns) == 9_000
+    path.write_text(";".join(f"column_{i:0200d}" for i in range(400)) + "\n" + ";".join("1" * 400) + "\n")
+    assert len(readers.read_csv(spark, str(path)).columns) == 400
 
 
 def test_meta_rows_and_memory(spark, tmp_path):
