@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,3 +72,13 @@ def discard_since(spark: SparkSession, at: int) -> None:
     """Deletes all tables that cut() wrote after mark() gave ``at``; for callers whose results are stored elsewhere."""
     while len(_WRITTEN) > at:
         remove(spark, _WRITTEN.pop())
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """cut() of what ``make`` gives; the tables that it wrote on its way are deleted."""
+    at = mark()
+    out = cut(make())
+    kept = _WRITTEN.pop()
+    discard_since(out.sparkSession, at)
+    _WRITTEN.append(kept)
+    return out

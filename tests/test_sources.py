@@ -143,3 +143,27 @@ def test_json_array(spark, tmp_path):
         sinks.write_json(rows, str(tmp_path / "a"), array=True)
         text = "".join(p.read_text() for p in sorted((tmp_path / "a").glob("part-*")))
         assert sorted(json.loads(text), key=str) == sorted((r.asDict() for r in rows.collect()), key=str)
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    from pathlib import Path
+
+    from sparkloom.sources import scratch
+
+    def folders():
+        return {p.name for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("cut-*")}
+
+    before = folders()
+    kept = scratch.cut(spark.range(5))
+
+    def make():
+        one = scratch.cut(kept.where("id > 1"))
+        return scratch.cut(one.where("id > 2"))
+
+    out = scratch.settled(make)
+    assert sorted(r.id for r in out.collect()) == [3, 4] and len(folders() - before) == 2
+    at = scratch.mark()
+    scratch.cut(out)
+    scratch.discard_since(spark, at)
+    scratch.discard(kept, out, spark.range(1))
+    assert folders() == before
