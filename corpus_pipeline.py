@@ -6,12 +6,10 @@ stage's docs. All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import decontamination, exact_dedup, near_dedup, packing, quality
-from sparkloom.llm.common import ensure_checkpoint_dir, table
+from sparkloom.llm.common import discard_since, mark, remove, shared_path, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +50,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; what each returns is written to the shared folder and read again."""
-    ensure_checkpoint_dir(spark)
-    out = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to documents; what each returns is written to the shared folder and read again.
+
+    A stage's input, and the tables that it wrote on its way, are deleted when its result is there.
+    """
+    out, docs, before = shared_path(spark, "pipeline"), table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        at = mark()
         stage(spark, docs, sf_dir).write.parquet(f"{out}/{name}")
-        docs = spark.read.parquet(f"{out}/{name}")
+        discard_since(spark, at)
+        if before:
+            remove(spark, before)
+        before = f"{out}/{name}"
+        docs = spark.read.parquet(before)
     return docs

@@ -11,10 +11,10 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..functions.casts import free_name
-from ..sources.scratch import cut, discard, discard_since, ensure_checkpoint_dir, mark, remove, shared_path
+from ..sources.scratch import cut, discard, discard_since, ensure_checkpoint_dir, mark, remove, settled, shared_path
 
 __all__ = [
-    "ascii_lower", "cut", "discard", "discard_since", "ensure_checkpoint_dir", "free_name", "map_arrow", "mark", "on_workers", "remove", "shared_path", "table", "texts_of",
+    "ascii_lower", "cut", "discard", "discard_since", "ensure_checkpoint_dir", "free_name", "map_arrow", "mark", "on_workers", "remove", "settled", "shared_path", "table", "texts_of",
 ]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

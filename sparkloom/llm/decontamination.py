@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import cut, free_name, map_arrow, on_workers, table
+from .common import cut, discard, free_name, map_arrow, on_workers, table
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -269,7 +269,9 @@ def indexes(benchmark: DataFrame) -> tuple[DataFrame, int]:
         index = Index.build([(i, t) for i, t in zip(ids, texts) if i is not None], whole)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "index": pa.array([pickle.dumps(index)], pa.binary())})
 
-    return cut(rows.groupBy("part").applyInArrow(build, "part int, index binary")), parts
+    built = cut(rows.groupBy("part").applyInArrow(build, "part int, index binary"))
+    discard(items)
+    return built, parts
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

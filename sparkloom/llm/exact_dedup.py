@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ascii_lower, cut, free_name, map_arrow, table, texts_of
+from .common import ascii_lower, cut, discard, free_name, map_arrow, table, texts_of
 
 #: Leading bits of a fingerprint that choose the slice which one merge task handles.
 SLICE_BITS = 10
@@ -126,6 +126,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     prints = cut(fingerprints(rows))
     repeated = repeated_fingerprints(prints).select("fp", F.lit(True).alias("_many"))
     routed = cut(prints.join(repeated, "fp", "left").select("doc_id", "text_sha256", F.coalesce("_many", F.lit(False)).alias("_many")))
+    discard(prints)
     suspects = routed.where("_many").select(F.col("doc_id").alias("_id")).distinct()
     # The suspects are the small side, so their rows are hashed and the texts stream past without a sort.
     whole = rows.join(suspects.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")

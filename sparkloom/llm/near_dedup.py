@@ -28,7 +28,7 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import cut, discard, free_name, map_arrow, table
+from .common import cut, free_name, map_arrow, settled, table
 from .url_filter import connected_components
 
 WORDS = 5
@@ -297,15 +297,8 @@ def in_blocks(members: DataFrame) -> DataFrame:
     return placed.select("band", "g.i", "g.j", "rep", "label", "g.side", "g.within")
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, class_id (smallest doc_id of the class), class_size, n_links, n_runs.
-
-    A class is a connected component of links between texts; texts with equal words are linked. ``n_links`` counts the
-    links found between a document's words and other words (a spanning set of them, not all pairs). Texts without words
-    and rows without doc_id are classes of their own. Rows repeated with the same doc_id count once in ``class_size`` for
-    each row. Further columns of ``docs`` are not read.
-    """
-    rows = docs.select("doc_id", "text")
+def _classes(rows: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links and n_runs of near_classes."""
     sketched = cut(map_arrow(rows, _sketch, "doc_id long, key binary, n_runs int, sketch binary"))
     known = sketched.where("doc_id IS NOT NULL AND key IS NOT NULL")
     reps = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch"))
@@ -314,7 +307,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     members = reps.select("rep", F.explode(bands).alias("band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sketches = reps.select("rep", "sketch")
-    members = cut(with_hubs(members.join(shared, "band").join(sketches, "rep")))
+    members = settled(lambda: with_hubs(members.join(shared, "band").join(sketches, "rep")))
     links = cut(hub_links(members, rows))
     # The hubs have met all of their buckets.
     members = members.where("rep <> hub").select("band", "rep")
@@ -337,11 +330,22 @@ def near_classes(docs: DataFrame) -> DataFrame:
     degree = links.select(F.col("a").alias("x")).unionByName(links.select(F.col("b").alias("x"))).groupBy("x").agg(F.count(F.lit(1)).alias("n_links"))
     classes = reps.join(labels, reps.rep == labels["_rep"], "left").join(degree, reps.rep == degree.x, "left")
     classes = classes.select(F.col("key").alias("_key"), F.coalesce("_class", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    placed = cut(
+    return (
         sketched.join(classes, (sketched["key"] == classes["_key"]) & sketched["doc_id"].isNotNull(), "left").select(
             "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_runs"
         )
     )
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """One row per input row: doc_id, class_id (smallest doc_id of the class), class_size, n_links, n_runs.
+
+    A class is a connected component of links between texts; texts with equal words are linked. ``n_links`` counts the
+    links found between a document's words and other words (a spanning set of them, not all pairs). Texts without words
+    and rows without doc_id are classes of their own. Rows repeated with the same doc_id count once in ``class_size`` for
+    each row. Further columns of ``docs`` are not read.
+    """
+    placed = settled(lambda: _classes(docs.select("doc_id", "text")))
     sizes = placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).where("class_size > 1").withColumnRenamed("class_id", "_c")
     return placed.join(sizes, placed.class_id == sizes["_c"], "left").select(
         "doc_id", "class_id", F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), "n_links", "n_runs"

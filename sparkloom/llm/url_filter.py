@@ -12,7 +12,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import ascii_lower, cut, discard, table
+from .common import ascii_lower, cut, discard, settled, table
 
 #: (verdict, host, path)
 RULES = (
@@ -157,7 +157,7 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.when(F.contains("url", F.lit("://")), node(F.col("url"))).alias("_node")
     ).select("*", text.alias("rule"), verdict.alias("_own"))
     urls = cut(joined_urls(pages.select("url", "html"), redirects))
-    components = cut(connected_components(alias_edges(urls)).select(F.col("node").alias("_n"), F.col("component").alias("_c")))
+    components = settled(lambda: connected_components(alias_edges(urls)).select(F.col("node").alias("_n"), F.col("component").alias("_c")))
     # Decisions on all urls, those only named included; one row a decided component, by partial sums, so that a component of
     # many aliases doesn't meet in one task.
     each = urls.select(F.explode(F.array("url", "target")).alias("url")).where("url IS NOT NULL")
