@@ -175,6 +175,7 @@ def with_scores(docs: DataFrame, model: Model, name: str) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by BUCKETS * RANK and the sample
     at, n = docs.columns.index("text"), len(docs.columns)
+    plain = docs.toDF(*map(str, range(n)))  # names with dots and the like can't pass through Arrow stages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordBuckets()
@@ -183,9 +184,9 @@ def with_scores(docs: DataFrame, model: Model, name: str) -> DataFrame:
                 part = batch.slice(begin, BLOCK)
                 texts = pa.RecordBatch.from_arrays([part.column(at)], names=["text"])
                 scores = shared.value.vote(shared.value.project([term_counts(t, cache) for t in texts_of(texts)]))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), pa.array(scores, pa.float64())], names=[*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), pa.array(scores, pa.float64())], names=[*part.schema.names, "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("score", DoubleType())])).toDF(*docs.columns, name)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
