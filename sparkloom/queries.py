@@ -5,6 +5,7 @@ The tables hold no nulls and no dirty text. Both engines derive such inputs from
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pyspark.sql.functions as F
@@ -775,3 +776,112 @@ def index_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spark.createDataFrame(out.collect(), out.schema)  # the regions; the index goes
     index.delete()
     return found
+
+
+def _lines(spark: SparkSession, lines: DataFrame, order: str, kind: str, header: str | None = None) -> str:
+    """A text file of the lines (a column ``value``) in their order; the tables it is used for are small."""
+    path = shared_path(spark, kind)
+    if header is not None:
+        lines = lines.unionByName(spark.createDataFrame([(-1, header)], f"{order} long, value string").select(*lines.columns))
+    lines.repartition(1).sortWithinPartitions(order).select("value").write.text(path)
+    return path
+
+
+_GAPS = "CASE n_nationkey % 5 WHEN 0 THEN 'N/A' WHEN 1 THEN '' WHEN 2 THEN 'null' WHEN 3 THEN n_name ELSE 'none of these' END"
+
+
+@query(f"SELECT n_nationkey::string AS key, CASE WHEN n_nationkey % 5 < 3 THEN NULL ELSE {_GAPS} END AS name FROM nation")
+def csv_missing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that stand for a missing value are null, others stay; the delimiter is found."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("at"), F.concat(F.col("n_nationkey").cast("string"), F.lit("|"), F.expr(_GAPS)).alias("value"))
+    return readers.extract(spark, _lines(spark, rows, "at", "csv", "key|name"), "csv")
+
+
+@query("SELECT n_nationkey::string AS key, n_name AS name, CASE WHEN n_nationkey % 3 = 1 THEN NULL ELSE n_regionkey::string END AS region FROM nation WHERE n_nationkey % 3 < 2")
+def csv_uneven_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short rows end with nulls, rows with more fields than names are left out."""
+    shape = "CASE n_nationkey % 3 WHEN 0 THEN ';' || n_regionkey WHEN 1 THEN '' ELSE ';' || n_regionkey || ';more;fields' END"
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("at"), F.expr(f"n_nationkey || ';' || n_name || {shape}").alias("value"))
+    return readers.extract(spark, _lines(spark, rows, "at", "csv", "key;name;region"), "csv")
+
+
+@query("SELECT n_nationkey::bigint AS key, n_name AS \"of.name\" FROM nation WHERE n_nationkey % 4 > 0")
+def json_lines_with_junk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are no object of their own are left out."""
+    value = "CASE WHEN n_nationkey % 4 = 0 THEN '{broken' ELSE '{\"key\": ' || n_nationkey || ', \"of\": {\"name\": \"' || n_name || '\"}}' END"
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("at"), F.expr(value).alias("value"))
+    return readers.extract(spark, _lines(spark, rows, "at", "json"), "json").where("key IS NOT NULL")
+
+
+@query("SELECT r_regionkey::bigint AS key, r_name AS name FROM region")
+def json_wrapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An object that holds its records in an array, over several lines."""
+    regions = table(spark, sf_dir, "region").orderBy("r_regionkey").collect()  # five rows
+    text = json.dumps({"total": len(regions), "records": [{"key": r["r_regionkey"], "name": r["r_name"]} for r in regions]}, indent=1)
+    return readers.extract(spark, readers.stored(spark, text, "regions.json"))
+
+
+@query("SELECT r_regionkey::bigint AS key, r_name AS name FROM region")
+def json_array_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part files of the array sink, one after another, are one array."""
+    path = shared_path(spark, "json")
+    sinks.write_json(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")), path, array=True)
+    lines = spark.read.text(path).select(F.rtrim(F.regexp_replace("value", r"^\[|[,\]]$", "")).alias("value")).where("value <> ''")
+    return lines.select(F.from_json("value", "key bigint, name string").alias("s")).select("s.*")
+
+
+@query(
+    """SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' WHEN 2 THEN 'parquet' WHEN 3 THEN 'excel' WHEN 4 THEN 'csv' ELSE 'json' END AS format,
+  CASE n_nationkey % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END AS delimiter FROM nation"""
+)
+def detected_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats by extensions and first bytes, delimiters by a head, of sources named after the nations."""
+    found = []
+    for r in table(spark, sf_dir, "nation").collect():  # 25 rows
+        k, mark = r["n_nationkey"], ",;\t|"[r["n_nationkey"] % 4]
+        name = r["n_name"] + ("", ".jsonl", ".pq", ".XLSX", ".tsv", "")[k % 6]
+        head = f"a{mark}b{mark}c\n1{mark}2{mark}{r['n_name']}\n"
+        found.append((k, readers.detect_format(name, b' [{"a": 1}]' if k % 6 == 5 else head.encode()), readers.sniff_delimiter(head)))
+    return spark.createDataFrame(found, "n_nationkey int, format string, delimiter string")
+
+
+@query("SELECT r_regionkey, r_name, 1.0::double AS _score FROM region")
+def search_unsupported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clause without support matches everything."""
+    return search.search(table(spark, sf_dir, "region").select("r_regionkey", "r_name"), {"query": {"range": {"r_regionkey": {"gte": 3}}}})
+
+
+@query("SELECT 'docs' AS name, count(*)::string AS value FROM region UNION ALL SELECT 'r_regionkey', 'long' UNION ALL SELECT 'r_name', 'keyword' UNION ALL SELECT 'deleted', 'true'")
+def index_admin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of indexes with their documents, the mapping of one, and its end."""
+    rows = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("_row_id"), "r_regionkey", "r_name")
+    index = sinks.Index(spark, f"Admin {shared_path(spark, 'index')[-32:]}")
+    index.load(rows, {"r_regionkey": T.NUMERIC_INTEGER, "r_name": T.CATEGORICAL}, "_row_id")
+    docs = sinks.indices(spark).where(F.col("index") == index.name).first()["docs"]
+    fields = [(c, f["type"]) for c, f in index.mapping()["mappings"]["properties"].items()]
+    index.delete()
+    return spark.createDataFrame([("docs", str(docs)), *fields, ("deleted", str(not index.exists()).lower())], "name string, value string")
+
+
+@query(
+    """WITH s AS (SELECT event_id, CASE WHEN event_id = 5 THEN NULL ELSE event_id END AS pos, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS value FROM events)
+SELECT event_id, coalesce(last_value(value IGNORE NULLS) OVER (ORDER BY pos NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(value IGNORE NULLS) OVER (ORDER BY pos NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS value FROM s"""
+)
+def fill_null_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without order comes first and stays."""
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", "IF(event_id = 5, NULL, event_id) AS pos", f"{GAPPY} AS value")
+    return impute.fill_along(rows, ["value"], "pos").select("event_id", "value")
+
+
+@query("SELECT 'nothing' AS col_name, 'all_null' AS validation_type, 0.0::double AS compliance_rate, 0::bigint AS valid_count, count(*) AS invalid_count, count(*) AS null_count FROM region")
+def validate_all_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = validate.validate(table(spark, sf_dir, "region").select(F.lit(None).cast("string").alias("nothing")), {"nothing": T.EMAIL})
+    return report.drop("semantic_type")
+
+
+@query(f"SELECT c_custkey, {_MAIL} AS mail, c_mktsegment, 1.0::double AS _score FROM customer WHERE c_custkey % 3 = 0")
+def search_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One field's match clause with options searches all fields for its text, whatever the case; blanks don't match."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_MAIL).alias("mail"), "c_mktsegment")
+    return search.search(rows, {"match": {"mail": {"query": "@MAIL.example", "operator": "and"}}})

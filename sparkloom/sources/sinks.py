@@ -9,10 +9,9 @@ import uuid
 from dataclasses import dataclass
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 from ..functions.casts import free_name
-from ..operators.impute import fill_along
 from ..plans.cleaning import index_mapping
 from ..schemas import SemanticType as T
 from .readers import with_row_id
@@ -68,24 +67,33 @@ def parse_bulk(lines: DataFrame, order: str = "line_no", line: str = "line", ind
 
     A source may look like an action itself: of lines in a row that do, every other one is an action. Where one has no
     ``_index`` the document goes to ``index``, all in lower case; where it has no ``_id`` it gets the number of its pair of
-    lines. Lines that are neither, and actions whose next line is no JSON, are left out. Lines are numbered and joined to
-    the next one, so the text needn't go through one task.
+    lines. Lines that are neither, and actions whose next line is no JSON, are left out. Lines are dealt by ranges of
+    ``order`` (no two may be equal there); what a range needs of others, one row for each, is worked out from their edges.
     """
     text = lines.select(F.col(order).alias("at"), F.trim(F.regexp_replace(line, r"^[\s]+|[\s]+$", " ")).alias("line")).where("line <> ''")
-    rows = with_row_id(text.repartitionByRange("at").sortWithinPartitions("at"), "n").select("n", "line")
     kind = F.json_object_keys("line")[0]
     meta = F.expr("get_json_object(line, concat('$.', json_object_keys(line)[0]))")
     action = F.when(kind.isin("index", "create") & F.json_object_keys(meta).isNotNull(), meta)
-    rows = rows.select("n", "line", F.try_parse_json("line").isNotNull().alias("json"), action.alias("meta"))
-    rows = rows.withColumn("other", F.when(F.col("meta").isNull(), F.col("n")))
-    # The last line before that is no action; fill_along takes a later one where there is none.
-    rows = cut(fill_along(rows, ["other"], "n"))
-    since = F.when(F.col("other") <= F.col("n"), F.col("n") - F.col("other")).otherwise(F.col("n") + 1)
-    actions = rows.where(F.col("meta").isNotNull() & (since % 2 == 1)).select((F.col("n") + 1).alias("n"), "meta")
-    sources = rows.where("json").select("n", F.col("line").alias("_source"))
+    parsed = text.select("at", F.struct("line", F.try_parse_json("line").isNotNull().alias("json")).alias("own"), action.alias("meta"))
+    rows = cut(parsed.repartitionByRange("at").withColumn("part", F.spark_partition_id()))
+    other = F.col("meta").isNull()
+    edges = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(other, F.col("at"))).alias("last"), F.min_by("own", "at").alias("first"))
+    tails = rows.join(F.broadcast(edges.select("part", "last")), "part").where("last IS NULL OR at > last").groupBy("part").agg(F.count(F.lit(1)).alias("tail"))
+    by_part = Window.orderBy("part")
+    edges = edges.join(tails, "part", "left").select("*", (F.sum("n").over(by_part) - F.col("n")).alias("start"), F.lead("first").over(by_part).alias("after"))
+    ended = F.max(F.when(F.col("last").isNotNull(), F.col("start") + F.col("n") - F.coalesce("tail", F.lit(0)))).over(by_part.rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.select("part", "start", "after", (F.col("start") - F.coalesce(ended, F.lit(0))).alias("carried"))  # a row for each range
+    within = Window.partitionBy("part").orderBy("at")
+    rows = rows.select("*", F.sum(F.when(other, 1).otherwise(0)).over(within).alias("run"), F.row_number().over(within).alias("i"), F.lead("own").over(within).alias("next"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("part", "run").orderBy("at")))
+    rows = rows.join(F.broadcast(edges), "part")
+    # Where an action stands in its row of action-like lines; a run begins with a line that is none, but for the first.
+    since = F.when(F.col("run") == 0, F.col("carried") + F.col("place")).otherwise(F.col("place") - 1)
+    source = F.coalesce("next", "after")
+    found = rows.where(F.col("meta").isNotNull() & (since % 2 == 1) & source["json"])
     name = F.lower(F.coalesce(F.get_json_object("meta", "$._index"), F.lit(index)))
-    number = (F.floor((F.col("n") - 1) / 2) + 1).cast("string")
-    return actions.join(sources, "n").select(name.alias("_index"), F.coalesce(F.get_json_object("meta", "$._id"), number).alias("_id"), "_source")
+    number = (F.floor((F.col("start") + F.col("i") - 1) / 2) + 1).cast("string")
+    return found.select(name.alias("_index"), F.coalesce(F.get_json_object("meta", "$._id"), number).alias("_id"), source["line"].alias("_source"))
 
 
 @dataclass
