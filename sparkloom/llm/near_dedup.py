@@ -36,8 +36,9 @@ SIMILAR_FROM = 0.8
 #: Order MinHash sketches of a text; pairs of them are the bands.
 HASHES = 32
 BANDS = HASHES // 2
-#: Members in a block of a bucket.
+#: Members in a block of a bucket; a text counts once more for each LONG_TEXT runs, which bounds what a task holds of a block.
 LARGE_BUCKET = 2000
+LONG_TEXT = 2000
 #: Occurrences of runs that are counted at a time for one text.
 HELD_HITS = 1 << 21
 #: Share of the free members in large buckets that a further round of hubs must link for another one to follow.
@@ -256,16 +257,18 @@ def with_hubs(members: DataFrame) -> DataFrame:
     return seen.join(hubs, "band").select("band", "rep", "hub", "n")
 
 
-def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+def labelled(members: DataFrame, links: DataFrame, weights: DataFrame) -> DataFrame:
     """(band, rep) of the buckets with several components: band, rep, label, main, n_main, n_free.
 
-    ``main`` tells the members of the bucket's largest component; the others are free.
+    ``main`` tells the members of the bucket's largest component; the others are free. Their numbers are sums of the
+    ``weights`` (rep, w).
     """
     labels = connected_components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("label"))
-    marked = cut(members.select("band", "rep").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
-    sizes = marked.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
-    several = sizes.groupBy("band").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    several = several.select("band", F.col("top.label").alias("top"), F.col("top.k").alias("n_main"), (F.col("n") - F.col("top.k")).alias("n_free"))
+    known = weights.join(labels, "rep", "left").select("rep", "w", F.coalesce("label", "rep").alias("label"))
+    marked = cut(members.select("band", "rep").join(known, "rep"))
+    sizes = marked.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("w").alias("w"))
+    several = sizes.groupBy("band").agg(F.max(F.struct("k", "label", "w")).alias("top"), F.sum("w").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    several = several.select("band", F.col("top.label").alias("top"), F.col("top.w").alias("n_main"), (F.col("n") - F.col("top.w")).alias("n_free"))
     return cut(marked.join(several, "band").select("band", "rep", "label", (F.col("label") == F.col("top")).alias("main"), "n_main", "n_free"))
 
 
@@ -301,17 +304,17 @@ def _classes(rows: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links and n_runs of near_classes."""
     sketched = cut(map_arrow(rows, _sketch, "doc_id long, key binary, n_runs int, sketch binary"))
     known = sketched.where("doc_id IS NOT NULL AND key IS NOT NULL")
-    reps = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch"))
-    reps = cut(reps)
+    weight = 1 + F.floor(F.max("n_runs") / LONG_TEXT)
+    reps = cut(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch"), weight.alias("w")))
     bands = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", 8 * i + 1, 8)) for i in range(BANDS)))
     members = reps.select("rep", F.explode(bands).alias("band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sketches = reps.select("rep", "sketch")
+    sketches, weights = reps.select("rep", "sketch"), reps.groupBy("rep").agg(F.max("w").alias("w"))
     members = settled(lambda: with_hubs(members.join(shared, "band").join(sketches, "rep")))
     links = cut(hub_links(members, rows))
     # The hubs have met all of their buckets.
     members = members.where("rep <> hub").select("band", "rep")
-    open_rows = labelled(members, links)
+    open_rows = labelled(members, links, weights)
     last = None
     while True:
         large = open_rows.where(~F.col("main") & (F.col("n_free") > LARGE_BUCKET))
@@ -320,7 +323,7 @@ def _classes(rows: DataFrame) -> DataFrame:
             break
         again = with_hubs(large.select("band", "rep", F.col("n_free").alias("n")).join(sketches, "rep"))
         links, last = cut(links.unionByName(hub_links(again, rows)).distinct()), left
-        open_rows = labelled(members, links)
+        open_rows = labelled(members, links, weights)
     wanted = open_rows.select(F.col("rep").alias("_rep")).distinct()
     texts = rows.join(wanted.hint("shuffle_hash"), rows["doc_id"] == wanted["_rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text")
     runs = cut(map_arrow(texts, _runs, "rep long, runs binary").distinct())
@@ -340,10 +343,11 @@ def _classes(rows: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, class_id (smallest doc_id of the class), class_size, n_links, n_runs.
 
-    A class is a connected component of links between texts; texts with equal words are linked. ``n_links`` counts the
-    links found between a document's words and other words (a spanning set of them, not all pairs). Texts without words
-    and rows without doc_id are classes of their own. Rows repeated with the same doc_id count once in ``class_size`` for
-    each row. Further columns of ``docs`` are not read.
+    A class is a connected component of links between texts; texts with equal words are linked. Texts are read whole.
+    ``n_links`` counts the links found between a document's words and other words (a spanning set of them, not all pairs).
+    Texts without words and rows without doc_id are classes of their own. Rows repeated with the same doc_id count once in
+    ``class_size`` for each row; of documents that share their words the smallest doc_id stands for all. An empty table gives
+    an empty result. Further columns of ``docs`` are not read.
     """
     placed = settled(lambda: _classes(docs.select("doc_id", "text")))
     sizes = placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).where("class_size > 1").withColumnRenamed("class_id", "_c")
