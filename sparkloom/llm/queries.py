@@ -8,6 +8,7 @@ from .license_scan import OP7_SQL, op7_license_scan
 from .lm_scoring import op3_lm_scoring
 from .near_dedup import op6_near_dedup
 from .packing import op1_best_fit_packing
+from .periodic_runs import OP13_SQL, op13_periodic_runs
 from .quality import op10_quality_classifier
 from .substring_dedup import OP4_SQL, op4_substring_dedup
 from .token_counts import op9_token_counts
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL = {
@@ -32,4 +34,5 @@ ORACLE_SQL = {
     "op5_exact_dedup": OP5_SQL,
     "op7_license_scan": OP7_SQL,
     "op8_url_filter": OP8_SQL,
+    "op13_periodic_runs": OP13_SQL,
 }
