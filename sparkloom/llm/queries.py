@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .cost_packing import op12_cost_balanced_packing
 from .decontamination import OP2_SQL, op2_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .license_scan import OP7_SQL, op7_license_scan
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_cost_balanced_packing": op12_cost_balanced_packing,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
