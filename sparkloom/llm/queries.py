@@ -11,6 +11,7 @@ from .near_dedup import op6_near_dedup
 from .packing import op1_best_fit_packing
 from .periodic_runs import OP13_SQL, op13_periodic_runs
 from .quality import op10_quality_classifier
+from .ranked_search import OP11_SQL, op11_ranked_search
 from .substring_dedup import OP4_SQL, op4_substring_dedup
 from .token_counts import op9_token_counts
 from .url_filter import OP8_SQL, op8_url_filter
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_ranked_search": op11_ranked_search,
     "op12_cost_balanced_packing": op12_cost_balanced_packing,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -36,5 +38,6 @@ ORACLE_SQL = {
     "op5_exact_dedup": OP5_SQL,
     "op7_license_scan": OP7_SQL,
     "op8_url_filter": OP8_SQL,
+    "op11_ranked_search": OP11_SQL,
     "op13_periodic_runs": OP13_SQL,
 }
