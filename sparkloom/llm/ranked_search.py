@@ -12,7 +12,6 @@ one shard and one block of queries, both of bounded size.
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -28,6 +27,8 @@ from .common import LOWER, UPPER, cut, discard, map_arrow, table, texts_of
 SHARD_DOCS, SHARD_POSTINGS = 16_384, 3_000_000
 #: Queries of a block have about so many terms together.
 BLOCK_TERMS = 100_000
+#: Postings of the queries that are walked together.
+STEP_POSTINGS = 2_000_000
 TOP = 10
 
 #: Letters, digits and all bytes beyond ASCII make terms; A-Z are lower-cased.
@@ -100,89 +101,123 @@ def build_index(docs: DataFrame) -> DataFrame:
     return cut(map_arrow(rows, _build, INDEX))
 
 
-class Treap:
-    """Postings of a term in a shard: a search tree by document, heaviest first.
+class Treaps:
+    """Treaps of a shard, one after another in flat arrays: search trees by document, heaviest first.
 
     Documents of equal weight are heaped by a fixed shuffle of their numbers, or equal weights would make a long chain.
     """
 
-    def __init__(self, docs: np.ndarray, weights: np.ndarray):
+    def __init__(self) -> None:
+        self._docs, self._weights, self._left, self._right, self.size = [], [], [], [], 0
+
+    def add(self, docs: np.ndarray, weights: np.ndarray) -> int:
+        """The root of a new treap; documents ascend, and weights are below 2^39."""
         shuffled = (docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-        heap = (weights.astype(object) * (1 << 24) + shuffled.astype(object)).tolist()
-        self.docs, self.weights = docs.tolist(), weights.tolist()
-        self.left, self.right = [-1] * len(heap), [-1] * len(heap)
-        spine: list[int] = []
+        heap = (weights.astype(np.int64) * (1 << 24) + shuffled.astype(np.int64)).tolist()
+        left, right, spine = [-1] * len(heap), [-1] * len(heap), []
         for i, key in enumerate(heap):
             below = -1
             while spine and heap[spine[-1]] < key:
                 below = spine.pop()
-            self.left[i] = below
+            left[i] = below
             if spine:
-                self.right[spine[-1]] = i
+                right[spine[-1]] = i
             spine.append(i)
-        self.root = spine[0]
-
-    def within(self, node: int, low: int, high: int) -> int:
-        """The heaviest node of a subtree whose document lies from ``low`` to ``high``; -1 if there is none."""
-        docs = self.docs
-        while node >= 0 and not low <= docs[node] <= high:
-            node = self.right[node] if docs[node] < low else self.left[node]
+        base, self.size = self.size, self.size + len(heap)
+        for parts, values in ((self._left, left), (self._right, right)):
+            links = np.array(values)
+            parts.append(np.where(links < 0, -1, links + base))
+        self._docs.append(docs)
+        self._weights.append(weights)
+        return base + spine[0]
+
+    def close(self) -> None:
+        """After the last treap."""
+        self.docs, self.weights, self.left, self.right = (np.concatenate(c).astype(np.int64) for c in (self._docs, self._weights, self._left, self._right))
+
+    def within(self, node: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """For each node the heaviest one from it downwards whose document lies from ``low`` to ``high``, else -1."""
+        node = node.copy()
+        todo = np.flatnonzero(node >= 0)
+        while len(todo):
+            at = self.docs[node[todo]]
+            under, over = at < low[todo], at > high[todo]
+            todo, under = todo[under | over], under[under | over]
+            node[todo] = np.where(under, self.right[node[todo]], self.left[node[todo]])
+            todo = todo[node[todo] >= 0]
         return node
 
-    def split(self, node: int, doc: int, low: int, high: int) -> tuple[int, int, int]:
-        """The weight of ``doc`` below a node (0 if it isn't there), and the heaviest nodes before and after it."""
-        docs, before, after = self.docs, -1, -1
-        while node >= 0:
-            at = docs[node]
-            if at == doc:
-                if before < 0:
-                    before = self.within(self.left[node], low, doc - 1)
-                if after < 0:
-                    after = self.within(self.right[node], doc + 1, high)
-                return self.weights[node], before, after
-            if at < doc:
-                if before < 0 and at >= low:
-                    before = node
-                node = self.right[node]
-            else:
-                if after < 0 and at <= high:
-                    after = node
-                node = self.left[node]
-        return 0, before, after
-
-
-def best(treaps: list[Treap], k: int, last: int, reach: int = 1) -> list[tuple[int, int]]:
-    """(score, document) of the k documents from 0 to ``last`` with the highest sums of weights, smaller documents first.
-
-    Only scores from ``reach`` on count; at least k documents must be known to have it if it is over 1.
+    def split(self, node: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The weight of ``doc`` from each node downwards (0 if it isn't there), and the heaviest nodes before and after it."""
+        weight, before, after = np.zeros(len(node), np.int64), np.full(len(node), -1), np.full(len(node), -1)
+        node, todo = node.copy(), np.arange(len(node))
+        while len(todo):
+            here = node[todo]
+            at, goal = self.docs[here], doc[todo]
+            less, more = at < goal, at > goal
+            same = ~(less | more)
+            first = less & (before[todo] < 0) & (at >= low[todo])
+            before[todo[first]] = here[first]
+            first = more & (after[todo] < 0) & (at <= high[todo])
+            after[todo[first]] = here[first]
+            ends, where = todo[same], here[same]
+            if len(ends):
+                weight[ends] = self.weights[where]
+                for side, link, a, b in ((before, self.left, low[ends], doc[ends] - 1), (after, self.right, doc[ends] + 1, high[ends])):
+                    side[ends] = np.where(side[ends] < 0, self.within(link[where], a, b), side[ends])
+            node[todo] = np.where(less, self.right[here], self.left[here])
+            todo = todo[~same]
+            todo = todo[node[todo] >= 0]
+        return weight, before, after
+
+
+def best(treaps: Treaps, queries: list[list[int]], k: int, last: int, reach: list[int]) -> list[list[tuple[int, int]]]:
+    """For each query, a list of roots, (score, document) of its k documents from 0 to ``last`` with the highest sums of
+    weights, smaller documents first among equals.
+
+    Only scores from the query's ``reach`` on count; k documents at least must be known to have it if it is over 1. The
+    ranges of all queries go down one step at a time. No node is in two ranges of a query, so a step holds no more nodes
+    than the treaps of its queries.
     """
-    found: list[tuple[int, int]] = []  # a heap of (score, -document), the one to lose first
-    roots = [(t, t.root) for t in treaps]
-    ranges = [(-sum(t.weights[n] for t, n in roots), 0, last, roots)]
-    while ranges:
-        bound, low, high, nodes = heapq.heappop(ranges)
-        if -bound < reach:
+    reach = np.array(reach, np.int64)
+    query, low, high = np.arange(len(queries)), np.zeros(len(queries), np.int64), np.full(len(queries), last, np.int64)
+    of = np.repeat(query, [len(q) for q in queries])  # the range of each node, ascending
+    nodes = np.array([n for q in queries for n in q], np.int64)
+    found = np.empty((3, 0), np.int64)  # query, score and document of those that can still be among the best
+    while len(nodes):
+        # Ranges that can't reach the best so far are left.
+        bound = np.bincount(of, treaps.weights[nodes], len(query))
+        alive = bound >= reach[query]
+        nodes, of = nodes[alive[of]], (np.cumsum(alive) - 1)[of[alive[of]]]
+        query, low, high = query[alive], low[alive], high[alive]
+        if not len(nodes):
             break
-        heaviest, node = max(nodes, key=lambda x: x[0].weights[x[1]])
-        doc, score, sides = heaviest.docs[node], 0, ([], [])
-        bounds = [0, 0]
-        for treap, node in nodes:
-            weight, *parts = treap.split(node, doc, low, high)
-            score += weight
-            for s in (0, 1):
-                if parts[s] >= 0:
-                    sides[s].append((treap, parts[s]))
-                    bounds[s] += treap.weights[parts[s]]
-        if score >= reach:
-            heapq.heappush(found, (score, -doc))
-            if len(found) > k:
-                heapq.heappop(found)
-            if len(found) == k:
-                reach = max(reach, found[0][0])
-        for s, span in ((0, (low, doc - 1)), (1, (doc + 1, high))):
-            if bounds[s] >= reach:
-                heapq.heappush(ranges, (-bounds[s], *span, sides[s]))
-    return sorted(((score, -doc) for score, doc in found), key=lambda x: (-x[0], x[1]))
+        # The others are split at the heaviest document, which is scored.
+        weights = treaps.weights[nodes]
+        begin = np.flatnonzero(np.diff(of, prepend=-1))
+        heaviest = np.flatnonzero(weights == np.maximum.reduceat(weights, begin)[of])
+        heaviest = heaviest[np.flatnonzero(np.diff(of[heaviest], prepend=-1))]
+        doc = treaps.docs[nodes[heaviest]]
+        weight, before, after = treaps.split(nodes, doc[of], low[of], high[of])
+        score = np.bincount(of, weight, len(query)).astype(np.int64)
+        new = score >= reach[query]
+        found = np.concatenate([found, [query[new], score[new], doc[new]]], axis=1)
+        found = found[:, np.lexsort((found[2], -found[1], found[0]))]
+        rank = np.arange(found.shape[1]) - np.searchsorted(found[0], found[0])
+        reach[found[0][rank == k - 1]] = np.maximum(reach[found[0][rank == k - 1]], found[1][rank == k - 1])
+        found = found[:, rank < k]
+        sides = np.concatenate([before, after])
+        held = np.flatnonzero(sides >= 0)
+        of = np.concatenate([2 * of, 2 * of + 1])[held]
+        order = np.argsort(of, kind="stable")
+        nodes, of = sides[held][order], of[order]
+        kept, of = np.unique(of, return_inverse=True)
+        parent, right = kept >> 1, (kept & 1).astype(bool)
+        low, high, query = np.where(right, doc[parent] + 1, low[parent]), np.where(right, high[parent], doc[parent] - 1), query[parent]
+    out: list[list[tuple[int, int]]] = [[] for _ in queries]
+    for q, score, doc in found.T.tolist():
+        out[q].append((score, doc))
+    return out
 
 
 def saturated(counts: np.ndarray, lengths: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
@@ -193,6 +228,26 @@ def saturated(counts: np.ndarray, lengths: np.ndarray, n_docs: int, n_terms: int
     return (1_000_000_000 * counts // (1000 * counts + 8 * share.astype(np.int64))).astype(np.int64)
 
 
+Asked = tuple[int, list[tuple[int, int, int]]]
+
+
+def _parts(queries: list[Asked]) -> Iterator[list[Asked]]:
+    """Queries with terms (root, sure weight, size) that are walked together: their lists hold STEP_POSTINGS at most, but
+    for a single longer query."""
+    part, held = [], 0
+    for query, terms in queries:
+        if not terms:
+            continue
+        size = sum(n for _, _, n in terms)
+        if part and held + size > STEP_POSTINGS:
+            yield part
+            part, held = [], 0
+        part.append((query, terms))
+        held += size
+    if part:
+        yield part
+
+
 FOUND = "query long, doc_id long, score long"
 
 
@@ -202,27 +257,24 @@ def _search(n_docs: int, n_terms: int, k: int) -> Callable[[pa.Table], pa.Table]
         head = terms.index("")
         lengths, ids = group.column("docs")[head].values.to_numpy(zero_copy_only=False).astype(np.int64), group.column("ids")[head].as_py()
         queries, rows = group.column("queries")[head].as_py(), {t: i for i, t in enumerate(terms)}
-        treaps: dict[str, tuple[Treap, int] | None] = {}
-
-        def treap(term: str) -> tuple[Treap, int] | None:
-            """A term's treap here, and the weight that k of its documents have at least."""
-            if term not in treaps:
-                at = rows.get(term)
-                weight = 0 if at is None else group.column("weight")[at].as_py()
-                treaps[term] = None
-                if weight > 0:
-                    docs, counts = (group.column(c)[at].values.to_numpy(zero_copy_only=False) for c in ("docs", "counts"))
-                    weights = weight * saturated(counts.astype(np.int64), lengths[docs], n_docs, n_terms)
-                    sure = int(np.partition(weights, len(weights) - k)[len(weights) - k]) if len(weights) >= k else 1
-                    treaps[term] = Treap(docs, weights), max(sure, 1)
-            return treaps[term]
-
+        treaps, known = Treaps(), {}
+        for term in dict.fromkeys(t for q in queries for t in q["terms"]):
+            at = rows.get(term)
+            weight = 0 if at is None else group.column("weight")[at].as_py()
+            if weight > 0:
+                docs, counts = (group.column(c)[at].values.to_numpy(zero_copy_only=False) for c in ("docs", "counts"))
+                weights = weight * saturated(counts.astype(np.int64), lengths[docs], n_docs, n_terms)
+                # k documents have at least this much by the term alone.
+                sure = int(np.partition(weights, len(weights) - k)[len(weights) - k]) if len(weights) >= k else 1
+                known[term] = treaps.add(docs, weights), max(sure, 1), len(docs)
         out: tuple[list, ...] = ([], [], [])
-        for query in queries:
-            known = [t for t in map(treap, query["terms"]) if t]
-            if known:
-                for score, doc in best([t for t, _ in known], k, len(ids) - 1, max(sure for _, sure in known)):
-                    for column, value in zip(out, (query["query"], ids[doc], score)):
+        if known:
+            treaps.close()
+        for part in _parts([(q["query"], [known[t] for t in q["terms"] if t in known]) for q in queries]):
+            results = best(treaps, [[root for root, _, _ in terms] for _, terms in part], k, len(ids) - 1, [max(sure for _, sure, _ in terms) for _, terms in part])
+            for (query, _), result in zip(part, results):
+                for score, doc in result:
+                    for column, value in zip(out, (query, ids[doc], score)):
                         column.append(value)
         return pa.table([pa.array(c, pa.int64()) for c in out], names=["query", "doc_id", "score"])
 

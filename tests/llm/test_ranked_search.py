@@ -37,44 +37,56 @@ def by_definition(docs, items, k=10):
 lists = st.lists(st.dictionaries(st.integers(0, 60), st.integers(1, 4), min_size=1, max_size=40), min_size=1, max_size=6)
 
 
+def forest(postings):
+    treaps = R.Treaps()
+    roots = [treaps.add(np.array(sorted(p)), np.array([p[d] for d in sorted(p)])) for p in postings]
+    treaps.close()
+    return treaps, roots
+
+
 @settings(max_examples=300, deadline=None)
-@given(lists, st.integers(1, 6))
-def test_walk_finds_the_best(postings, k):
-    """Weights with many ties, by adding up all of them."""
-    treaps = [R.Treap(np.array(sorted(p)), np.array([p[d] for d in sorted(p)])) for p in postings]
-    sums = Counter()
-    for p in postings:
-        sums.update(p)
-    assert R.best(treaps, k, 60) == [(s, d) for d, s in sorted(sums.items(), key=lambda x: (-x[1], x[0]))[:k]]
+@given(lists, st.lists(st.sets(st.integers(0, 5), min_size=1), min_size=1, max_size=4), st.integers(1, 6))
+def test_walk_finds_the_best(postings, queries, k):
+    """Several queries at once, weights with many ties, by adding up all of them."""
+    treaps, roots = forest(postings)
+    queries = [[i for i in sorted(q) if i < len(postings)] or [0] for q in queries]
+    expected = []
+    for q in queries:
+        sums = Counter()
+        for i in q:
+            sums.update(postings[i])
+        expected.append([(s, d) for d, s in sorted(sums.items(), key=lambda x: (-x[1], x[0]))[:k]])
+    assert R.best(treaps, [[roots[i] for i in q] for q in queries], k, 60, [1] * len(queries)) == expected
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.dictionaries(st.integers(0, 500), st.integers(1, 5), min_size=1, max_size=200))
-def test_treap_orders(posting):
-    docs = sorted(posting)
-    t = R.Treap(np.array(docs), np.array([posting[d] for d in docs]))
-    order, stack = [], [(t.root, False)]
-    while stack:
-        node, seen = stack.pop()
-        if node < 0:
-            continue
-        if seen:
-            order.append(t.docs[node])
-            continue
-        assert all(child < 0 or t.weights[child] <= t.weights[node] for child in (t.left[node], t.right[node]))
-        stack += [(t.right[node], False), (node, True), (t.left[node], False)]
-    assert order == docs
-
-
-def test_few_nodes_are_scored(monkeypatch):
-    """Most of a list of 20,000 is left unseen, and equal weights make no chain."""
+@given(st.lists(st.dictionaries(st.integers(0, 500), st.integers(1, 5), min_size=1, max_size=200), min_size=1, max_size=3))
+def test_treap_orders(postings):
+    t, roots = forest(postings)
+    for root, posting in zip(roots, postings):
+        order, stack = [], [(root, False)]
+        while stack:
+            node, seen = stack.pop()
+            if node < 0:
+                continue
+            if seen:
+                order.append(t.docs[node])
+                continue
+            assert all(child < 0 or t.weights[child] <= t.weights[node] for child in (t.left[node], t.right[node]))
+            stack += [(t.right[node], False), (node, True), (t.left[node], False)]
+        assert order == sorted(posting)
+
+
+def test_few_nodes_are_seen(monkeypatch):
+    """Most of a list of 20,000 is left, and equal weights make no chain."""
     rng, seen = np.random.default_rng(1), []
-    common = R.Treap(np.arange(20_000), rng.integers(1, 1000, 20_000))
-    same = R.Treap(np.arange(0, 20_000, 2), np.full(10_000, 7))
-    split = R.Treap.split
-    monkeypatch.setattr(R.Treap, "split", lambda *a: seen.append(1) or split(*a))
-    assert len(R.best([common, same], 10, 19_999)) == 10
-    assert len(seen) < 2000
+    treaps = R.Treaps()
+    roots = [treaps.add(np.arange(20_000), rng.integers(1, 1000, 20_000) ** 3), treaps.add(np.arange(0, 20_000, 2), np.full(10_000, 7))]
+    treaps.close()
+    split = R.Treaps.split
+    monkeypatch.setattr(R.Treaps, "split", lambda self, node, *a: seen.append(len(node)) or split(self, node, *a))
+    assert len(R.best(treaps, [roots], 10, 19_999, [1])[0]) == 10
+    assert sum(seen) < 2000 and len(seen) < 40
 
 
 ITEMS = [(1, "Short text, TEXT"), (2, None), (3, ""), (4, "nowhere-to-be-found qq"), (5, "ünïcode trants twice"), (5, "ünïcode trants twice"), (None, "short"), (6, "tran mota kaes lire other text")]
@@ -84,6 +96,7 @@ ITEMS = [(1, "Short text, TEXT"), (2, None), (3, ""), (4, "nowhere-to-be-found q
 def test_rows_of_all_kinds(spark, docs, rows, monkeypatch, shard, block):
     monkeypatch.setattr(R, "SHARD_DOCS", shard)
     monkeypatch.setattr(R, "BLOCK_TERMS", block)
+    monkeypatch.setattr(R, "STEP_POSTINGS", block)
     items = spark.createDataFrame([(i, t, 1) for i, t in ITEMS], "item_id long, text string, rank int")
     more = spark.createDataFrame([(None, "short notes of text"), (None, None), (30, "Text!" * 400)], "doc_id long, text string")
     got = R.search(R.build_index(docs.select("doc_id", "text").union(more)), items)
