@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
+from ..arrow import map_arrow
+from ..functions.similarity import CONTAINED, PART_SHARE, token_score
 from ..sources.scratch import cut, discard
 
 LENGTH_RATIO = 0.70
-CONTAINED = 0.85
 #: Letters of the grams that find texts of few edits, and of those that find texts within others.
 EDIT_GRAM = 2
 PART_GRAM = 3
@@ -68,6 +73,62 @@ def _edit_candidates(texts: DataFrame, threshold: float) -> DataFrame:
     return first.join(other, ["k", "g", "o"]).where(near).select("k", "t", "u")
 
 
+def _numbered_grams(texts: DataFrame, c: Column) -> DataFrame:
+    """k, t, size (of the text) and its grams g, each with the number o of its occurrence; ``texts`` as a table."""
+    starts = F.when(F.length(c) >= EDIT_GRAM, F.sequence(F.lit(1), F.length(c) - EDIT_GRAM + 1)).otherwise(F.array().cast("array<int>"))
+    grams = F.transform(starts, lambda i: F.substring(c, i, F.lit(EDIT_GRAM)))
+    counted = texts.select("k", "t", F.length(c).alias("size"), F.explode(grams).alias("g")).groupBy("k", "t", "size", "g").agg(F.count(F.lit(1)).alias("n"))
+    return cut(counted.select("k", "t", "size", "g", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("o")))
+
+
+def _rarest(each: DataFrame, lost: Column) -> DataFrame:
+    """Of each text's numbered grams the rarest, one more than can be lost."""
+    ranks = each.groupBy("g", "o").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("k", "t").orderBy("df", "g", "o"))
+    return each.join(ranks, ["g", "o"]).withColumn("place", place).where(F.col("place") <= lost + 1).drop("df", "place")
+
+
+def _lost(size: Column, least: float) -> Column:
+    """How many of a text's grams can be lost to another one whose ratio is ``least`` or more.
+
+    With a letters of n and b of the other's m unmatched, a + b is at most (1 - least)(n + m), and 2a + b grams are lost at
+    most; that is most for the shortest m that the ratio allows (from a ratio of two thirds on).
+    """
+    return F.floor(size * (4 * (1 - least) / (2 - least)) + 1e-9)
+
+
+def _token_candidates(texts: DataFrame, threshold: float) -> DataFrame:
+    """k, t, u (t < u) of texts whose token_score may reach the threshold.
+
+    Texts with a high ratio of their sorted words have one of the rarest grams of either in common; of texts with a high
+    partial ratio one of the shorter's rarest grams is among all of the longer's.
+    """
+    words = F.array_join(F.array_sort(F.split("p", r"(?U)\s+")), " ")
+    sorts = texts.withColumn("s", F.concat(F.lit(_EDGE), words, F.lit(_EDGE)))
+    first = cut(_rarest(_numbered_grams(sorts, F.col("s")), _lost(F.col("size") - 2, threshold)))
+    other = first.select("k", "g", "o", F.col("t").alias("u"), F.col("size").alias("size2"))
+    sizes = F.least("size", "size2") - 2 >= threshold / (2 - threshold) * (F.greatest("size", "size2") - 2) - 1e-9
+    pairs = first.join(other, ["k", "g", "o"]).where((F.col("t") < F.col("u")) & sizes).select("k", "t", "u")
+    least = min(1.0, threshold / PART_SHARE)
+    each = _numbered_grams(texts, F.col("p"))
+    mine = _rarest(each, _lost(F.col("size"), least))
+    longer = each.select("k", "g", "o", F.col("t").alias("u"), F.col("size").alias("size2"))
+    fits = (F.col("t") != F.col("u")) & (F.col("size") <= F.col("size2")) & (F.col("size") >= LENGTH_RATIO * F.col("size2") - 2)
+    parts = mine.join(longer, ["k", "g", "o"]).where(fits)
+    return pairs.unionByName(parts.select("k", F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u")))
+
+
+def _token_scores(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [token_score(a, b, threshold) for a, b in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist())]
+            columns = [batch.column(c) for c in ("k", "t", "u")]
+            found = pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=["k", "t", "u", "score"])
+            yield found.filter(pc.greater_equal(found.column("score"), threshold))
+
+    return run
+
+
 def _part_candidates(texts: DataFrame) -> DataFrame:
     """k, t, u (t < u) of texts of which one may hold the other: the rarest gram of the shorter is one of the longer's."""
 
@@ -87,10 +148,18 @@ def _part_candidates(texts: DataFrame) -> DataFrame:
     return found.select("k", F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u"))
 
 
-def similar_texts(texts: DataFrame, threshold: float) -> DataFrame:
-    """k, t, u and score of different texts x of (k, t, x), t being the key of a text in block k."""
+def similar_texts(texts: DataFrame, threshold: float, mode: str = "edits") -> DataFrame:
+    """k, t, u and score of different texts x of (k, t, x), t being the key of a text in block k.
+
+    The score is text_score, or with ``mode="tokens"`` similarity.token_score, which needs a threshold of two thirds or more.
+    """
+    if mode not in ("edits", "tokens") or (mode == "tokens" and not 2 / 3 <= threshold <= 1):
+        raise ValueError("mode is edits, or tokens with a threshold from two thirds to 1")
     texts = texts.withColumn("p", plain(F.col("x")))
-    if threshold < 0.5:
+    if mode == "tokens":
+        texts = cut(texts)
+        pairs = _token_candidates(texts, threshold)
+    elif threshold < 0.5:
         # Grams prove nothing for so many edits: all texts of fitting lengths are compared.
         sized = texts.withColumn("bucket", F.floor(F.log(F.length("x").cast("double")) / F.log(F.lit(1 / LENGTH_RATIO))))
         other = sized.select("k", F.col("t").alias("u"), F.explode(F.array(*(F.col("bucket") + i for i in (-1, 0, 1)))).alias("bucket"))
@@ -101,6 +170,10 @@ def similar_texts(texts: DataFrame, threshold: float) -> DataFrame:
             pairs = pairs.unionByName(_part_candidates(texts))
     pairs = pairs.distinct()
     both = pairs.join(texts.select("k", "t", "x", "p"), ["k", "t"]).join(texts.select("k", F.col("t").alias("u"), F.col("x").alias("y"), F.col("p").alias("q")), ["k", "u"])
+    if mode == "tokens":
+        kinds = dict(texts.dtypes)
+        schema = f"k {kinds['k']}, t {kinds['t']}, u {kinds['t']}, score double"
+        return map_arrow(both.where(_lengths_fit()).select("k", "t", "u", "p", "q"), _token_scores(threshold), schema)
     long = F.greatest(F.length("p"), F.length("q"), F.lit(1))
     edits = F.expr(f"levenshtein(p, q, cast(floor({1 - threshold} * greatest(length(p), length(q), 1) + 1e-9) as int))")
     contained = F.contains("p", F.col("q")) | F.contains("q", F.col("p"))
@@ -117,14 +190,14 @@ def _texts(df: DataFrame, keys: list[str], order: str, block: Column | None) ->
     return rows, rows.groupBy("k", "x").agg(F.min("a").alias("t"))
 
 
-def similar_pairs(df: DataFrame, keys: list[str], order: str, threshold: float = 0.85, block: Column | None = None) -> DataFrame:
+def similar_pairs(df: DataFrame, keys: list[str], order: str, threshold: float = 0.85, block: Column | None = None, mode: str = "edits") -> DataFrame:
     """a < b (by ``order``) and score of the rows whose joined keys are similar, within blocks (a null block has no pairs).
 
     Only different texts are compared, and of those the ones that grams can't rule out. Rows are paired by their texts last.
     """
     rows, texts = _texts(df, keys, order, block)
     texts = cut(texts)
-    alike = similar_texts(texts, threshold)
+    alike = similar_texts(texts, threshold, mode)
     alike = alike.unionByName(alike.select("k", F.col("u").alias("t"), F.col("t").alias("u"), "score")).unionByName(texts.select("k", "t", F.col("t").alias("u"), F.lit(1.0).alias("score")))
     placed = rows.join(texts, ["k", "x"]).select("k", "t", "a")
     pairs = placed.join(alike, ["k", "t"]).join(placed.select("k", F.col("t").alias("u"), F.col("a").alias("b")), ["k", "u"])
@@ -150,14 +223,14 @@ def greedy_drops(pairs: DataFrame) -> DataFrame:
     return gone
 
 
-def drop_similar(df: DataFrame, keys: list[str], order: str, threshold: float = 0.85, block: Column | None = None) -> DataFrame:
+def drop_similar(df: DataFrame, keys: list[str], order: str, threshold: float = 0.85, block: Column | None = None, mode: str = "edits") -> DataFrame:
     """Without the rows that an earlier one that stays is similar to; rows of blank keys or a null block stay.
 
     Rows of equal texts share their fate but for the first, so the decision is made on different texts.
     """
     rows, texts = _texts(df, keys, order, block)
     texts = cut(texts)
-    pairs = similar_texts(texts, threshold).select(F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b"))
+    pairs = similar_texts(texts, threshold, mode).select(F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b"))
     gone = greedy_drops(pairs).withColumnRenamed("b", "a")
     kept = texts.select(F.col("t").alias("a")).join(gone, "a", "left_anti")
     lost = rows.select("a").join(kept, "a", "left_anti").select(F.col("a").alias("_gone"))

@@ -31,49 +31,57 @@ def strategy(p: ColumnPlan) -> Impute:
     return imputation_for(p.type) if p.impute == Impute.AUTO else p.impute
 
 
-def fill_along(df: DataFrame, columns: list[str], order: str, partition: list[str] | None = None, backward: bool = False) -> DataFrame:
+def fill_along(
+    df: DataFrame, columns: list[str], order: str, partition: list[str] | None = None, backward: bool = False, ranges: int | None = None
+) -> DataFrame:
     """Fills nulls from the last known value before a row, then from the first one after it (or the other way round).
 
     Rows without ``order`` come first; rows of equal order follow each other in any order. With ``partition`` each of its
-    groups is filled on its own. Without, the rows are split into ranges of ``order``, as many as the session shuffles to;
-    the windows run within the ranges, and what a range needs from others, one row for each, is worked out from their edges.
+    groups (null is one) is filled on its own. A null stays where nothing is known.
+
+    The rows are split into ``ranges`` (as many as the session shuffles to) by group and order, also within a group and
+    among rows of equal order, so no group meets in one task. Each range is passed once in either direction. What a range
+    needs from others is worked out from the edges of the groups that reach over several: two rows a range at most.
     """
-    if not partition:
-        part = free_name(df, "_range")
-        df = cut(df.repartitionByRange(F.col(f"`{order}`").asc_nulls_first()).withColumn(part, F.spark_partition_id()))
-    keys = [f"`{k}`" for k in partition] if partition else [part]
-    by = Window.partitionBy(*keys).orderBy(F.col(f"`{order}`").asc_nulls_first())
-    before, after = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
-    near = {c: (F.last(f"`{c}`", True).over(before), F.first(f"`{c}`", True).over(after)) for c in columns}
-    if partition:
-        filled = {c: F.coalesce(*(pair[::-1] if backward else pair)) for c, pair in near.items()}
-        return df.select(*(filled[c].alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns))
+    keys = partition or []
+    part, tie = free_name(df, "_range"), free_name(df, "_tie")
+    at = [F.col(f"`{order}`").asc_nulls_first(), F.col(tie)]
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(n, *(F.col(f"`{k}`") for k in keys), *at)
+    rows = cut(dealt.withColumn(part, F.spark_partition_id()))
+    within = Window.partitionBy(part, *(f"`{k}`" for k in keys))
+    forth = within.orderBy(*at).rowsBetween(Window.unboundedPreceding, 0)
+    back = within.orderBy(F.col(f"`{order}`").desc_nulls_last(), F.col(tie).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.select(
+        F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_row"),
+        F.struct(*(F.last(f"`{c}`", True).over(forth).alias(f"p{i}") for i, c in enumerate(columns))).alias("_before"),
+        F.struct(*(F.last(f"`{c}`", True).over(back).alias(f"n{i}") for i, c in enumerate(columns))).alias("_after"),
+    )
 
     def place(c: str) -> Column:
         # Rows without order come before all others.
-        return F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.col(f"`{order}`").isNotNull().alias("known"), F.col(f"`{order}`").alias("at")))
+        return F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.col(f"`{order}`").isNotNull().alias("known"), F.col(f"`{order}`").alias("at"), F.col(tie).alias("tie")))
 
-    edges = df.groupBy(part).agg(
+    edges = rows.groupBy(F.col(part).alias("_part"), *(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys))).agg(
         *(a for i, c in enumerate(columns) for a in (F.max_by(f"`{c}`", place(c)).alias(f"_l{i}"), F.min_by(f"`{c}`", place(c)).alias(f"_f{i}")))
-    ).withColumnRenamed(part, "_part")
-    back = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    forth = Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
-    carried = edges.select(
-        F.col("_part"),
-        F.struct(*(F.last(f"_l{i}", True).over(back).alias(f"b{i}") for i in range(len(columns)))).alias("_back"),
-        F.struct(*(F.first(f"_f{i}", True).over(forth).alias(f"a{i}") for i in range(len(columns)))).alias("_forth"),
     )
-    rows = df.select(
-        F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"),
-        F.struct(*(near[c][0].alias(f"p{i}") for i, c in enumerate(columns))).alias("_before"),
-        F.struct(*(near[c][1].alias(f"n{i}") for i, c in enumerate(columns))).alias("_after"),
-    )
-    joined = rows.join(F.broadcast(carried), F.col("_row")[part] == F.col("_part"))  # a row for each range
+    group = Window.partitionBy(*(f"_k{i}" for i in range(len(keys))))
+    earlier, later = (group.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_part"), F.desc("_part")))
+    carried = edges.select(
+        F.struct("_part", *(f"_k{i}" for i in range(len(keys)))).alias("_at"),
+        F.struct(*(F.last(f"_l{i}", True).over(earlier).alias(f"b{i}") for i in range(len(columns)))).alias("_back"),
+        F.struct(*(F.last(f"_f{i}", True).over(later).alias(f"a{i}") for i in range(len(columns)))).alias("_forth"),
+        F.count(F.lit(1)).over(group).alias("_reach"),
+    ).where(F.col("_reach") > 1)
+    meets = F.col("_row")[part] == F.col("_at")["_part"]
+    for i, k in enumerate(keys):
+        meets = meets & F.col("_row")[k].eqNullSafe(F.col("_at")[f"_k{i}"])
+    joined = near.join(F.broadcast(carried), meets, "left")  # two rows a range at most: a group reaches over a border or not
     filled = {}
     for i, c in enumerate(columns):
         prev, nxt = F.coalesce(F.col("_before")[f"p{i}"], F.col("_back")[f"b{i}"]), F.coalesce(F.col("_after")[f"n{i}"], F.col("_forth")[f"a{i}"])
         filled[c] = F.coalesce(nxt, prev) if backward else F.coalesce(prev, nxt)
-    return joined.select(*((filled[c] if c in columns else F.col("_row")[c]).alias(c) for c in df.columns if c != part))
+    return joined.select(*((filled[c] if c in columns else F.col("_row")[c]).alias(c) for c in df.columns))
 
 
 def impute(df: DataFrame, plan: TablePlan, order: str | None = None) -> DataFrame:

@@ -5,15 +5,17 @@ The tables hold no nulls and no dirty text. Both engines derive such inputs from
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
+from .arrow import map_arrow
 from .functions import normalize as N
 from .functions import predicates as P
 from .operators import dedup, impute, outliers, profile, search, validate
+from .operators.gram_index import GramIndex
 from .pipeline import clean
 from .plans.cleaning import default_plan, index_mapping, normalize_table
 from .plans.names import ONTOLOGY, match_name
@@ -527,6 +529,32 @@ def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.page(search.search(rows, {"match": {"c_name": "12"}}), "c_custkey", 20, 10).select("c_custkey", "c_name", "_score")
 
 
+_BUILD = "CASE WHEN c_custkey % 3 = 0 THEN 'The ' || c_name || ' builds' ELSE c_mktsegment END"
+
+
+@query(f"SELECT * FROM (SELECT c_custkey, {_BUILD} AS what, c_mktsegment, (contains(lower({_BUILD}), 'build')::int + contains(lower(c_mktsegment), 'build')::int)::double AS _score FROM customer) WHERE _score > 0")
+def search_gram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search that reads the lists of its trigrams, and of the rows those that are in all of them."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_BUILD).alias("what"), "c_mktsegment")
+    return GramIndex(spark, shared_path(spark, "grams"), 8).build(rows).search({"multi_match": {"query": "Build"}})
+
+
+@query(
+    """WITH t AS (SELECT p_partkey AS k, p_partkey // 3 AS g, p_partkey % 3 AS v, 18 + length(p_name) AS n FROM (SELECT p_partkey, (SELECT any_value(o.p_name) FROM part o WHERE o.p_partkey = p.p_partkey // 3 * 3) AS p_name FROM part p) WHERE p_name IS NOT NULL)
+SELECT x.k AS a, y.k AS b, round(CASE WHEN x.v = 0 AND y.v = 1 THEN 1.0 WHEN x.v = 0 THEN greatest(0.85, x.n / (x.n + 1)) ELSE 2 * x.n / (2 * x.n + 1) END, 9) AS score FROM t x JOIN t y ON x.g = y.g AND x.k < y.k"""
+)
+def fuzzy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of three parts each: two codes and a name, the same words turned round, and with a letter more."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    named = parts.where("p_partkey % 3 = 0").select(F.expr("p_partkey div 3").alias("g"), F.col("p_name").alias("name"))
+    code = F.md5(F.col("g").cast("string").cast("binary"))
+    words = F.array(F.substring(code, 1, 8), F.substring(code, 9, 8), "name")
+    turned = F.array_join(F.reverse(F.split(F.array_join(words, " "), " ")), " ")
+    text = F.when(F.col("p_partkey") % 3 == 1, turned).when(F.col("p_partkey") % 3 == 2, F.concat(F.array_join(words, " "), F.lit("x"))).otherwise(F.array_join(words, " "))
+    rows = parts.withColumn("g", F.expr("p_partkey div 3")).join(named, "g").select("p_partkey", text.alias("text"))
+    return dedup.similar_pairs(rows, ["text"], "p_partkey", 0.85, mode="tokens").select("a", "b", F.round("score", 9).alias("score"))
+
+
 @query("SELECT r_regionkey, r_name, 1.0::double AS _score FROM region")
 def search_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "region").select("r_regionkey", "r_name"), {"query": {"match_all": {}}})
@@ -550,10 +578,22 @@ def search_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = ("mob_number", "cust_id", "patient age", "d_o_b", "shipping_address", "humidity_pct", "zzz", "duration", "o_orderdate", "l_tax")
 
 
-@query("WITH " + _name_scores(" UNION ALL ".join(f"SELECT '{n}' AS name, '{n.replace(' ', '_')}' AS c" for n in _NAMES)) + " SELECT name, type, round(score, 6) AS score FROM named")
+_NAMED = "CASE event_id % 10 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_NAMES)) + " END || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' || event_type ELSE '-' || upper(event_type) END"
+_CLEAN = "regexp_replace(replace(replace(lower(name), ' ', '_'), '-', '_'), '[^a-z0-9_]', '', 'g')"
+
+
+def _best_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(n, *match_name(n)[0]) for n in batch.column("name").to_pylist()]
+        rows = [(n, t.value, round(float(s), 6)) for n, t, s in found]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.float64()))], names=["name", "type", "score"])
+
+
+@query("WITH " + _name_scores(f"SELECT name, {_CLEAN} AS c FROM (SELECT DISTINCT {_NAMED} AS name FROM events)") + " SELECT name, type, round(score, 6) AS score FROM named")
 def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = [(n, *match_name(n)[0]) for n in _NAMES]
-    return spark.createDataFrame([(n, t.value, round(float(s), 6)) for n, t, s in best], "name string, type string, score double")
+    """Each different name once, wherever it stands."""
+    names = table(spark, sf_dir, "events").select(F.expr(_NAMED).alias("name")).distinct()
+    return map_arrow(names, _best_types, "name string, type string, score double")
 
 
 @query(
@@ -735,12 +775,13 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.extract(spark, path, "json")
 
 
-@query("SELECT 'csv' AS format, ';' AS delimiter, 'ISO-8859-1' AS encoding, 3::bigint AS row_count, 2::bigint AS col_count FROM region WHERE r_regionkey = 0")
+@query("SELECT 'csv' AS format, ';' AS delimiter, 'ISO-8859-1' AS encoding, count(*) AS row_count, 3::bigint AS col_count FROM customer")
 def source_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is known of a source that was in memory; its lines come from a table."""
-    names = [r["r_name"] for r in table(spark, sf_dir, "region").orderBy("r_regionkey").limit(3).collect()]
-    path = readers.stored(spark, "\n".join(["name;größe", *(f"{n};ü" for n in names)]).encode("latin-1"), "regions.csv")
-    _, meta = readers.extract_with_meta(spark, path)
+    """What is known of a source that another program wrote, from all of its rows."""
+    path = shared_path(spark, "csv")
+    rows = table(spark, sf_dir, "customer").select("c_name", F.concat(F.lit("größe "), "c_custkey").alias("größe"), "c_mktsegment")
+    rows.write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1").csv(path)
+    _, meta = readers.extract_with_meta(spark, path, "csv")
     return spark.createDataFrame([tuple(meta[k] for k in ("format", "delimiter", "encoding", "row_count", "col_count"))], "format string, delimiter string, encoding string, row_count long, col_count long")
 
 
@@ -778,47 +819,84 @@ def index_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-def _lines(spark: SparkSession, lines: DataFrame, order: str, kind: str, header: str | None = None) -> str:
-    """A text file of the lines (a column ``value``) in their order; the tables it is used for are small."""
+def _framed(head: str | None, tail: str | None, between: str):
+    """The lines of each file with a line before and one after them, and a mark before each but the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = ""
+        if head is not None:
+            yield pa.RecordBatch.from_pydict({"value": [head]})
+        for batch in batches:
+            values = batch.column("value").to_pylist()
+            if values:
+                marks = [mark, *[between] * (len(values) - 1)]
+                yield pa.RecordBatch.from_pydict({"value": [m + v for m, v in zip(marks, values)]})
+                mark = between
+        if tail is not None:
+            yield pa.RecordBatch.from_pydict({"value": [tail]})
+
+    return run
+
+
+def _files(spark: SparkSession, lines: DataFrame, kind: str, head: str | None = None, tail: str | None = None, between: str = "", sep: str = "\n") -> str:
+    """The path of text files of the lines (a column ``value``), three or more, framed each by itself."""
     path = shared_path(spark, kind)
-    if header is not None:
-        lines = lines.unionByName(spark.createDataFrame([(-1, header)], f"{order} long, value string").select(*lines.columns))
-    lines.repartition(1).sortWithinPartitions(order).select("value").write.text(path)
+    map_arrow(lines.select("value").repartition(3), _framed(head, tail, between), "value string").write.option("lineSep", sep).text(path)
     return path
 
 
-_GAPS = "CASE n_nationkey % 5 WHEN 0 THEN 'N/A' WHEN 1 THEN '' WHEN 2 THEN 'null' WHEN 3 THEN n_name ELSE 'none of these' END"
+_GAPS = "CASE c_custkey % 5 WHEN 0 THEN 'N/A' WHEN 1 THEN '' WHEN 2 THEN 'null' WHEN 3 THEN c_name ELSE 'none of these' END"
 
 
-@query(f"SELECT n_nationkey::string AS key, CASE WHEN n_nationkey % 5 < 3 THEN NULL ELSE {_GAPS} END AS name FROM nation")
+@query(f"SELECT c_custkey::string AS key, CASE WHEN c_custkey % 5 < 3 THEN NULL ELSE {_GAPS} END AS name FROM customer")
 def csv_missing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that stand for a missing value are null, others stay; the delimiter is found."""
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("at"), F.concat(F.col("n_nationkey").cast("string"), F.lit("|"), F.expr(_GAPS)).alias("value"))
-    return readers.extract(spark, _lines(spark, rows, "at", "csv", "key|name"), "csv")
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit("|"), F.expr(_GAPS)).alias("value"))
+    return readers.extract(spark, _files(spark, rows, "csv", "key|name"), "csv")
 
 
-@query("SELECT n_nationkey::string AS key, n_name AS name, CASE WHEN n_nationkey % 3 = 1 THEN NULL ELSE n_regionkey::string END AS region FROM nation WHERE n_nationkey % 3 < 2")
+@query("SELECT c_custkey::string AS key, c_name AS name, CASE WHEN c_custkey % 3 = 1 THEN NULL ELSE c_nationkey::string END AS nation FROM customer WHERE c_custkey % 3 < 2")
 def csv_uneven_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short rows end with nulls, rows with more fields than names are left out."""
-    shape = "CASE n_nationkey % 3 WHEN 0 THEN ';' || n_regionkey WHEN 1 THEN '' ELSE ';' || n_regionkey || ';more;fields' END"
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("at"), F.expr(f"n_nationkey || ';' || n_name || {shape}").alias("value"))
-    return readers.extract(spark, _lines(spark, rows, "at", "csv", "key;name;region"), "csv")
+    """Short rows end with nulls, rows with more values than names are left out."""
+    shape = "CASE c_custkey % 3 WHEN 0 THEN ';' || c_nationkey WHEN 1 THEN '' ELSE ';' || c_nationkey || ';more;fields' END"
+    rows = table(spark, sf_dir, "customer").select(F.expr(f"c_custkey || ';' || c_name || {shape}").alias("value"))
+    return readers.extract(spark, _files(spark, rows, "csv", "key;name;nation"), "csv")
+
+
+@query(
+    """SELECT o_orderkey::string AS key, CASE o_orderkey % 4 WHEN 0 THEN 'two' || chr(10) || 'lines, ' || o_orderkey WHEN 1 THEN 'a "' || o_orderpriority || '"' || chr(10) || chr(10) || 'end' WHEN 2 THEN '5" pipe' ELSE o_orderpriority END AS note,
+  CASE WHEN o_orderkey % 5 = 1 THEN NULL ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 5 <> 2"""
+)
+def csv_quoted_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line breaks, delimiters and doubled quotes within quotes, quotes within plain values, short and overlong rows."""
+    note = """CASE o_orderkey % 4 WHEN 0 THEN '"two\\nlines, ' || o_orderkey || '"' WHEN 1 THEN '"a ""' || o_orderpriority || '""\\n\\nend"' WHEN 2 THEN '5" pipe' ELSE o_orderpriority END"""
+    rest = "CASE o_orderkey % 5 WHEN 1 THEN '' WHEN 2 THEN ',' || o_orderstatus || ',more' ELSE ',' || o_orderstatus END"
+    rows = table(spark, sf_dir, "orders").select(F.expr(f"o_orderkey || ',' || {note} || {rest}").alias("value"))
+    return readers.extract(spark, _files(spark, rows, "csv", "key,note,status"), "csv")
+
 
+_RECORD = "'{\"key\": ' || c_custkey || ', \"of\": {\"name\": \"' || c_name || ' }]\"}}'"
 
-@query("SELECT n_nationkey::bigint AS key, n_name AS \"of.name\" FROM nation WHERE n_nationkey % 4 > 0")
+
+@query("SELECT c_custkey::bigint AS key, c_name || ' }]' AS \"of.name\" FROM customer WHERE c_custkey % 4 > 0")
 def json_lines_with_junk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that are no object of their own are left out."""
-    value = "CASE WHEN n_nationkey % 4 = 0 THEN '{broken' ELSE '{\"key\": ' || n_nationkey || ', \"of\": {\"name\": \"' || n_name || '\"}}' END"
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("at"), F.expr(value).alias("value"))
-    return readers.extract(spark, _lines(spark, rows, "at", "json"), "json").where("key IS NOT NULL")
+    rows = table(spark, sf_dir, "customer").select(F.expr(f"CASE WHEN c_custkey % 4 = 0 THEN '{{broken' ELSE {_RECORD} END").alias("value"))
+    return readers.extract(spark, _files(spark, rows, "json"), "json")
 
 
-@query("SELECT r_regionkey::bigint AS key, r_name AS name FROM region")
+@query("SELECT c_custkey::bigint AS key, c_name || ' }]' AS \"of.name\" FROM customer")
 def json_wrapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An object that holds its records in an array, over several lines."""
-    regions = table(spark, sf_dir, "region").orderBy("r_regionkey").collect()  # five rows
-    text = json.dumps({"total": len(regions), "records": [{"key": r["r_regionkey"], "name": r["r_name"]} for r in regions]}, indent=1)
-    return readers.extract(spark, readers.stored(spark, text, "regions.json"))
+    """Objects that hold their records in an array, beside another one, over several lines; each file has its own."""
+    rows = table(spark, sf_dir, "customer").select(F.expr(_RECORD).alias("value"))
+    return readers.extract(spark, _files(spark, rows, "json", '{"total": {"of": [1]}, "other": [{"key": -1}], "records": [', "]}", ", "), "json")
+
+
+@query("SELECT c_custkey::bigint AS key, c_name || ' }]' AS \"of.name\" FROM customer")
+def json_one_line_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays without a line break in them."""
+    rows = table(spark, sf_dir, "customer").select(F.expr(_RECORD).alias("value"))
+    return readers.extract(spark, _files(spark, rows, "json", "[", "]", ", ", " "), "json")
 
 
 @query("SELECT r_regionkey::bigint AS key, r_name AS name FROM region")
@@ -830,19 +908,24 @@ def json_array_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.from_json("value", "key bigint, name string").alias("s")).select("s.*")
 
 
+def _formats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(k, readers.detect_format(n, h.encode()), readers.sniff_delimiter(t)) for k, n, h, t in zip(*(batch.column(c).to_pylist() for c in ("c_custkey", "name", "head", "text")))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["c_custkey", "format", "delimiter"])
+
+
 @query(
-    """SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' WHEN 2 THEN 'parquet' WHEN 3 THEN 'excel' WHEN 4 THEN 'csv' ELSE 'json' END AS format,
-  CASE n_nationkey % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END AS delimiter FROM nation"""
+    """SELECT c_custkey::bigint AS c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' WHEN 2 THEN 'parquet' WHEN 3 THEN 'excel' WHEN 4 THEN 'csv' ELSE 'json' END AS format,
+  CASE c_custkey % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END AS delimiter FROM customer"""
 )
 def detected_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formats by extensions and first bytes, delimiters by a head, of sources named after the nations."""
-    found = []
-    for r in table(spark, sf_dir, "nation").collect():  # 25 rows
-        k, mark = r["n_nationkey"], ",;\t|"[r["n_nationkey"] % 4]
-        name = r["n_name"] + ("", ".jsonl", ".pq", ".XLSX", ".tsv", "")[k % 6]
-        head = f"a{mark}b{mark}c\n1{mark}2{mark}{r['n_name']}\n"
-        found.append((k, readers.detect_format(name, b' [{"a": 1}]' if k % 6 == 5 else head.encode()), readers.sniff_delimiter(head)))
-    return spark.createDataFrame(found, "n_nationkey int, format string, delimiter string")
+    """Formats by extensions and first bytes, delimiters by a head, of sources named after the customers."""
+    name = "c_name || element_at(array('', '.jsonl', '.pq', '.XLSX', '.tsv', ''), cast(c_custkey % 6 AS int) + 1)"
+    mark = "element_at(array(',', ';', '\\t', '|'), cast(c_custkey % 4 AS int) + 1)"
+    text = f"concat('a', {mark}, 'b', {mark}, 'c\\n1', {mark}, '2', {mark}, c_mktsegment, '\\n')"
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), F.expr(name).alias("name"), F.expr(text).alias("text"))
+    rows = rows.withColumn("head", F.expr("IF(c_custkey % 6 = 5, ' [{\"a\": 1}]', text)"))
+    return map_arrow(rows, _formats, "c_custkey long, format string, delimiter string")
 
 
 @query("SELECT r_regionkey, r_name, 1.0::double AS _score FROM region")
@@ -851,12 +934,12 @@ def search_unsupported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "region").select("r_regionkey", "r_name"), {"query": {"range": {"r_regionkey": {"gte": 3}}}})
 
 
-@query("SELECT 'docs' AS name, count(*)::string AS value FROM region UNION ALL SELECT 'r_regionkey', 'long' UNION ALL SELECT 'r_name', 'keyword' UNION ALL SELECT 'deleted', 'true'")
+@query("SELECT 'docs' AS name, count(*)::string AS value FROM customer UNION ALL SELECT 'c_custkey', 'long' UNION ALL SELECT 'c_mktsegment', 'keyword' UNION ALL SELECT 'deleted', (count(*) > 0)::string FROM customer")
 def index_admin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list of indexes with their documents, the mapping of one, and its end."""
-    rows = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("_row_id"), "r_regionkey", "r_name")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("_row_id"), "c_custkey", "c_mktsegment")
     index = sinks.Index(spark, f"Admin {shared_path(spark, 'index')[-32:]}")
-    index.load(rows, {"r_regionkey": T.NUMERIC_INTEGER, "r_name": T.CATEGORICAL}, "_row_id")
+    index.load(rows, {"c_custkey": T.NUMERIC_INTEGER, "c_mktsegment": T.CATEGORICAL}, "_row_id")
     docs = sinks.indices(spark).where(F.col("index") == index.name).first()["docs"]
     fields = [(c, f["type"]) for c, f in index.mapping()["mappings"]["properties"].items()]
     index.delete()
@@ -874,10 +957,10 @@ def fill_null_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impute.fill_along(rows, ["value"], "pos").select("event_id", "value")
 
 
-@query("SELECT 'nothing' AS col_name, 'all_null' AS validation_type, 0.0::double AS compliance_rate, 0::bigint AS valid_count, count(*) AS invalid_count, count(*) AS null_count FROM region")
+@query("SELECT 'nothing' AS col_name, 'all_null' AS validation_type, 0.0::double AS compliance_rate, count(CASE WHEN c_custkey < 0 THEN c_name END) AS valid_count, count(*) AS invalid_count, count(*) AS null_count FROM customer")
 def validate_all_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = validate.validate(table(spark, sf_dir, "region").select(F.lit(None).cast("string").alias("nothing")), {"nothing": T.EMAIL})
-    return report.drop("semantic_type")
+    rows = table(spark, sf_dir, "customer").select(F.expr("CASE WHEN c_custkey < 0 THEN c_name END").alias("nothing"))
+    return validate.validate(rows, {"nothing": T.EMAIL}).drop("semantic_type")
 
 
 @query(f"SELECT c_custkey, {_MAIL} AS mail, c_mktsegment, 1.0::double AS _score FROM customer WHERE c_custkey % 3 = 0")

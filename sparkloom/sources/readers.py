@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import csv
+import io
 import os
+import re
 
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.casts import free_name, na_to_null
+from . import json_ranges, quoted
 from .scratch import cut, shared_path
 
 # Formats by extension, delimiters and the keys that wrap an array of records.
@@ -62,6 +65,10 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "UTF-8" if spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
 
 
+def _text(head: bytes, encoding: str) -> str:
+    return head.decode(encoding, errors="replace").lstrip("\ufeff")
+
+
 def first_line_of(spark: SparkSession, path: str) -> bytes:
     """The head of a file, with as much more as its first line needs."""
     n = HEAD_BYTES
@@ -72,12 +79,16 @@ def first_line_of(spark: SparkSession, path: str) -> bytes:
         n *= 8
 
 
+#: Encodings in which the bytes of quotes, line breaks and delimiters stand for nothing else, so that lines can be split.
+_SPLIT_BY_LINES = re.compile(r"(?i)utf-?8|us-?ascii|iso-?8859-?\d+|latin-?\d|windows-?125\d|cp125\d")
+
+
 def csv_layout(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> tuple[str, str, str]:
-    """Delimiter, encoding and the first line of a CSV file; the encoding is decided on all bytes, the delimiter on the head."""
+    """Delimiter, encoding and the head of a CSV file; the encoding is decided on all bytes, the delimiter on the head."""
     head = first_line_of(spark, path)
     encoding = encoding or detect_encoding(spark, path)
-    text = head.decode(encoding, errors="replace").lstrip("\ufeff")
-    return delimiter or sniff_delimiter(text), encoding, text.split("\n", 1)[0].rstrip("\r")
+    text = _text(head, encoding)
+    return delimiter or sniff_delimiter(text), encoding, text
 
 
 def first_rows(df: DataFrame, nrows: int | None) -> DataFrame:
@@ -85,24 +96,38 @@ def first_rows(df: DataFrame, nrows: int | None) -> DataFrame:
     return df if nrows is None else df.limit(nrows)
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, multiline: bool = False, nrows: int | None = None) -> DataFrame:
-    """All columns as text, NA values as null. Short rows are filled with nulls, overlong ones left out.
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, multiline: bool | None = None, nrows: int | None = None) -> DataFrame:
+    """All columns as text, NA values as null. Short rows are filled with nulls; rows with more values than names are left out.
 
-    ``multiline`` allows line breaks within quotes; without it large files are split among tasks.
+    Quoted values may hold line breaks and doubled quotes; a quote within a value that doesn't begin with one is a letter.
+    A pass over the lines that hold quotes tells whether there are such breaks, and in the same pass whether the bytes are
+    UTF-8 (else they are ISO-8859-1). Files without them go to Spark's own reader, others are read by quoted.read_records;
+    both split large files among tasks. ``multiline=True`` has Spark read each file whole in one task, which encodings of
+    several bytes a letter need, and ``multiline=False`` takes each line for a row without looking.
     """
-    delimiter, encoding, first = csv_layout(spark, path, delimiter, encoding)
-    header = next(csv.reader([first], delimiter=delimiter), [])
+    head = first_line_of(spark, path)
+    by_lines = encoding is None or _SPLIT_BY_LINES.fullmatch(encoding) is not None
+    delimiter = delimiter or sniff_delimiter(_text(head, encoding or "UTF-8"))
+    scanned, breaks = None, False
+    if multiline is None and by_lines:
+        scanned, breaks, valid = quoted.scan_once(spark, path, delimiter)
+        encoding = encoding or ("UTF-8" if valid else "ISO-8859-1")
+    encoding = encoding or detect_encoding(spark, path)
+    header = next(csv.reader(io.StringIO(_text(head, encoding), newline=""), delimiter=delimiter), [])
     names = [h.strip() or f"_c{i}" for i, h in enumerate(header)]
     seen: dict[str, int] = {}
     for i, h in enumerate(names):
         seen[h] = seen.get(h, 0) + 1
         names[i] = h if seen[h] == 1 else f"{h}.{seen[h] - 1}"
-    schema = StructType([StructField(h, StringType()) for h in [*names, OVERFLOW]])
-    rows = (
-        spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", delimiter).option("encoding", encoding)
-        .option("quote", '"').option("escape", '"').option("multiLine", multiline).option("mode", "PERMISSIVE").csv(path)
-    )
-    return first_rows(rows.where(F.col(OVERFLOW).isNull()).select(*(na_to_null(F.col(f"`{c}`")).alias(c) for c in names)), nrows)
+    if breaks and scanned is not None and names:
+        rows = quoted.read_records(spark, path, delimiter, encoding, len(names), scanned).toDF(*names)
+    else:
+        schema = StructType([StructField(h, StringType()) for h in [*names, OVERFLOW]])
+        rows = (
+            spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", delimiter).option("encoding", encoding)
+            .option("quote", '"').option("escape", '"').option("multiLine", multiline or not by_lines).option("mode", "PERMISSIVE").csv(path)
+        ).where(F.col(OVERFLOW).isNull())
+    return first_rows(rows.select(*(na_to_null(F.col(f"`{c}`")).alias(c) for c in names)), nrows)
 
 
 def flatten(df: DataFrame) -> DataFrame:
@@ -139,14 +164,16 @@ def json_layout(spark: SparkSession, path: str) -> str:
 
 
 def read_json(spark: SparkSession, path: str, flat: bool = True, nrows: int | None = None) -> DataFrame:
-    """JSON lines (malformed lines left out), an array of objects, one object, or an object that wraps an array of records."""
-    by_line = json_layout(spark, path) == "jsonl"
-    df = spark.read.option("multiLine", not by_line).option("mode", "DROPMALFORMED").json(path)
-    if not by_line:
-        for key in WRAPPERS:
-            if key in df.columns and isinstance(df.schema[key].dataType, ArrayType) and isinstance(df.schema[key].dataType.elementType, StructType):
-                df = df.select(F.inline(f"`{key}`"))
-                break
+    """JSON lines (malformed lines left out), an array of objects, one object, or an object that wraps an array of records.
+
+    An array, bare or under one of the wrapping keys, is found in ranges of the file and written as JSON lines to the
+    shared folder first, so a large one is read by many tasks, on however few lines it stands. An empty array has no rows;
+    elements that are no objects are left out. Any other object is one row.
+    """
+    start = head_of(spark, path).decode("utf-8", errors="replace").lstrip("\ufeff \t\r\n")[:1]
+    by_line = start != "[" and is_json_lines(spark, path)
+    lines = None if by_line else json_ranges.to_lines(spark, path, None if start == "[" else WRAPPERS)
+    df = spark.read.option("multiLine", not by_line and lines is None).option("mode", "DROPMALFORMED").json(lines or path)
     return first_rows(flatten(df) if flat else df, nrows)
 
 

@@ -3,6 +3,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.functions import similarity
 from sparkloom.operators import dedup, impute, outliers, profile, ranks, search, validate
 from sparkloom.plans.names import name_score
 from sparkloom.schemas import ColumnPlan, Impute, Outlier, TablePlan
@@ -80,6 +81,25 @@ def test_filling_is_the_same_for_any_partitioning(spark):
         expected = got
 
 
+def test_filling_is_split_and_linear(spark, monkeypatch):
+    """Ranges of a fixed number whatever their bytes, groups and ties over several of them, and no frame that looks ahead."""
+    rows = [(g, 1 if g == 0 else i, None if i % 5 else i * 10 + (g or 0)) for g in (0, 1, None) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, i int, x int")
+    written = []
+    monkeypatch.setattr(impute, "cut", lambda t: written.append(t) or t.cache())
+    got = impute.fill_along(df, ["x"], "i", ["g"], ranges=16)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "currentrow$(), unboundedfollowing" not in plan.lower() and "rowframe, 1, unboundedfollowing" not in plan.lower()
+    assert len({r["_range"] for r in written[0].select("_range").distinct().collect()}) >= 14
+    filled_in = {}
+    for r in got.collect():
+        filled_in.setdefault(r.g, []).append((r.i, r.x))
+    assert sorted(filled_in[1]) == [(i, i // 5 * 50 + 1) for i in range(400)]
+    assert [i for i, _ in sorted(filled_in[None])] == list(range(400))
+    assert all(x is not None for _, x in filled_in[0]) and len(filled_in[0]) == 400
+    assert len(impute.fill_along(df, ["x"], "i", ranges=16).collect()) == 1200
+
+
 def test_filling_keeps_rows_without_order(spark):
     rows = [(None, None), (None, "z"), (2, None), (1, "a"), (3, None)]
     df = spark.createDataFrame(rows, "i int, x string").repartition(3)
@@ -204,3 +224,75 @@ def test_reports(spark):
     plan = TablePlan({"x": ColumnPlan(T.CITY), "n": ColumnPlan(impute=Impute.CONSTANT, constant="none")})
     got = {r.col_name: tuple(r)[1:] for r in impute.impute_report(df, plan, "i").collect()}
     assert got == {"x": ("mode", 1, 1, "anna khan"), "n": ("constant", 1, 0, "none")}
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def plain_token_score(a, b):
+    """By the definition, over all stretches."""
+    a, b = a.strip().lower(), b.strip().lower()
+    if a == b:
+        return 1.0
+    if a in b or b in a:
+        return max(0.85, min(len(a), len(b)) / max(len(a), len(b), 1))
+    ratio = lambda x, y: 2 * lcs(x, y) / (len(x) + len(y)) if x or y else 1.0
+    words = ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    part = 0.0
+    for x, y in ((a, b), (b, a)):
+        if len(x) <= len(y):
+            n = len(x)
+            stretches = [y[i : i + n] for i in range(len(y) - n + 1)] + [y[:i] for i in range(1, n)] + [y[-i:] for i in range(1, n)]
+            part = max([part, *(ratio(x, s) for s in stretches)])
+    return max(words, 0.9 * part)
+
+
+def test_token_scores_are_those_of_the_definition():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("aab c") for _ in range(rng.randint(0, 9))).strip() for _ in "ab")
+        assert abs(similarity.token_score(a, b) - plain_token_score(a, b)) < 1e-12, (a, b)
+        least = rng.random()
+        found = similarity.token_score(a, b, least)
+        assert abs(found - plain_token_score(a, b)) < 1e-12 or max(found, plain_token_score(a, b)) < least
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.85, 0.95])
+def test_token_pairs_are_all_pairs(spark, threshold):
+    import random
+
+    rng = random.Random(int(100 * threshold))
+    words = ["anna", "maria", "smith", "jones", "o", "van", "der", "berg", "élan", "lee"]
+    rows = []
+    for i in range(90):
+        name = rng.sample(words, rng.randint(1, 4))
+        if rng.random() < 0.4:
+            name[0] = name[0].replace(rng.choice(name[0]), rng.choice("xyz"), 1)
+        rows.append((i, "k" if i % 2 else "l", " ".join(name) + rng.choice(("", " ", "s")), rng.choice((None, "", "Z"))))
+    df = spark.createDataFrame([*rows, (900, "k", None, None), (901, None, "anna lee", "")], "i int, block string, name string, more string").repartition(3)
+    got = {(r.a, r.b): r.score for r in dedup.similar_pairs(df, ["name", "more"], "i", threshold, F.col("block"), "tokens").collect()}
+    texts = {i: f"{n} | {m or ''}" for i, _, n, m in rows}
+    expected = {}
+    for i, k, *_ in rows:
+        for j, other, *_ in rows:
+            x, y = texts[i], texts[j]
+            if i < j and k == other and min(len(x), len(y)) / max(len(x), len(y)) >= 0.7 and (score := plain_token_score(x, y)) >= threshold:
+                expected[i, j] = score
+    assert len(expected) >= 2 and set(got) == set(expected)
+    assert all(abs(got[p] - expected[p]) < 1e-12 for p in got)
+    kept = dedup.drop_similar(df, ["name", "more"], "i", threshold, F.col("block"), "tokens")
+    gone = set()
+    for i, *_ in rows:
+        if i not in gone:
+            gone |= {b for a, b in expected if a == i}
+    assert {r.i for r in kept.collect()} == {i for i, *_ in rows if i not in gone} | {900, 901}
+    with pytest.raises(ValueError):
+        dedup.similar_texts(df, 0.5, "tokens")

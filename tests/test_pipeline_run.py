@@ -3,40 +3,39 @@ from sparkloom.schemas import ColumnPlan, Outlier, TablePlan
 from sparkloom.schemas import SemanticType as T
 from sparkloom.streaming.clean_stream import clean_stream, drop_repeats, fitted_bounds
 
-CUSTOMERS = """cust_id,mob_number,user_email,patient_age,d_o_b,salary_pkr,nic_number,registered_datetime
-C-1,0300-1234567,a@mail.example,28,1996-05-14,"PKR 145,000",35201-1234567-1,2024/01/10 10:15:30
-C-2,+92 321 7654321,b@mail.example,145,15/08/1990,Rs. 95000,3520212345671,2024-01-11T08:00:00
-C-3,00923331112223,,31,,"$2,500",35203-1234567-3,12-05-2023 09:30:00
-C-4,3451234567,d@mail.example,,1978/04/22,"120,000.00",,2024-02-01
-C-1,0300-1234567,a@mail.example,28,1996-05-14,"PKR 145,000",35201-1234567-1,2024/01/10 10:15:30
+MEMBERS = """member,phone,contact,age,birth_date,monthly_fee,cnic,joined_at
+M7,0345 7654321,ines@post.example,44,1979-11-02,"Rs 3,250",42101-7654321-9,2022-06-05 07:00
+M8,+92 312 1112223,omar@post.example,230,1988-12-30,PKR 1800,4210176543219,2022/07/19 18:45:10
+M9,3019998887,,52,,"$1,075.50",42103-7654321-7,08-03-2022
+M3,00923451010101,lea@post.example,,17/09/1995,"2,000",,2022-09-01T10:30:00
+M7,0345 7654321,ines@post.example,44,1979-11-02,"Rs 3,250",42101-7654321-9,2022-06-05 07:00
 """
-CALLS = """call_id,caller_name,duration,cost_pkr
-101,A,12:36:53 AM,PKR 150
-102,B,01:15:30 PM,Rs. 45
-103,C,0:45:20,0
-104,D,36m 53s,PKR 10
+RIDES = """ride,rider,duration,fare
+1,K,2:05:09,PKR 700
+2,L,11:20:45 PM,Rs. 95
+3,M,1h 12m,40
+4,N,0:09:30,0
 """
 
 
-def test_customers(spark, tmp_path):
-    (tmp_path / "c.csv").write_text(CUSTOMERS)
-    result = pipeline.run(spark, str(tmp_path / "c.csv"), "customers_test")
+def test_members(spark, tmp_path):
+    (tmp_path / "m.csv").write_text(MEMBERS)
+    result = pipeline.run(spark, str(tmp_path / "m.csv"), "members_test")
     assert result.success, result.message
     assert (result.rows_in, result.rows_out, result.indexed, result.validation_passed) == (5, 4, 4, True)
-    assert result.types["mob_number"] == T.PHONE_PAKISTAN and result.types["patient_age"] == T.AGE and result.types["nic_number"] == T.CNIC_PAKISTAN
+    assert result.types["phone"] == T.PHONE_PAKISTAN and result.types["age"] == T.AGE and result.types["cnic"] == T.CNIC_PAKISTAN
     rows = result.cleaned.orderBy("_row_id").collect()
-    assert [r.mob_number for r in rows] == ["923001234567", "923217654321", "923331112223", "923451234567"]
-    assert [r.salary_pkr for r in rows] == [145000.0, 95000.0, 2500.0, 120000.0]
-    assert [r.patient_age for r in rows] == [28, 145, 31, 30]
-    assert [r.d_o_b for r in rows] == ["1996-05-14 00:00:00", "1990-08-15 00:00:00", "1990-08-15 00:00:00", "1978-04-22 00:00:00"]
-    assert [r.nic_number for r in rows] == ["35201-1234567-1", "35202-1234567-1", "35203-1234567-3", "Unknown"]
+    assert [r.phone for r in rows] == ["923457654321", "923121112223", "923019998887", "923451010101"]
+    assert [r.monthly_fee for r in rows] == [3250.0, 1800.0, 1075.5, 2000.0]
+    assert [r.age for r in rows] == [44, 230, 52, 48]
+    assert [r.cnic for r in rows] == ["42101-7654321-9", "42101-7654321-9", "42103-7654321-7", "Unknown"]
 
 
-def test_calls(spark, tmp_path):
-    (tmp_path / "calls.csv").write_text(CALLS)
-    result = pipeline.run(spark, str(tmp_path / "calls.csv"))
+def test_rides(spark, tmp_path):
+    (tmp_path / "rides.csv").write_text(RIDES)
+    result = pipeline.run(spark, str(tmp_path / "rides.csv"))
     assert result.types["duration"] in (T.DURATION, T.TIME)
-    assert [r.duration for r in result.cleaned.orderBy("_row_id").collect()] == ["0:36:53", "13:15:30", "0:45:20", "0:36:53"]
+    assert [r.duration for r in result.cleaned.orderBy("_row_id").collect()] == ["2:05:09", "23:20:45", "1:12:00", "0:09:30"]
 
 
 def test_failure_is_told(spark):

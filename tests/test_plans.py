@@ -8,7 +8,7 @@ from sparkloom.schemas import SemanticType as T
 def test_names():
     for name, kind, least in (
         ("mob_number", T.PHONE_PAKISTAN, 0.6), ("shanakhti_card", T.CNIC_PAKISTAN, 0.9), ("d_o_b", T.DATE, 0.9), ("duration", T.DURATION, 0.9),
-        ("Patient Age", T.AGE, 0.9), ("user-email", T.EMAIL, 0.85), ("shipping_city", T.CITY, 0.85),
+        ("Patient Age", T.AGE, 0.9), ("user-email", T.EMAIL, 0.85), ("shipping_city", T.CITY, 0.85), ("WhatsApp", T.PHONE_PAKISTAN, 0.9), ("contact no", T.PHONE_PAKISTAN, 0.9), ("fname", T.NAME_PERSON, 0.9),
     ):
         found, score = match_name(name)[0]
         assert (found, score >= least) == (kind, True), name
