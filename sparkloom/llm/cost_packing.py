@@ -30,8 +30,8 @@ CAPACITY = 2048
 SEPARATOR_ID = 1
 #: Six times the width of the model: the share of a layer's work that grows with the tokens, where attention counts one.
 LINEAR = 6 * 1024
-#: Rows of one length that one task numbers, about.
-ROWS_PER_SALT = 50_000
+#: Rows of one length that one task numbers, about, and the least parts of a length: full pieces hold most of the bytes.
+ROWS_PER_SALT, LEAST_SALTS = 20_000, 512
 #: Words that aren't plain whose ids a worker keeps, and their longest.
 KEPT, KEPT_LENGTH = 200_000, 32
 
@@ -275,7 +275,7 @@ def pack_balanced(docs: DataFrame, tokenizer_path: str | None = None, capacity:
     items = cut(token_items(docs, tokenizer_path, capacity))
     histogram = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     # Items of one length are numbered in salted parts, each from the count of the parts before it.
-    salts = max(64, max(histogram.values(), default=0) // ROWS_PER_SALT)
+    salts = max(LEAST_SALTS, max(histogram.values(), default=0) // ROWS_PER_SALT)
     salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
     before = (
         salted.groupBy("length", "salt")
