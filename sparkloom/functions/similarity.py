@@ -63,9 +63,10 @@ def token_score(a: str, b: str, least: float = 0.0) -> float:
         return 1.0
     if a in b or b in a:
         return max(CONTAINED, min(len(a), len(b)) / max(len(a), len(b), 1))
-    if least:
-        most, short = letters_in_common(a, b), min(len(a), len(b))
-        if 2 * most < least * (len(a) + len(b)) - 1e-9 and PART_SHARE * 2 * most < least * (short + most) - 1e-9:
+    one, two = sorted_words(a), sorted_words(b)
+    if least and 2 * letters_in_common(one, two) < least * (len(one) + len(two)) - 1e-9:
+        most = letters_in_common(a, b)
+        if PART_SHARE * 2 * most < least * (min(len(a), len(b)) + most) - 1e-9:
             return 0.0
-    whole = ratio(sorted_words(a), sorted_words(b))
+    whole = ratio(one, two)
     return max(whole, PART_SHARE * partial_ratio(a, b, max(least, whole) / PART_SHARE))

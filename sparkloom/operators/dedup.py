@@ -73,12 +73,12 @@ def _edit_candidates(texts: DataFrame, threshold: float) -> DataFrame:
     return first.join(other, ["k", "g", "o"]).where(near).select("k", "t", "u")
 
 
-def _numbered_grams(texts: DataFrame, c: Column) -> DataFrame:
-    """k, t, size (of the text) and its grams g, each with the number o of its occurrence; ``texts`` as a table."""
-    starts = F.when(F.length(c) >= EDIT_GRAM, F.sequence(F.lit(1), F.length(c) - EDIT_GRAM + 1)).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(starts, lambda i: F.substring(c, i, F.lit(EDIT_GRAM)))
-    counted = texts.select("k", "t", F.length(c).alias("size"), F.explode(grams).alias("g")).groupBy("k", "t", "size", "g").agg(F.count(F.lit(1)).alias("n"))
-    return cut(counted.select("k", "t", "size", "g", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("o")))
+def _numbered_grams(texts: DataFrame, c: Column, n: int) -> DataFrame:
+    """k, t, size (of the text ``p``) and the grams g of ``c``, each with the number o of its occurrence."""
+    starts = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>"))
+    grams = F.transform(starts, lambda i: F.substring(c, i, F.lit(n)))
+    counted = texts.select("k", "t", F.length("p").alias("size"), F.explode(grams).alias("g")).groupBy("k", "t", "size", "g").agg(F.count(F.lit(1)).alias("times"))
+    return cut(counted.select("k", "t", "size", "g", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("o")))
 
 
 def _rarest(each: DataFrame, lost: Column) -> DataFrame:
@@ -88,33 +88,47 @@ def _rarest(each: DataFrame, lost: Column) -> DataFrame:
     return each.join(ranks, ["g", "o"]).withColumn("place", place).where(F.col("place") <= lost + 1).drop("df", "place")
 
 
-def _lost(size: Column, least: float) -> Column:
-    """How many of a text's grams can be lost to another one whose ratio is ``least`` or more.
+def _lost(size: Column, least: float, n: int) -> Column:
+    """How many of a text's grams of n letters can be lost to another one whose ratio is ``least`` or more.
 
-    With a letters of n and b of the other's m unmatched, a + b is at most (1 - least)(n + m), and 2a + b grams are lost at
-    most; that is most for the shortest m that the ratio allows (from a ratio of two thirds on).
+    With a letters of the one and b of the other unmatched, a + b is at most (1 - least) times all letters, and
+    n a + (n - 1) b grams are lost at most; that is most for the shortest other text that the ratio allows.
     """
-    return F.floor(size * (4 * (1 - least) / (2 - least)) + 1e-9)
+    return F.floor(size * (2 * n * (1 - least) / (2 - least)) + 1e-9)
+
+
+def _gram_length(least: float) -> int:
+    """The longest grams, of two to four letters, of which a fifth can't be lost."""
+    return max(2, min(4, int(0.8 * (2 - least) / (2 * (1 - least) + 1e-12))))
 
 
 def _token_candidates(texts: DataFrame, threshold: float) -> DataFrame:
     """k, t, u (t < u) of texts whose token_score may reach the threshold.
 
     Texts with a high ratio of their sorted words have one of the rarest grams of either in common; of texts with a high
-    partial ratio one of the shorter's rarest grams is among all of the longer's.
+    partial ratio one of the shorter's rarest grams is among all of the longer's. Texts so short that all of their grams
+    can be lost are compared with all of fitting lengths.
     """
-    words = F.array_join(F.array_sort(F.split("p", r"(?U)\s+")), " ")
-    sorts = texts.withColumn("s", F.concat(F.lit(_EDGE), words, F.lit(_EDGE)))
-    first = cut(_rarest(_numbered_grams(sorts, F.col("s")), _lost(F.col("size") - 2, threshold)))
-    other = first.select("k", "g", "o", F.col("t").alias("u"), F.col("size").alias("size2"))
-    sizes = F.least("size", "size2") - 2 >= threshold / (2 - threshold) * (F.greatest("size", "size2") - 2) - 1e-9
-    pairs = first.join(other, ["k", "g", "o"]).where((F.col("t") < F.col("u")) & sizes).select("k", "t", "u")
+    n = _gram_length(threshold)
+    edge = F.lit(_EDGE * (n - 1))
+    words = F.concat(edge, F.array_join(F.array_sort(F.split("p", r"(?U)\s+")), " "), edge)
+    sorts = cut(_rarest(_numbered_grams(texts, words, n), _lost(F.col("size"), threshold, n)))
+    other = sorts.select("k", "g", "o", F.col("t").alias("u"), F.col("size").alias("size2"))
+    sizes = F.least("size", "size2") >= threshold / (2 - threshold) * F.greatest("size", "size2") - 1e-9
+    pairs = sorts.join(other, ["k", "g", "o"]).where((F.col("t") < F.col("u")) & sizes).select("k", "t", "u")
     least = min(1.0, threshold / PART_SHARE)
-    each = _numbered_grams(texts, F.col("p"))
-    mine = _rarest(each, _lost(F.col("size"), least))
+    n = min(3, _gram_length(least))
+    each = _numbered_grams(texts, F.col("p"), n)
+    mine = _rarest(each, _lost(F.col("size"), least, n))
     longer = each.select("k", "g", "o", F.col("t").alias("u"), F.col("size").alias("size2"))
     fits = (F.col("t") != F.col("u")) & (F.col("size") <= F.col("size2")) & (F.col("size") >= LENGTH_RATIO * F.col("size2") - 2)
-    parts = mine.join(longer, ["k", "g", "o"]).where(fits)
+    parts = mine.join(longer, ["k", "g", "o"]).where(fits).select("k", "t", "u")
+    sized = texts.select("k", "t", F.length("p").alias("size"))
+    few = sized.where(F.col("size") - n + 1 - _lost(F.col("size"), least, n) < 1)
+    longest = few.agg(F.max("size")).first()[0]
+    if longest is not None:
+        near = sized.where(F.col("size") <= longest / LENGTH_RATIO + 2).select("k", F.col("t").alias("u"), F.col("size").alias("size2"))
+        parts = parts.unionByName(few.join(near, "k").where(fits).select("k", "t", "u"))
     return pairs.unionByName(parts.select("k", F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u")))
 
 

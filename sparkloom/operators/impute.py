@@ -101,7 +101,7 @@ def impute(df: DataFrame, plan: TablePlan, order: str | None = None) -> DataFram
     return _fill(df, run, order)
 
 
-def _measured(df: DataFrame, plans: dict[str, ColumnPlan], how: dict[str, Impute]) -> dict[str, object]:
+def measured(df: DataFrame, plans: dict[str, ColumnPlan], how: dict[str, Impute]) -> dict[str, object]:
     """The mean, median or mode of each column that needs one; columns without numbers have none."""
     of = lambda kind: [c for c in plans if how[c] == kind]
     values: dict[str, object] = {c: "Unknown" if v is None else v for c, v in modes(df, of(Impute.MODE)).items()}
@@ -119,7 +119,7 @@ def _measured(df: DataFrame, plans: dict[str, ColumnPlan], how: dict[str, Impute
 
 def _fill(df: DataFrame, plans: dict[str, ColumnPlan], order: str | None) -> DataFrame:
     how = {c: strategy(p) for c, p in plans.items()}
-    values: dict[str, object] = _measured(df, plans, how)
+    values: dict[str, object] = measured(df, plans, how)
     for c in plans:
         if how[c] == Impute.CONSTANT:
             values[c] = "Unknown" if plans[c].constant is None else plans[c].constant
@@ -144,7 +144,7 @@ def impute_report(df: DataFrame, plan: TablePlan, order: str | None = None) -> D
     columns = [c for c in df.columns if c != order]
     plans = {c: plan.columns.get(c, ColumnPlan()) for c in columns}
     how = {c: strategy(p) for c, p in plans.items()}
-    values = _measured(df, plans, how)
+    values = measured(df, plans, how)
     values |= {c: "Unknown" if plans[c].constant is None else plans[c].constant for c in columns if how[c] == Impute.CONSTANT}
     row = df.agg(F.count(F.lit(1)).alias("n"), *(F.count(f"`{c}`").alias(str(i)) for i, c in enumerate(columns))).first()
     dtypes, out = dict(df.dtypes), []

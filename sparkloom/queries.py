@@ -22,8 +22,8 @@ from .plans.names import ONTOLOGY, match_name
 from .schemas import ColumnPlan, Impute, Outlier, TablePlan
 from .schemas import SemanticType as T
 from .sources import readers, sinks
-from .sources.scratch import shared_path
-from .streaming.clean_stream import clean_stream, drop_repeats
+from .sources.scratch import cut, shared_path
+from .streaming.clean_stream import clean_stream, drop_repeats, fill_forward, fill_stream, fitted_fills
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -785,36 +785,61 @@ def source_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(meta[k] for k in ("format", "delimiter", "encoding", "row_count", "col_count"))], "format string, delimiter string, encoding string, row_count long, col_count long")
 
 
-def _streamed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The rows that a stream over the events gives, written to the shared folder until the source is read."""
-    schema = table(spark, sf_dir, "events").schema
-    out = transform(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet"))
+def _written(spark: SparkSession, out: DataFrame) -> DataFrame:
+    """The rows that a stream gives, written to the shared folder until its source is read."""
     path = shared_path(spark, "stream")
     started = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     started.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{path}/out")
 
 
+def _streamed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that a stream over the events gives."""
+    schema = table(spark, sf_dir, "events").schema
+    return _written(spark, transform(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")))
+
+
 @query("SELECT event_id, upper(event_type) AS event_type, least(greatest(value, 2.0), 40.0) AS value FROM events")
 def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = TablePlan({"event_type": ColumnPlan(T.CATEGORICAL, casing="upper"), "value": ColumnPlan(T.NUMERIC_FLOAT, outlier=Outlier.CLIP_IQR)})
     return _streamed(spark, sf_dir, lambda rows: clean_stream(rows.select("event_id", "event_type", "value"), plan, {"value": (2.0, 40.0)}))
 
 
+@query(_GAPPY + f"SELECT event_id, user_id, last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM s")
+def stream_fill_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of four batches, each of later events; a user's last value is kept between them."""
+    rows, path = _gappy(spark, sf_dir), shared_path(spark, "stream")
+    last = rows.agg(F.max("event_id")).first()[0] or 0
+    for k in range(4):
+        rows.where(F.floor(F.col("event_id") * 4 / (last + 1)) == k).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return _written(spark, fill_forward(stream, ["value"], ["user_id"], "event_id"))
+
+
+@query("SELECT event_id, coalesce(CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END, 'none') AS event_type, value FROM (SELECT event_id, event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value FROM events) WHERE value IS NOT NULL")
+def stream_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls of a stream that get a value fitted on a table at rest, and rows that are left out for a null."""
+    plan = TablePlan({"event_type": ColumnPlan(T.CATEGORICAL, impute=Impute.CONSTANT, constant="none"), "value": ColumnPlan(T.NUMERIC_FLOAT, impute=Impute.DROP_ROW)})
+    shape = "event_id", "CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END AS event_type", "CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value"
+    fills = fitted_fills(table(spark, sf_dir, "events").selectExpr(*shape), plan)
+    return _streamed(spark, sf_dir, lambda rows: fill_stream(rows.selectExpr(*shape), plan, fills))
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, lambda rows: drop_repeats(rows.select("ts", "user_id", "event_type"), ["user_id", "event_type"], "ts", "400 days").select("user_id", "event_type"))
 
 
-@query("SELECT r_regionkey, r_name FROM region WHERE r_regionkey >= 2 UNION ALL SELECT r_regionkey, 'new ' || r_name FROM region WHERE r_regionkey < 2")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'new ' WHEN c_custkey % 5 = 1 THEN 'newer ' ELSE '' END || c_name AS c_name FROM customer")
 def index_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index that is loaded, then loaded again with new documents of some ids."""
-    rows = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("_row_id"), "r_regionkey", "r_name")
-    index = sinks.Index(spark, f"Regions {shared_path(spark, 'index')[-32:]}")
-    index.load(rows, {"r_name": T.CATEGORICAL}, "_row_id")
-    index.load(rows.where("r_regionkey < 2").withColumn("r_name", F.concat(F.lit("new "), "r_name")), {"r_name": T.CATEGORICAL}, "_row_id", overwrite=False)
-    out = spark.table(index.name).select(F.from_json("_source", "r_regionkey int, r_name string").alias("s")).select("s.*")
-    found = spark.createDataFrame(out.collect(), out.schema)  # the regions; the index goes
+    """An index that is loaded, then loaded with new documents of some ids and again of others."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("_row_id"), "c_custkey", "c_name")
+    index = sinks.Index(spark, f"Customers {shared_path(spark, 'index')[-32:]}")
+    index.load(rows, {"c_name": T.CATEGORICAL}, "_row_id")
+    for word, some in (("new ", "c_custkey % 5 IN (0, 1)"), ("newer ", "c_custkey % 5 = 1")):
+        index.load(rows.where(some).withColumn("c_name", F.concat(F.lit(word), "c_name")), {"c_name": T.CATEGORICAL}, "_row_id", overwrite=False)
+    source = F.from_json("_source", "c_custkey bigint, c_name string").alias("s")
+    found = cut(spark.table(index.name).select(source).select("s.*"))
     index.delete()
     return found
 

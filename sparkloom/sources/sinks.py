@@ -9,7 +9,7 @@ import uuid
 from dataclasses import dataclass
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 
 from ..functions.casts import free_name
 from ..plans.cleaning import index_mapping
@@ -113,11 +113,17 @@ def sql_text(value: str) -> str:
 
 
 class Index:
-    """An index in the session's catalog: a view of the table that holds its documents, with the mapping as a property.
+    """An index in the session's catalog: a view over a log of tables with documents, with its mapping as a property.
 
-    A load writes a new table and then puts the view over it, in one statement, so readers see the old index or the new one.
+    A load writes its own documents into a table of their own, bucketed by id, and then puts the view over it in one
+    statement, so readers see the index as it was or as it is. Of documents with one id the view shows that of the newest
+    table; as all tables are bucketed alike, that takes no shuffle. A log of more than MOST_TABLES tables is written anew as one.
+    Tables that the view has left stay until the next load, so that readers who began before can end.
     """
 
+    MOST_TABLES = 8
+    BUCKETS = 16
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.name = re.sub(r"\W", "_", name.strip().lower().replace(" ", "_"))
@@ -125,37 +131,63 @@ class Index:
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
-    def mapping(self) -> dict:
+    def _property(self, key: str, default: str) -> str:
         rows = self.spark.sql(f"SHOW TBLPROPERTIES {self.name}").collect()
-        return json.loads(next((r["value"] for r in rows if r["key"] == "mapping"), "{}"))
+        return next((r["value"] for r in rows if r["key"] == key), default)
+
+    def mapping(self) -> dict:
+        return json.loads(self._property("mapping", "{}"))
+
+    def log(self) -> list[str]:
+        """The tables that the view is over, the oldest first."""
+        return json.loads(self._property("log", "[]")) if self.exists() else []
 
     def _tables(self) -> list[str]:
         return [t.name for t in self.spark.catalog.listTables() if t.name.startswith(f"{self.name}{_VERSION}")]
 
+    def _drop(self, tables: list[str]) -> None:
+        for table in tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+
     def delete(self) -> None:
         self.spark.sql(f"DROP VIEW IF EXISTS {self.name}")
-        for table in self._tables():
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self._drop(self._tables())
 
     def count(self) -> int:
         return self.spark.table(self.name).count()
 
-    def load(self, df: DataFrame, types: dict[str, T], row_id: str, overwrite: bool = True) -> LoadResult:
-        """Writes the documents; without ``overwrite`` those of known ids are replaced and the others stay."""
-        began, old = time.time(), self._tables()
-        new = documents(df, self.name, row_id)
-        offered = new.count()
-        if self.exists() and not overwrite:
-            new = upsert(self.spark.table(self.name), new)
+    def _write(self, documents: DataFrame) -> str:
         table = f"{self.name}{_VERSION}{uuid.uuid4().hex}"
-        new.write.saveAsTable(table)
+        documents.write.bucketBy(self.BUCKETS, "_id").saveAsTable(table)
+        return table
+
+    def _show(self, log: list[str], mapping: dict) -> None:
+        parts = []
+        for i, table in enumerate(log):
+            newer = "".join(f" LEFT ANTI JOIN {t} ON {table}._id = {t}._id" for t in log[i + 1 :])
+            parts.append(f"SELECT {table}._index, {table}._id, {table}._source FROM {table}{newer}")
+        properties = f"'mapping' = {sql_text(json.dumps(mapping))}, 'log' = {sql_text(json.dumps(log))}"
+        self.spark.sql(f"CREATE OR REPLACE VIEW {self.name} TBLPROPERTIES ({properties}) AS {' UNION ALL '.join(parts)}")
+
+    def load(self, df: DataFrame, types: dict[str, T], row_id: str, overwrite: bool = True) -> LoadResult:
+        """Writes the documents; without ``overwrite`` those of known ids are replaced and the others stay.
+
+        ``df`` is computed once, and its documents are counted while they are written. Rows without an id fail.
+        """
+        began, log = time.time(), self.log()
+        left = set(self._tables()) - set(log)
+        counted = Observation()
+        offered = documents(df, self.name, row_id).observe(counted, F.count(F.lit(1)).alias("offered"), F.count("_id").alias("indexed"))
+        table = self._write(offered.where(F.col("_id").isNotNull()))
         mapping = index_mapping(types)
-        self.spark.sql(f"CREATE OR REPLACE VIEW {self.name} TBLPROPERTIES ('mapping' = {sql_text(json.dumps(mapping))}) AS SELECT * FROM {table}")
-        for name in old:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        written = self.spark.table(self.name).join(documents(df, self.name, row_id).select("_id"), "_id", "left_semi").count()
+        new = [table] if overwrite else [*log, table]
+        self._show(new, mapping)
+        if len(new) > self.MOST_TABLES:
+            self._show([self._write(self.spark.table(self.name))], mapping)
+        self._drop(sorted(left))
+        n, written = counted.get["offered"], counted.get["indexed"]
         seconds = round(time.time() - began, 3)
-        return LoadResult(written, offered - written, seconds, mapping, f"{written} of {offered} documents are in {self.name} after {seconds:.2f} s")
+        return LoadResult(written, n - written, seconds, mapping, f"{written} of {n} documents are in {self.name} after {seconds:.2f} s")
 
 
 def indices(spark: SparkSession) -> DataFrame:

@@ -265,8 +265,8 @@ def test_token_scores_are_those_of_the_definition():
         assert abs(found - plain_token_score(a, b)) < 1e-12 or max(found, plain_token_score(a, b)) < least
 
 
-@pytest.mark.parametrize("threshold", [0.7, 0.85, 0.95])
-def test_token_pairs_are_all_pairs(spark, threshold):
+@pytest.mark.parametrize("threshold, keys", [(0.7, ["name"]), (0.85, ["name", "more"]), (0.95, ["name"])])
+def test_token_pairs_are_all_pairs(spark, threshold, keys):
     import random
 
     rng = random.Random(int(100 * threshold))
@@ -277,9 +277,10 @@ def test_token_pairs_are_all_pairs(spark, threshold):
         if rng.random() < 0.4:
             name[0] = name[0].replace(rng.choice(name[0]), rng.choice("xyz"), 1)
         rows.append((i, "k" if i % 2 else "l", " ".join(name) + rng.choice(("", " ", "s")), rng.choice((None, "", "Z"))))
+    rows += [(200 + i, "m", t, None) for i, t in enumerate(("a", "b", "A", "ab", "ba", "abc", "cab", "abd", "a b", "b a", "bc"))]
     df = spark.createDataFrame([*rows, (900, "k", None, None), (901, None, "anna lee", "")], "i int, block string, name string, more string").repartition(3)
-    got = {(r.a, r.b): r.score for r in dedup.similar_pairs(df, ["name", "more"], "i", threshold, F.col("block"), "tokens").collect()}
-    texts = {i: f"{n} | {m or ''}" for i, _, n, m in rows}
+    got = {(r.a, r.b): r.score for r in dedup.similar_pairs(df, keys, "i", threshold, F.col("block"), "tokens").collect()}
+    texts = {i: f"{n} | {m or ''}" if len(keys) == 2 else n for i, _, n, m in rows}
     expected = {}
     for i, k, *_ in rows:
         for j, other, *_ in rows:
@@ -288,7 +289,7 @@ def test_token_pairs_are_all_pairs(spark, threshold):
                 expected[i, j] = score
     assert len(expected) >= 2 and set(got) == set(expected)
     assert all(abs(got[p] - expected[p]) < 1e-12 for p in got)
-    kept = dedup.drop_similar(df, ["name", "more"], "i", threshold, F.col("block"), "tokens")
+    kept = dedup.drop_similar(df, keys, "i", threshold, F.col("block"), "tokens")
     gone = set()
     for i, *_ in rows:
         if i not in gone:
