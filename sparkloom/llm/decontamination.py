@@ -300,7 +300,13 @@ def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in HASHED.split(", ")])
 
         part = map_arrow(rows, run, HASHED)
+        if parts == 1:
+            return part
+        # One index after another: what a part finds, a few rows, is written before its index is let go of everywhere.
+        part = cut(part)
+        shared.destroy()
         found = part if found is None else found.unionByName(part)
+    discard(built)
     return found
 
 
@@ -312,7 +318,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found; a repeated item row is reported once, a repeated document row each time. Of items that score alike all are
     found. Long texts are searched whole, passage by passage. Empty tables give an empty result. One index of about
     INDEX_ITEMS items and INDEX_WORDS words goes through the driver and is broadcast at a time; a larger benchmark makes
-    several, all with the statistics of the whole. ``docs`` is read for doc_id and text only.
+    several, all with the statistics of the whole, whose passes run one after another. ``docs`` is read for doc_id and text only.
     """
     return _leaks(docs, benchmark).drop("text_sha256")
 

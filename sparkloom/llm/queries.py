@@ -14,7 +14,7 @@ from .quality import op10_quality_classifier
 from .ranked_search import OP11_SQL, op11_ranked_search
 from .substring_dedup import OP4_SQL, op4_substring_dedup
 from .token_counts import op9_token_counts
-from .url_filter import OP8_SQL, op8_url_filter
+from .url_filter import OP8_REDIRECTS_SQL, OP8_SQL, op8_url_filter, url_redirects
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -25,6 +25,7 @@ QUERIES = {
     "op6_near_dedup": op6_near_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_url_filter": op8_url_filter,
+    "url_redirects": url_redirects,
     "op9_token_counts": op9_token_counts,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_ranked_search": op11_ranked_search,
@@ -38,6 +39,7 @@ ORACLE_SQL = {
     "op5_exact_dedup": OP5_SQL,
     "op7_license_scan": OP7_SQL,
     "op8_url_filter": OP8_SQL,
+    "url_redirects": OP8_REDIRECTS_SQL,
     "op11_ranked_search": OP11_SQL,
     "op13_periodic_runs": OP13_SQL,
 }

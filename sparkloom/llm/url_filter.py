@@ -223,10 +223,12 @@ def _sql_verdict(rule: str) -> str:
     return f"CASE {rule} " + " ".join(f"WHEN '{h}{p}' THEN '{v}'" for v, h, p in RULES) + " END"
 
 
-#: The same with components by a recursive query over the edges in both directions.
-OP8_SQL = f"""
+def _sql(redirects: str | None = None) -> str:
+    """The same with components by a recursive query over the edges in both directions."""
+    more = f" UNION SELECT src, CASE WHEN contains(dst, '://') THEN dst END FROM ({redirects}) WHERE contains(src, '://')" if redirects else ""
+    return f"""
 WITH RECURSIVE named AS ({" UNION ALL ".join(_sql_links(tag, kind, href) for _, tag, kind, href in LINKS)}),
-u AS (SELECT url, NULL::VARCHAR AS target FROM pages WHERE contains(url, '://') UNION SELECT url, target FROM named WHERE target IS NOT NULL),
+u AS (SELECT url, NULL::VARCHAR AS target FROM pages WHERE contains(url, '://') UNION SELECT url, target FROM named WHERE target IS NOT NULL{more}),
 one AS (SELECT DISTINCT 'u ' || url AS a, {_sql_canonical("url")} AS b FROM u UNION SELECT {_sql_canonical("url")}, {_sql_canonical("target")} FROM u WHERE target IS NOT NULL),
 e AS (SELECT a, b FROM one UNION SELECT b, a FROM one),
 reach(n, l) AS (SELECT a, a FROM e UNION SELECT e.b, reach.l FROM reach JOIN e ON e.a = reach.n),
@@ -235,6 +237,28 @@ every AS (SELECT url FROM u UNION SELECT target FROM u WHERE target IS NOT NULL)
 d AS (SELECT {_sql_canonical("url")} AS n, {_sql_verdict(_sql_rule(_sql_host("url"), _sql_path("url")))} AS v FROM every),
 x AS (SELECT l, max(CASE v WHEN 'allow' THEN 1 ELSE 0 END) AS allowed FROM d JOIN c USING (n) WHERE v IS NOT NULL GROUP BY l),
 p AS (SELECT *, {_sql_rule("host", "path")} AS rule FROM (SELECT page_id, url, {_sql_host("url")} AS host, {_sql_path("url")} AS path FROM pages))
-SELECT page_id, host, path, rule, coalesce({_sql_verdict("rule")}, CASE allowed WHEN 1 THEN 'allow' WHEN 0 THEN 'block' END, 'allow') AS verdict
+"""
+
+
+OP8_SQL = f"""{_sql()}SELECT page_id, host, path, rule, coalesce({_sql_verdict("rule")}, CASE allowed WHEN 1 THEN 'allow' WHEN 0 THEN 'block' END, 'allow') AS verdict
+FROM p LEFT JOIN c ON c.n = 'u ' || p.url LEFT JOIN x ON x.l = c.l
+"""
+
+#: Redirects made from the pages, alike in both engines: of seven pages three begin chains over hosts without rules that end
+#: at a blocked host, at an allowed one, or at both, and three more go to a hop of a chain.
+_REDIRECTS = """SELECT url AS src, 'https://hop' || (page_id // 7) || '.org/' || (page_id % 3) AS dst FROM pages WHERE page_id % 7 < 6
+UNION ALL SELECT 'https://hop' || (page_id // 7) || '.org/' || (page_id % 3), 'https://hop' || (page_id // 7) || '.org/end/' || (page_id % 3) FROM pages WHERE page_id % 7 < 3
+UNION ALL SELECT 'https://hop' || (page_id // 7) || '.org/end/0', 'https://away' || (page_id // 7) || '.net/es/' FROM pages WHERE page_id % 7 < 3 AND page_id % 3 = 0
+UNION ALL SELECT 'https://hop' || (page_id // 7) || '.org/end/1', 'https://away' || (page_id // 7) || '.com/' FROM pages WHERE page_id % 7 < 3 AND page_id % 3 = 1
+UNION ALL SELECT 'https://hop' || (page_id // 7) || '.org/end/2', CASE page_id % 2 WHEN 0 THEN 'https://both.net/fr/' ELSE 'https://www.example.com/en/' END FROM pages WHERE page_id % 7 < 3 AND page_id % 3 = 2"""
+OP8_REDIRECTS_SQL = f"""{_sql(_REDIRECTS)}SELECT page_id, rule, coalesce({_sql_verdict("rule")}, CASE allowed WHEN 1 THEN 'allow' WHEN 0 THEN 'block' END, 'allow') AS verdict,
+  CASE WHEN rule IS NOT NULL THEN 'rule' WHEN allowed IS NOT NULL THEN 'alias' ELSE 'default' END AS reason
 FROM p LEFT JOIN c ON c.n = 'u ' || p.url LEFT JOIN x ON x.l = c.l
 """
+
+
+def url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages with a table of redirects, which the pages of the tables don't name: most verdicts come from aliases."""
+    pages = table(spark, sf_dir, "pages")
+    redirects = spark.sql(_REDIRECTS.replace("//", "DIV").replace(":DIV", "://").replace("FROM pages", "FROM {pages}"), pages=pages)
+    return judge(pages, redirects=redirects).select("page_id", "rule", "verdict", "reason")
