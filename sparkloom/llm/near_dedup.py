@@ -357,7 +357,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its class, with their columns; rows without id stay."""
+    """The rows of ``docs`` whose doc_id is the smallest of its class, with their columns of any name; rows without id stay.
+
+    Texts too short for a run of words, null and empty ones included, are near none and stay. Rows of one id share their
+    fate, so repeated rows stay or go together. Long texts are compared whole. An empty table gives an empty result.
+    """
     key = free_name(docs, "_gone_id")
     gone = near_classes(docs).where("doc_id <> class_id").select(F.col("doc_id").alias(key)).distinct()
     return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col(key), "left_anti")

@@ -183,7 +183,11 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of all documents with the CRC-32 of their ids and their places."""
+    """Pieces of all documents with the CRC-32 of their ids and their places.
+
+    A null or empty text is one separator, a text of any length is packed whole, in pieces; repeated rows and null ids are
+    documents of their own. Further columns aren't read. An empty table gives an empty result.
+    """
     pieces = token_pieces(docs, ranks_path, capacity).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

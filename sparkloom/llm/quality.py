@@ -203,7 +203,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score KEEP_FROM or more, with their columns of any name."""
+    """The rows of ``docs`` that score KEEP_FROM or more, with their columns of any name.
+
+    Each row is judged by its own whole text, whatever its id, so null and repeated ids and repeated rows stay or go by their
+    texts. Null and empty texts, and others without words, score 0 and go; without usable labels all do. A score of exactly
+    KEEP_FROM stays. An empty table gives an empty result.
+    """
     name = free_name(docs, SCORE)
     return with_scores(docs, train(docs, labels), name).where(F.col(name) >= KEEP_FROM).select(*(f"`{c}`" for c in docs.columns))
 

@@ -42,7 +42,11 @@ def path_of(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """The text and the verdict of the longest rule that fits; null if none does. A rule fits its host and all subdomains."""
+    """The text and the verdict of the longest rule that fits; null if none does. A rule fits its host and all subdomains.
+
+    Length is that of host and path together. Of rules of one length that fit, the one whose host, then path, comes last in
+    the order of texts decides. A null or empty host fits no rule.
+    """
     text = verdict = F.lit(None).cast("string")
     for kind, rule_host, rule_path in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r[1], r[2])):
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)

@@ -75,6 +75,27 @@ def test_parts_of_a_benchmark_give_what_the_whole_gives(spark, monkeypatch):
     assert [r[:3] for r in parts] == [r[:3] for r in whole] and all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(parts, whole))
 
 
+def test_one_index_is_broadcast_at_a_time(spark, monkeypatch):
+    """Fifty parts, and never two indexes with the executors."""
+    monkeypatch.setattr(D, "INDEX_ITEMS", 1)
+    items = [(k, prose(25, 300 + k)) for k in range(50)]
+    docs = spark.createDataFrame([(k, prose(9, k) + " " + prose(25, 300 + k)) for k in range(0, 50, 7)], "doc_id long, text string")
+    live, most, made = set(), [0], type(spark.sparkContext).broadcast
+
+    def broadcast(context, value):
+        b = made(context, value)
+        live.add(b)
+        most[0] = max(most[0], len(live))
+        end = b.destroy
+        b.destroy = lambda *a: (live.discard(b), end(*a))
+        return b
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    found = D.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert most[0] == 1 and not live
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(k, k) for k in range(0, 50, 7)}
+
+
 def test_columns_of_any_name_pass(spark):
     docs = spark.createDataFrame([(d, t, 1, "x", 2.0, 3) for d, t in TEXTS], "doc_id long, text string, _leak_id int, _leak_sha string, score double, text_sha256 int")
     kept = D.drop_leaks(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
