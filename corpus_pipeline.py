@@ -13,27 +13,33 @@ from sparkloom.llm.common import discard_since, mark, remove, shared_path, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps; it learns from the labelled rows among ``docs``."""
+    """Documents that the classifier keeps; it learns from the labelled rows among ``docs``.
+
+    Null, empty and very long texts, ties, repeated rows and empty tables are as quality.keep_good says.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of equal documents."""
+    """One of each group of equal documents: of null and empty texts, which are equal, the largest id stays, as of others.
+
+    Ties, repeated rows and empty tables are as exact_dedup.drop_exact says.
+    """
     return exact_dedup.drop_exact(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of near duplicates."""
+    """One of each group of near duplicates; null, empty and short texts stay, as near_dedup.keep_one says."""
     return near_dedup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark; null and empty texts stay, as decontamination.drop_leaks says."""
     return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in training sequences."""
+    """The pieces of all documents and their places in training sequences; null and empty texts are a separator each."""
     return packing.pack_documents(docs)
 
 

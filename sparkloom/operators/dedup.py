@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 
 from ..arrow import map_arrow
 from ..functions.similarity import CONTAINED, PART_SHARE, token_score
@@ -252,9 +252,14 @@ def drop_similar(df: DataFrame, keys: list[str], order: str, threshold: float =
 
 
 def dedup_report(df: DataFrame, order: str, keys: list[str] | None = None, threshold: float = 0.85) -> DataFrame:
-    """One row: initial_rows, exact_duplicates_removed, fuzzy_duplicates_removed and final_rows of drop_exact and drop_similar."""
-    exact = drop_exact(df, order)
-    counts = [df.count(), exact.count()]
+    """One row: initial_rows, exact_duplicates_removed, fuzzy_duplicates_removed and final_rows of drop_exact and drop_similar.
+
+    ``df`` is computed once: its rows are counted before and after in the pass that removes equal ones.
+    """
+    before, after, n = Observation(), Observation(), F.count(F.lit(1)).alias("n")
+    exact = cut(drop_exact(df.observe(before, n), order).observe(after, n))
+    counts = [before.get["n"], after.get["n"]]
     counts.append(drop_similar(exact, keys, order, threshold).count() if keys else counts[1])
+    discard(exact)
     row = (counts[0], counts[0] - counts[1], counts[1] - counts[2], counts[2])
     return df.sparkSession.createDataFrame([row], "initial_rows long, exact_duplicates_removed long, fuzzy_duplicates_removed long, final_rows long")

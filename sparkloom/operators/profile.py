@@ -15,6 +15,7 @@ from ..functions.predicates import kind
 from ..plans.fuse import Evidence, decide
 from ..plans.names import match_name
 from ..schemas import SemanticType as T
+from ..sources.scratch import cut, discard
 from .ranks import numbers_of, quantiles, ranked
 
 
@@ -106,7 +107,7 @@ def profile(df: DataFrame, name_mode: str = "levenshtein", synonyms: dict[T, tup
     ``synonyms`` is an ontology of column names for match_name, in place of the built-in one.
     """
     spark = df.sparkSession
-    freq = value_frequencies(df).persist()
+    freq = cut(value_frequencies(df))
     try:
         counts = {r["col_name"]: r for r in counts_by_column(freq).collect()}
         stats = {r["col_name"]: r for r in numeric_stats(*numeric_values(df, freq)).collect()}
@@ -119,7 +120,7 @@ def profile(df: DataFrame, name_mode: str = "levenshtein", synonyms: dict[T, tup
                 ratios.setdefault(r["col_name"], {})[T(r["kind"])] = r["ratio"]
         lengths = {r["col_name"]: r["mean"] for r in freq.where("value IS NOT NULL").groupBy("col_name").agg((F.sum(F.length("value") * F.col("count")) / F.sum("count")).alias("mean")).collect()}
     finally:
-        freq.unpersist()
+        discard(freq)
     rows = []
     for f in df.schema.fields:
         c, s, share = counts.get(f.name), stats.get(f.name), ratios.get(f.name, {})
@@ -145,6 +146,11 @@ def detected_types(profiled: DataFrame) -> dict[str, T]:
     return {r["col_name"]: T(r["detected_type"]) for r in profiled.select("col_name", "detected_type").collect()}
 
 
+def size_in_bytes(df: DataFrame) -> int:
+    """The bytes that Spark's planner expects of a table, from files and statistics; nothing is computed."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def dataset_summary(df: DataFrame) -> DataFrame:
     """row_count, col_count and duplicate_rows (rows equal to another, but for one of each)."""
     counted = df.groupBy(*(F.col(f"`{c}`") for c in df.columns)).agg(F.count(F.lit(1)).alias("_n"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .arrow import map_arrow
 from .functions import normalize as N
 from .functions import predicates as P
-from .operators import dedup, impute, outliers, profile, search, validate
+from .operators import dedup, impute, outliers, profile, search, sketches, validate
 from .operators.gram_index import GramIndex
 from .pipeline import clean
 from .plans.cleaning import default_plan, index_mapping, normalize_table
@@ -326,6 +326,25 @@ def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SAMPLED = "(SELECT list(v ORDER BY h, v) FROM (SELECT v, md5('0:' || v) AS h FROM (SELECT DISTINCT {c}::string AS v FROM events WHERE {c} IS NOT NULL) ORDER BY h, v LIMIT 10))"
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS col_name, count(*) AS total_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) > 0 AS near, min({c}::string) AS low, max({c}::string) AS high, array_to_string({_SAMPLED.format(c=c)}, ',') AS sample_values FROM events"
+        for c in ("event_id", "user_id", "event_type")
+    )
+)
+def merged_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of three batches, kept as tables and merged; ``near`` tells whether the estimate is within 5 % of the truth."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    merged = sketches.merge(*(cut(sketches.sketch(rows.where(F.col("event_id") % 3 == k))) for k in range(3)))
+    truth = profile.counts_by_column(profile.value_frequencies(rows)).select("col_name", "unique_count")
+    near = F.abs(F.col("unique_estimate") - F.col("unique_count")) <= 0.05 * F.col("unique_count")
+    out = sketches.estimates(merged).join(truth, "col_name").withColumn("near", near)
+    return out.select("col_name", "total_count", "null_count", "near", "low", "high", F.array_join("sample_values", ",").alias("sample_values"))
+
+
 @query(_PROFILED + "SELECT detected_type, count(*) AS count FROM f GROUP BY detected_type")
 def type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile(_dirty_customers(spark, sf_dir)).groupBy("detected_type").count()
