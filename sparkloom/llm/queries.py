@@ -13,7 +13,7 @@ from .periodic_runs import OP13_SQL, op13_periodic_runs
 from .quality import op10_quality_classifier
 from .ranked_search import OP11_SQL, op11_ranked_search
 from .substring_dedup import OP4_SQL, op4_substring_dedup
-from .token_counts import op9_token_counts
+from .token_counts import WORDS_SQL, op9_token_counts, token_counts_words
 from .url_filter import OP8_REDIRECTS_SQL, OP8_SQL, op8_url_filter, url_redirects
 
 QUERIES = {
@@ -27,6 +27,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "url_redirects": url_redirects,
     "op9_token_counts": op9_token_counts,
+    "token_counts_words": token_counts_words,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_ranked_search": op11_ranked_search,
     "op12_cost_balanced_packing": op12_cost_balanced_packing,
@@ -40,6 +41,7 @@ ORACLE_SQL = {
     "op7_license_scan": OP7_SQL,
     "op8_url_filter": OP8_SQL,
     "url_redirects": OP8_REDIRECTS_SQL,
+    "token_counts_words": WORDS_SQL,
     "op11_ranked_search": OP11_SQL,
     "op13_periodic_runs": OP13_SQL,
 }

@@ -59,6 +59,32 @@ def test_commits_are_whole(spark, rollup):
     assert totals(rollup) == {("a", "en", "v"): (3, 19)}
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_totals_are_kept_and_batches_folded(spark, rollup, monkeypatch, most):
+    """Commits, resent and replaced batches before and after they were folded; the manifest stays small."""
+    import random
+
+    monkeypatch.setattr(C.Rollup, "MOST_RECENT", most)
+    rng, latest = random.Random(most), {}
+    for k in range(10):
+        batch_id = f"b{rng.randrange(5)}"
+        rows = [("insert", rng.choice("xy"), None, "v", None, rng.randint(1, 9)) for _ in range(rng.randint(0, 3))]
+        rollup.commit(batch_id, C.delta(spark.createDataFrame(rows, C.CHANGES)))
+        latest[batch_id] = rows
+        state = rollup.manifest()[1]
+        assert len(state["recent"]) < most and len(state["folded"]) <= 4
+        expected: dict = {}
+        for r in (r for rows in latest.values() for r in rows):
+            n = expected.setdefault((r[1], None, "v"), [0, 0])
+            n[0] += 1
+            n[1] += r[5]
+        if k % 2:
+            assert totals(rollup) == {key: tuple(n) for key, n in expected.items()}
+    assert {r.batch_id for r in rollup.batches().collect()} == {b for b, rows in latest.items() if rows}
+    rollup.vacuum()
+    assert totals(rollup) == {key: tuple(n) for key, n in expected.items()}
+
+
 def test_counts_texts(spark, docs):
     changes = docs.selectExpr("'insert' AS op", "source", "'en' AS lang", "CAST(NULL AS string) AS old_text", "text AS new_text", "1 AS old_tokens")
     sums = {(r.source, r.version): (r.documents, r.tokens) for r in C.delta(C.counted(changes)).collect()}
