@@ -10,7 +10,9 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql.types import NumericType, StringType
 
+from ..arrow import on_workers
 from ..functions.casts import number, text
+from ..functions.dates import parse_any
 from ..functions.predicates import kind
 from ..plans.fuse import Evidence, decide
 from ..plans.names import match_name
@@ -42,9 +44,18 @@ def top_values(freq: DataFrame, n: int = 5) -> DataFrame:
     return freq.where("value IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def kinds(freq: DataFrame) -> DataFrame:
-    """col_name, kind and its share of the values that aren't blank. Each distinct value is tested once."""
-    each = freq.withColumn("kind", kind(F.col("value"))).where("kind IS NOT NULL").groupBy("col_name", "kind").agg(F.sum("count").alias("count"))
+def kinds(freq: DataFrame, any_layout: bool = False) -> DataFrame:
+    """col_name, kind and its share of the values that aren't blank. Each distinct value is tested once.
+
+    With ``any_layout`` a parser reads the values that pass no test: those with a whole date in them are datetimes, too.
+    """
+    found = kind(F.col("value"))
+    if any_layout:
+        on_workers(freq.sparkSession)
+        freq = freq.withColumn("_kind", found)
+        other = F.col("_kind") == "other"
+        found = F.when(other & parse_any(F.when(other, F.col("value"))).isNotNull(), "datetime").otherwise(F.col("_kind"))
+    each = freq.withColumn("kind", found).where("kind IS NOT NULL").groupBy("col_name", "kind").agg(F.sum("count").alias("count"))
     return each.withColumn("ratio", F.col("count") / F.sum("count").over(Window.partitionBy("col_name")))
 
 
@@ -101,10 +112,10 @@ PROFILE = (
 )
 
 
-def profile(df: DataFrame, name_mode: str = "levenshtein", synonyms: dict[T, tuple[str, ...]] | None = None) -> DataFrame:
+def profile(df: DataFrame, name_mode: str = "levenshtein", synonyms: dict[T, tuple[str, ...]] | None = None, any_layout: bool = False) -> DataFrame:
     """One row per column (PROFILE). Only statistics, a few rows a column, reach the driver, which fuses the evidence.
 
-    ``synonyms`` is an ontology of column names for match_name, in place of the built-in one.
+    ``synonyms`` is an ontology of column names for match_name, in place of the built-in one; ``any_layout`` is that of kinds().
     """
     spark = df.sparkSession
     freq = cut(value_frequencies(df))
@@ -115,7 +126,7 @@ def profile(df: DataFrame, name_mode: str = "levenshtein", synonyms: dict[T, tup
         for r in sorted(top_values(freq).collect(), key=lambda r: r["rank"]):
             top.setdefault(r["col_name"], []).append((r["value"], r["count"]))
         ratios: dict[str, dict[T, float]] = {}
-        for r in kinds(freq).collect():
+        for r in kinds(freq, any_layout).collect():
             if r["kind"] != "other":
                 ratios.setdefault(r["col_name"], {})[T(r["kind"])] = r["ratio"]
         lengths = {r["col_name"]: r["mean"] for r in freq.where("value IS NOT NULL").groupBy("col_name").agg((F.sum(F.length("value") * F.col("count")) / F.sum("count")).alias("mean")).collect()}

@@ -5,7 +5,9 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
+from ..arrow import on_workers
 from ..functions.casts import number, strip
+from ..functions.dates import parse_any
 from ..functions.predicates import is_datetime, is_email
 from ..schemas import CLOCK_TYPES, DATE_TYPES
 from ..schemas import SemanticType as T
@@ -35,8 +37,19 @@ def rule(t: T, c: Column) -> tuple[str, Column]:
     return "Any value", F.lit(True)
 
 
-def validate(df: DataFrame, types: dict[str, T]) -> DataFrame:
-    """One row per column (REPORT), all from one aggregate. A column of nulls alone counts all of its rows as invalid."""
+def _other_dates(df: DataFrame, column: str) -> int:
+    """How many values hold a whole date in a layout that is_datetime doesn't know; each distinct value is parsed once."""
+    on_workers(df.sparkSession)
+    value = F.col(f"`{column}`").cast("string").alias("value")
+    freq = df.select(value).where(~F.coalesce(is_datetime(F.col("value")), F.lit(True))).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    return freq.where(parse_any(F.col("value")).isNotNull()).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def validate(df: DataFrame, types: dict[str, T], any_layout: bool = False) -> DataFrame:
+    """One row per column (REPORT), all from one aggregate. A column of nulls alone counts all of its rows as invalid.
+
+    With ``any_layout`` a parser reads the dates that are in none of the layouts, in a pass for each column of dates.
+    """
     names = df.columns
     rules = {c: rule(types.get(c, T.UNKNOWN), F.col(f"`{c}`")) for c in names}
     row = df.agg(
@@ -47,6 +60,8 @@ def validate(df: DataFrame, types: dict[str, T]) -> DataFrame:
     out = []
     for i, c in enumerate(names):
         n, known, valid = row["n"], row[f"k{i}"], row[f"v{i}"]
+        if any_layout and types.get(c) in DATE_TYPES and valid < known:
+            valid += _other_dates(df, c)
         t = types.get(c, T.UNKNOWN).value
         if known:
             out.append((c, t, rules[c][0], round(100 * valid / known, 2), valid, known - valid, n - known))

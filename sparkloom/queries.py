@@ -345,6 +345,21 @@ def merged_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("col_name", "total_count", "null_count", "near", "low", "high", F.array_join("sample_values", ",").alias("sample_values"))
 
 
+_WHEN = "CASE event_id % 4 WHEN 0 THEN (event_id % 17 + 4) || 'th of March 2021' WHEN 1 THEN 'Friday, June ' || (event_id % 28 + 1) || ' 2019, 7 pm' WHEN 2 THEN '2024-03-05' ELSE 'no date ' || event_id END"
+
+
+@query(
+    """WITH n AS (SELECT count(*) AS n, count(CASE WHEN event_id % 4 = 3 THEN 1 END) AS bad FROM events)
+SELECT 'kinds' AS what, 'datetime' AS kind, round((n - bad) / n, 6) AS share FROM n UNION ALL SELECT 'kinds', 'other', round(bad / n, 6) FROM n UNION ALL SELECT 'valid', 'datetime', round(round(100 * (n - bad) / n, 2), 6) FROM n"""
+)
+def any_layout_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates in words, told from other texts in kinds and in validation."""
+    rows = table(spark, sf_dir, "events").select(F.expr(_WHEN).alias("seen"))
+    shares = profile.kinds(profile.value_frequencies(rows), any_layout=True).select(F.lit("kinds").alias("what"), "kind", F.round("ratio", 6).alias("share"))
+    report = validate.validate(rows, {"seen": T.DATETIME}, any_layout=True)
+    return shares.unionByName(report.select(F.lit("valid").alias("what"), F.lit("datetime").alias("kind"), F.round("compliance_rate", 6).alias("share")))
+
+
 @query(_PROFILED + "SELECT detected_type, count(*) AS count FROM f GROUP BY detected_type")
 def type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile(_dirty_customers(spark, sf_dir)).groupBy("detected_type").count()

@@ -53,3 +53,18 @@ def test_report_counts_while_it_writes(spark):
     got = dedup.dedup_report(df, "i", ["x"]).first().asDict()
     assert got == {"initial_rows": 5, "exact_duplicates_removed": 1, "fuzzy_duplicates_removed": 1, "final_rows": 3}
     assert seen.value == 5
+
+
+def test_dates_in_any_layout(spark):
+    from sparkloom.operators import validate
+    from sparkloom.schemas import SemanticType as T
+
+    values = ["5th of March 2021", "5th of March 2021", "June 7 2019, 7 pm", "2024-03-05", "May", "soon", "12.5", None]
+    df = spark.createDataFrame([(v,) for v in values], "seen string")
+    freq = profile.value_frequencies(df)
+    plain, more = ({r.kind: round(r.ratio * 7) for r in profile.kinds(freq, a).collect()} for a in (False, True))
+    assert plain["datetime"] == 1 and more["datetime"] == 4 and more["other"] == plain["other"] - 3
+    plain, more = (validate.validate(df, {"seen": T.DATETIME}, a).first() for a in (False, True))
+    assert (plain.valid_count, more.valid_count, more.valid_count + more.invalid_count, more.null_count) == (1, 4, 7, 1)
+    many = spark.createDataFrame([(f"{4 + i % 17}th of March {1950 + i}",) for i in range(60)], "seen string")
+    assert (profile.profile(many).first().regex_match_rate, profile.profile(many, any_layout=True).first().regex_match_rate) == (0.0, 1.0)
