@@ -967,7 +967,7 @@ def json_array_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.from_json("value", "key bigint, name string").alias("s")).select("s.*")
 
 
-def _formats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _told_formats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [(k, readers.detect_format(n, h.encode()), readers.sniff_delimiter(t)) for k, n, h, t in zip(*(batch.column(c).to_pylist() for c in ("c_custkey", "name", "head", "text")))]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["c_custkey", "format", "delimiter"])
@@ -984,7 +984,7 @@ def detected_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = f"concat('a', {mark}, 'b', {mark}, 'c\\n1', {mark}, '2', {mark}, c_mktsegment, '\\n')"
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), F.expr(name).alias("name"), F.expr(text).alias("text"))
     rows = rows.withColumn("head", F.expr("IF(c_custkey % 6 = 5, ' [{\"a\": 1}]', text)"))
-    return map_arrow(rows, _formats, "c_custkey long, format string, delimiter string")
+    return map_arrow(rows, _told_formats, "c_custkey long, format string, delimiter string")
 
 
 @query("SELECT r_regionkey, r_name, 1.0::double AS _score FROM region")

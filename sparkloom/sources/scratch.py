@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where each table that cut() gave back lies, and all of them in the order of their writing.
+#: Where each table that cut() gave back lies.
 _PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-_WRITTEN: list[str] = []
+
+
+class _Written(threading.local):
+    """The tables that this thread wrote, in their order; calls that run in other threads have lists of their own."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_WRITTEN = _Written()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -44,7 +54,7 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
-    _WRITTEN.append(path)
+    _WRITTEN.paths.append(path)
     return out
 
 
@@ -58,27 +68,28 @@ def discard(*tables: DataFrame) -> None:
     """Deletes tables that cut() wrote; others are left alone."""
     for df in tables:
         path = _PATHS.pop(df, None)
-        if path in _WRITTEN:
-            _WRITTEN.remove(path)
+        if path is not None:
+            if path in _WRITTEN.paths:
+                _WRITTEN.paths.remove(path)
             remove(df.sparkSession, path)
 
 
 def mark() -> int:
-    """A point in time for discard_since()."""
-    return len(_WRITTEN)
+    """A point in time of this thread for discard_since()."""
+    return len(_WRITTEN.paths)
 
 
 def discard_since(spark: SparkSession, at: int) -> None:
-    """Deletes all tables that cut() wrote after mark() gave ``at``; for callers whose results are stored elsewhere."""
-    while len(_WRITTEN) > at:
-        remove(spark, _WRITTEN.pop())
+    """Deletes all tables that cut() wrote in this thread after mark() gave ``at``; for callers whose results are stored elsewhere."""
+    while len(_WRITTEN.paths) > at:
+        remove(spark, _WRITTEN.paths.pop())
 
 
 def settled(make: Callable[[], DataFrame]) -> DataFrame:
     """cut() of what ``make`` gives; the tables that it wrote on its way are deleted."""
     at = mark()
     out = cut(make())
-    kept = _WRITTEN.pop()
+    kept = _WRITTEN.paths.pop()
     discard_since(out.sparkSession, at)
-    _WRITTEN.append(kept)
+    _WRITTEN.paths.append(kept)
     return out

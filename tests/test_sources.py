@@ -167,3 +167,31 @@ def test_tables_on_the_way_are_deleted(spark):
     scratch.discard_since(spark, at)
     scratch.discard(kept, out, spark.range(1))
     assert folders() == before
+
+
+def test_threads_delete_their_own_tables_only(spark):
+    import threading
+
+    from sparkloom.sources import scratch
+
+    first, second, found = threading.Event(), threading.Event(), {}
+
+    def one():
+        at = scratch.mark()
+        scratch.cut(spark.range(3))
+        first.set()
+        second.wait(60)
+        scratch.discard_since(spark, at)
+
+    def two():
+        first.wait(60)
+        found["table"] = scratch.cut(spark.range(4))
+        second.set()
+
+    threads = [threading.Thread(target=f) for f in (one, two)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(120)
+    assert found["table"].count() == 4
+    scratch.discard(found["table"])
