@@ -75,6 +75,14 @@ def test_parts_of_a_benchmark_give_what_the_whole_gives(spark, monkeypatch):
     assert [r[:3] for r in parts] == [r[:3] for r in whole] and all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(parts, whole))
 
 
+def test_repeated_rows_of_a_text_with_two_items(spark):
+    one, two = prose(25, 71), prose(25, 72)
+    text = " ".join([prose(30, 1), one, prose(300, 2), two])
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
+    found = D.find_leaks(docs, spark.createDataFrame([(5, one), (6, two), (6, two)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.item_id) for r in found) == [(0, 5), (0, 6), (1, 5), (1, 5), (1, 6), (1, 6)]
+
+
 def test_one_index_is_broadcast_at_a_time(spark, monkeypatch):
     """Fifty parts, and never two indexes with the executors."""
     monkeypatch.setattr(D, "INDEX_ITEMS", 1)

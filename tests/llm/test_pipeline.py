@@ -41,3 +41,17 @@ def test_stages_take_empty_tables(spark, tiny):
     docs = table(spark, tiny, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, tiny).collect() == []
+
+
+def test_null_and_empty_texts_pass_the_stages(spark, tiny):
+    """The classifier lets texts without words go; the other stages keep one of them, and packing gives it a separator."""
+    base = table(spark, tiny, "documents")
+    odd = spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 1, ""), (None, None)], "doc_id long, text string")
+    docs = base.where("doc_id < 12").unionByName(odd, allowMissingColumns=True)
+    assert not [r for r in corpus_pipeline.STAGES[0][1](spark, docs, tiny).collect() if not r.text]
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        docs = stage(spark, docs, tiny)
+        if name != "packing":
+            assert docs.columns == base.columns
+            assert [r.doc_id for r in docs.collect() if not r.text] == [10**6 + 1]
+    assert [(r.start, r.length) for r in docs.collect() if r.doc_id == 10**6 + 1] == [(0, 1)]

@@ -135,3 +135,14 @@ def test_query_matches_its_definition(spark):
     # Single precision may swap neighbours that are equally near.
     assert got.keys() == expected.keys() and np.mean([abs(got[d] - expected[d]) < 0.02 for d in got]) > 0.95
     assert all((got[d] >= 0.3) == (expected[d] >= 0.3) for d in got if abs(expected[d] - 0.3) > 0.1)
+
+
+def test_columns_named_like_labels(spark):
+    """What documents call quality, toxic or predicted is neither read nor lost."""
+    rows, labels = corpus(120)
+    named = spark.createDataFrame([(d, t, 1, 0, "p", 0.1) for d, t, _, _ in rows], "doc_id long, text string, quality int, toxic int, predicted string, score double")
+    labelled = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    plain = {r.doc_id: r.score for r in Q.quality_scores(named.select("doc_id", "text"), labelled).collect()}
+    assert {r.doc_id: r.score for r in Q.quality_scores(named, labelled).collect()} == plain
+    kept = Q.keep_good(named, labelled)
+    assert kept.columns == named.columns and {r.doc_id for r in kept.collect()} == {d for d, x in plain.items() if x >= Q.KEEP_FROM}
