@@ -238,7 +238,7 @@ def token_counts_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feed(spark, sf_dir, ("words_v1",))
 
 
-WORDS_SQL = """
+WORDS_SQL = r"""
 WITH l AS (SELECT doc_id, coalesce(max(toxic), 0) = 1 AS gone FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(toxic) = 1 OR min(quality) = 0),
 d AS (
   SELECT source, lang, coalesce(text, '') AS t, l.doc_id IS NOT NULL AS hit, coalesce(gone, false) AS gone,
