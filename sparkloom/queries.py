@@ -819,9 +819,9 @@ def source_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(meta[k] for k in ("format", "delimiter", "encoding", "row_count", "col_count"))], "format string, delimiter string, encoding string, row_count long, col_count long")
 
 
-def _written(spark: SparkSession, out: DataFrame) -> DataFrame:
-    """The rows that a stream gives, written to the shared folder until its source is read."""
-    path = shared_path(spark, "stream")
+def _written(spark: SparkSession, out: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows that a stream gives, written to the shared folder until its source is read; at a path once more, all of both runs."""
+    path = path or shared_path(spark, "stream")
     started = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     started.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{path}/out")
@@ -841,13 +841,17 @@ def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_GAPPY + f"SELECT event_id, user_id, last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM s")
 def stream_fill_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of four batches, each of later events; a user's last value is kept between them."""
+    """A stream of four batches, each of later events in any number of files; a user's last value is kept between them.
+
+    It stops after each batch and goes on from its state when the files of the next one are all there.
+    """
     rows, path = _gappy(spark, sf_dir), shared_path(spark, "stream")
     last = rows.agg(F.max("event_id")).first()[0] or 0
     for k in range(4):
         rows.where(F.floor(F.col("event_id") * 4 / (last + 1)) == k).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    return _written(spark, fill_forward(stream, ["value"], ["user_id"], "event_id"))
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        out = _written(spark, fill_forward(stream, ["value"], ["user_id"], "event_id"), path)
+    return out
 
 
 @query("SELECT event_id, coalesce(CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END, 'none') AS event_type, value FROM (SELECT event_id, event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value FROM events) WHERE value IS NOT NULL")

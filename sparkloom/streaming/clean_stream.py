@@ -83,8 +83,9 @@ def fill_forward(stream: DataFrame, columns: list[str], keys: list[str], order:
     """Nulls filled with the last value known of the same keys, in this batch (by ``order``) or before.
 
     The state is one row for each different keys: their last values. What comes later than rows with a higher ``order``
-    is filled from those. A null before any value stays. A batch's rows of one key are sorted together, so the source's
-    limit of files a batch bounds what meets in a task. The columns' names mustn't hold dots.
+    is filled from those; so rows that several files hold in no order have to come in one batch. A null before any value
+    stays. A batch's rows of one key are sorted together, so the source's limit of files a batch bounds what meets in a
+    task. The columns' names mustn't hold dots.
     """
     on_workers(stream.sparkSession)
     state = StructType([StructField(f"v{i}", stream.schema[c].dataType) for i, c in enumerate(columns)])

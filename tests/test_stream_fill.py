@@ -1,3 +1,4 @@
+from sparkloom.queries import stream_fill_forward
 from sparkloom.schemas import ColumnPlan, Impute, TablePlan
 from sparkloom.schemas import SemanticType as T
 from sparkloom.streaming.clean_stream import fill_forward, fill_stream, fitted_fills
@@ -30,3 +31,16 @@ def test_fitted_values_and_dropped_rows(spark, tmp_path):
     spark.createDataFrame([(None, None, None, "1"), ("7", "Bonn", "k", None), ("8", None, "k", "4")], schema).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     assert sorted(tuple(r) for r in run(fill_stream(stream, plan, fills), tmp_path, "filled")) == [("30", "Rome", "Unknown", "1"), ("8", "Rome", "k", "4")]
+
+
+def test_batches_of_several_files_are_filled_by_order(spark, tmp_path):
+    """Each file holds events of the whole batch, so a batch that is split by files is filled from later ones."""
+    rows = spark.range(400).selectExpr("id AS event_id", "id % 3 AS user_id", "IF(id % 5 = 0, id * 1.0D, NULL) AS value")
+    rows.repartition(6, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: r.value for r in stream_fill_forward(spark, str(tmp_path)).collect()}
+    want, last = {}, {}
+    for i in range(400):
+        if i % 5 == 0 and i % 4:
+            last[i % 3] = float(i)
+        want[i] = last.get(i % 3)
+    assert got == want
