@@ -29,7 +29,9 @@ WINDOW = 13
 #: Base of the polynomial; odd, so that it is invertible mod 2^64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Windows that a task holds before it sends them on; bounds a worker's memory.
-HELD_WINDOWS = 3_000_000
+HELD_WINDOWS = 1_000_000
+#: Documents whose words are removed at a time.
+BLOCK = 500
 #: Distinct words whose hashes a worker remembers.
 HELD_WORDS = 300_000
 
@@ -70,6 +72,8 @@ def _send(bucket_bits: int, window: int):
             h = np.concatenate(hashes)
             lengths = np.array([len(x) for x in hashes])
             doc = np.repeat(np.array(ids, np.int64), lengths)
+            hashes.clear()
+            ids.clear()
             start = (np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
             order = np.argsort(h, kind="stable")
             edges = np.flatnonzero(np.r_[True, h[order[1:]] != h[order[:-1]]])
@@ -106,8 +110,6 @@ def _send(bucket_bits: int, window: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own % (1 << bucket_bits), pa.int32()), empty, empty, empty, empty, pa.array(own, pa.int64()), pa.array(starts, pa.list_(pa.int32()))], names=NAMES
                 )
-            hashes.clear()
-            ids.clear()
 
         held = 0
         for batch in batches:
@@ -214,7 +216,7 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def _remove(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, BLOCK) for b in batches for at in range(0, b.num_rows, BLOCK)):
             n_words, removed, kept, spans = [], [], [], []
             for text, lists in zip(texts_of(batch), batch.column("repeated").to_pylist()):
                 words = text.split()

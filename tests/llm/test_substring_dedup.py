@@ -72,3 +72,21 @@ def test_a_hot_window_and_long_texts(spark):
     got = S.remove_repeats(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, repeated int").repartition(6)).collect()
     expected = S.brute_force(rows)
     assert all((r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) == expected[r.doc_id] for r in got)
+
+
+def test_memory_of_a_task_is_bounded():
+    """Two million windows go on in parts, and a batch's kept texts come in blocks."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [" ".join(map(str, range(k, k + 100_000))) for k in range(20)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(20)), "text": texts})
+    tracemalloc.start()
+    sent = sum(b.num_rows for b in S._send(8, S.WINDOW)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent and peak < 150e6
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(1200)), "text": ["a b"] * 1200, "repeated": pa.array([None] * 1200, pa.list_(pa.int32()))})
+    done = list(S._remove(S.WINDOW)(iter([rows])))
+    assert max(b.num_rows for b in done) <= 500 and sum(b.num_rows for b in done) == 1200
