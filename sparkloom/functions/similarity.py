@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+
 # The share of a score that a part of a text can give, and the least score of a text within another.
 PART_SHARE = 0.9
 CONTAINED = 0.85
@@ -70,3 +74,96 @@ def token_score(a: str, b: str, least: float = 0.0) -> float:
             return 0.0
     whole = ratio(one, two)
     return max(whole, PART_SHARE * partial_ratio(a, b, max(least, whole) / PART_SHARE))
+
+
+#: Texts of one side that are compared with all of the other at a time.
+_STRIP = 32
+
+
+def _pair_bits(texts: list[str], words: int) -> np.ndarray:
+    """A bit for the hash of each two letters in a row, in ``words`` 64-bit numbers a text."""
+    out, held = np.zeros((len(texts), words), np.uint64), {}
+    for i, text in enumerate(texts):
+        bits = 0
+        for pair in {text[j : j + 2] for j in range(len(text) - 1)}:
+            if (bit := held.get(pair)) is None:
+                bit = held[pair] = 1 << zlib.crc32(pair.encode("utf-8", "surrogatepass")) % (64 * words)
+            bits |= bit
+        out[i] = np.frombuffer(bits.to_bytes(8 * words, "little"), "<u8")
+    return out
+
+
+def _missing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return sum(np.bitwise_count(a[..., w] & ~b[..., w]) for w in range(a.shape[-1]))
+
+
+def _common_of_pairs(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """common() of a[i] and b[j] for many pairs at once, of texts of up to 63 letters."""
+    letters = {c: k for k, c in enumerate(sorted(set("".join(a))))}
+    places = np.zeros((len(a), len(letters) + 1), np.uint64)
+    for row, text in enumerate(a):
+        for at, c in enumerate(text):
+            places[row, letters[c]] |= np.uint64(1 << at)
+    codes = np.full((len(b), max(map(len, b), default=0)), len(letters), np.int64)
+    for row, text in enumerate(b):
+        codes[row, : len(text)] = [letters.get(c, len(letters)) for c in text]
+    sizes = np.array([len(x) for x in a], np.uint64)[i]
+    full = (np.uint64(1) << sizes) - np.uint64(1)
+    left = full.copy()
+    for at in range(codes.shape[1]):
+        hit = left & places[i, codes[j, at]]
+        left = ((left + hit) | (left - hit)) & full
+    return (sizes - np.bitwise_count(left)).astype(np.int64)
+
+
+def close_pairs(a: list[str], b: list[str] | None, least: float) -> list[tuple[int, int, float]]:
+    """Places of texts of ``a`` and of ``b`` (of two texts of ``a`` without it, the first place smaller) and their
+    token_score, where that is ``least`` or more; the texts are trimmed and in lower case.
+
+    Of a text's letters x and another's y that stay unmatched, at most 2x + y of its pairs of letters can be missing in
+    the other. So hashed pairs tell which sorted words can have the ratio and which texts the partial ratio (or hold one
+    another, where none is missing); of the former the letters in common are computed for many pairs at once.
+    """
+    same = b is None
+    b = a if same else b
+    one, two = [sorted_words(x) for x in a], [sorted_words(x) for x in b]
+    n1, n2 = np.array([len(x) for x in one], float), np.array([len(x) for x in two], float)
+    m1, m2 = np.array([len(x) for x in a], float), np.array([len(x) for x in b], float)
+    share = min(1.0, least / PART_SHARE)
+    # Most unmatched pairs of letters of a shorter text within a longer one; the worst window is the shortest that fits.
+    lost = lambda n: n * (2 - 1.5 * share + (1 - 1.5 * share) * share / (2 - share)) + 1e-6
+    first, second = (_pair_bits(one, 2), _pair_bits(two, 2)), (_pair_bits(a, 1), _pair_bits(b, 1))
+    fine_sorted, fine = (_pair_bits(one, 8), _pair_bits(two, 8)), (_pair_bits(a, 8), _pair_bits(b, 8))
+    words, parts = [], []
+
+    def checked(i: np.ndarray, j: np.ndarray, sides: tuple, shorter: bool) -> np.ndarray:
+        """Whether the pairs can be close: by sorted words, or, with ``shorter``, one within the other."""
+        x, y = sides[0][i], sides[1][j]
+        if shorter:
+            return ((m1[i] <= m2[j]) & (_missing(x, y) <= lost(m1[i]))) | ((m2[j] <= m1[i]) & (_missing(y, x) <= lost(m2[j])))
+        return _missing(x, y) <= 2 * n1[i] + n2[j] - 1.5 * least * (n1[i] + n2[j]) + 1e-6
+
+    for begin in range(0, len(a), _STRIP):
+        rows = np.arange(begin, min(begin + _STRIP, len(a)))[:, None]
+        columns = np.arange(begin if same else 0, len(b))[None, :]
+        later = rows < columns if same else True
+        for sides, better, shorter, found in ((first, fine_sorted, False, words), (second, fine, True, parts)):
+            i, j = np.nonzero(checked(rows, columns, sides, shorter) & later)
+            i, j = i + begin, j + columns[0, 0]
+            keep = checked(i, j, better, shorter)
+            found.append((i[keep], j[keep]))
+    i, j = (np.concatenate(x) for x in zip(*words)) if words else (np.empty(0, np.int64),) * 2
+    if len(i):
+        small = (n1[i] <= 63) & (n2[j] <= 63)
+        near = ~small
+        x, y = i[small], j[small]
+        short = lambda texts: [t if len(t) <= 63 else "" for t in texts]
+        hit = [_common_of_pairs(short(one), short(two), x[k : k + 100_000], y[k : k + 100_000]) for k in range(0, len(x), 100_000)]
+        if hit:
+            near[small] = 2 * np.concatenate(hit) >= least * (n1[x] + n2[y]) - 1e-9
+        i, j = i[near], j[near]
+    wanted = {*zip(i.tolist(), j.tolist())}
+    for x, y in parts:
+        wanted.update(zip(x.tolist(), y.tolist()))
+    scored = ((x, y, token_score(a[x], b[y], least)) for x, y in sorted(wanted))
+    return [r for r in scored if r[2] >= least]

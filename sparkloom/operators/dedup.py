@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Observation, Window
 
 from ..arrow import map_arrow
-from ..functions.similarity import CONTAINED, PART_SHARE, token_score
+from ..functions.similarity import CONTAINED, close_pairs
 from ..sources.scratch import cut, discard
 
 LENGTH_RATIO = 0.70
@@ -18,6 +17,9 @@ LENGTH_RATIO = 0.70
 EDIT_GRAM = 2
 PART_GRAM = 3
 _EDGE = "\u0001"
+#: Texts and letters of a chunk, two of which are compared by tokens at a time.
+CHUNK = 4096
+CHUNK_LETTERS = 1 << 20
 
 
 def drop_exact(df: DataFrame, order: str | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -73,74 +75,39 @@ def _edit_candidates(texts: DataFrame, threshold: float) -> DataFrame:
     return first.join(other, ["k", "g", "o"]).where(near).select("k", "t", "u")
 
 
-def _numbered_grams(texts: DataFrame, c: Column, n: int) -> DataFrame:
-    """k, t, size (of the text ``p``) and the grams g of ``c``, each with the number o of its occurrence."""
-    starts = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(starts, lambda i: F.substring(c, i, F.lit(n)))
-    counted = texts.select("k", "t", F.length("p").alias("size"), F.explode(grams).alias("g")).groupBy("k", "t", "size", "g").agg(F.count(F.lit(1)).alias("times"))
-    return cut(counted.select("k", "t", "size", "g", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("o")))
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """k, t, u (t < u) and score of the close texts of each group of two chunks, or of one with itself."""
+    for batch in batches:
+        for row in batch.slice(0).to_pylist():
+            one, two = row["one"], row["two"]
+            found = close_pairs([r["p"] for r in one], None if two is None else [r["p"] for r in two], row["least"])
+            pairs = []
+            for i, j, score in found:
+                x, y = one[i], (one if two is None else two)[j]
+                if min(x["size"], y["size"]) / max(x["size"], y["size"]) >= LENGTH_RATIO:
+                    pairs.append((*sorted((x["t"], y["t"])), score))
+            kinds = batch.schema.field("k").type, batch.schema.field("one").type.value_type.field("t").type
+            columns = [pa.array([row["k"]] * len(pairs), kinds[0]), *(pa.array([r[c] for r in pairs], kinds[1]) for c in (0, 1)), pa.array([r[2] for r in pairs], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "t", "u", "score"])
 
 
-def _rarest(each: DataFrame, lost: Column) -> DataFrame:
-    """Of each text's numbered grams the rarest, one more than can be lost."""
-    ranks = each.groupBy("g", "o").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy("k", "t").orderBy("df", "g", "o"))
-    return each.join(ranks, ["g", "o"]).withColumn("place", place).where(F.col("place") <= lost + 1).drop("df", "place")
-
+def _token_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """k, t, u (t < u) and score of texts whose token_score reaches the threshold.
 
-def _lost(size: Column, least: float, n: int) -> Column:
-    """How many of a text's grams of n letters can be lost to another one whose ratio is ``least`` or more.
-
-    With a letters of the one and b of the other unmatched, a + b is at most (1 - least) times all letters, and
-    n a + (n - 1) b grams are lost at most; that is most for the shortest other text that the ratio allows.
+    All pairs of a block are compared, in groups of two chunks of CHUNK texts and CHUNK_LETTERS letters or so. A group is
+    one row, dealt by its key to as many parts as the session shuffles to; the work grows with the square of a block.
     """
-    return F.floor(size * (2 * n * (1 - least) / (2 - least)) + 1e-9)
-
-
-def _gram_length(least: float) -> int:
-    """The longest grams, of two to four letters, of which a fifth can't be lost."""
-    return max(2, min(4, int(0.8 * (2 - least) / (2 * (1 - least) + 1e-12))))
-
-
-def _token_candidates(texts: DataFrame, threshold: float) -> DataFrame:
-    """k, t, u (t < u) of texts whose token_score may reach the threshold.
-
-    Texts with a high ratio of their sorted words have one of the rarest grams of either in common; of texts with a high
-    partial ratio one of the shorter's rarest grams is among all of the longer's. Texts so short that all of their grams
-    can be lost are compared with all of fitting lengths.
-    """
-    n = _gram_length(threshold)
-    edge = F.lit(_EDGE * (n - 1))
-    words = F.concat(edge, F.array_join(F.array_sort(F.split("p", r"(?U)\s+")), " "), edge)
-    sorts = cut(_rarest(_numbered_grams(texts, words, n), _lost(F.col("size"), threshold, n)))
-    other = sorts.select("k", "g", "o", F.col("t").alias("u"), F.col("size").alias("size2"))
-    sizes = F.least("size", "size2") >= threshold / (2 - threshold) * F.greatest("size", "size2") - 1e-9
-    pairs = sorts.join(other, ["k", "g", "o"]).where((F.col("t") < F.col("u")) & sizes).select("k", "t", "u")
-    least = min(1.0, threshold / PART_SHARE)
-    n = min(3, _gram_length(least))
-    each = _numbered_grams(texts, F.col("p"), n)
-    mine = _rarest(each, _lost(F.col("size"), least, n))
-    longer = each.select("k", "g", "o", F.col("t").alias("u"), F.col("size").alias("size2"))
-    fits = (F.col("t") != F.col("u")) & (F.col("size") <= F.col("size2")) & (F.col("size") >= LENGTH_RATIO * F.col("size2") - 2)
-    parts = mine.join(longer, ["k", "g", "o"]).where(fits).select("k", "t", "u")
-    sized = texts.select("k", "t", F.length("p").alias("size"))
-    few = sized.where(F.col("size") - n + 1 - _lost(F.col("size"), least, n) < 1)
-    longest = few.agg(F.max("size")).first()[0]
-    if longest is not None:
-        near = sized.where(F.col("size") <= longest / LENGTH_RATIO + 2).select("k", F.col("t").alias("u"), F.col("size").alias("size2"))
-        parts = parts.unionByName(few.join(near, "k").where(fits).select("k", "t", "u"))
-    return pairs.unionByName(parts.select("k", F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u")))
-
-
-def _token_scores(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [token_score(a, b, threshold) for a, b in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist())]
-            columns = [batch.column(c) for c in ("k", "t", "u")]
-            found = pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=["k", "t", "u", "score"])
-            yield found.filter(pc.greater_equal(found.column("score"), threshold))
-
-    return run
+    sized = texts.groupBy("k").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum(F.length("p")) / CHUNK_LETTERS)).cast("int").alias("m"))
+    placed = texts.join(sized, "k").withColumn("c", F.pmod(F.xxhash64("t"), F.greatest("m", F.lit(1))).cast("int"))
+    chunks = cut(placed.groupBy("k", "c", "m").agg(F.collect_list(F.struct("t", "p", F.length("x").alias("size"))).alias("rows")))
+    lower = chunks.select("k", F.col("c").alias("i"), F.explode(F.sequence("c", F.greatest("m", F.lit(1)) - 1)).alias("j"), F.col("rows").alias("one"))
+    upper = chunks.where("c > 0").select("k", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("i"), F.col("c").alias("j"), F.col("rows").alias("two"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = lower.repartition(parts, "k", "i", "j").join(upper.repartition(parts, "k", "i", "j"), ["k", "i", "j"], "left")
+    # A chunk without rows has no partner; a group of a chunk with itself has none either.
+    groups = both.where("i = j OR two IS NOT NULL").select("k", "one", "two", F.lit(threshold).alias("least"))
+    kinds = dict(texts.dtypes)
+    return map_arrow(groups, _close, f"k {kinds['k']}, t {kinds['t']}, u {kinds['t']}, score double")
 
 
 def _part_candidates(texts: DataFrame) -> DataFrame:
@@ -171,9 +138,8 @@ def similar_texts(texts: DataFrame, threshold: float, mode: str = "edits") -> Da
         raise ValueError("mode is edits, or tokens with a threshold from two thirds to 1")
     texts = texts.withColumn("p", plain(F.col("x")))
     if mode == "tokens":
-        texts = cut(texts)
-        pairs = _token_candidates(texts, threshold)
-    elif threshold < 0.5:
+        return _token_pairs(texts, threshold)
+    if threshold < 0.5:
         # Grams prove nothing for so many edits: all texts of fitting lengths are compared.
         sized = texts.withColumn("bucket", F.floor(F.log(F.length("x").cast("double")) / F.log(F.lit(1 / LENGTH_RATIO))))
         other = sized.select("k", F.col("t").alias("u"), F.explode(F.array(*(F.col("bucket") + i for i in (-1, 0, 1)))).alias("bucket"))
@@ -184,10 +150,6 @@ def similar_texts(texts: DataFrame, threshold: float, mode: str = "edits") -> Da
             pairs = pairs.unionByName(_part_candidates(texts))
     pairs = pairs.distinct()
     both = pairs.join(texts.select("k", "t", "x", "p"), ["k", "t"]).join(texts.select("k", F.col("t").alias("u"), F.col("x").alias("y"), F.col("p").alias("q")), ["k", "u"])
-    if mode == "tokens":
-        kinds = dict(texts.dtypes)
-        schema = f"k {kinds['k']}, t {kinds['t']}, u {kinds['t']}, score double"
-        return map_arrow(both.where(_lengths_fit()).select("k", "t", "u", "p", "q"), _token_scores(threshold), schema)
     long = F.greatest(F.length("p"), F.length("q"), F.lit(1))
     edits = F.expr(f"levenshtein(p, q, cast(floor({1 - threshold} * greatest(length(p), length(q), 1) + 1e-9) as int))")
     contained = F.contains("p", F.col("q")) | F.contains("q", F.col("p"))
