@@ -24,7 +24,7 @@ from .common import free_name, map_arrow, table, texts_of
 BUCKETS = 1 << 13
 #: Dimensions of the latent space.
 RANK = 64
-#: Labelled rows of each class that the model is fitted on at most; they and their vectors are all that the driver holds.
+#: Labelled rows of each class that the model is fitted on at most; their vectors are all of them that the driver holds.
 LABELLED_PER_CLASS = 1000
 NEIGHBOURS = 15
 #: Exponent of a neighbour's cosine in its weight.
@@ -149,8 +149,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED_PER_CLASS) -> list:
-    """Rows (text, quality): of each class the ``per_class`` training rows whose hashed ids come first."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED_PER_CLASS) -> DataFrame:
+    """Rows (doc_id, text, quality): of each class the ``per_class`` training rows whose hashed ids come first."""
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.where(~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id")
@@ -161,13 +161,39 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = LABELLE
     chosen = chosen.withColumnRenamed("doc_id", "_id")  # at most 2 * per_class rows
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == chosen["_id"])
     # Of documents that share an id the text that comes first counts, so that the bound holds.
-    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality")).orderBy("doc_id").collect()
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED_PER_CLASS) -> list:
+    """The rows of labelled_rows by their ids."""
+    return labelled_rows(docs, labels, per_class).orderBy("doc_id").collect()
+
+
+def _fit(df: np.ndarray, total: int):
+    """Fits all rows of a partition; a row with the latent space and the labelled vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, known = [], []
+        for batch in batches:
+            texts += texts_of(batch)
+            known += batch.column("quality").to_pylist()
+        if texts:
+            m = fit(texts, known, df, total)
+            parts = [m.projection.astype("<f4").tobytes(), m.vectors.astype("<f4").tobytes(), m.labels.astype("<f8").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([m.projection.shape[1]], pa.int32()), *(pa.array([x], pa.binary()) for x in parts)], names=["rank", "projection", "vectors", "labels"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED_PER_CLASS) -> Model:
+    """The model of the labelled rows, fitted in a task, so that the driver holds neither their texts nor their matrix."""
     df, total = document_frequencies(docs)
-    rows = labelled_sample(docs, labels, per_class)
-    return fit([(r["text"] or "").encode() for r in rows], [r["quality"] for r in rows], df, total)
+    rows = labelled_rows(docs, labels, per_class).repartition(1).sortWithinPartitions("doc_id")
+    found = map_arrow(rows.select("text", "quality"), _fit(df, total), "rank int, projection binary, vectors binary, labels binary").first()
+    if found is None:
+        return fit([], [], df, total)
+    projection, vectors = (np.frombuffer(found[c], "<f4").reshape(-1, found["rank"]) for c in ("projection", "vectors"))
+    return Model(np.log((1 + total) / (1 + df)), projection, vectors, np.frombuffer(found["labels"], "<f8"))
 
 
 def with_scores(docs: DataFrame, model: Model, name: str) -> DataFrame:

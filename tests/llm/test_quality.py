@@ -146,3 +146,19 @@ def test_columns_named_like_labels(spark):
     assert {r.doc_id: r.score for r in Q.quality_scores(named, labelled).collect()} == plain
     kept = Q.keep_good(named, labelled)
     assert kept.columns == named.columns and {r.doc_id for r in kept.collect()} == {d for d, x in plain.items() if x >= Q.KEEP_FROM}
+
+
+def test_the_driver_fits_nothing(spark, monkeypatch):
+    """The matrix of the labelled rows and its decomposition are a task's; the model is that of the rows."""
+    rows, labels = corpus(200)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    sample = Q.labelled_sample(docs, table)
+    want = Q.fit([r.text.encode() for r in sample], [r.quality for r in sample], *Q.document_frequencies(docs))
+
+    def refuse(*_):
+        raise AssertionError("the driver decomposes")
+
+    monkeypatch.setattr(np.linalg, "eigh", refuse)
+    got = Q.train(docs, table)
+    assert np.array_equal(got.labels, want.labels) and np.allclose(got.vectors @ got.vectors.T, want.vectors @ want.vectors.T, atol=1e-4)
