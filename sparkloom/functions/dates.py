@@ -59,11 +59,25 @@ def parse_date_text(text: str) -> datetime.datetime | None:
     return one if one == two else None
 
 
+#: Words that dateutil knows, and those that Python reads as numbers.
+_WORDS = """at on and ad m t of st nd rd th mon monday tue tuesday wed wednesday thu thursday fri friday sat saturday sun sunday jan
+january feb february mar march apr april may jun june jul july aug august sep sept september oct october nov november dec december
+h hour hours minute minutes s second seconds am a pm p utc gmt z nan inf infinity""".split()
+#: A word that is none of those and too long, or not in capitals, for the name of a time zone.
+_UNKNOWN = rf"(?<![A-Za-z])(?!(?i:{'|'.join(_WORDS)})(?![A-Za-z]))(?![A-Z]{{1,5}}(?![A-Za-z]))[A-Za-z]"
+
+
+def no_date(c: Column) -> Column:
+    """Whether a text of plain letters, digits and separators holds a word at which dateutil gives up. What follows "of" may be skipped there."""
+    return c.rlike(r"\A[A-Za-z0-9 ,:/-]*\z") & ~c.rlike("(?i)(?<![a-z])of(?![a-z])") & c.rlike(_UNKNOWN)
+
+
 def parse_any(c: Column) -> Column:
-    """A timestamp by parse_date_text, in Arrow batches; only for texts that have a digit and five letters or more."""
+    """A timestamp by parse_date_text, in Arrow batches; only for texts that have a digit and five letters or more, and no
+    word that rules out a date."""
 
     @F.pandas_udf("timestamp")
     def read(s: pd.Series) -> pd.Series:
         return pd.to_datetime(s.map(parse_date_text, na_action="ignore"), errors="coerce")
 
-    return read(F.when(c.rlike("[0-9]") & (F.length(c) >= 5), c))
+    return read(bind(c, lambda s: F.when(s.rlike("[0-9]") & (F.length(s) >= 5) & ~no_date(s), s)))

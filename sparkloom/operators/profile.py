@@ -52,7 +52,9 @@ def kinds(freq: DataFrame, any_layout: bool = False) -> DataFrame:
     found = kind(F.col("value"))
     if any_layout:
         on_workers(freq.sparkSession)
-        freq = freq.withColumn("_kind", found)
+        # In as many parts as the session shuffles to: values are short, and adaptive execution would test them all in one task.
+        parts = int(freq.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        freq = cut(freq.repartition(parts, "col_name", "value").withColumn("_kind", found))
         other = F.col("_kind") == "other"
         found = F.when(other & parse_any(F.when(other, F.col("value"))).isNotNull(), "datetime").otherwise(F.col("_kind"))
     each = freq.withColumn("kind", found).where("kind IS NOT NULL").groupBy("col_name", "kind").agg(F.sum("count").alias("count"))

@@ -41,7 +41,9 @@ def _other_dates(df: DataFrame, column: str) -> int:
     """How many values hold a whole date in a layout that is_datetime doesn't know; each distinct value is parsed once."""
     on_workers(df.sparkSession)
     value = F.col(f"`{column}`").cast("string").alias("value")
-    freq = df.select(value).where(~F.coalesce(is_datetime(F.col("value")), F.lit(True))).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    freq = df.select(value).where("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    freq = freq.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "value")  # not one task for short values
+    freq = freq.where(~F.coalesce(is_datetime(F.col("value")), F.lit(True)))
     return freq.where(parse_any(F.col("value")).isNotNull()).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 

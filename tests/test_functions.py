@@ -142,3 +142,27 @@ def test_delimiters_are_told_fast():
     between = time.process_time()
     assert {sniff_delimiter(h) for h in heads[:200]} == {";"}
     assert time.process_time() - between < (between - began) / 3
+
+def test_texts_that_are_told_from_dates_unparsed_are_none(spark):
+    """What no_date() keeps from the parser the parser reads as no date; texts that it does read are passed on."""
+    import random
+
+    import pyspark.sql.functions as F
+
+    from sparkloom.functions.dates import no_date, parse_date_text
+
+    rng = random.Random(5)
+    words = "no date of March june FRI Friday 4th 5 2021 10:30 7pm pm EST ABCDEF z Nan inf th st T ad utc 3/4/2021 12-May-2020 - , foo Sept 10h30m m hours x7 at".split()
+    texts = ["".join(w + rng.choice((" ", " ", ", ", "-", "")) for w in rng.choices(words, k=rng.randint(1, 6))).strip() for _ in range(6000)]
+    texts += ["March of foo 2021", "5 March 2021 10:30 EST", "no date 77", "4th of March 2021"]
+    told = {r.c: r.no for r in spark.createDataFrame([(t,) for t in texts], "c string").select("c", no_date(F.col("c")).alias("no")).collect()}
+
+    def read(text):
+        try:
+            return parse_date_text(text)
+        except Exception:
+            return None
+
+    assert told["no date 77"] and sum(told.values()) > 1000
+    assert not [t for t, no in told.items() if no and read(t) is not None]
+    assert not any(told[t] for t in texts[-4:] if t != "no date 77")
