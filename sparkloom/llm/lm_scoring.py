@@ -5,11 +5,11 @@ through tanh, and a softmax over the vocabulary follows in two steps, first the
 The vocabulary is the most frequent words of the corpus. A word beyond them is the token RARE, and its letters are scored
 by a trigram model of the spelling of such words, so a text's score is the log-probability of its very words.
 
-Words are counted over all documents. Training draws windows from every document at a rate that is the same for all, so its
-steps grow with the corpus (see DRAWS). It goes in rounds over growing shares of the documents: each task descends on its
-share's windows from the same parameters, and the results are averaged, by windows, in tasks that take FAN_IN of them at a
-time. The driver gets one network a round. Scoring sums the conditional log-probabilities of all tokens of a text, each
-predicted from both sides, and of the spelling of its rare words.
+Words are counted over all documents, and training takes every window of every document, each as often as any other. It
+goes in rounds over growing shares of the documents: each task descends on its share's windows from the same parameters, and
+the results are averaged, by windows, in tasks that take FAN_IN of them at a time. The driver gets one network a round.
+Scoring sums the conditional log-probabilities of all tokens of a text, each predicted from both sides, and of the spelling
+of its rare words.
 """
 
 from __future__ import annotations
@@ -35,20 +35,24 @@ CLUSTERS = 64
 MEMBERS = 64
 #: Neighbours on either side.
 REACH = 2
+#: Even.
 DIMENSIONS = 32
 #: Sixteenths of the documents in each round; together they are all documents.
 ROUNDS = (1, 1, 2, 4, 8)
-#: Windows of a step, windows scored at a time, and tokens that a task mixes at a time.
+#: Windows of a step, at least; tokens that a task mixes at a time make STEPS steps, if those hold no more than MOST windows.
 STEP = 4096
-BLOCK = 8192
+STEPS = 32
+MOST = 32768
 MIXED = 1 << 20
+#: Windows scored at a time, and rows of a matrix that are worked on at a time.
+BLOCK = 1 << 16
+ROWS = 2048
 #: Tokens that a task scores, and rare words that it spells, at a time.
 LAID_OUT = 1 << 17
 SPELLED = 1 << 15
 RATE = 0.08
-#: Windows that training draws for each window of the corpus; more, up to MOST_DRAWS, where that makes fewer than LEAST_WINDOWS.
-DRAWS = 1 / 8
-MOST_DRAWS = 40.0
+#: Training takes every window once, or more often, up to MOST_PASSES times, as long as that makes fewer than LEAST_WINDOWS.
+MOST_PASSES = 40
 LEAST_WINDOWS = 3_000_000
 #: Networks that one task averages.
 FAN_IN = 8
@@ -283,88 +287,115 @@ def squares(p: Params) -> Params:
 
 
 def weighted(p: Params) -> list[np.ndarray]:
-    """The embeddings at each of OFFSETS, with the weights of its distance."""
-    return [p["near"][i] * p["left" if o < 0 else "right"] for i, o in enumerate(OFFSETS)]
+    """What the embeddings at each of OFFSETS add to the values that turn into the hidden ones, times -2."""
+    tables = [-2 * p["near"][i] * p["left" if o < 0 else "right"] for i, o in enumerate(OFFSETS)]
+    tables[0] -= 2 * p["shift"]
+    return tables
 
 
-def hidden(p: Params, near: list[np.ndarray], tables: list[np.ndarray] | None = None) -> np.ndarray:
-    tables = tables or weighted(p)
-    s = tables[0][near[0]]
-    for table, x in zip(tables[1:], near[1:]):
-        s += table[x]
-    s += p["shift"]
-    return np.tanh(s, out=s)
+def hidden(tables: list[np.ndarray], near: list[np.ndarray]) -> np.ndarray:
+    h = np.empty((len(near[0]), tables[0].shape[1]), tables[0].dtype)
+    more = np.empty((min(ROWS, len(h)), h.shape[1]), h.dtype)
+    for a in range(0, len(h), ROWS):
+        s = h[a : a + ROWS]
+        np.take(tables[0], near[0][a : a + ROWS], axis=0, out=s, mode="clip")
+        for table, x in zip(tables[1:], near[1:]):
+            s += np.take(table, x[a : a + ROWS], axis=0, out=more[: len(s)], mode="clip")
+        with np.errstate(over="ignore"):  # tanh(x) = 2 / (1 + exp(-2 x)) - 1
+            np.exp(s, out=s)
+        s += 1
+        np.divide(2, s, out=s)
+        s -= 1
+    return h
 
 
-def softmax_of(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The log-probability at one place of each row of ``z``, which turns into multiples of the probabilities, and their sums.
+def places(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where one place of each row is among all."""
+    return np.arange(0, z.size, z.shape[1]) + at
+
+
+def softmax_of(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The log-probability at one place of each row, and what the probabilities are made of: factors by row and place, factors
+    by place, and sums by row to divide their products by.
 
     Hidden values lie between -1 and 1, so nothing overflows as long as the weights of a token add up to less than 80.
     """
-    own = z[np.arange(len(z)), at]
+    z = h @ weights.T
+    own = z.reshape(-1)[places(z, at)] + bias[at]
     np.exp(z, out=z)
-    total = z.sum(axis=1)
-    return own - np.log(total), total
+    of_place = np.exp(np.maximum(bias, -60))
+    total = z @ of_place
+    return own - np.log(total), z, of_place, total
 
 
-def by_cluster(clusters: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each cluster of several words that occurs, with its places."""
-    order = np.argsort(clusters.astype(np.int16), kind="stable")
-    edges = np.searchsorted(clusters[order], np.arange(1, CLUSTERS + 1))
-    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:]), 1):
-        if b > a:
-            yield k, order[a:b]
+def sorted_by_cluster(near: list[np.ndarray], tokens: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """The order by clusters; neighbours, clusters and places in them in that order; each cluster of several words that occurs,
+    and its rows from and up to."""
+    clusters = (tokens - 1) // MEMBERS
+    order = np.argsort(clusters.astype(np.uint16), kind="stable")
+    clusters = clusters[order]
+    edges = np.searchsorted(clusters, np.arange(1, CLUSTERS + 1)).tolist()
+    spans = [(k, a, b) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:]), 1) if b > a]
+    return order, [x[order] for x in near], clusters, tokens[order] - 1 - clusters * MEMBERS, spans
 
 
 def log_probabilities(p: Params, near: list[np.ndarray], tokens: np.ndarray, tables: list[np.ndarray] | None = None) -> np.ndarray:
-    h = hidden(p, near, tables)
-    clusters = (tokens - 1) // MEMBERS
-    members = tokens - 1 - clusters * MEMBERS
-    z = h @ p["cluster"].T
-    z += p["cluster_bias"]
-    out, _ = softmax_of(z, clusters)
-    for k, at in by_cluster(clusters):
+    order, near, clusters, members, spans = sorted_by_cluster(near, tokens)
+    h = hidden(tables or weighted(p), near)
+    logp = np.empty(len(h), h.dtype)
+    for a in range(0, len(h), ROWS):
+        logp[a : a + ROWS] = softmax_of(h[a : a + ROWS], p["cluster"], p["cluster_bias"], clusters[a : a + ROWS])[0]
+    for k, a, b in spans:
         own = slice(k * MEMBERS, (k + 1) * MEMBERS)
-        z = h[at] @ p["word"][own].T
-        z += p["word_bias"][own]
-        out[at] += softmax_of(z, members[at])[0]
+        logp[a:b] += softmax_of(h[a:b], p["word"][own], p["word_bias"][own], members[a:b])[0]
+    out = np.empty_like(logp)
+    out[order] = logp
     return out
 
 
 def sum_rows(rows: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
-    """For each of n rows the sum of what belongs to it."""
-    return np.stack([np.bincount(rows, column, n) for column in np.ascontiguousarray(x.T)], axis=1).astype(np.float32)
+    """For each of n rows the sum of what belongs to it; an even number of columns, added two at a time as complex numbers."""
+    out, two = np.zeros((n, x.shape[1]), x.dtype), np.result_type(x.dtype, np.complex64)
+    d, to, x = x.shape[1] // 2, out.view(two).reshape(-1), x.view(two)
+    for a in range(0, len(rows), ROWS):
+        np.add.at(to, (rows[a : a + ROWS, None] * d + np.arange(d)).reshape(-1), x[a : a + ROWS].reshape(-1))
+    return out
 
 
 def gradient(p: Params, near: list[np.ndarray], tokens: np.ndarray) -> tuple[float, Params]:
     """The loss and its gradient, a token."""
-    n = len(tokens)
-    h = hidden(p, near)
-    clusters = (tokens - 1) // MEMBERS
-    members = tokens - 1 - clusters * MEMBERS
-
-    def back(z: np.ndarray, at: np.ndarray) -> tuple[float, np.ndarray]:
-        logp, total = softmax_of(z, at)
-        z /= (n * total)[:, None]
-        z[np.arange(len(z)), at] -= 1 / n
-        return -float(logp.sum(dtype=np.float64)) / n, z
-
-    loss, dz = back(h @ p["cluster"].T + p["cluster_bias"], clusters)
-    g = {"cluster": dz.T @ h, "cluster_bias": dz.sum(axis=0), "word": np.zeros_like(p["word"]), "word_bias": np.zeros_like(p["word_bias"])}
-    dh = dz @ p["cluster"]
-    for k, at in by_cluster(clusters):
-        own, hk = slice(k * MEMBERS, (k + 1) * MEMBERS), h[at]
-        more, dz = back(hk @ p["word"][own].T + p["word_bias"][own], members[at])
-        loss += more
-        g["word"][own], g["word_bias"][own] = dz.T @ hk, dz.sum(axis=0)
-        dh[at] += dz @ p["word"][own]
-    ds = dh * (1 - h * h)
-    g["shift"], g["near"] = ds.sum(axis=0), np.empty_like(p["near"])
+    n, loss = len(tokens), 0.0
+    _, near, clusters, members, spans = sorted_by_cluster(near, tokens)
+    h = hidden(weighted(p), near)
+    g = {k: np.zeros_like(p[k]) for k in ("cluster", "cluster_bias", "word", "word_bias")}
+    dh = np.zeros_like(h)
+
+    def back(a: int, b: int, name: str, own: slice, at: np.ndarray) -> float:
+        """Adds to the gradients of ``own`` rows of an output layer and of the hidden values from a up to b."""
+        weights, hk = p[name][own], h[a:b]
+        logp, z, of_place, total = softmax_of(hk, weights, p[name + "_bias"][own], at)
+        z.reshape(-1)[places(z, at)] -= total / of_place[at]
+        share = 1 / (n * total)
+        g[name][own] += of_place[:, None] * (z.T @ (hk * share[:, None]))
+        g[name + "_bias"][own] += of_place * (share @ z)
+        more = z @ (of_place[:, None] * weights)
+        more *= share[:, None]
+        dh[a:b] += more
+        return -float(logp.sum(dtype=np.float64)) / n
+
+    for a in range(0, n, ROWS):
+        loss += back(a, min(a + ROWS, n), "cluster", slice(None), clusters[a : a + ROWS])
+    for k, a, b in spans:
+        loss += back(a, b, "word", slice(k * MEMBERS, (k + 1) * MEMBERS), members[a:b])
+    h *= h
+    np.subtract(1, h, out=h)
+    dh *= h
+    g["shift"], g["near"] = dh.sum(axis=0), np.empty_like(p["near"])
     for side in ("left", "right"):
         of = [i for i, o in enumerate(OFFSETS) if (o < 0) == (side == "left")]
         g[side] = np.zeros_like(p[side])
         for i in of:
-            by_word = sum_rows(near[i], ds, len(p[side]))
+            by_word = sum_rows(near[i], dh, len(p[side]))
             g["near"][i] = (by_word * p[side]).sum(axis=0)
             g[side] += by_word * p["near"][i]
     return loss, g
@@ -374,10 +405,10 @@ def step(p: Params, q: Params, near: list[np.ndarray], tokens: np.ndarray) -> fl
     """One step of descent in place, each row's rate falling with its gradients so far."""
     loss, g = gradient(p, near, tokens)
     for k, x in g.items():
-        square = x * x
-        q[k] += square if x.ndim == 1 else square.mean(axis=1)
+        q[k] += x * x if x.ndim == 1 else np.einsum("ij,ij->i", x, x) / x.shape[1]
         scale = RATE / np.sqrt(q[k])
-        p[k] -= scale * x if x.ndim == 1 else scale[:, None] * x
+        x *= scale if x.ndim == 1 else scale[:, None]
+        p[k] -= x
     return loss
 
 
@@ -391,8 +422,9 @@ def descend(p: Params, q: Params, texts: Iterator[list[np.ndarray]], draws: floa
         flat, at = laid_out(held)
         while left > 1e-9 and len(at):
             drawn = rng.permutation(at)[: max(1, round(min(left, 1.0) * len(at)))]
-            for a in range(0, len(drawn), STEP):
-                step(p, q, *windows(flat, drawn[a : a + STEP]))
+            size = max(STEP, min(MOST, len(at) // STEPS))
+            for some in np.array_split(drawn, -(-len(drawn) // size)):
+                step(p, q, *windows(flat, some))
             spent += len(drawn)
             left -= 1.0
         held.clear()
@@ -437,10 +469,15 @@ def texts_of_ids(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
 
 
+def passes(n_windows: int) -> int:
+    """How often training takes each window of a corpus."""
+    return max(1, min(MOST_PASSES, -(-LEAST_WINDOWS // max(n_windows, 1))))
+
+
 def train(tokens: DataFrame, start: Params, n_windows: int) -> Params:
     """The network after rounds over shares of the documents, that together hold each once."""
     spark = tokens.sparkSession
-    draws = max(DRAWS, min(MOST_DRAWS, LEAST_WINDOWS / max(n_windows, 1)))
+    draws = passes(n_windows)
     p, q, done = start, squares(start), 0
     schema = "part int, seen long, network binary"
     for r, share in enumerate(ROUNDS):

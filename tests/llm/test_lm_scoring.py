@@ -128,6 +128,46 @@ def test_long_corpora_draw_windows_of_all_documents(monkeypatch):
     assert M.descend({}, {}, iter([[]]), 2.0, 0) == 0
 
 
+@pytest.mark.parametrize(("n_windows", "times"), [(10**10, 1), (24 * 10**6, 1), (2 * 10**6, 2), (1, 40)])
+def test_training_takes_every_window_of_every_document(spark, monkeypatch, n_windows, times):
+    rng = np.random.default_rng(4)
+    texts = texts_by(rng, 200)
+    start = M.initial([5] * 16, 5)
+
+    def counted(p, q, texts, draws, seed):
+        n = draws * sum(len(t) for some in texts for t in some)
+        p["shift"][0] += n
+        return max(1, round(n))
+
+    monkeypatch.setattr(M, "descend", counted)
+    tokens = spark.createDataFrame([(t.tobytes(), i % sum(M.ROUNDS)) for i, t in enumerate(texts)], "ids binary, share int").coalesce(1)
+    assert M.train(tokens, start, n_windows)["shift"][0] == times * sum(map(len, texts))
+
+
+def test_steps_hold_every_window_once(monkeypatch):
+    monkeypatch.setattr(M, "STEP", 7)
+    monkeypatch.setattr(M, "MIXED", 600)
+    seen = []
+    monkeypatch.setattr(M, "step", lambda p, q, near, tokens: seen.append([*zip(*(x.tolist() for x in near), tokens.tolist())]))
+    texts = texts_by(np.random.default_rng(8), 500)
+    near, tokens = M.windows(*M.laid_out(texts))
+    assert M.descend({}, {}, iter([texts[:300], texts[300:]]), 1, 0) == len(tokens)
+    assert Counter(w for some in seen for w in some) == Counter(zip(*(x.tolist() for x in near), tokens.tolist()))
+    assert all(3 <= len(some) <= 7 + 600 // M.STEPS for some in seen)
+
+
+def test_gradient_and_scores_are_the_same_in_pieces_of_any_size(monkeypatch):
+    small(monkeypatch)
+    rng = np.random.default_rng(9)
+    p = {k: v.astype(np.float64) for k, v in M.initial([5] * 16, 5).items()}
+    near, tokens = M.windows(*M.laid_out(texts_by(rng, 60)))
+    loss, g = M.gradient(p, near, tokens)
+    each = M.log_probabilities(p, near, tokens)
+    assert abs(loss + each.mean()) < 1e-9
+    monkeypatch.setattr(M, "ROWS", 13)
+    assert all(np.allclose(v, g[k]) for k, v in M.gradient(p, near, tokens)[1].items()) and np.allclose(M.log_probabilities(p, near, tokens), each)
+
+
 def test_held_out_documents_are_likelier_than_by_unigrams_and_bigrams(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
     held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
