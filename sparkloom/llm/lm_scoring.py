@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import cut, discard, map_arrow, table
 
 WORD = re.compile(r"\w+|[^\w\s]")
+WORD_OR_BREAK = re.compile(r"\w+|[^\w\s]|\n")
 #: Tokens: 0 is the edge of a text, RARE a word beyond the vocabulary, which has the first cluster for itself.
 RARE = 1
 #: Clusters of the output, and words in each; the frequent words fill those from the second on, in order of their counts.
@@ -56,6 +58,8 @@ MOST_PASSES = 40
 LEAST_WINDOWS = 3_000_000
 #: Networks that one task averages.
 FAN_IN = 8
+#: Bytes of texts that a task splits at a time; a longer text by itself.
+SPLIT = 1 << 22
 #: Distinct pieces of texts between white space that a counting task holds before it emits the counts of their words.
 HELD_WORDS = 400_000
 #: Symbols of the spelling model: the edge of a word, any other letter, and the most frequent letters.
@@ -75,24 +79,51 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+# Texts in pieces.
+
+
+def pieces_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, list[str], np.ndarray]]:
+    """Some rows at a time, from and up to which: where each row's pieces between white space begin and end, the different
+    pieces, and which of those each piece is.
+
+    No word goes across white space, so that each different piece need be split into words once.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(), dtype=np.int64)
+    parts = np.flatnonzero(np.r_[True, np.diff(ends // SPLIT) > 0, True]).tolist() if len(ends) else []
+    for i, j in zip(parts[:-1], parts[1:]):
+        texts = [(t or "").lower() for t in batch.column("text").slice(i, j - i).to_pylist()]
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        found = split.values.dictionary_encode()
+        yield i, j, split.offsets.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+
+
+def words_of_pieces(pieces: list[str]) -> list[str]:
+    """The words of all pieces, and a line break between those of a piece and the next."""
+    return WORD_OR_BREAK.findall("\n".join(pieces))
+
+
 # The vocabulary.
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    # No word goes across white space, so what lies between it is counted first and split once.
-    counts: Counter = Counter()
+    counts: dict[str, int] = {}
 
     def flush() -> pa.RecordBatch:
-        words: Counter = Counter()
-        for piece, n in counts.items():
-            for w in WORD.findall(piece):
-                words[w] += n
+        words: dict[str, int] = {}
+        times = iter(counts.values())
+        n = next(times)
+        for w in words_of_pieces(list(counts)):
+            if w == "\n":
+                n = next(times)
+            else:
+                words[w] = words.get(w, 0) + n
         counts.clear()
         return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            counts.update((text or "").lower().split())
+        for _, _, _, pieces, which in pieces_of(batch):
+            for piece, n in zip(pieces, np.bincount(which, minlength=len(pieces)).tolist()):
+                counts[piece] = counts.get(piece, 0) + n
             if len(counts) >= HELD_WORDS:
                 yield flush()
     if counts:
@@ -205,35 +236,42 @@ def spelling_model(total: np.ndarray) -> np.ndarray:
 # Documents as tokens.
 
 
+class Numbers(dict):
+    """The tokens of words; RARE of any other."""
+
+    def __missing__(self, word: str) -> int:
+        return RARE
+
+
 def _encode(vocab: dict[str, int], spelling: Spelling):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocab.get
+        numbers = Numbers(vocab)
+        numbers["\n"] = 0
         for batch in batches:
-            blobs, rare, owner, rounds = [], [], [], []
-            spelled = np.zeros(batch.num_rows)
-
-            def spell() -> None:
-                np.add.at(spelled, owner, spelling.score(rare))
-                rare.clear()
-                owner.clear()
-
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                words = words_of(text)
-                ids = np.array([get(w, RARE) for w in words], np.uint16)
-                blobs.append(ids.astype("<u2").tobytes())
-                rounds.append(xxhash.xxh32_intdigest(blobs[-1]) % sum(ROUNDS))
-                at = np.flatnonzero(ids == RARE).tolist()
-                for k in range(0, len(at), SPELLED):
-                    rare.extend(words[j] for j in at[k : k + SPELLED])
-                    owner.extend([i] * len(at[k : k + SPELLED]))
-                    if len(rare) >= SPELLED:
-                        spell()
-            if rare:
-                spell()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(blobs, pa.binary()), pa.array(spelled, pa.float64()), pa.array(rounds, pa.int32())],
-                names=["doc_id", "ids", "spelled", "share"],
-            )
+            for i, j, begin, pieces, which in pieces_of(batch):
+                words = words_of_pieces(pieces)
+                ids = np.fromiter(map(numbers.__getitem__, words), np.uint16, len(words))
+                breaks = np.flatnonzero(ids == 0)
+                start, stop = np.r_[0, breaks + 1][: len(pieces)], np.r_[breaks, len(ids)][: len(pieces)]
+                n, rare, spelled = stop - start, np.flatnonzero(ids == RARE), np.zeros(len(pieces))
+                for k in range(0, len(rare), SPELLED):
+                    some = rare[k : k + SPELLED]
+                    np.add.at(spelled, np.searchsorted(breaks, some), spelling.score([words[at] for at in some.tolist()]))
+                # From different pieces to those of the texts.
+                ends = np.r_[0, np.cumsum(n[which])]
+                flat = ids[np.repeat(start[which] - ends[:-1], n[which]) + np.arange(ends[-1])].astype("<u2").tobytes()
+                at = (2 * ends[begin]).tolist()
+                blobs = [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+                row = np.repeat(np.arange(j - i), np.diff(begin))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(i, j - i),
+                        pa.array(blobs, pa.binary()),
+                        pa.array(np.bincount(row, spelled[which], j - i), pa.float64()),
+                        pa.array([xxhash.xxh32_intdigest(blob) % sum(ROUNDS) for blob in blobs], pa.int32()),
+                    ],
+                    names=["doc_id", "ids", "spelled", "share"],
+                )
 
     return run
 

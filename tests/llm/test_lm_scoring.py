@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from samples import prose
 from sparkloom.llm import lm_scoring as M
@@ -156,6 +157,26 @@ def test_steps_hold_every_window_once(monkeypatch):
     assert all(3 <= len(some) <= 7 + 600 // M.STEPS for some in seen)
 
 
+def test_pieces_have_the_words_of_their_texts(monkeypatch):
+    texts = ["a\x1cb a,b\u00a0c\u2028d\x85e", "\u0130x \u03a3\u03a3 STRASSE \u00df", "", None, " \t\n\v\f\r ", "x_y--z\n\nx_y a a A\0b", "\U0001f600\u0301 \U0001d7d8 \u0e01\u0e34", "tail "] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    vocab = M.tokens_of([("a", 9), ("x_y", 5), ("-", 4), ("\u03c3\u03c2", 1)])
+    spelling = M.Spelling(np.array([0, *map(ord, "abcdxyz")]), np.log(np.random.default_rng(6).uniform(0.1, 1, M.SYMBOLS**3)))
+    for split, spelled in ((1, 2), (20, 3), (1 << 20, 1 << 15)):
+        monkeypatch.setattr(M, "SPLIT", split)
+        monkeypatch.setattr(M, "SPELLED", spelled)
+        words, rows = Counter(), []
+        for found in M._count_words(iter([batch.slice(0, 5), batch.slice(5)])):
+            words.update(dict(zip(found.column("word").to_pylist(), found.column("n").to_pylist())))
+        assert words == Counter(w for t in texts for w in M.words_of(t))
+        for found in M._encode(vocab, spelling)(iter([batch.slice(0, 5), batch.slice(5)])):
+            rows.extend(found.to_pylist())
+        assert [r["doc_id"] for r in rows] == list(range(len(texts)))
+        for r, t in zip(rows, texts):
+            assert np.frombuffer(r["ids"], "<u2").tolist() == [vocab.get(w, M.RARE) for w in M.words_of(t)]
+            assert abs(r["spelled"] - spelling.score([w for w in M.words_of(t) if w not in vocab]).sum()) < 1e-9
+
+
 def test_gradient_and_scores_are_the_same_in_pieces_of_any_size(monkeypatch):
     small(monkeypatch)
     rng = np.random.default_rng(9)
