@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Observation, Window
 
 from ..arrow import map_arrow
-from ..functions.similarity import CONTAINED, close_pairs
+from ..functions.similarity import CONTAINED, LENGTH_RATIO, close_pairs
 from ..sources.scratch import cut, discard
 
-LENGTH_RATIO = 0.70
 #: Letters of the grams that find texts of few edits, and of those that find texts within others.
 EDIT_GRAM = 2
 PART_GRAM = 3
 _EDGE = "\u0001"
-#: Texts and letters of a chunk, two of which are compared by tokens at a time.
-CHUNK = 4096
-CHUNK_LETTERS = 1 << 20
+#: Texts and letters of a chunk, two of which are compared by tokens at a time; the first of a chunk that may be split for more tasks.
+CHUNK = 1 << 17
+CHUNK_LETTERS = 1 << 22
+CHUNK_LEAST = 1 << 12
 
 
 def drop_exact(df: DataFrame, order: str | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -76,38 +78,52 @@ def _edit_candidates(texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """k, t, u (t < u) and score of the close texts of each group of two chunks, or of one with itself."""
+    """k, t, u and score of the close texts of each group of two chunks, or of one with itself."""
     for batch in batches:
-        for row in batch.slice(0).to_pylist():
-            one, two = row["one"], row["two"]
-            found = close_pairs([r["p"] for r in one], None if two is None else [r["p"] for r in two], row["least"])
-            pairs = []
-            for i, j, score in found:
-                x, y = one[i], (one if two is None else two)[j]
-                if min(x["size"], y["size"]) / max(x["size"], y["size"]) >= LENGTH_RATIO:
-                    pairs.append((*sorted((x["t"], y["t"])), score))
-            kinds = batch.schema.field("k").type, batch.schema.field("one").type.value_type.field("t").type
-            columns = [pa.array([row["k"]] * len(pairs), kinds[0]), *(pa.array([r[c] for r in pairs], kinds[1]) for c in (0, 1)), pa.array([r[2] for r in pairs], pa.float64())]
+        for k, one, two, least in zip(*(batch.column(c) for c in ("k", "one", "two", "least"))):
+            sides = [x.values for x in (one, two) if x.is_valid]
+            texts = [x.field("p").to_pylist() for x in sides]
+            sizes = np.concatenate([x.field("size").to_numpy() for x in sides])
+            found = close_pairs(texts[0], texts[1] if len(texts) > 1 else None, least.as_py(), sizes)
+            i, j = (np.array([r[c] for r in found], np.int64) for c in (0, 1))
+            x, y = sizes[i], sizes[j + (len(texts[0]) if len(texts) > 1 else 0)]
+            fits = np.minimum(x, y) / np.maximum(x, y) >= LENGTH_RATIO
+            scores = np.array([r[2] for r in found], float)[fits]
+            columns = [pa.repeat(k, len(scores)), sides[0].field("t").take(pa.array(i[fits])), sides[-1].field("t").take(pa.array(j[fits])), pa.array(scores)]
             yield pa.RecordBatch.from_arrays(columns, names=["k", "t", "u", "score"])
 
 
 def _token_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     """k, t, u (t < u) and score of texts whose token_score reaches the threshold.
 
-    All pairs of a block are compared, in groups of two chunks of CHUNK texts and CHUNK_LETTERS letters or so. A group is
-    one row, dealt by its key to as many parts as the session shuffles to; the work grows with the square of a block.
+    All texts of a block meet, in groups of two chunks of about CHUNK texts and CHUNK_LETTERS letters, or of twice as many at
+    most. Texts of the same words are in one chunk, as long as it holds them. A group is one row.
     """
-    sized = texts.groupBy("k").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum(F.length("p")) / CHUNK_LETTERS)).cast("int").alias("m"))
-    placed = texts.join(sized, "k").withColumn("c", F.pmod(F.xxhash64("t"), F.greatest("m", F.lit(1))).cast("int"))
-    chunks = cut(placed.groupBy("k", "c", "m").agg(F.collect_list(F.struct("t", "p", F.length("x").alias("size"))).alias("rows")))
-    lower = chunks.select("k", F.col("c").alias("i"), F.explode(F.sequence("c", F.greatest("m", F.lit(1)) - 1)).alias("j"), F.col("rows").alias("one"))
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    n, letters = F.count(F.lit(1)), F.sum(F.length("p"))
+    # Chunks that would be few for the cores are smaller.
+    more = F.least(F.ceil(n / CHUNK_LEAST), F.lit(math.ceil(math.sqrt(4 * cores))))
+    sized = texts.groupBy("k").agg(F.greatest(F.ceil(n / CHUNK), F.ceil(letters / CHUNK_LETTERS), more, F.lit(1)).alias("m"))
+    words = F.xxhash64(F.array_sort(F.split("p", r"(?U)\s+")))
+    dealt = texts.join(sized, "k").select("k", "t", "p", F.length("x").alias("size"), F.pmod(words, "m").alias("c"))
+    pieces = dealt.groupBy("k", "c").agg(F.greatest(F.ceil(n / (2 * CHUNK)), F.ceil(letters / (2 * CHUNK_LETTERS)), F.lit(1)).cast("int").alias("pieces"))
+    block = Window.partitionBy("k")
+    before = F.sum("pieces").over(block.orderBy("c").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = cut(pieces.select("k", "c", "pieces", F.coalesce(before, F.lit(0)).cast("int").alias("first"), F.sum("pieces").over(block).cast("int").alias("m")))
+    number = F.col("first") + F.pmod(F.xxhash64("t"), "pieces").cast("int")
+    placed = dealt.join(pieces, ["k", "c"]).select("k", number.alias("c"), "m", F.struct("t", "p", "size").alias("row"))
+    chunks = cut(placed.groupBy("k", "c", "m").agg(F.collect_list("row").alias("rows")))
+    lower = chunks.select("k", F.col("c").alias("i"), F.explode(F.sequence("c", F.col("m") - 1)).alias("j"), F.col("rows").alias("one"))
     upper = chunks.where("c > 0").select("k", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("i"), F.col("c").alias("j"), F.col("rows").alias("two"))
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Groups take long, so there are several times as many parts, that few get two.
+    total = pieces.groupBy("k").agg(F.max(F.col("m").cast("long")).alias("m")).agg(F.sum(F.expr("m * (m + 1) div 2"))).first()[0] or 1
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(8 * total, 32 * cores))
     both = lower.repartition(parts, "k", "i", "j").join(upper.repartition(parts, "k", "i", "j"), ["k", "i", "j"], "left")
     # A chunk without rows has no partner; a group of a chunk with itself has none either.
     groups = both.where("i = j OR two IS NOT NULL").select("k", "one", "two", F.lit(threshold).alias("least"))
     kinds = dict(texts.dtypes)
-    return map_arrow(groups, _close, f"k {kinds['k']}, t {kinds['t']}, u {kinds['t']}, score double")
+    found = map_arrow(groups, _close, f"k {kinds['k']}, t {kinds['t']}, u {kinds['t']}, score double")
+    return found.select("k", F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u"), "score")
 
 
 def _part_candidates(texts: DataFrame) -> DataFrame:
@@ -174,7 +190,9 @@ def similar_pairs(df: DataFrame, keys: list[str], order: str, threshold: float =
     rows, texts = _texts(df, keys, order, block)
     texts = cut(texts)
     alike = similar_texts(texts, threshold, mode)
-    alike = alike.unionByName(alike.select("k", F.col("u").alias("t"), F.col("t").alias("u"), "score")).unionByName(texts.select("k", "t", F.col("t").alias("u"), F.lit(1.0).alias("score")))
+    # Pairs are turned round in place, as a union of both ways would find them twice.
+    ways = F.array(F.struct("t", "u"), F.struct(F.col("u").alias("t"), F.col("t").alias("u")))
+    alike = alike.select("k", F.inline(ways), "score").unionByName(texts.select("k", "t", F.col("t").alias("u"), F.lit(1.0).alias("score")))
     placed = rows.join(texts, ["k", "x"]).select("k", "t", "a")
     pairs = placed.join(alike, ["k", "t"]).join(placed.select("k", F.col("t").alias("u"), F.col("a").alias("b")), ["k", "u"])
     return pairs.where("a < b").select("a", "b", "score")
