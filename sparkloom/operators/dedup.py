@@ -103,21 +103,22 @@ def _token_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     n, letters = F.count(F.lit(1)), F.sum(F.length("p"))
     # Chunks that would be few for the cores are smaller.
     more = F.least(F.ceil(n / CHUNK_LEAST), F.lit(math.ceil(math.sqrt(4 * cores))))
-    sized = texts.groupBy("k").agg(F.greatest(F.ceil(n / CHUNK), F.ceil(letters / CHUNK_LETTERS), more, F.lit(1)).alias("m"))
-    words = F.xxhash64(F.array_sort(F.split("p", r"(?U)\s+")))
+    # Small tables are written, as Spark then knows that they are small and doesn't deal all texts of a block to one task.
+    sized = cut(texts.groupBy("k").agg(F.greatest(F.ceil(n / CHUNK), F.ceil(letters / CHUNK_LETTERS), more, F.lit(1)).alias("m")))
+    words = F.xxhash64(F.array_sort(F.split("p", " ")))
     dealt = texts.join(sized, "k").select("k", "t", "p", F.length("x").alias("size"), F.pmod(words, "m").alias("c"))
     pieces = dealt.groupBy("k", "c").agg(F.greatest(F.ceil(n / (2 * CHUNK)), F.ceil(letters / (2 * CHUNK_LETTERS)), F.lit(1)).cast("int").alias("pieces"))
     block = Window.partitionBy("k")
     before = F.sum("pieces").over(block.orderBy("c").rowsBetween(Window.unboundedPreceding, -1))
     pieces = cut(pieces.select("k", "c", "pieces", F.coalesce(before, F.lit(0)).cast("int").alias("first"), F.sum("pieces").over(block).cast("int").alias("m")))
+    # A chunk, and even more a group, takes long, so there are several times as many parts, that few get two.
+    sums = F.sum("pieces").cast("long"), F.sum(F.expr("pieces * (m + 1L) / 2")).cast("long")
+    chunk_parts, parts = (max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(8 * (x or 1), 32 * cores)) for x in pieces.agg(*sums).first())
     number = F.col("first") + F.pmod(F.xxhash64("t"), "pieces").cast("int")
     placed = dealt.join(pieces, ["k", "c"]).select("k", number.alias("c"), "m", F.struct("t", "p", "size").alias("row"))
-    chunks = cut(placed.groupBy("k", "c", "m").agg(F.collect_list("row").alias("rows")))
+    chunks = cut(placed.repartition(chunk_parts, "k", "c").groupBy("k", "c", "m").agg(F.collect_list("row").alias("rows")))
     lower = chunks.select("k", F.col("c").alias("i"), F.explode(F.sequence("c", F.col("m") - 1)).alias("j"), F.col("rows").alias("one"))
     upper = chunks.where("c > 0").select("k", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("i"), F.col("c").alias("j"), F.col("rows").alias("two"))
-    # Groups take long, so there are several times as many parts, that few get two.
-    total = pieces.groupBy("k").agg(F.max(F.col("m").cast("long")).alias("m")).agg(F.sum(F.expr("m * (m + 1) div 2"))).first()[0] or 1
-    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(8 * total, 32 * cores))
     both = lower.repartition(parts, "k", "i", "j").join(upper.repartition(parts, "k", "i", "j"), ["k", "i", "j"], "left")
     # A chunk without rows has no partner; a group of a chunk with itself has none either.
     groups = both.where("i = j OR two IS NOT NULL").select("k", "one", "two", F.lit(threshold).alias("least"))
