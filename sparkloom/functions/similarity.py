@@ -326,9 +326,9 @@ def _near(kinds: _Kinds, same: bool, least: float, sizes: np.ndarray | None) ->
                     i, j = _places(found)
                     held.append((one.kinds[row + y + i], two.kinds[columns[x + j]]))
                     pairs += len(i)
-                if pairs >= _BATCH:
-                    yield settled(g, *(np.concatenate(x) for x in zip(*held)))
-                    held, pairs = [], 0
+                    if pairs >= _BATCH:
+                        yield settled(g, *(np.concatenate(x) for x in zip(*held)))
+                        held, pairs = [], 0
         if held:
             yield settled(g, *(np.concatenate(x) for x in zip(*held)))
 
